@@ -23,12 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireworks.llm.common import or_empty, pieces_for, rows_of, table, to_batches, total_bytes
-from quireworks.llm.tokens import WordEncoder, encoder, in_portions, words_of
+from quireworks.llm.tokens import WordEncoder, encoder, in_portions, plain_words
 
 #: Text, before compression, of which one bucket of the word table holds the words on average.
 BUCKET_BYTES = 24 << 20
@@ -53,9 +52,9 @@ def _distinct(n_buckets: int):
     """The distinct words of this part, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen = TaskContext.get().partitionId(), set()
-        for _, text in rows_of(batches, "doc_id", "text"):
-            seen.update(words_of(text))
+        part, seen = -1, set()
+        for part, text in rows_of(batches, "part", "text"):
+            seen.update(plain_words(text))
         by: dict[int, list[bytes]] = defaultdict(list)
         while seen:
             w = seen.pop().encode()
@@ -67,13 +66,13 @@ def _distinct(n_buckets: int):
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The documents of this part, packed some at a time."""
-    part = TaskContext.get().partitionId()
 
     def rows():
-        for some in in_portions(rows_of(batches, "doc_id", "text")):
-            texts = [t.encode() for _, t in some]
-            ids = pa.array([d for d, _ in some], pa.int64())
-            null = np.array([d is None for d, _ in some], np.uint8).tobytes()
+        for some in in_portions(rows_of(batches, "part", "doc_id", "text")):
+            part = some[0][0]
+            texts = [t.encode() for _, _, t in some]
+            ids = pa.array([d for _, d, _ in some], pa.int64())
+            null = np.array([d is None for _, d, _ in some], np.uint8).tobytes()
             yield part, -1, 1, _pack(ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(), null, np.array(list(map(len, texts)), "<i8").tobytes(), b"".join(texts))
 
     yield from to_batches(rows(), _ROW)
@@ -143,7 +142,7 @@ def _joined(path: str, keep_ids: bool):
                 raw_ids, null, sizes, flat = _unpack(blob)
                 cuts = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<i8"))]).tolist()
                 for k, d in enumerate(np.frombuffer(raw_ids, "<i8").tolist()):
-                    words = words_of(flat[cuts[k] : cuts[k + 1]].decode())
+                    words = plain_words(flat[cuts[k] : cuts[k + 1]].decode())
                     a = [x for x in map(shown.__getitem__, words) if x]
                     s = " ".join(a)
                     p = " ".join([x for x in map(told.__getitem__, words) if x])
@@ -160,7 +159,7 @@ def encode(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFrame:
     docs must give the same rows in the same partitions each time it is read, as tables do; a word without ids is an error.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", or_empty("text").alias("text"))
+    rows = docs.select(F.spark_partition_id().cast("long").alias("part"), "doc_id", or_empty("text").alias("text"))
     size = total_bytes(docs)
     n_buckets = pieces_for(size, BUCKET_BYTES)
     n_parts = max(12, rows.rdd.getNumPartitions())

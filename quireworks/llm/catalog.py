@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quireworks.llm import exact_dedup, quality_rules
+from quireworks.llm import bpe_words, exact_dedup, hilbert_packing, quality_rules, token_files
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op2_token_files": token_files.op2_token_files,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op9_hilbert_packing": hilbert_packing.op9_hilbert_packing,
+        "op10_bpe_words": bpe_words.op10_bpe_words,
     }
 
 

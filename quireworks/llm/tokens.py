@@ -13,14 +13,30 @@ from itertools import chain
 import numpy as np
 
 #: Pieces kept in a worker's table; it is emptied when full, so memory is bounded.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 600_000
 
 _WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
+# White space other than space and line feed: such texts are left whole.
+_ODD_WHITE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 # Letters that are their own composed form and have a one-letter lower case.
 _LETTERS = "A-Za-zÀ-ÖØ-Þß-öø-ÿ"
+_LETTER_RUN = re.compile(f"[{_LETTERS}]+")
 _PLAIN = re.compile(f"([{_LETTERS}]+)([.,]?)")
 
+# A full stop or comma that white space follows and another sign precedes belongs to that sign's run.
+_SIGN_RUN = re.compile(r"(?:[^\w\s]|_)[.,]\s")
+_NOT_LATIN = re.compile("[^\x00-\u017f]")
+
+
+def plain_words(text: str) -> list[str]:
+    """The words of a text, in lower case and without the stop or comma at their end where that changes no token: fewer are distinct."""
+    if not _NOT_LATIN.search(text):
+        text = text.lower()
+    if not _SIGN_RUN.search(text) and not _ODD_SPACE.search(text):
+        text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " . ")
+    return words_of(text)
+
 
 def words_of(text: str) -> list[str]:
     """Maximal runs without white space as Unicode defines it (str.split alone also cuts at U+001C to U+001F)."""
@@ -104,7 +120,7 @@ class WordEncoder:
         """Ids of each text as little-endian 16-bit integers."""
         if len(self.cache) > CACHE_PIECES:
             self.cache = {}
-        words = [words_of(t) for t in texts]
+        words = [plain_words(t) for t in texts]
         new = set(chain.from_iterable(words)) - self.cache.keys()
         if new:
             self.cache.update(self.learn(new))
@@ -113,83 +129,46 @@ class WordEncoder:
 
 
 class ByteEncoder:
-    """For byte-level tokenizers whose pieces take one leading space: a text may be cut before a lone space."""
+    """For byte-level tokenizers whose pieces take one leading space: a text may be cut before a lone space, around a lone
+    line break, and between a letter or digit and a stop or comma that white space follows."""
 
     def __init__(self, path: str) -> None:
         self.tok = load(path)
-        self.cache: dict[str, bytes | None] = {}  # of a space and the piece; None: not to be cut here
-        self.bare: dict[str, bytes] = {}  # of pieces without a space before them
-        self.newline = self._encode_each(["\n"])[0]
+        self.cache: dict[str, bytes] = {"": b""}
 
     def _encode_each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
-    def _encode_plain(self, words: list[str]) -> dict[str, bytes]:
-        """Words of letters, each after a space, many in one text."""
-        out: dict[str, bytes] = {}
-        for i in range(0, len(words), 512):
-            some = words[i : i + 512]
-            e = self.tok.encode(" " + " ".join(some), add_special_tokens=False)
-            of = np.array(e.word_ids, np.int64)
-            cuts = np.searchsorted(of, np.arange(len(some) + 1)) * 2
-            raw = np.array(e.ids, "<u2").tobytes()
-            out.update((w, raw[a:b]) for w, a, b in zip(some, cuts[:-1].tolist(), cuts[1:].tolist()))
-        return out
-
-    def _learn_bare(self, pieces: set[str]) -> None:
-        need = list(pieces - self.bare.keys())
-        self.bare.update(zip(need, self._encode_each(need)))
+    @staticmethod
+    def cut(text: str) -> list[str] | None:
+        """Pieces that encode independently, or None where white space comes in runs."""
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\1" in text or "<|" in text or _ODD_WHITE.search(text):
+            return None
+        t = text.replace(" ", "\1 ").replace("\n", "\1\n\1")
+        if not _SIGN_RUN.search(text):
+            t = t.replace(".\1", "\1.\1").replace(",\1", "\1,\1")
+        return t.split("\1")
 
     def _learn(self, pieces: set[str]) -> None:
-        cache, plain, odd, broken, late = self.cache, {}, [], [], []
-        for c in pieces:
-            if not c or c[0].isspace() or c[-1].isspace():
-                cache[c] = None
-            elif m := _PLAIN.fullmatch(c):
-                plain[c] = (m[1], m[2])
-            elif "\n" in c and all(p and not _WHITE.search(p) and not _ODD_SPACE.search(p) for p in c.split("\n")):
-                broken.append(c.split("\n"))
-            else:
-                odd.append(c)
-        heads = {p[0] for p in broken} - cache.keys() - plain.keys()
-        for c in heads:
-            if m := _PLAIN.fullmatch(c):
-                plain[c] = (m[1], m[2])
-            else:
-                late.append(c)
-        need = [b for b in {b for b, _ in plain.values()} if b not in cache]
-        base = self._encode_plain(need)
-        cache.update(base)
-        self._learn_bare({x for p in broken for x in p[1:]} | {".", ","})
-        for c, (b, p) in plain.items():
-            cache[c] = cache[b] + self.bare[p] if p else cache[b]
-        for some in (odd, late):
-            cache.update(zip(some, self._encode_each([" " + c for c in some])))
-        for p in broken:
-            cache["\n".join(p)] = self.newline.join([cache[p[0]], *(self.bare[x] for x in p[1:])])
+        spaced = [p[1:] for p in pieces if p[:1] == " " and _LETTER_RUN.fullmatch(p, 1)]
+        self.cache.update(zip(rest := list(pieces - {" " + w for w in spaced}), self._encode_each(rest)))
+        for i in range(0, len(spaced), 512):
+            some = spaced[i : i + 512]
+            e = self.tok.encode(" " + " ".join(some), add_special_tokens=False)
+            cuts = (np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(some) + 1)) * 2).tolist()
+            raw = np.array(e.ids, "<u2").tobytes()
+            self.cache.update((" " + w, raw[a:b]) for w, a, b in zip(some, cuts, cuts[1:]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 16-bit integers."""
         if len(self.cache) > CACHE_PIECES:
-            self.cache = {}
-        if len(self.bare) > CACHE_PIECES // 2:
-            self.bare = {}
-        cut = [t.split(" ") if "<|" not in t else None for t in texts]
-        new = set(chain.from_iterable(c[1:] for c in cut if c)) - self.cache.keys()
+            self.cache = {"": b""}
+        cut = [self.cut(t) for t in texts]
+        new = set(chain.from_iterable(c for c in cut if c)) - self.cache.keys()
         if new:
             self._learn(new)
-        heads = [c[0] for c in cut if c]
-        self._learn_bare({h for h in heads if h and not h[-1].isspace()})
-        get, out = self.cache.__getitem__, []
-        for t, c in zip(texts, cut):
-            got = None
-            if c and c[0] in self.bare:
-                try:
-                    got = self.bare[c[0]] + b"".join(map(get, c[1:]))
-                except TypeError:  # a run of white space: this text goes through whole
-                    got = None
-            out.append(self._encode_each([t])[0] if got is None else got)
-        return out
+        get = self.cache.__getitem__
+        return [b"".join(map(get, c)) if c is not None else self._encode_each([t])[0] for t, c in zip(texts, cut)]
 
 
 def in_portions(rows, size: int = 1 << 20):
