@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quireworks.llm import bpe_words, exact_dedup, hilbert_packing, quality_rules, token_files
+from quireworks.llm import bpe_words, exact_dedup, hilbert_packing, preference_format, quality_rules, secret_scan, token_files
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op2_token_files": token_files.op2_token_files,
+        "op3_secret_scan": secret_scan.op3_secret_scan,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op8_preference_format": preference_format.op8_preference_format,
         "op9_hilbert_packing": hilbert_packing.op9_hilbert_packing,
         "op10_bpe_words": bpe_words.op10_bpe_words,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE_SQL, "op6_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op4_exact_dedup": exact_dedup.ORACLE_SQL, "op6_quality_rules": quality_rules.ORACLE_SQL, "op8_preference_format": preference_format.ORACLE_SQL}
