@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quireworks.llm import bpe_words, exact_dedup, hilbert_packing, preference_format, quality_rules, secret_scan, token_files
+from quireworks.llm import bpe_words, exact_dedup, hilbert_packing, jaccard_join, preference_format, quality_rules, secret_scan, token_files
 
 
 def queries() -> dict[str, Callable]:
@@ -13,6 +13,7 @@ def queries() -> dict[str, Callable]:
         "op3_secret_scan": secret_scan.op3_secret_scan,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op7_jaccard_join": jaccard_join.op7_jaccard_join,
         "op8_preference_format": preference_format.op8_preference_format,
         "op9_hilbert_packing": hilbert_packing.op9_hilbert_packing,
         "op10_bpe_words": bpe_words.op10_bpe_words,
