@@ -22,11 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireworks.llm.common import or_empty, pieces_for, rows_of, table, to_batches, total_bytes
+from quireworks.llm.common import or_empty, pack, pieces_for, rows_of, table, to_batches, total_bytes, unpack
 from quireworks.llm.tokens import WordEncoder, encoder, in_portions, plain_words
 
 #: Text, before compression, of which one bucket of the word table holds the words on average.
@@ -36,18 +35,6 @@ _ROW = pa.schema([("part", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int8
 _ROW_DDL = "part bigint, bucket int, kind tinyint, blob binary"
 
 
-def _pack(*fields: bytes) -> bytes:
-    sizes = np.array([len(fields), *map(len, fields)], "<i8").tobytes()
-    return zstandard.compress(sizes + b"".join(fields), 1)
-
-
-def _unpack(blob: bytes) -> list[bytes]:
-    raw = zstandard.decompress(blob)
-    n = int(np.frombuffer(raw, "<i8", 1)[0])
-    ends = 8 * (n + 1) + np.concatenate([[0], np.cumsum(np.frombuffer(raw, "<i8", n, 8))])
-    return [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-
-
 def _distinct(n_buckets: int):
     """The distinct words of this part, by bucket."""
 
@@ -59,7 +46,7 @@ def _distinct(n_buckets: int):
         while seen:
             w = seen.pop().encode()
             by[zlib.crc32(w) % n_buckets].append(w)
-        yield from to_batches(((part, b, 0, _pack(b"\n".join(sorted(ws)))) for b, ws in by.items()), _ROW)
+        yield from to_batches(((part, b, 0, pack(b"\n".join(sorted(ws)))) for b, ws in by.items()), _ROW)
 
     return run
 
@@ -73,7 +60,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts = [t.encode() for _, _, t in some]
             ids = pa.array([d for _, d, _ in some], pa.int64())
             null = np.array([d is None for _, d, _ in some], np.uint8).tobytes()
-            yield part, -1, 1, _pack(ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(), null, np.array(list(map(len, texts)), "<i8").tobytes(), b"".join(texts))
+            yield part, -1, 1, pack(ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(), null, np.array(list(map(len, texts)), "<i8").tobytes(), b"".join(texts))
 
     yield from to_batches(rows(), _ROW)
 
@@ -88,13 +75,13 @@ def _encoded(path: str):
             lists = [(p, zstd_words) for p, zstd_words in parts]
             distinct: set[str] = set()
             for _, blob in lists:
-                distinct.update(_unpack(blob)[0].decode().split("\n"))
+                distinct.update(unpack(blob)[0].decode().split("\n"))
             ids = enc.learn(distinct)
             del distinct
             for p, blob in lists:
-                raw = _unpack(blob)[0]
+                raw = unpack(blob)[0]
                 own = [ids[w] for w in raw.decode().split("\n")]
-                yield p, bucket, 0, _pack(raw, np.fromiter(map(len, own), "<i4", len(own)).tobytes(), b"".join(own))
+                yield p, bucket, 0, pack(raw, np.fromiter(map(len, own), "<i4", len(own)).tobytes(), b"".join(own))
 
         def rows():
             at, kept = None, []
@@ -128,7 +115,7 @@ def _joined(path: str, keep_ids: bool):
                 if part != at:
                     at, ids, shown, told = part, {}, {}, {}
                 if kind == 0:
-                    words, sizes, flat = _unpack(blob)
+                    words, sizes, flat = unpack(blob)
                     cuts = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<i4"))])
                     all_ids = np.frombuffer(flat, "<u2").tolist()
                     half = (cuts // 2).tolist()
@@ -139,7 +126,7 @@ def _joined(path: str, keep_ids: bool):
                         if keep_ids:
                             ids[w] = flat[2 * a : 2 * b]
                     continue
-                raw_ids, null, sizes, flat = _unpack(blob)
+                raw_ids, null, sizes, flat = unpack(blob)
                 cuts = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<i8"))]).tolist()
                 for k, d in enumerate(np.frombuffer(raw_ids, "<i8").tolist()):
                     words = plain_words(flat[cuts[k] : cuts[k + 1]].decode())

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quireworks.llm import bpe_words, exact_dedup, hilbert_packing, jaccard_join, preference_format, quality_rules, secret_scan, token_files
+from quireworks.llm import bpe_words, exact_dedup, hilbert_packing, jaccard_join, preference_format, quality_rules, run_length_index, secret_scan, token_files
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op1_run_length_index": run_length_index.op1_run_length_index,
         "op2_token_files": token_files.op2_token_files,
         "op3_secret_scan": secret_scan.op3_secret_scan,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,

@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,3 +73,16 @@ def to_batches(rows: Iterator[tuple], schema: pa.Schema, max_rows: int = 4096, m
             kept, size = [], 0
     if kept:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept), schema.types)], schema=schema)
+
+
+def pack(*fields: bytes) -> bytes:
+    """Byte strings as one compressed one."""
+    sizes = np.array([len(fields), *map(len, fields)], "<i8").tobytes()
+    return zstandard.compress(sizes + b"".join(fields), 1)
+
+
+def unpack(blob: bytes) -> list[bytes]:
+    raw = zstandard.decompress(blob)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    ends = 8 * (n + 1) + np.concatenate([[0], np.cumsum(np.frombuffer(raw, "<i8", n, 8))])
+    return [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
