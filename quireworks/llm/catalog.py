@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from quireworks.llm import bpe_words, exact_dedup, hilbert_packing, jaccard_join, preference_format, quality_rules, run_length_index, secret_scan, token_files
 
 
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable]:
         "op7_jaccard_join": jaccard_join.op7_jaccard_join,
         "op8_preference_format": preference_format.op8_preference_format,
         "op9_hilbert_packing": hilbert_packing.op9_hilbert_packing,
+        "pipeline": corpus_pipeline.run,
         "op10_bpe_words": bpe_words.op10_bpe_words,
     }
 

@@ -64,9 +64,11 @@ def groups_of(docs: DataFrame, range_bytes: int = RANGE_BYTES, least_hot: int =
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """One row of docs for each normalised text: that of the smallest doc_id, with docs' own columns."""
-    stays = groups_of(docs.select("doc_id", "text")).filter("kept").select("doc_id").distinct()
-    return docs.join(stays.select(F.col("doc_id").alias("_keep")), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates(["doc_id"])
+    """One row of docs for each normalised text: one of the smallest doc_id, with docs' own columns."""
+    stays = groups_of(docs.select("doc_id", "text")).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    named = docs.withColumn("_own", F.sha2(normalised(F.col("text")).cast("binary"), 256))
+    left = named.join(stays, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left_semi")
+    return left.dropDuplicates(["doc_id", "_own"]).drop("_own")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

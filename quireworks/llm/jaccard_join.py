@@ -290,9 +290,9 @@ def _spanning(lists: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that lead their component: one document of each group of near copies stays."""
-    lead = components_of(docs.select("doc_id", "text"), width, percent).filter("component_id = doc_id").select(F.col("doc_id").alias("_lead"))
-    return docs.join(lead, docs["doc_id"] == F.col("_lead"), "left_semi")
+    """docs without the rows that follow another in their component: one document of each group of near copies stays."""
+    follow = components_of(docs.select("doc_id", "text"), width, percent).filter("component_id <> doc_id").select(F.col("doc_id").alias("_follows"))
+    return docs.join(follow, docs["doc_id"] == F.col("_follows"), "left_anti")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

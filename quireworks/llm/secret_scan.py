@@ -177,7 +177,8 @@ def redact(docs: DataFrame, forest: list[list[tuple]] | None) -> DataFrame:
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    return docs.withColumn("text", masked("text", "source"))
+    out = docs.withColumn("text", masked("text", "source"))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
