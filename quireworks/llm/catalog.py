@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
-from quireworks.llm import bpe_words, exact_dedup, hilbert_packing, jaccard_join, preference_format, quality_rules, run_length_index, secret_scan, token_files
+from quireworks.llm import bpe_words, exact_dedup, fuzzy_lines, hilbert_packing, jaccard_join, preference_format, quality_rules, run_length_index, secret_scan, token_files
 
 
 def queries() -> dict[str, Callable]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable]:
         "op2_token_files": token_files.op2_token_files,
         "op3_secret_scan": secret_scan.op3_secret_scan,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op5_fuzzy_lines": fuzzy_lines.op5_fuzzy_lines,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_jaccard_join": jaccard_join.op7_jaccard_join,
         "op8_preference_format": preference_format.op8_preference_format,
