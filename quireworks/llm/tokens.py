@@ -13,7 +13,7 @@ from itertools import chain
 import numpy as np
 
 #: Pieces kept in a worker's table; it is emptied when full, so memory is bounded.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 1_500_000
 
 _WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
 # White space other than space and line feed: such texts are left whole.
