@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,7 +120,7 @@ class RunLengthIndex:
             key = key * 257 + np.where(open_, padded[k : k + size], 0)
             open_ &= left > k
         rank28, depth = None, 7
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         while True:
             s = key[order]
             rank = np.empty(size, np.int64)
@@ -132,7 +132,7 @@ class RunLengthIndex:
             ahead = np.minimum(np.arange(size) + depth, size - 1)
             second = np.where(left >= depth, rank[ahead] + m, of)
             key = rank * (size + m + 1) + second
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             depth *= 2
 
     def lf(self, rows: np.ndarray) -> np.ndarray:
@@ -251,8 +251,8 @@ class _Passages:
         self.hashes.append(_from_planes(h))
         self.flags.append(np.frombuffer(hot, "u1"))
 
-    def of(self, raw: bytes) -> Iterator[tuple[int, bytes, tuple[int, int]]]:
-        """(start, passage, (bucket, number)) around each repeated anchor."""
+    def of(self, raw: bytes) -> Iterator[tuple[int, int, bytes, tuple[int, int]]]:
+        """(start, the anchor's place in the passage, passage, (bucket, number)) around each repeated anchor."""
         if self.sorted is None:
             h = np.concatenate(self.hashes) if self.hashes else np.zeros(0, np.uint64)
             by = np.argsort(h)
@@ -268,11 +268,11 @@ class _Passages:
             start = max(0, p - MATCH + ANCHOR)
             whole = raw[start : p + MATCH]
             if not is_hot:
-                yield start, whole, self._number(whole, b)
+                yield start, p - start, whole, self._number(whole, b)
                 continue
             for i in range(len(whole) - MATCH + 1):
                 one = whole[i : i + MATCH]
-                yield start + i, one, self._number(one, zlib.crc32(one) % self.n)
+                yield start + i, 0, one, self._number(one, zlib.crc32(one) % self.n)
 
     def _number(self, passage: bytes, bucket: int) -> tuple[int, int]:
         got = self.at.get(passage)
@@ -290,6 +290,7 @@ def _passage_rows(n_buckets: int):
             for part, own in _grouped_lazily(batches):
                 seen = _Passages(n_buckets)
                 least: dict[int, list[int]] = defaultdict(list)
+                place: dict[int, bytearray] = defaultdict(bytearray)
                 for kind, _, blob in own:
                     if kind == 0:
                         seen.learn(blob)
@@ -297,16 +298,17 @@ def _passage_rows(n_buckets: int):
                     for d, raw in _opened(blob):
                         if d is None:
                             continue
-                        for _, _, (b, k) in seen.of(raw):
+                        for _, at, _, (b, k) in seen.of(raw):
                             if k == len(least[b]):
                                 least[b].append(d)
+                                place[b].append(at)
                             elif d < least[b][k]:
                                 least[b][k] = d
                 texts: dict[int, list[bytes]] = defaultdict(list)
                 for passage, (b, _) in seen.at.items():
                     texts[b].append(passage)
                 for b, own_texts in texts.items():
-                    yield part, b, 1, 0, pack(np.array(list(map(len, own_texts)), "u1").tobytes(), np.array(least[b], "<i8").tobytes(), b"".join(own_texts))
+                    yield part, b, 1, 0, pack(np.array(list(map(len, own_texts)), "u1").tobytes(), np.array(least[b], "<i8").tobytes(), bytes(place[b]), b"".join(own_texts))
 
         yield from to_batches(rows(), _ROW)
 
@@ -328,26 +330,34 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, parts in _grouped(batches, "bucket", "part", "blob"):
             number: dict[bytes, int] = {}
             docs: list[int] = []
+            anchor: list[bytes] = []
             places = []
             for part, blob in parts:
-                sizes, least, flat = unpack(blob)
+                sizes, least, where, flat = unpack(blob)
                 at, mine = 0, []
-                for n, d in zip(sizes, np.frombuffer(least, "<i8").tolist()):
+                for n, d, a in zip(sizes, np.frombuffer(least, "<i8").tolist(), where):
                     p = flat[at : at + n]
                     at += n
                     k = number.setdefault(p, len(docs))
                     if k == len(docs):
                         docs.append(d)
+                        anchor.append(p[a : a + ANCHOR])
                     elif d < docs[k]:
                         docs[k] = d
                     mine.append(k)
                 places.append((part, np.array(mine)))
-            index = RunLengthIndex(list(number), np.array(docs, np.int64))
-            width = index.lengths - MATCH + 1
+            first_docs = np.array(docs, np.int64)
+            width = np.fromiter(map(len, number), np.int64, len(docs)) - MATCH + 1
             first = np.concatenate([[0], np.cumsum(width)])
-            least = np.empty(first[-1], np.int64)
-            for k, some, found in index.matches():
-                least[first[some] + index.lengths[some] - k] = found
+            least = np.repeat(first_docs, width)
+            # A passage that stands alone around its anchor shares no 50-byte string with another: its own minimum holds.
+            shared = Counter(anchor)
+            some = np.flatnonzero(np.fromiter((shared[a] > 1 for a in anchor), bool, len(anchor)))
+            if len(some):
+                texts = list(number)
+                index = RunLengthIndex([texts[k] for k in some.tolist()], first_docs[some])
+                for k, which, found in index.matches():
+                    least[first[some[which]] + index.lengths[which] - k] = found
             for part, mine in places:
                 w = width[mine]
                 take = np.repeat(first[mine] - np.concatenate([[0], np.cumsum(w)[:-1]]), w) + np.arange(w.sum())
@@ -373,7 +383,10 @@ def _marked(n_buckets: int, keep_bytes: bool):
                     elif kind == 1:
                         w, planes = unpack(blob)
                         ends = np.concatenate([[0], np.cumsum(np.frombuffer(w, "u1").astype(np.int64))]).tolist()
-                        minima[bucket] = np.cumsum(np.frombuffer(planes, np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel()), ends
+                        each = np.frombuffer(w, "u1").astype(np.int64)
+                        least = np.cumsum(np.frombuffer(planes, np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel())
+                        begins = np.cumsum(each) - each
+                        minima[bucket] = least, begins.tolist(), each.tolist(), np.minimum.reduceat(least, begins).tolist(), np.maximum.reduceat(least, begins).tolist()
                     else:
                         for d, raw in _opened(blob):
                             yield cut(d, raw, seen, minima)
@@ -381,22 +394,22 @@ def _marked(n_buckets: int, keep_bytes: bool):
         def cut(d: int | None, raw: bytes, seen: _Passages, minima: dict) -> tuple:
             n = len(raw)
             change = None
-            for start, _, (b, k) in seen.of(raw) if d is not None else ():
-                least, ends = minima[b]
-                hit = np.flatnonzero(least[ends[k] : ends[k + 1]] < d)
-                if len(hit):
-                    if change is None:
-                        change = np.zeros(n + 1, np.int32)
-                    change[start + hit[0]] += 1
-                    if len(hit) == hit[-1] - hit[0] + 1:  # one stretch of starts
-                        change[start + hit[-1] + MATCH] -= 1
-                    else:
-                        change[start + hit[0] + MATCH] -= 1
-                        np.add.at(change, start + hit[1:], 1)
-                        np.add.at(change, start + hit[1:] + MATCH, -1)
+            for start, _, _, (b, k) in seen.of(raw) if d is not None else ():
+                least, begins, each, low, high = minima[b]
+                if low[k] >= d:
+                    continue
+                if change is None:
+                    change = [0] * (n + 1)
+                if high[k] < d:  # every string around this anchor starts in an earlier document
+                    change[start] += 1
+                    change[start + each[k] - 1 + MATCH] -= 1
+                    continue
+                for i in np.flatnonzero(least[begins[k] : begins[k] + each[k]] < d).tolist():
+                    change[start + i] += 1
+                    change[start + i + MATCH] -= 1
             if change is None:
                 return d, n, 0, 0, hashlib.sha256(raw).hexdigest(), raw if keep_bytes else b""
-            gone = np.cumsum(change[:n]) > 0
+            gone = np.cumsum(np.array(change[:n])) > 0
             left = np.frombuffer(raw, np.uint8)[~gone].tobytes()
             spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
             return d, n, int(gone.sum()), spans, hashlib.sha256(left).hexdigest(), left if keep_bytes else b""
@@ -414,7 +427,7 @@ def dedup(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
     size = total_bytes(docs)
     n_anchor, n_passage = pieces_for(size, ANCHOR_BYTES), pieces_for(size, PASSAGE_BYTES)
     rows = docs.select(F.spark_partition_id().cast("long").alias("part"), "doc_id", or_empty("text").alias("text"))
-    n_parts = max(12, rows.rdd.getNumPartitions())
+    n_parts = max(12, 3 * rows.rdd.getNumPartitions())  # few tasks then get two parts
     packed = rows.mapInArrow(_documents, _ROW_DDL)
     repeated = rows.mapInArrow(_anchor_rows(n_anchor), _ROW_DDL).repartition(n_anchor, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, _ROW_DDL)
     parts = repeated.unionByName(packed).repartition(n_parts, "part")
