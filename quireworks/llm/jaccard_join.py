@@ -41,8 +41,8 @@ def enough(inter: int, a: int, b: int, percent: int = PERCENT) -> bool:
 
 
 def bitmap(h: np.ndarray) -> np.ndarray:
-    """Two bits a hash or more, as bytes; the width is a power of two, so a wider bitmap folds onto a narrower one."""
-    bits = min(1 << 16, max(256, 1 << int(2 * len(h) - 1).bit_length()))
+    """Eight bits a hash or more, as bytes; the width is a power of two, so a wider bitmap folds onto a narrower one."""
+    bits = min(1 << 18, max(256, 1 << int(8 * len(h) - 1).bit_length()))
     out = np.zeros(bits, bool)
     out[(mix(h) & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little")
@@ -62,11 +62,14 @@ def _bound(pa_: np.ndarray, na: int, pb: np.ndarray, nb: int) -> int:
 
 
 class SignatureTree:
-    """Documents (id, size, bitmap, component) of one list, ordered by size; `pairs` runs the dual traversal of the tree with itself."""
+    """Documents (id, size, bitmap, component, its lists) of one list, ordered by size; `pairs` runs the dual traversal of the
+    tree with itself. A pair that meets in several lists is given in the least of them only."""
 
-    def __init__(self, rows: list[tuple], percent: int = PERCENT) -> None:
+    def __init__(self, rows: list[tuple], percent: int = PERCENT, name: int | None = None) -> None:
+        self.name = name
         rows = sorted(rows, key=lambda r: (r[1], r[0]))
         self.ids, self.comp = [r[0] for r in rows], [r[3] for r in rows]
+        self.lists = [frozenset(r[4]) for r in rows] if name is not None else []
         width = min(len(r[2]) for r in rows)
         self.sizes = np.array([r[1] for r in rows])
         self.bits = np.stack([folded(r[2], width) for r in rows])
@@ -117,7 +120,7 @@ class SignatureTree:
             common = np.bitwise_count(self.bits[a:b] & self.bits[i]).sum(1)
             most = np.minimum(common + self.slack[i], common + self.slack[a:b])
             for j in (np.flatnonzero(most >= self.share * (self.sizes[i] + self.sizes[a:b]) - 1e-9) + a).tolist():
-                if self.comp[i] != self.comp[j]:
+                if self.comp[i] != self.comp[j] and (self.name is None or min(self.lists[i] & self.lists[j]) == self.name):
                     yield self.ids[i], self.ids[j]
 
 
@@ -258,19 +261,22 @@ def components_of(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -
         passed = materialised(_tested(pairs, sets, percent), "passed")
         links = passed if links is None else links.unionByName(passed)
         labels = materialised(connected(links), "labels")
-    left = _spanning(lists, labels).join(signs, "id").join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("list", "id", "n", "bits", F.coalesce("component", "id").alias("component"))
+    spanning = _spanning(lists, labels)
+    # A document is on no more lists than it has prefix hashes.
+    members = spanning.groupBy("id").agg(F.collect_set("list").alias("lists")).join(signs, "id").join(labels.select(F.col("node").alias("id"), "component"), "id", "left")
+    left = spanning.join(members, "id").select("list", "id", "n", "bits", F.coalesce("component", "id").alias("component"), "lists")
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             at, kept = None, []
-            for name, i, n, bits, comp in rows_of(batches, "list", "id", "n", "bits", "component"):
+            for name, i, n, bits, comp, own in rows_of(batches, "list", "id", "n", "bits", "component", "lists"):
                 if name != at and kept:
-                    yield from SignatureTree(kept, percent).pairs()
+                    yield from SignatureTree(kept, percent, at).pairs()
                     kept = []
                 at = name
-                kept.append((i, n, np.frombuffer(bits, np.uint8), comp))
+                kept.append((i, n, np.frombuffer(bits, np.uint8), comp, own))
             if kept:
-                yield from SignatureTree(kept, percent).pairs()
+                yield from SignatureTree(kept, percent, at).pairs()
 
         yield from to_batches(((min(p), max(p)) for p in rows()), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
