@@ -1,6 +1,447 @@
-"""The registered queries of the library and the SQL they are checked against."""
+"""The registered queries of the library over the given tables, and the SQL they are checked against."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quireworks.functions import rules as R
+from quireworks.functions import textcols as T
+from quireworks.operators import access as A
+from quireworks.operators import ledger as L
+from quireworks.operators import parse as P
+from quireworks.sources import corpus as S
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# --- Books: documents with headings, names and notes planted by line number and doc_id.
+
+RULES = R.extend(R.Rules(), R.PRESETS["serial"].rules)
+_PLANT = """CASE
+ WHEN n=0 AND doc_id%5=0 THEN concat('书', cast(doc_id AS {s}), ' 作者：作者', cast(doc_id%97 AS {s}))
+ WHEN n=1 AND doc_id%5=1 THEN concat('作者：作者', cast(doc_id%97 AS {s}))
+ WHEN n=1 AND doc_id%3=0 THEN concat('简介：', l)
+ WHEN n%10=5 AND doc_id%2=0 THEN concat('作者的话：', left(l,30))
+ WHEN n%12=2 THEN concat('第', cast(n AS {s}), '卷')
+ WHEN n%4=3 THEN concat('第', cast(n AS {s}), '章 ', left(l,20))
+ WHEN n%16=9 THEN concat('番外 ', left(l,10))
+ WHEN n=8 AND doc_id%7=0 THEN '楔子'
+ ELSE l END"""
+
+
+def as_books(spark: SparkSession, d: str) -> DataFrame:
+    """book_id, line_no, line: trimmed, none blank."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    raw = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "l"))
+    return P.normalize_lines(raw.select(F.col("doc_id").alias("book_id"), F.col("n").alias("line_no"), F.expr(_PLANT.format(s="string")).alias("line")))
+
+
+def _tr(x: str) -> str:
+    return f"regexp_replace({x}, '^{T.WHITE}+|{T.WHITE}+$', '', 'g')"
+
+
+def _any(parts: list[str]) -> str:
+    return "(" + " OR ".join(parts) + ")"
+
+
+_NOISE = _any([f"regexp_matches(line, '{p}')" for p in RULES.ignored_patterns] + [f"contains(line, '{k}')" for k in RULES.ignored_contains])
+_SPECIAL = _any([f"line = '{t}'" for t in RULES.special_titles] + [f"starts_with(line, '{s}')" for s in R.SPECIAL_STARTS])
+_KIND = f"CASE WHEN regexp_matches(line, '{RULES.volume}') THEN 'volume' WHEN regexp_matches(line, '{RULES.chapter}') THEN 'chapter' WHEN regexp_matches(line, '{RULES.extra}') THEN 'extra' WHEN {_SPECIAL} THEN 'special' ELSE 'body' END"
+_PREFIX = "coalesce(" + ", ".join(f"CASE WHEN starts_with(line, '{p}') THEN {_tr(f'substr(line, {len(p) + 1})')} END" for p in RULES.intro_prefixes) + ")"
+_ESCAPED = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '''', '&#39;'), '\"', '&#34;')"
+_CTE = f"""WITH raw AS (
+  SELECT doc_id, unnest(range(0, len(p)))::INT AS n, unnest(p) AS l FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)),
+lines AS (SELECT * FROM (SELECT doc_id AS book_id, n AS line_no, {_tr('(' + _PLANT.format(s='VARCHAR') + ')')} AS line FROM raw) WHERE line <> ''),
+clean AS (SELECT * FROM lines WHERE NOT {_NOISE}),
+f AS (SELECT *, {_tr(f"regexp_extract(line, '{RULES.title_author}', 1)")} AS ia, {_tr(f"regexp_extract(line, '{RULES.title_author}', 2)")} AS ib,
+             {_tr(f"regexp_extract(line, '{RULES.title}', 0)")} AS t, {_tr(f"regexp_extract(line, '{RULES.author}', 1)")} AS a FROM clean),
+g AS (SELECT *, (ia <> '' AND ib <> '') AS inl FROM f),
+h AS (SELECT *, min(line_no) FILTER (inl) OVER (PARTITION BY book_id) AS i1, min(line_no) FILTER (t <> '' AND NOT inl) OVER (PARTITION BY book_id) AS t1 FROM g),
+h2 AS (SELECT *, CASE WHEN i1 IS NULL OR t1 < i1 THEN t1 END AS tl FROM h),
+h3 AS (SELECT *, min(line_no) FILTER (a <> '' AND NOT inl AND line_no IS DISTINCT FROM tl) OVER (PARTITION BY book_id) AS a1 FROM h2),
+n AS (SELECT *, least(i1, t1) AS name_line, least(i1, a1) AS author_line FROM h3),
+names AS (SELECT book_id, max(CASE WHEN line_no = name_line THEN CASE WHEN inl THEN ia ELSE t END END) AS name,
+                 max(CASE WHEN line_no = author_line THEN CASE WHEN inl THEN ib ELSE a END END) AS author,
+                 min(name_line) AS name_line, min(author_line) AS author_line FROM n GROUP BY book_id),
+rest AS (SELECT book_id, line_no, line, {_KIND} AS kind FROM n WHERE line_no IS DISTINCT FROM name_line AND line_no IS DISTINCT FROM author_line),
+p AS (SELECT *, {_PREFIX} AS p FROM rest),
+s AS (SELECT *, sum(CASE WHEN p IS NULL AND kind <> 'body' THEN 1 ELSE 0 END) OVER (PARTITION BY book_id ORDER BY line_no) AS seg FROM p),
+m AS (SELECT *, bool_or(p IS NOT NULL) OVER (PARTITION BY book_id, seg ORDER BY line_no) AS member FROM s),
+tx AS (SELECT *, CASE WHEN member THEN nullif(coalesce(p, line), '') END AS tx FROM m),
+ff AS (SELECT *, min(CASE WHEN tx IS NOT NULL THEN seg END) OVER (PARTITION BY book_id) AS fs FROM tx),
+intros AS (SELECT book_id, string_agg(tx, chr(10) ORDER BY line_no) AS intro FROM ff WHERE seg = fs AND tx IS NOT NULL GROUP BY book_id),
+body AS (SELECT book_id, line_no, line, kind FROM ff WHERE NOT (member AND (fs IS NULL OR seg <= fs))),
+v AS (SELECT *, sum((kind = 'volume')::INT) OVER (PARTITION BY book_id ORDER BY line_no) AS v FROM body),
+v2 AS (SELECT *, (v + max((kind IN ('chapter', 'extra', 'special') AND v = 0)::INT) OVER (PARTITION BY book_id) - 1)::INT AS volume_ix FROM v),
+num AS (SELECT *, (sum((kind IN ('chapter', 'extra', 'special'))::INT) OVER (PARTITION BY book_id, volume_ix ORDER BY line_no) - 1)::INT AS chapter_ix FROM v2),
+chapters AS (SELECT book_id, volume_ix, chapter_ix, max(CASE WHEN kind <> 'body' THEN line END) AS title,
+                    coalesce(string_agg('<p style="text-indent: 2em;">' || {_ESCAPED.format('line')} || '</p>' || chr(10), '' ORDER BY line_no) FILTER (kind = 'body'), '') AS content_html,
+                    sum((kind = 'body')::INT)::BIGINT AS n_paragraphs
+             FROM num WHERE volume_ix >= 0 AND chapter_ix >= 0 AND kind <> 'volume' GROUP BY ALL),
+volumes AS (SELECT book_id, volume_ix, coalesce(max(CASE WHEN kind = 'volume' THEN line END), '') AS title,
+                   sum((kind IN ('chapter', 'extra', 'special'))::INT)::BIGINT AS n_chapters FROM num WHERE volume_ix >= 0 AND kind <> 'body' GROUP BY ALL),
+sections AS (SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY volume_ix, chapter_ix)::INT AS seq, file_name, parent_file, title, body FROM (
+  SELECT book_id, volume_ix, -1 AS chapter_ix, 'volume' || volume_ix || '.xhtml' AS file_name, '' AS parent_file, title, '<h1>' || {_ESCAPED.format('title')} || '</h1>' AS body FROM volumes WHERE title <> ''
+  UNION ALL SELECT c.book_id, c.volume_ix, c.chapter_ix, 'volume' || c.volume_ix || '_chapter' || c.chapter_ix || '.xhtml',
+                   CASE WHEN v.title <> '' THEN 'volume' || c.volume_ix || '.xhtml' ELSE '' END, c.title, '<h2>' || {_ESCAPED.format('c.title')} || '</h2>' || content_html
+            FROM chapters c JOIN volumes v USING (book_id, volume_ix)))
+"""
+
+
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    return P.with_name_author(P.drop_noise(as_books(spark, d), RULES), RULES)
+
+
+def _introduced(spark: SparkSession, d: str) -> DataFrame:
+    return P.with_intro(P.classify_lines(P.unnamed(_named(spark, d)), RULES), RULES)
+
+
+def _numbered(spark: SparkSession, d: str) -> DataFrame:
+    return P.numbered(_introduced(spark, d).filter("not used").select("book_id", "line_no", "line", "kind"))
+
+
+def _parsed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    x = _numbered(spark, d)
+    return P.assemble_volumes(x), P.assemble_chapters(x)
+
+
+@query("line_kinds", _CTE + f"SELECT kind, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars FROM (SELECT line, CASE WHEN {_NOISE} THEN 'noise' ELSE {_KIND} END AS kind FROM lines) GROUP BY kind")
+def line_kinds(spark, d):
+    x = P.classify_lines(as_books(spark, d), RULES).withColumn("kind", F.when(P.is_noise(F.col("line"), RULES), "noise").otherwise(F.col("kind")))
+    return x.groupBy("kind").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
+
+
+@query("noise_lines", _CTE + f"SELECT book_id, line_no, line FROM lines WHERE {_NOISE}")
+def noise_lines(spark, d):
+    return P.noise_lines(as_books(spark, d), RULES)
+
+
+@query("overlong_books", "SELECT doc_id AS book_id, max(strlen(l))::INT AS longest FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l FROM documents) GROUP BY doc_id HAVING max(strlen(l)) > 2000")
+def overlong_books(spark, d):
+    return P.overlong_books(P.explode_lines(table(spark, d, "documents").select(F.col("doc_id").alias("book_id"), F.coalesce("text", F.lit("")).alias("text"))), 2000)
+
+
+@query("book_names", _CTE + "SELECT * FROM names")
+def book_names(spark, d):
+    return _named(spark, d).groupBy("book_id").agg(*[F.min(c).alias(c) for c in ("name", "author", "name_line", "author_line")])
+
+
+@query("book_intros", _CTE + "SELECT book_id, intro FROM intros")
+def book_intros(spark, d):
+    return _introduced(spark, d).groupBy("book_id").agg(F.min("intro").alias("intro")).filter("intro is not null")
+
+
+_META = "SELECT d.doc_id AS book_id, coalesce(nullif(name, ''), 'doc' || d.doc_id) AS name, coalesce(author, '') AS author, coalesce(intro, '') AS intro, 'zh-CN' AS lang FROM documents d LEFT JOIN names n ON n.book_id = d.doc_id LEFT JOIN intros i ON i.book_id = d.doc_id"
+
+
+@query("book_metadata", _CTE + _META)
+def book_metadata(spark, d):
+    books = table(spark, d, "documents").select(F.col("doc_id").alias("book_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("stem"))
+    names = _named(spark, d)
+    found = names.groupBy("book_id").agg(F.min("name").alias("name"), F.min("author").alias("author"))
+    return P.book_metadata(books, found.join(book_intros(spark, d), "book_id", "left"))
+
+
+@query("chapter_summary", _CTE + "SELECT book_id, count(*) AS n_chapters, sum(length(content_html))::BIGINT AS n_chars FROM chapters GROUP BY book_id")
+def chapter_summary(spark, d):
+    return _parsed(spark, d)[1].groupBy("book_id").agg(F.count("*").alias("n_chapters"), F.sum(F.length("content_html").cast("long")).alias("n_chars"))
+
+
+@query("chapters", _CTE + "SELECT * FROM chapters")
+def chapters(spark, d):
+    return _parsed(spark, d)[1]
+
+
+@query("volumes", _CTE + "SELECT * FROM volumes")
+def volumes(spark, d):
+    return _parsed(spark, d)[0]
+
+
+@query("unparsed_books", _CTE + "SELECT doc_id AS book_id FROM documents WHERE doc_id NOT IN (SELECT book_id FROM volumes)")
+def unparsed_books(spark, d):
+    return P.unparsed_books(table(spark, d, "documents").select(F.col("doc_id").alias("book_id")), volumes(spark, d))
+
+
+@query("derived_intros", _CTE + f"SELECT book_id, arg_min(regexp_replace(content_html, '<[^>]*>', '', 'g'), (volume_ix, chapter_ix)) AS intro FROM chapters WHERE regexp_matches(title, '{RULES.intro}') GROUP BY book_id")
+def derived_intros(spark, d):
+    return P.derive_intro(chapters(spark, d), RULES)
+
+
+@query("sections", _CTE + "SELECT book_id, seq, file_name, parent_file, title, md5(body) AS body_md5 FROM sections")
+def sections(spark, d):
+    return P.render_sections(*_parsed(spark, d)).withColumn("body_md5", F.md5(F.col("body").cast("binary"))).drop("body")
+
+
+@query("toc", _CTE + "SELECT t.book_id, t.seq, t.file_name, t.title, coalesce(any_value(c.k), '') AS children FROM sections t LEFT JOIN (SELECT book_id, parent_file, string_agg(title, '|' ORDER BY seq) AS k FROM sections WHERE parent_file <> '' GROUP BY ALL) c ON c.book_id = t.book_id AND c.parent_file = t.file_name WHERE t.parent_file = '' GROUP BY ALL")
+def toc(spark, d):
+    return P.toc(P.render_sections(*_parsed(spark, d))).withColumn("children", F.array_join("children", "|")).select("book_id", "seq", "file_name", "title", "children")
+
+
+@query("strip_tags", "SELECT page_id, regexp_replace(html, '<[^>]*>', '', 'g') AS text FROM pages")
+def strip_tags(spark, d):
+    return table(spark, d, "pages").select("page_id", T.strip_tags(F.col("html")).alias("text"))
+
+
+def _detect_sql() -> str:
+    parts = []
+    for p in R.PRESETS.values():
+        tests = [(f"contains(line, '{k}')", 1, f"keyword:{k}") for k in dict.fromkeys(p.keywords)] + [(f"regexp_matches(line, '{r}')", 2, f"pattern:{r}") for r in dict.fromkeys(p.patterns)]
+        score = " + ".join(f"{w} * bool_or({c})::INT" for c, w, _ in tests)
+        why = "concat_ws('|', " + ", ".join(f"CASE WHEN bool_or({c}) THEN '{s}' END" for c, _, s in tests) + ")"
+        parts.append(f"SELECT book_id, '{p.name}' AS name, ({score})::INT AS score, {why} AS reasons FROM head GROUP BY book_id HAVING {score} >= {p.least}")
+    return _CTE + ", head AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY line_no) AS k FROM lines) WHERE k <= 400) " + " UNION ALL ".join(parts)
+
+
+@query("detect_presets", _detect_sql())
+def detect_presets(spark, d):
+    return P.detect_presets(as_books(spark, d)).withColumn("reasons", F.array_join("reasons", "|"))
+
+
+@query("apply_detected", "WITH q AS (" + _detect_sql() + ") SELECT doc_id AS book_id, coalesce(string_agg(name, ',' ORDER BY score DESC, name), '') AS applied FROM documents LEFT JOIN q ON book_id = doc_id GROUP BY doc_id")
+def apply_detected(spark, d):
+    books = table(spark, d, "documents").select(F.col("doc_id").alias("book_id"))
+    return P.apply_detected(books, P.detect_presets(as_books(spark, d)), "apply").select("book_id", F.array_join("applied", ",").alias("applied"))
+
+
+@query("assign_rulesets", "SELECT doc_id AS book_id, CASE WHEN c = 'src0' THEN 1 WHEN c = 'src1' THEN 2 WHEN c = 'default' THEN 3 END AS ruleset_id, CASE WHEN c NOT IN ('src0', 'src1', 'default') THEN 'unknown channel ' || c END AS rule_error FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'default' ELSE source END AS c FROM documents)")
+def assign_rulesets(spark, d):
+    books = table(spark, d, "documents").select(F.col("doc_id").alias("book_id"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.upper("source")).alias("channel"))
+    known = spark.createDataFrame([("src0", 1), ("SRC1", 2), ("default", 3)], "channel string, ruleset_id int")
+    return P.assign_rulesets(books, known, "default").drop("channel")
+
+
+@query("union_distinct", "SELECT doc_id, array_to_string(list_concat(a, list_filter(b, lambda x: NOT list_contains(a, x))), ',') AS joined FROM (SELECT doc_id, [lang, source, lang] AS a, list_filter([source, 'x' || doc_id % 3], lambda x: x <> '') AS b FROM documents)")
+def union_distinct(spark, d):
+    x = table(spark, d, "documents").withColumn("t", F.concat(F.lit(" x"), (F.col("doc_id") % 3).cast("string")))
+    return x.select("doc_id", F.array_join(T.union_distinct(F.array("lang", "source", "lang"), F.array(F.concat("source", F.lit("　")), "t", F.lit(" "), "t")), ",").alias("joined"))
+
+
+@query("output_names", _CTE + f"SELECT *, count(*) OVER (PARTITION BY output_name) > 1 AS collides FROM (SELECT book_id, coalesce(nullif(regexp_replace({_tr('''translate(left(name, 12), '<>:\"/\\|?*', '_________')''')}, '^[. ]+|[. ]+$', '', 'g'), ''), 'doc') || '.epub' AS output_name FROM names)")
+def output_names(spark, d):
+    names = book_names(spark, d)
+    return S.output_names(names, T.safe_name(F.left("name", F.lit(12))), F.lit("doc")).select("book_id", "output_name", "collides")
+
+
+@query("intake_gate", "SELECT reject_code, count(*) AS n FROM (SELECT CASE WHEN doc_id % 11 = 0 THEN 'not_txt' WHEN text IS NULL OR text = '' THEN 'empty' WHEN strlen(text) > 5000 THEN 'too_large' END AS reject_code FROM documents) GROUP BY reject_code")
+def intake_gate(spark, d):
+    files = table(spark, d, "documents").select(F.when(F.col("doc_id") % 11 == 0, "a.zip").otherwise("b.TXT").alias("path"), F.col("text").cast("binary").alias("content"))
+    return S.intake_gate(files, 5000).groupBy("reject_code").agg(F.count("*").alias("n"))
+
+
+@query("encoding_census", "SELECT 'utf-8' AS encoding, count(*) AS n_books, sum(strlen(text))::BIGINT AS n_bytes FROM documents WHERE doc_id % 2 = 1 UNION ALL SELECT 'utf-8-bom', count(*), sum(strlen(text))::BIGINT FROM documents WHERE doc_id % 2 = 0")
+def encoding_census(spark, d):
+    raw = F.col("text").cast("binary")
+    files = table(spark, d, "documents").select(F.when(F.col("doc_id") % 2 == 0, F.concat(F.unhex(F.lit("EFBBBF")), raw)).otherwise(raw).alias("content"))
+    return S.encoding_census(S.decode_corpus(files))
+
+
+# --- The ledger: events as conversion jobs.
+
+NOW, KEEP_HOURS, QUOTA = "2024-01-30 12:00:00", 24, 5_000_000
+
+
+def as_ledger(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    done = F.timestamp_add("SECOND", F.get_json_object("props", "$.k").cast("int"), F.col("ts"))
+    status = F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type") == "view", "converting").when(F.col("event_type") == "error", "failed").otherwise("succeeded")
+    x = e.select(F.col("event_id").alias("job_id"), F.col("user_id").alias("client_id"), (F.col("user_id") % 50).alias("owner_id"), F.floor(F.col("value") * 1000).cast("long").alias("output_size"), F.col("ts").alias("created_at"), status.alias("status"), done.alias("done_at"))
+    ended = lambda *s: F.when(F.col("status").isin(*s), F.col("done_at"))
+    return x.withColumns({"completed_at": ended("succeeded", "failed"), "expires_at": L.after(ended("succeeded"), KEEP_HOURS), "purge_at": L.after(ended("failed"), KEEP_HOURS)})
+
+
+def _leases(spark, d):
+    return as_ledger(spark, d).filter("job_id % 13 = 0").select("job_id")
+
+
+_LEDGER = f"""WITH l0 AS (SELECT event_id AS job_id, user_id AS client_id, user_id % 50 AS owner_id, floor(value * 1000)::BIGINT AS output_size, ts AS created_at,
+  CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'converting' WHEN 'error' THEN 'failed' ELSE 'succeeded' END AS status,
+  ts + to_seconds(json_extract_string(props, '$.k')::INT) AS done_at FROM events),
+ledger AS (SELECT *, CASE WHEN status IN ('succeeded', 'failed') THEN done_at END AS completed_at, CASE WHEN status = 'succeeded' THEN done_at + INTERVAL {KEEP_HOURS} HOUR END AS expires_at,
+  CASE WHEN status = 'failed' THEN done_at + INTERVAL {KEEP_HOURS} HOUR END AS purge_at FROM l0),
+leases AS (SELECT job_id FROM ledger WHERE job_id % 13 = 0)
+"""
+
+
+def _now() -> Column:
+    return F.to_timestamp_ntz(F.lit(NOW), F.lit("yyyy-MM-dd HH:mm:ss"))
+
+
+@query("capacity", _LEDGER + "SELECT count(*) FILTER (status = 'queued') AS queued, count(*) FILTER (status IN ('queued', 'converting')) AS active, count(*) FILTER (status = 'converting') AS running, count(*) FILTER (status = 'converting') < 2 AND count(*) FILTER (status = 'queued') = 0 AS available FROM ledger")
+def capacity(spark, d):
+    return L.capacity(as_ledger(spark, d), 2)
+
+
+@query("active_by_client", _LEDGER + "SELECT client_id, count(*) AS n_active FROM ledger WHERE status IN ('queued', 'converting') GROUP BY client_id")
+def active_by_client(spark, d):
+    return L.active_by_client(as_ledger(spark, d))
+
+
+@query("queue_positions", _LEDGER + "SELECT job_id, row_number() OVER (ORDER BY created_at, job_id) AS queue_position FROM ledger WHERE status = 'queued' UNION ALL SELECT job_id, 0 FROM ledger WHERE status <> 'queued'")
+def queue_positions(spark, d):
+    return L.queue_positions(as_ledger(spark, d))
+
+
+@query("expire", _LEDGER + f"SELECT job_id, 'expired' AS status, TIMESTAMP '{NOW}' + INTERVAL {KEEP_HOURS} HOUR AS purge_at FROM ledger WHERE status = 'succeeded' AND expires_at <= TIMESTAMP '{NOW}' AND job_id NOT IN (SELECT job_id FROM leases)")
+def expire(spark, d):
+    return L.expire(as_ledger(spark, d), _leases(spark, d), _now(), KEEP_HOURS).select("job_id", "status", "purge_at")
+
+
+@query("purge", _LEDGER + f"SELECT job_id, output_size FROM ledger WHERE status = 'failed' AND purge_at <= TIMESTAMP '{NOW}' AND job_id NOT IN (SELECT job_id FROM leases)")
+def purge(spark, d):
+    return L.purge(as_ledger(spark, d), _leases(spark, d), _now()).select("job_id", "output_size")
+
+
+_LIVE = f"live AS (SELECT * FROM ledger WHERE NOT (status = 'succeeded' AND expires_at <= TIMESTAMP '{NOW}')), may AS (SELECT job_id, output_size, sum(output_size) OVER (ORDER BY completed_at, job_id) - output_size AS before FROM live WHERE status = 'succeeded' AND job_id NOT IN (SELECT job_id FROM leases)), gone AS (SELECT job_id, output_size FROM may, (SELECT sum(output_size) AS used FROM live WHERE status = 'succeeded') u WHERE used - before > {QUOTA})"
+
+
+def _live(spark, d):
+    return as_ledger(spark, d).filter(~F.coalesce((F.col("status") == "succeeded") & (F.col("expires_at") <= _now()), F.lit(False)))
+
+
+@query("evict_to_quota", _LEDGER.rstrip() + ",\n" + _LIVE + " SELECT job_id, output_size FROM gone")
+def evict_to_quota(spark, d):
+    return L.evict_to_quota(_live(spark, d), _leases(spark, d), QUOTA).select("job_id", "output_size")
+
+
+@query("storage_full", _LEDGER.rstrip() + ",\n" + _LIVE + f" SELECT used::BIGINT AS used, evicted::BIGINT AS evicted, used - evicted > {QUOTA} AS storage_full FROM (SELECT sum(output_size) AS used FROM live WHERE status = 'succeeded'), (SELECT coalesce(sum(output_size), 0) AS evicted FROM gone)")
+def storage_full(spark, d):
+    return L.storage_full(_live(spark, d), _leases(spark, d), QUOTA)
+
+
+def _files(spark, d):
+    kind = F.when(F.col("job_id") % 7 == 0, "inbox").when(F.col("job_id") % 101 == 0, "key").otherwise("output")
+    return as_ledger(spark, d).select(F.concat(F.lit("jobs/"), F.col("job_id").cast("string")).alias("path"), kind.alias("kind"), (F.col("job_id") * 3 % 4001).alias("job_id"), F.col("output_size").alias("length"), F.col("done_at").alias("modified_at"))
+
+
+_FILES = ", files AS (SELECT 'jobs/' || job_id AS path, CASE WHEN job_id % 7 = 0 THEN 'inbox' WHEN job_id % 101 = 0 THEN 'key' ELSE 'output' END AS kind, job_id * 3 % 4001 AS job_id, output_size AS length, done_at AS modified_at FROM ledger) "
+
+
+@query("storage_usage", _LEDGER + _FILES + "SELECT job_id, sum(length)::BIGINT AS n_bytes FROM files GROUP BY ROLLUP (job_id)")
+def storage_usage(spark, d):
+    return L.storage_usage(_files(spark, d))
+
+
+@query("orphans", _LEDGER + _FILES + f"SELECT path, kind FROM files WHERE kind <> 'key' AND modified_at <= TIMESTAMP '{NOW}' - INTERVAL 10 MINUTE AND (kind = 'inbox' OR job_id NOT IN (SELECT job_id FROM ledger WHERE job_id % 2 = 0))")
+def orphans(spark, d):
+    return L.orphans(_files(spark, d), as_ledger(spark, d).filter("job_id % 2 = 0"), _now(), 10).select("path", "kind")
+
+
+@query("reconcile", _LEDGER + f""", r AS (SELECT *, CASE WHEN status IN ('queued', 'converting') AND job_id % 3 = 0 THEN 'queued' WHEN status IN ('queued', 'converting') THEN 'failed' WHEN status = 'succeeded' AND job_id % 5 <> 0 THEN 'expired' ELSE status END AS s,
+  CASE WHEN status IN ('queued', 'converting') AND job_id % 3 <> 0 THEN 'input_missing' WHEN status = 'succeeded' AND job_id % 5 <> 0 THEN 'output_missing' END AS error_code FROM ledger)
+SELECT job_id, s AS status, error_code, CASE WHEN s IN ('failed', 'expired', 'evicted') AND purge_at IS NULL THEN coalesce(completed_at, TIMESTAMP '{NOW}') + INTERVAL {KEEP_HOURS} HOUR ELSE purge_at END AS purge_at FROM r""")
+def reconcile(spark, d):
+    x = as_ledger(spark, d)
+    return L.reconcile(x, x.filter("job_id % 3 = 0").select("job_id"), x.filter("job_id % 5 = 0").select("job_id"), _now(), KEEP_HOURS)
+
+
+@query("finish", _LEDGER + f"SELECT job_id, CASE WHEN status = 'converting' THEN CASE WHEN job_id % 4 <> 0 THEN 'succeeded' ELSE 'failed' END ELSE status END AS status, CASE WHEN status = 'converting' AND job_id % 4 <> 0 THEN job_id ELSE output_size END AS output_size, CASE WHEN status = 'converting' AND job_id % 4 = 0 THEN CASE WHEN job_id % 8 = 0 THEN 'timeout' ELSE 'conversion_failed' END END AS error_code, CASE WHEN status = 'converting' AND job_id % 4 <> 0 THEN done_at + INTERVAL {KEEP_HOURS} HOUR ELSE expires_at END AS expires_at, CASE WHEN status = 'converting' AND job_id % 4 = 0 THEN done_at + INTERVAL {KEEP_HOURS} HOUR ELSE purge_at END AS purge_at FROM ledger")
+def finish(spark, d):
+    x = as_ledger(spark, d)
+    results = x.filter("status = 'converting'").select("job_id", (F.col("job_id") % 4 != 0).alias("ok"), (F.col("job_id") % 8 == 0).alias("timed_out"), F.col("job_id").alias("size"), "done_at")
+    return L.finish(x.drop("done_at"), results, KEEP_HOURS)
+
+
+@query("download_eligibility", _LEDGER + f"SELECT request_id, CASE WHEN l.job_id IS NULL OR l.owner_id <> asker_id THEN 'NOT_FOUND' WHEN status IN ('expired', 'evicted') THEN 'EXPIRED' WHEN expires_at <= TIMESTAMP '{NOW}' AND l.job_id % 13 <> 0 THEN 'EXPIRED' WHEN status <> 'succeeded' THEN 'NOT_READY' WHEN l.job_id % 5 = 0 THEN 'EXPIRED' ELSE 'OK' END AS verdict FROM (SELECT job_id AS request_id, job_id * 2 AS want, client_id % 3 AS k, owner_id FROM ledger) r LEFT JOIN ledger l ON l.job_id = r.want, LATERAL (SELECT CASE WHEN k = 0 THEN r.owner_id ELSE l.owner_id END AS asker_id)")
+def download_eligibility(spark, d):
+    x = as_ledger(spark, d)
+    own = x.select(F.col("job_id").alias("want"), F.col("owner_id").alias("real"))
+    r = x.select(F.col("job_id").alias("request_id"), (F.col("job_id") * 2).alias("want"), (F.col("client_id") % 3).alias("k"), "owner_id").join(own, "want", "left")
+    requests = r.select("request_id", F.col("want").alias("job_id"), F.when(F.col("k") == 0, F.col("owner_id")).otherwise(F.col("real")).alias("asker_id"))
+    return L.download_eligibility(requests, x, _leases(spark, d), x.filter("job_id % 5 <> 0").select("job_id"), _now())
+
+
+@query("owner_jobs", _LEDGER + "SELECT job_id, owner_id, status, created_at, completed_at, output_size FROM ledger WHERE owner_id IN (SELECT DISTINCT owner_id FROM ledger WHERE job_id % 97 = 1)")
+def owner_jobs(spark, d):
+    x = as_ledger(spark, d)
+    return L.owner_jobs(x, x.filter("job_id % 97 = 1").select("owner_id"))
+
+
+@query("history", _LEDGER + f"""SELECT owner_id, job_id, rank::INT AS rank, CASE WHEN status = 'succeeded' AND expires_at <= TIMESTAMP '{NOW}' THEN 'expired' ELSE status END AS status FROM (
+  SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY created_at DESC, job_id DESC) AS rank FROM (
+    SELECT * EXCLUDE (job_id), job_id % 500 AS job_id, row_number() OVER (PARTITION BY owner_id, job_id % 500 ORDER BY created_at DESC, job_id DESC) AS k FROM ledger) WHERE k = 1) WHERE rank <= 30""")
+def history(spark, d):
+    x = as_ledger(spark, d).select("owner_id", F.col("job_id").alias("event_id"), (F.col("job_id") % 500).alias("job_id"), F.col("created_at").alias("updated_at"), "expires_at", "status")
+    return L.history(x, _now())
+
+
+@query("admission_replay", _LEDGER + ", e AS (SELECT client_id, created_at AS t, 1 AS d, job_id FROM ledger UNION ALL SELECT client_id, done_at, -1, job_id FROM ledger WHERE done_at IS NOT NULL) SELECT job_id, client_id, open::BIGINT AS open, open >= 1 AS over_limit FROM (SELECT *, coalesce(sum(d) OVER (PARTITION BY client_id ORDER BY t, d, job_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open FROM e) WHERE d = 1")
+def admission_replay(spark, d):
+    return L.admission_replay(as_ledger(spark, d), 1)
+
+
+@query("stage_progress", _LEDGER + "SELECT CASE status WHEN 'queued' THEN 1 WHEN 'converting' THEN 2 WHEN 'succeeded' THEN 3 ELSE CASE WHEN completed_at IS NOT NULL THEN 2 ELSE 0 END END AS stage, count(*) AS n_jobs FROM ledger GROUP BY ALL")
+def stage_progress(spark, d):
+    return L.stage_progress(as_ledger(spark, d))
+
+
+# --- Access log, addresses and names.
+
+
+def as_access_log(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    return e.select(
+        "event_id", F.concat(F.lit("10.0.0."), (F.col("user_id") % 250).cast("string"), F.lit(":443")).alias("remote"),
+        F.concat(F.lit("198.51.100."), F.get_json_object("props", "$.k"), F.lit(", 10.1.2.3")).alias("forwarded"), F.col("event_type").alias("status"),
+        F.concat(F.lit("/api/conversions/"), F.col("event_id").cast("string"), F.when(F.col("event_id") % 2 == 0, "/download").otherwise("")).alias("path"),
+        F.floor("value").alias("duration_ms"), F.floor(F.col("value") * 10).alias("response_bytes"),
+        F.when(F.col("user_id") % 3 == 0, "https://Books.example").when(F.col("user_id") % 3 == 1, "https://books.example/x").alias("origin"),
+    )
+
+
+@query("route_report", "SELECT CASE WHEN event_id % 2 = 0 THEN '/api/conversions/{id}/download' ELSE '/api/conversions/{id}' END AS route, event_type AS status, count(*) AS n, sum(floor(value * 10))::BIGINT AS n_bytes, sum(floor(value))::BIGINT AS total_ms, max(floor(value))::BIGINT AS longest_ms FROM events GROUP BY ALL")
+def route_report(spark, d):
+    return A.route_report(as_access_log(spark, d))
+
+
+@query("attribute_clients", "SELECT event_id, CASE WHEN k BETWEEN 0 AND 255 THEN '198.51.100.' || k ELSE '10.0.0.' || (user_id % 250) END AS client FROM (SELECT *, json_extract_string(props, '$.k')::INT AS k FROM events)")
+def attribute_clients(spark, d):
+    return A.attribute_clients(as_access_log(spark, d), ("10.0.0.0/8",)).select("event_id", "client")
+
+
+@query("pseudonymize", "SELECT event_id, sha256(concat(unhex('" + bytes(x ^ 0x5C for x in b"an example key".ljust(64, b"\0")).hex() + "'), unhex(sha256(concat(unhex('" + bytes(x ^ 0x36 for x in b"an example key".ljust(64, b"\0")).hex() + "'), encode('10.0.0.' || (user_id % 250))))))) AS client_key FROM events")
+def pseudonymize(spark, d):
+    return as_access_log(spark, d).select("event_id", A.pseudonym(A.host_of(F.col("remote")), b"an example key").alias("client_key"))
+
+
+@query("error_report", "SELECT CASE event_type WHEN 'click' THEN 429 WHEN 'view' THEN 503 WHEN 'purchase' THEN 404 ELSE 500 END::INT AS status, CASE event_type WHEN 'click' THEN 'RATE_LIMITED' WHEN 'view' THEN 'QUEUE_FULL' WHEN 'purchase' THEN 'JOB_NOT_FOUND' ELSE 'INTERNAL_ERROR' END AS code, CASE event_type WHEN 'click' THEN 30 WHEN 'view' THEN 15 ELSE 0 END::INT AS retry_seconds, count(*) AS n FROM events GROUP BY ALL")
+def error_report(spark, d):
+    cause = F.when(F.col("status") == "click", "ip_limit").when(F.col("status") == "view", "queue_full").when(F.col("status") == "purchase", "not_found").otherwise("odd")
+    return A.error_report(as_access_log(spark, d).select(cause.alias("cause")))
+
+
+@query("audit_urls", "SELECT page_id, url, CASE WHEN NOT starts_with(lower(url), 'https:') THEN 'scheme' END AS reject_code FROM pages")
+def audit_urls(spark, d):
+    return A.audit_urls(table(spark, d, "pages").select("page_id", "url"))
+
+
+@query("audit_origins", "SELECT event_id, user_id % 3 <> 1 AS origin_ok FROM events")
+def audit_origins(spark, d):
+    return A.audit_origins(as_access_log(spark, d), "https://books.example").select("event_id", "origin_ok")
+
+
+@query("clean_names", "SELECT page_id, CASE WHEN n = '' THEN 'novel.txt' ELSE left(n, 180) END AS display_name FROM (SELECT page_id, regexp_extract(url, '([^/]*)/*$', 1) AS n FROM pages)")
+def clean_names(spark, d):
+    return A.clean_names(table(spark, d, "pages").select("page_id", F.col("url").alias("name"))).select("page_id", "display_name")
+
+
+@query("package_books")
+def package_books(spark, d):
+    return S.package_books(P.render_sections(*_parsed(spark, d))).select("book_id", "n_entries", "valid")
