@@ -31,12 +31,17 @@ def ip_number(ip: Column) -> Column:
     return F.when(ip.rlike(IPV4), sum((p[k].cast("long") * (256 ** (3 - k)) for k in range(4)), F.lit(0).cast("long")))
 
 
-def in_cidr(ip: Column, cidr: str) -> Column:
+def bounds(cidr: str) -> tuple[int, int]:
+    """The first and last address of a block, as numbers."""
     base, _, bits = cidr.partition("/")
     size = 1 << (32 - int(bits or 32))
     a, b, c, d = map(int, base.split("."))
     low = (a << 24 | b << 16 | c << 8 | d) // size * size
-    return F.coalesce(ip_number(ip).between(low, low + size - 1), F.lit(False))
+    return low, low + size - 1
+
+
+def in_cidr(ip: Column, cidr: str) -> Column:
+    return F.coalesce(ip_number(ip).between(*bounds(cidr)), F.lit(False))
 
 
 def attribute_clients(log: DataFrame, trusted: tuple[str, ...]) -> DataFrame:
@@ -78,16 +83,17 @@ def audit_urls(urls: DataFrame, allow_http: bool = False) -> DataFrame:
     host = F.regexp_replace(F.regexp_extract(authority, "^(?:[^@]*@)?(\\[[^\\]]*\\]|[^:]*)", 1), "[\\[\\]]", "")
     port = F.regexp_extract(authority, ":([0-9]*)$", 1)
     default = F.when(scheme == "https", "443").otherwise("80")
-    plain = F.regexp_replace(host, "(?i)^::ffff:([0-9.]+)$", "$1")
-    blocked = F.lower(host).rlike("^(::1?|fe[89ab][0-9a-f]:.*|f[cd][0-9a-f]{2}:.*|ff[0-9a-f]{2}:.*)$") | host.contains("::ffff:")
+    x = urls.withColumns({"_scheme": scheme, "_authority": authority, "_host": F.lower(host), "_port": port, "_default": default})
+    x = x.withColumn("_ip", ip_number(F.regexp_replace("_host", "^::ffff:([0-9.]+)$", "$1")))
+    blocked = F.col("_host").rlike("^(::1?|::ffff:.*|fe[89ab][0-9a-f]:.*|f[cd][0-9a-f]{2}:.*|ff[0-9a-f]{2}:.*)$")
     for c in BLOCKED:
-        blocked = blocked | in_cidr(plain, c)
+        blocked = blocked | F.col("_ip").between(*bounds(c))
     code = (
-        F.when(u.isNull() | (host == ""), "no_host").when(authority.contains("@"), "userinfo")
-        .when(~(scheme.isin("https", "http") if allow_http else scheme == "https"), "scheme")
-        .when((port != "") & (port != default), "port").when(blocked, "address")
+        F.when(u.isNull() | (F.col("_host") == ""), "no_host").when(F.contains("_authority", F.lit("@")), "userinfo")
+        .when(~(F.col("_scheme").isin("https", "http") if allow_http else F.col("_scheme") == "https"), "scheme")
+        .when((F.col("_port") != "") & (F.col("_port") != F.col("_default")), "port").when(blocked, "address")
     )
-    return urls.withColumn("reject_code", code)
+    return x.select(*urls.columns, code.alias("reject_code"))
 
 
 def audit_origins(log: DataFrame, public_origin: str) -> DataFrame:

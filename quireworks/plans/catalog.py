@@ -416,7 +416,12 @@ def attribute_clients(spark, d):
     return A.attribute_clients(as_access_log(spark, d), ("10.0.0.0/8",)).select("event_id", "client")
 
 
-@query("pseudonymize", "SELECT event_id, sha256(concat(unhex('" + bytes(x ^ 0x5C for x in b"an example key".ljust(64, b"\0")).hex() + "'), unhex(sha256(concat(unhex('" + bytes(x ^ 0x36 for x in b"an example key".ljust(64, b"\0")).hex() + "'), encode('10.0.0.' || (user_id % 250))))))) AS client_key FROM events")
+def _hmac_sql(value: str, key: bytes) -> str:
+    inner, outer = (bytes(x ^ p for x in key.ljust(64, b"\0")).hex() for p in (0x36, 0x5C))
+    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({value}))))"
+
+
+@query("pseudonymize", "SELECT event_id, " + _hmac_sql("'10.0.0.' || (user_id % 250)", b"an example key") + " AS client_key FROM events")
 def pseudonymize(spark, d):
     return as_access_log(spark, d).select("event_id", A.pseudonym(A.host_of(F.col("remote")), b"an example key").alias("client_key"))
 
