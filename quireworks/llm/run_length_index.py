@@ -216,10 +216,10 @@ def _grouped(batches: Iterator[pa.RecordBatch], name: str, *rest: str) -> Iterat
         yield at, kept
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeated(hot_docs: int):
     """Of each part's anchors those that two documents or more hold, and whether very many do."""
 
-    def rows():
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for bucket, parts in _grouped(batches, "bucket", "part", "blob"):
             own = [(p, *unpack(blob)) for p, blob in parts]
             hs = [_from_planes(h) for _, h, _ in own]
@@ -230,9 +230,9 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 t = total[where[at : at + len(h)]]
                 at += len(h)
                 if (t > 1).any():
-                    yield p, bucket, 0, 0, pack(_planes(h[t > 1]), (t[t > 1] >= HOT_DOCS).astype("u1").tobytes())
+                    yield p, bucket, 0, 0, pack(_planes(h[t > 1]), (t[t > 1] >= hot_docs).astype("u1").tobytes())
 
-    yield from to_batches(rows(), _ROW)
+    return lambda batches: to_batches(rows(batches), _ROW)
 
 
 class _Passages:
@@ -419,7 +419,7 @@ def _marked(n_buckets: int, keep_bytes: bool):
     return run
 
 
-def dedup(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, keep_bytes: bool = True, hot_docs: int = HOT_DOCS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes for each row of docs(doc_id, text).
 
     docs must give the same rows in the same partitions each time it is read, as tables do.
@@ -429,7 +429,7 @@ def dedup(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
     rows = docs.select(F.spark_partition_id().cast("long").alias("part"), "doc_id", or_empty("text").alias("text"))
     n_parts = max(12, 3 * rows.rdd.getNumPartitions())  # few tasks then get two parts
     packed = rows.mapInArrow(_documents, _ROW_DDL)
-    repeated = rows.mapInArrow(_anchor_rows(n_anchor), _ROW_DDL).repartition(n_anchor, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, _ROW_DDL)
+    repeated = rows.mapInArrow(_anchor_rows(n_anchor), _ROW_DDL).repartition(n_anchor, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated(hot_docs), _ROW_DDL)
     parts = repeated.unionByName(packed).repartition(n_parts, "part")
     passages = parts.sortWithinPartitions("part", "kind", "seq", "bucket").mapInArrow(_passage_rows(n_passage), _ROW_DDL)
     minima = passages.repartition(n_passage, "bucket").sortWithinPartitions("bucket").mapInArrow(_indexed, _ROW_DDL)
