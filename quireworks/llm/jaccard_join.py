@@ -74,6 +74,9 @@ class SignatureTree:
         self.sizes = np.array([r[1] for r in rows])
         self.bits = np.stack([folded(r[2], width) for r in rows])
         self.slack = self.sizes - np.bitwise_count(self.bits).sum(1)
+        # The narrow bitmaps are tested first, the wide ones only where those allow the pair.
+        self.narrow = np.stack([folded(b, max(32, width // 4)) for b in self.bits])
+        self.loose = self.sizes - np.bitwise_count(self.narrow).sum(1)
         self.share = percent / (100 + percent)
         # A node: first, end, least size, most size, most slack, OR of bitmaps, one component or None, children.
         level = [self._node(i, min(i + LEAF, len(rows))) for i in range(0, len(rows), LEAF)]
@@ -83,7 +86,7 @@ class SignatureTree:
 
     def _node(self, a: int, b: int) -> tuple:
         comps = set(self.comp[a:b])
-        return a, b, self.sizes[a:b].min(), self.sizes[a:b].max(), self.slack[a:b].max(), np.bitwise_or.reduce(self.bits[a:b]), comps.pop() if len(comps) == 1 else None, ()
+        return a, b, self.sizes[a:b].min(), self.sizes[a:b].max(), self.loose[a:b].max(), np.bitwise_or.reduce(self.narrow[a:b]), comps.pop() if len(comps) == 1 else None, ()
 
     @staticmethod
     def _join(some: list[tuple]) -> tuple:
@@ -117,9 +120,14 @@ class SignatureTree:
             a, b = max(y[0], i + 1) if x is y else y[0], y[1]
             if a >= b:
                 continue
-            common = np.bitwise_count(self.bits[a:b] & self.bits[i]).sum(1)
-            most = np.minimum(common + self.slack[i], common + self.slack[a:b])
-            for j in (np.flatnonzero(most >= self.share * (self.sizes[i] + self.sizes[a:b]) - 1e-9) + a).tolist():
+            common = np.bitwise_count(self.narrow[a:b] & self.narrow[i]).sum(1)
+            least = self.share * (self.sizes[i] + self.sizes[a:b]) - 1e-9
+            at = np.flatnonzero(common + np.minimum(self.loose[i], self.loose[a:b]) >= least) + a
+            if not len(at):
+                continue
+            common = np.bitwise_count(self.bits[at] & self.bits[i]).sum(1)
+            hit = common + np.minimum(self.slack[i], self.slack[at]) >= self.share * (self.sizes[i] + self.sizes[at]) - 1e-9
+            for j in at[hit].tolist():
                 if self.comp[i] != self.comp[j] and (self.name is None or min(self.lists[i] & self.lists[j]) == self.name):
                     yield self.ids[i], self.ids[j]
 
