@@ -145,7 +145,7 @@ class ByteEncoder:
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\1" in text or "<|" in text or _ODD_WHITE.search(text):
             return None
         t = text.replace(" ", "\1 ").replace("\n", "\1\n\1")
-        if not _SIGN_RUN.search(text):
+        if " ." not in text and " ," not in text and not _SIGN_RUN.search(text):
             t = t.replace(".\1", "\1.\1").replace(",\1", "\1,\1")
         return t.split("\1")
 

@@ -149,6 +149,20 @@ def test_hilbert_packing(docs, none, rows):
     assert (np.abs(np.diff(walk, axis=0)).sum(1) == 1).all()  # each step goes to a neighbour
 
 
+def test_encoders_equal_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    from quireworks.llm import tokens
+
+    rng = random.Random(8)
+    made = ["".join(rng.choice("aBé .,!?'_\n12$#ß(") for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    made += ["a . b , c\n.\n,", "Hello!!! it's x_y_. foo_, ÜBER&&& (a) 'tis", "Ab\nCd\nÜx", "can't!'s a'!b", "x²! ½, é́!! word"]
+    for kind, name in ((tokens.ByteEncoder, "byte_bpe_50k.json"), (tokens.WordEncoder, "word_bpe_49k.json")):
+        tok, own = Tokenizer.from_file(P.path(name)), kind(P.path(name))
+        for t, ids in zip(made, own.encode(made)):
+            assert np.frombuffer(ids, "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
 def test_run_length_index(docs, none, rows):
     first = {}
     for d, t in sorted(rows, key=lambda r: r[0]):
