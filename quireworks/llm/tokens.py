@@ -25,7 +25,9 @@ _LETTER_RUN = re.compile(f"[{_LETTERS}]+")
 _PLAIN = re.compile(f"([{_LETTERS}]+)([.,]?)")
 
 # A full stop or comma that white space follows and another sign precedes belongs to that sign's run.
-_SIGN_RUN = re.compile(r"(?:[^\w\s]|_)[.,]\s")
+_SIGN_RUN = re.compile(r"[.,]\s(?<=[^\w\s][.,]\s)|[.,]\s(?<=_[.,]\s)")
+# A word of letters and the run of signs at its end, which are encoded apart; an apostrophe may bind letters, so it is none of them.
+_TAILED = re.compile(f"( ?[{_LETTERS}]+)([!-&(-/:-@\\[-^`{{-~]+)")
 _NOT_LATIN = re.compile("[^\x00-\u017f]")
 
 
@@ -77,13 +79,13 @@ class WordEncoder:
         self.base: dict[str, bytes] = {}
 
     def _encode_each(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u2").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_plain(self, words: list[str]) -> None:
         """Lower-case words of letters, many in one text; the end-of-word marks tell them apart."""
         for i in range(0, len(words), 512):
             some = words[i : i + 512]
-            ids = np.array(self.tok.encode(" ".join(some), add_special_tokens=False).ids, "<u2")
+            ids = np.frombuffer(self._encode_each([" ".join(some)])[0], "<u2")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(some):
                 self.base.update(zip(some, self._encode_each(some)))
@@ -135,9 +137,13 @@ class ByteEncoder:
     def __init__(self, path: str) -> None:
         self.tok = load(path)
         self.cache: dict[str, bytes] = {"": b""}
+        pieces = [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size(with_added_tokens=True))]
+        # Byte-level pieces show a space as U+0120, a line break as U+010A.
+        self.opens = np.array([p.startswith("\u0120") for p in pieces])
+        self.breaks = np.array([p == "\u010a" for p in pieces])
 
     def _encode_each(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u2").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     @staticmethod
     def cut(text: str) -> list[str] | None:
@@ -150,14 +156,24 @@ class ByteEncoder:
         return t.split("\1")
 
     def _learn(self, pieces: set[str]) -> None:
+        tailed = [m for m in map(_TAILED.fullmatch, pieces) if m]
+        pieces = (pieces - {m[0] for m in tailed}) | {x for m in tailed for x in m.groups() if x not in self.cache}
         spaced = [p[1:] for p in pieces if p[:1] == " " and _LETTER_RUN.fullmatch(p, 1)]
-        self.cache.update(zip(rest := list(pieces - {" " + w for w in spaced}), self._encode_each(rest)))
-        for i in range(0, len(spaced), 512):
-            some = spaced[i : i + 512]
-            e = self.tok.encode(" " + " ".join(some), add_special_tokens=False)
-            cuts = (np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(some) + 1)) * 2).tolist()
-            raw = np.array(e.ids, "<u2").tobytes()
-            self.cache.update((" " + w, raw[a:b]) for w, a, b in zip(some, cuts, cuts[1:]))
+        bare = [p for p in pieces if _LETTER_RUN.fullmatch(p)]
+        rest = list(pieces - {" " + w for w in spaced} - set(bare))
+        self.cache.update(zip(rest, self._encode_each(rest)))
+        self._learn_words([" " + w for w in spaced], "", self.opens)
+        self._learn_words(bare, "\n", self.breaks)
+        self.cache.update((m[0], self.cache[m[1]] + self.cache[m[2]]) for m in tailed)
+
+    def _learn_words(self, words: list[str], between: str, marks: np.ndarray) -> None:
+        """Words of letters, many in one text: a marked id begins a word, or is the line break before it."""
+        for i in range(0, len(words), 512):
+            some = words[i : i + 512]
+            raw = self._encode_each([between + between.join(some)])[0]
+            starts = np.flatnonzero(marks[np.frombuffer(raw, "<u2")]) * 2
+            ends = [*starts[1:].tolist(), len(raw)]
+            self.cache.update((w, raw[a:b]) for w, a, b in zip(some, (starts + 2 * len(between)).tolist(), ends))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 16-bit integers."""
