@@ -2,7 +2,7 @@
 
 1. A document's set: distinct hashes of its word shingles. Documents of equal sets form one class, led by the smallest doc_id.
 2. Two sets of similarity t share one of their first n - ceil(t n) + 1 hashes, in the order of the hashes. Classes that
-   share such a hash form a list; equal lists count once.
+   share such a hash form a list, cut where, in the order of sizes, one is too small for the next; equal lists count once.
 3. Star rounds: each list's members are held against its leader; the leader is the least by a hash that changes with the round. Links that
    pass the exact test merge components, so a group of thousands of near copies costs about one test a member and round.
 4. Lists that still span components go to the tree: leaves of documents ordered by size, nodes with OR-combined bitmaps
@@ -153,8 +153,8 @@ def shingled(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
     return docs.select("doc_id", or_empty("text").alias("text")).mapInArrow(run, "doc_id bigint, n bigint, h1 bigint, h2 bigint, bits binary, prefix binary")
 
 
-def _lists(classes: DataFrame) -> DataFrame:
-    """list, id: classes that share a prefix hash; equal lists once."""
+def _lists(classes: DataFrame, percent: int) -> DataFrame:
+    """list, id: classes that share a prefix hash and whose sizes, in order, are near enough; equal lists once."""
     posting = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("n", pa.int64())])
     found = pa.schema([("list", pa.int64()), ("id", pa.int64())])
 
@@ -169,12 +169,13 @@ def _lists(classes: DataFrame) -> DataFrame:
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Runs of equal tokens, of two classes or more. A run may go on in the next batch, so the last one waits."""
-        rest_t, rest_i = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        rest_t, rest_i, rest_n = (np.zeros(0, np.int64) for _ in range(3))
 
-        def emit(t: np.ndarray, i: np.ndarray):
+        def emit(t: np.ndarray, i: np.ndarray, n: np.ndarray):
             if not len(t):
                 return
-            start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+            # Sizes rise within a token: where one is too small for the next, no pair across can link.
+            start = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (100 * n[:-1] < percent * n[1:])]))
             size = np.diff(np.concatenate([start, [len(t)]]))
             keep = np.repeat(size > 1, size)
             if not keep.any():
@@ -187,15 +188,16 @@ def _lists(classes: DataFrame) -> DataFrame:
         for batch in batches:
             t = np.concatenate([rest_t, batch.column(0).to_numpy()])
             i = np.concatenate([rest_i, batch.column(1).to_numpy()])
+            n = np.concatenate([rest_n, batch.column(2).to_numpy()])
             if not len(t):
                 continue
             cut = int(np.searchsorted(t, t[-1]))
-            yield from emit(t[:cut], i[:cut])
-            rest_t, rest_i = t[cut:], i[cut:]
-        yield from emit(rest_t, rest_i)
+            yield from emit(t[:cut], i[:cut], n[:cut])
+            rest_t, rest_i, rest_n = t[cut:], i[cut:], n[cut:]
+        yield from emit(rest_t, rest_i, rest_n)
 
     rows = classes.filter("n > 0").select("id", "n", "prefix").mapInArrow(postings, "token bigint, id bigint, n bigint")
-    together = rows.repartition("token").sortWithinPartitions("token")
+    together = rows.repartition("token").sortWithinPartitions("token", "n")
     return together.mapInArrow(groups, "list bigint, id bigint").distinct()
 
 
@@ -228,7 +230,7 @@ def components_of(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -
     named = info.filter("n > 0 and doc_id is not null")
     classes = named.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"))
     lead = named.join(classes.select("h1", "h2", "n", "id"), ["h1", "h2", "n"]).filter("doc_id = id").select("id", "n", "bits", "prefix").dropDuplicates(["id"])
-    lists = materialised(_lists(lead), "lists")
+    lists = materialised(_lists(lead, percent), "lists")
     signs = materialised(lead.select("id", "n", "bits").join(lists.select("id").distinct(), "id", "left_semi"), "signs")
 
     def sets_of(ids: DataFrame) -> DataFrame:
