@@ -132,6 +132,26 @@ class SignatureTree:
                     yield self.ids[i], self.ids[j]
 
 
+def list_pairs(rows: list[tuple], percent: int = PERCENT, name: int | None = None) -> Iterator[tuple]:
+    """Pairs of one list's rows from a tree for each width of bitmap, and one for each two neighbouring widths.
+
+    One tree for all would fold the bitmaps of large sets to the width of the smallest, where they tell nothing apart."""
+    by: dict[int, list[tuple]] = {}
+    for r in rows:
+        by.setdefault(len(r[2]), []).append(r)
+    widths = sorted(by)
+    for w in widths:
+        yield from SignatureTree(by[w], percent, name).pairs()
+    for k, w in enumerate(widths):
+        for v in widths[k + 1 :]:
+            least, most = min(r[1] for r in by[v]), max(r[1] for r in by[w])
+            low = [r for r in by[w] if 100 * r[1] >= percent * least]
+            high = [r for r in by[v] if percent * r[1] <= 100 * most]
+            if low and high:
+                small = {r[0] for r in low}
+                yield from (p for p in SignatureTree(low + high, percent, name).pairs() if (p[0] in small) != (p[1] in small))
+
+
 def shingled(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n, h1, h2 (128 bits that name the set), bits, prefix (its first hashes) for docs(doc_id, text)."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bits", pa.binary()), ("prefix", pa.binary())])
@@ -281,12 +301,12 @@ def components_of(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -
             at, kept = None, []
             for name, i, n, bits, comp, own in rows_of(batches, "list", "id", "n", "bits", "component", "lists"):
                 if name != at and kept:
-                    yield from SignatureTree(kept, percent, at).pairs()
+                    yield from list_pairs(kept, percent, at)
                     kept = []
                 at = name
                 kept.append((i, n, np.frombuffer(bits, np.uint8), comp, own))
             if kept:
-                yield from SignatureTree(kept, percent, at).pairs()
+                yield from list_pairs(kept, percent, at)
 
         yield from to_batches(((min(p), max(p)) for p in rows()), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 

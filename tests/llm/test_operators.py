@@ -242,6 +242,18 @@ def test_signature_tree_loses_no_pair():
                 assert (j, i) in got
 
 
+def test_trees_by_width_lose_no_pair():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 62, 600, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[: rng.choice([20, 30, 33, 60, 64, 66, 120, 128, 140, 500, 600])], rng.integers(0, 1 << 62, rng.integers(0, 5), dtype=np.uint64)])) for _ in range(150)]
+    rows = [(i, len(s), jaccard_join.bitmap(s), i) for i, s in enumerate(sets)]
+    assert len({len(r[2]) for r in rows}) > 3
+    got = [tuple(sorted(p)) for p in jaccard_join.list_pairs(rows)]
+    assert len(got) == len(set(got))
+    want = {(j, i) for i, a in enumerate(sets) for j in range(i) if jaccard_join.enough(len(np.intersect1d(a, sets[j])), len(a), len(sets[j]))}
+    assert want and want <= set(got)
+
+
 def test_fuzzy_lines(docs, none, rows):
     first = {}
     for d, t in sorted(rows, key=lambda r: r[0]):
