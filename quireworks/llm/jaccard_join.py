@@ -7,7 +7,7 @@
    pass the exact test merge components, so a group of thousands of near copies costs about one test a member and round.
 4. Lists that still span components go to the tree: leaves of documents ordered by size, nodes with OR-combined bitmaps
    of hashes and size ranges. A dual traversal drops node pairs whose largest possible overlap is too small and
-   document pairs already in one component; what is left is tested exactly. So no link between components is missed.
+   document pairs already in one component; what is left is tested on wider bitmaps and then exactly. So no link between components is missed.
 
 Every candidate is tested on the full sets, rebuilt from the whole texts. Copies are never expanded to pairs.
 
@@ -33,7 +33,8 @@ WIDTH, PERCENT = 4, 85
 STAR_ROUNDS = 2
 #: Members of a leader that one task tests.
 SALTS = 16
-LEAF = 16
+#: Rows of a tree's leaf; lists of no more than SMALL rows need no tree. A tree's bitmaps have 1/FOLD of the bits.
+LEAF, SMALL, FOLD = 64, 16, 4
 
 
 def enough(inter: int, a: int, b: int, percent: int = PERCENT) -> bool:
@@ -67,17 +68,13 @@ class SignatureTree:
 
     def __init__(self, rows: list[tuple], percent: int = PERCENT, name: int | None = None) -> None:
         self.name = name
-        rows = sorted(rows, key=lambda r: (r[1], r[0]))
-        self.ids, self.comp = [r[0] for r in rows], [r[3] for r in rows]
-        self.lists = [frozenset(r[4]) for r in rows] if name is not None else []
+        self.rows = rows = sorted(rows, key=lambda r: (r[1], r[0]))
+        self.comp = np.array([r[3] for r in rows])
         width = min(len(r[2]) for r in rows)
         self.sizes = np.array([r[1] for r in rows])
-        self.bits = np.stack([folded(r[2], width) for r in rows])
+        self.bits = np.stack([folded(r[2], width) for r in rows]).view(np.uint64)
         self.slack = self.sizes - np.bitwise_count(self.bits).sum(1)
-        # The narrow bitmaps are tested first, the wide ones only where those allow the pair.
-        self.narrow = np.stack([folded(b, max(32, width // 4)) for b in self.bits])
-        self.loose = self.sizes - np.bitwise_count(self.narrow).sum(1)
-        self.share = percent / (100 + percent)
+        self.percent, self.share = percent, percent / (100 + percent)
         # A node: first, end, least size, most size, most slack, OR of bitmaps, one component or None, children.
         level = [self._node(i, min(i + LEAF, len(rows))) for i in range(0, len(rows), LEAF)]
         while len(level) > 1:
@@ -85,20 +82,20 @@ class SignatureTree:
         self.root = level[0]
 
     def _node(self, a: int, b: int) -> tuple:
-        comps = set(self.comp[a:b])
-        return a, b, self.sizes[a:b].min(), self.sizes[a:b].max(), self.loose[a:b].max(), np.bitwise_or.reduce(self.narrow[a:b]), comps.pop() if len(comps) == 1 else None, ()
+        comps = set(self.comp[a:b].tolist())
+        return a, b, self.sizes[a], self.sizes[b - 1], self.slack[a:b].max(), np.bitwise_or.reduce(self.bits[a:b]), comps.pop() if len(comps) == 1 else None, ()
 
     @staticmethod
     def _join(some: list[tuple]) -> tuple:
         comps = {n[6] for n in some}
-        return some[0][0], some[-1][1], min(n[2] for n in some), max(n[3] for n in some), max(n[4] for n in some), np.bitwise_or.reduce([n[5] for n in some]), comps.pop() if len(comps) == 1 else None, tuple(some)
+        return some[0][0], some[-1][1], some[0][2], some[-1][3], max(n[4] for n in some), np.bitwise_or.reduce([n[5] for n in some]), comps.pop() if len(comps) == 1 else None, tuple(some)
 
     def _apart(self, x: tuple, y: tuple) -> bool:
         if x[6] is not None and x[6] == y[6]:
             return True
         if x is y:
             return False
-        if x[3] < 0.01 * (100 * self.share / (1 - self.share)) * y[2] or y[3] < 0.01 * (100 * self.share / (1 - self.share)) * x[2]:
+        if 100 * x[3] < self.percent * y[2] or 100 * y[3] < self.percent * x[2]:
             return True
         return max(x[4], y[4]) + int(np.bitwise_count(x[5] & y[5]).sum()) < math.ceil(self.share * (x[2] + y[2]) - 1e-9)
 
@@ -116,26 +113,54 @@ class SignatureTree:
                 todo.extend((a, b) for a in x[7] or (x,) for b in y[7] or (y,))
 
     def _leaves(self, x: tuple, y: tuple) -> Iterator[tuple]:
-        for i in range(x[0], x[1]):
-            a, b = max(y[0], i + 1) if x is y else y[0], y[1]
-            if a >= b:
+        p, q = slice(*x[:2]), slice(*y[:2])
+        common = np.bitwise_count(self.bits[p, None] & self.bits[None, q]).sum(2, dtype=np.int64)
+        hit = common + np.minimum(self.slack[p, None], self.slack[None, q]) >= self.share * (self.sizes[p, None] + self.sizes[None, q]) - 1e-9
+        hit &= self.comp[p, None] != self.comp[None, q]
+        at, to = np.nonzero(np.triu(hit, 1) if x is y else hit)
+        for i, j in zip((at + x[0]).tolist(), (to + y[0]).tolist()):
+            if first_meeting(self.rows[i], self.rows[j], self.name):
+                yield self.rows[i][0], self.rows[j][0]
+
+
+def first_meeting(x: tuple, y: tuple, name: int | None) -> bool:
+    """Whether `name` is the least of the lists that two rows share."""
+    return name is None or min(set(x[4]).intersection(y[4])) == name
+
+
+def leaf_pairs(rows: list[tuple], percent: int, name: int | None) -> Iterator[tuple]:
+    """The same for a list that is less than one leaf, each row held against the others."""
+    rows = sorted(rows, key=lambda r: r[1])
+    bits = [int.from_bytes(r[2].tobytes(), "little") for r in rows]
+
+    def fold(k: int, size: int) -> int:
+        x, have = bits[k], len(rows[k][2])
+        while have > size:
+            have //= 2
+            x = (x >> 8 * have) | (x & ((1 << 8 * have) - 1))
+        return x
+
+    for i, r in enumerate(rows):
+        for j in range(i + 1, len(rows)):
+            o = rows[j]
+            if 100 * r[1] < percent * o[1]:
+                break  # sizes rise
+            if r[3] == o[3]:
                 continue
-            common = np.bitwise_count(self.narrow[a:b] & self.narrow[i]).sum(1)
-            least = self.share * (self.sizes[i] + self.sizes[a:b]) - 1e-9
-            at = np.flatnonzero(common + np.minimum(self.loose[i], self.loose[a:b]) >= least) + a
-            if not len(at):
-                continue
-            common = np.bitwise_count(self.bits[at] & self.bits[i]).sum(1)
-            hit = common + np.minimum(self.slack[i], self.slack[at]) >= self.share * (self.sizes[i] + self.sizes[at]) - 1e-9
-            for j in at[hit].tolist():
-                if self.comp[i] != self.comp[j] and (self.name is None or min(self.lists[i] & self.lists[j]) == self.name):
-                    yield self.ids[i], self.ids[j]
+            size = min(len(r[2]), len(o[2]))
+            x, y = fold(i, size), fold(j, size)
+            slack = min(r[1] - x.bit_count(), o[1] - y.bit_count())
+            if (100 + percent) * ((x & y).bit_count() + slack) >= percent * (r[1] + o[1]) and first_meeting(r, o, name):
+                yield r[0], o[0]
 
 
 def list_pairs(rows: list[tuple], percent: int = PERCENT, name: int | None = None) -> Iterator[tuple]:
     """Pairs of one list's rows from a tree for each width of bitmap, and one for each two neighbouring widths.
 
     One tree for all would fold the bitmaps of large sets to the width of the smallest, where they tell nothing apart."""
+    if len(rows) <= SMALL:
+        yield from leaf_pairs(rows, percent, name)
+        return
     by: dict[int, list[tuple]] = {}
     for r in rows:
         by.setdefault(len(r[2]), []).append(r)
@@ -153,8 +178,8 @@ def list_pairs(rows: list[tuple], percent: int = PERCENT, name: int | None = Non
 
 
 def shingled(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, h1, h2 (128 bits that name the set), bits, prefix (its first hashes) for docs(doc_id, text)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bits", pa.binary()), ("prefix", pa.binary())])
+    """doc_id, n, h1, h2 (128 bits that name the set), bits, the same folded for the trees, prefix (its first hashes) for docs(doc_id, text)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bits", pa.binary()), ("narrow", pa.binary()), ("prefix", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -162,15 +187,16 @@ def shingled(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
                 h = shingle_set(t.encode(), width)
                 n = len(h)
                 if not n:
-                    yield d, 0, 0, 0, b"", b""
+                    yield d, 0, 0, 0, b"", b"", b""
                     continue
                 first = n - -(-percent * n // 100) + 1
                 name = np.array([mix(h).sum(), mix(h ^ np.uint64(0x5851F42D4C957F2D)).sum()]).view(np.int64)
-                yield d, n, int(name[0]), int(name[1]), bitmap(h).tobytes(), h[:first].tobytes()
+                bits = bitmap(h)
+                yield d, n, int(name[0]), int(name[1]), bits.tobytes(), folded(bits, max(32, len(bits) // FOLD)).tobytes(), h[:first].tobytes()
 
         yield from to_batches(rows(), schema)
 
-    return docs.select("doc_id", or_empty("text").alias("text")).mapInArrow(run, "doc_id bigint, n bigint, h1 bigint, h2 bigint, bits binary, prefix binary")
+    return docs.select("doc_id", or_empty("text").alias("text")).mapInArrow(run, "doc_id bigint, n bigint, h1 bigint, h2 bigint, bits binary, narrow binary, prefix binary")
 
 
 def _lists(classes: DataFrame, percent: int) -> DataFrame:
@@ -249,9 +275,9 @@ def components_of(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -
     info = materialised(shingled(docs, width, percent), "shingled")
     named = info.filter("n > 0 and doc_id is not null")
     classes = named.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"))
-    lead = named.join(classes.select("h1", "h2", "n", "id"), ["h1", "h2", "n"]).filter("doc_id = id").select("id", "n", "bits", "prefix").dropDuplicates(["id"])
+    lead = named.join(classes.select("h1", "h2", "n", "id"), ["h1", "h2", "n"]).filter("doc_id = id").select("id", "n", "bits", "narrow", "prefix").dropDuplicates(["id"])
     lists = materialised(_lists(lead, percent), "lists")
-    signs = materialised(lead.select("id", "n", "bits").join(lists.select("id").distinct(), "id", "left_semi"), "signs")
+    signs = materialised(lead.select("id", "n", "bits", "narrow").join(lists.select("id").distinct(), "id", "left_semi"), "signs")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         """id, h for the classes asked for, from their leaders' whole texts."""
@@ -293,13 +319,13 @@ def components_of(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -
         labels = materialised(connected(links), "labels")
     spanning = _spanning(lists, labels)
     # A document is on no more lists than it has prefix hashes.
-    members = spanning.groupBy("id").agg(F.collect_set("list").alias("lists")).join(signs, "id").join(labels.select(F.col("node").alias("id"), "component"), "id", "left")
-    left = spanning.join(members, "id").select("list", "id", "n", "bits", F.coalesce("component", "id").alias("component"), "lists")
+    members = spanning.groupBy("id").agg(F.collect_set("list").alias("lists")).join(signs.select("id", "n", "narrow"), "id").join(labels.select(F.col("node").alias("id"), "component"), "id", "left")
+    left = spanning.join(members, "id").select("list", "id", "n", "narrow", F.coalesce("component", "id").alias("component"), "lists")
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             at, kept = None, []
-            for name, i, n, bits, comp, own in rows_of(batches, "list", "id", "n", "bits", "component", "lists"):
+            for name, i, n, bits, comp, own in rows_of(batches, "list", "id", "n", "narrow", "component", "lists"):
                 if name != at and kept:
                     yield from list_pairs(kept, percent, at)
                     kept = []
