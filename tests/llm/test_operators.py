@@ -297,6 +297,47 @@ def test_fuzzy_lines(docs, none, rows):
     assert fuzzy_lines.dedup_lines(none).count() == 0
 
 
+def test_fuzzy_lines_misses_no_similar_pair(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdeghilmnorstu") for _ in range(rng.randint(2, 9))) for _ in range(60)]
+    lines = [" ".join(rng.choice(words) for _ in range(rng.choice([2, 4, 8, 14, 40]))) for _ in range(25)]
+    for x in lines[:25]:
+        for share in (0.02, 0.1, 0.19):  # single characters changed, dropped or doubled all over the line
+            new = list(x)
+            for k in rng.sample(range(len(x)), max(1, int(share * len(x)))):
+                new[k] = rng.choice(["z", "", 2 * new[k]])
+            lines.append("".join(new))
+    lines = sorted({fuzzy_lines.normalised(x) for x in lines})
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    root = list(range(len(lines)))
+    links = 0
+    for i, a in enumerate(lines):
+        got = fuzzy_lines.edits(a, lines[: i + 1]).tolist()
+        for j, b in enumerate(lines[:i]):
+            n = edits(a, b)
+            assert got[j] == n >= fuzzy_lines.least_edits(a, [b])[0]
+            if n <= int(0.2 * max(len(a), len(b)) + 1e-9):  # edit similarity alone
+                links += 1
+                root = [root[j] if r == root[i] else r for r in root]
+    assert links > 60
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    old, fuzzy_lines.PIECE = fuzzy_lines.PIECE, 7  # several pieces a class
+    try:
+        got = {r["doc_id"]: r["n_removed"] for r in fuzzy_lines.dedup_lines(docs, keep_text=False, exact=True).collect()}
+    finally:
+        fuzzy_lines.PIECE = old
+    assert got == {i: int(root.index(r) != i) for i, r in enumerate(root)}
+
+
 def test_preference_format(spark):
     turns = [(1, 0, 10, 0, "user", "hi"), (1, 0, 10, 1, "assistant", "yes"), (1, 1, 11, 1, "assistant", "no"), (1, 1, 11, 0, "user", "hi"), (2, 0, 12, 0, None, None), (3, 0, 14, 0, "user", "a"), (3, 1, 15, 0, "user", "a")]
     df = spark.createDataFrame([(*t, "extra") for t in turns], "pair_id long, side int, conv_id long, turn long, role string, text string, prompt string")
