@@ -230,6 +230,23 @@ def test_jaccard_join(docs, none, rows):
     assert left.columns == docs.columns and left.select("doc_id").distinct().count() == len({find(d) for d in sets})
 
 
+def test_pipeline_drops_copies_of_five_words_and_four_fifths(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    rows = []
+    for k in range(30):
+        w = [f"{k}w{i}" for i in range(rng.randint(60, 140))]
+        rows += [" ".join(w), " ".join(w[: len(w) - rng.randint(1, 30)] + [f"{k}new"])]
+    sets = [set(zip(*(t.split(" ")[i:] for i in range(n)))) for n in (4, 5) for t in rows]
+    share = lambda a, b: len(a & b) / len(a | b)
+    fours, fives = ([share(at[2 * k], at[2 * k + 1]) for k in range(30)] for at in (sets[:60], sets[60:]))
+    assert any(x >= 0.8 and y < 0.85 for x, y in zip(fives, fours)) and any(x < 0.8 for x in fives)
+    docs = spark.createDataFrame([(i, t, "en", "src", len(t), "") for i, t in enumerate(rows)], SCHEMA)
+    want = {i for i in range(60) if i % 2 == 0 or fives[i // 2] < 0.8}
+    assert {r["doc_id"] for r in corpus_pipeline.near(spark, docs, "").collect()} == want
+
+
 def test_signature_tree_loses_no_pair():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 62, 200, dtype=np.uint64)
