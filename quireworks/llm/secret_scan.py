@@ -1,7 +1,7 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-The scan takes every long run of key characters that holds a digit, and every very long run. A forest over the candidate's
-length, character transitions, dictionary coverage, path and neighbouring words, trained from labelled findings, tells
+The scan takes every long run of key characters that holds a digit, every very long run, and every value, however short, that a name
+with a key word assigns or that follows `bearer`. A forest over the candidate's length, character transitions, dictionary coverage, path and neighbouring words, trained from labelled findings, tells
 secrets from the rest. MLlib trains it on a bounded sample; its trees, bounded by their depth, then go to the tasks as arrays, so a
 document is read once and nothing is shuffled.
 
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from quireworks.llm.common import or_empty, rows_of, table, to_batches
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=\-]{16,}")
+#: A sign of assignment is no part of a candidate; one or two at its end are padding.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=\-]))?")
 #: Runs without a digit are candidates only from this length on.
 LONG_WORD = 32
 #: Documents whose findings train the forest, at most about; trees and their depth.
@@ -35,6 +36,15 @@ THRESHOLD = 0.5
 MASK = "<secret>"
 
 _KEY_WORDS = re.compile(r"(token|key|secret|passw|pwd|auth|credential|bearer)", re.I)
+_NAME = r"(?:token|key|secret|passw|pwd|auth(?!or)|credential|bearer)[\w.\-]*"
+#: name = value, "name": "value", name=value, bearer value; a quoted value ends with its quote.
+_ASSIGNED = re.compile(_NAME + r"""["']?\s*(?::=|=>|[=:](?!=))\s*(?:bearer\s+)?(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"'<>,;&]+))|\bbearer\s+["']?([A-Za-z0-9+/_.~\-]+=*)""", re.I)
+_NAMED = re.compile(_NAME + r"""["']?\s*(?::=|=>|[=:])\s*(?:bearer\s+)?["']?$|\bbearer\s+["']?$""", re.I)
+_PASSWORD = re.compile(r"""(?:passw|pwd|secret)[\w.\-]*["']?\s*(?::=|=|:\s*["'])\s*["']?$""", re.I)
+#: Forms that tell a secret without a name: keys and tokens of known services, signed tokens.
+_FORM = re.compile(r"(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{16,}|xox[abpr]-[A-Za-z0-9\-]{10,}|eyJ[A-Za-z0-9_\-]{8,}(?:\.[A-Za-z0-9_\-]+)*=*)")
+#: A placeholder: a reference to a variable or a call, not the value itself.
+_REFERENCE = re.compile(r"[$%{(\[<].*|.*\(.*|MASK|null|none|true|false".replace("MASK", MASK), re.I)
 _TEST_PATH = re.compile(r"(test|example|sample|doc|fixture)", re.I)
 #: Frequent words and word parts of the four languages.
 FRAGMENTS = (
@@ -60,34 +70,54 @@ def features(text: str, path: str, start: int, end: int) -> list[float]:
         sum(a != b for a, b in zip(kinds, kinds[1:])) / n, sum(a != b for a, b in zip(vowel, vowel[1:])) / n,
         len(counts) / n, -sum(k / n * math.log2(k / n) for k in counts.values()),
         sum(len(m) for m in _FRAGMENT.findall(low)) / n,
-        float(bool(_KEY_WORDS.search(before))), float(bool(re.search(r"[=:]\s*[\"']?$", before))), float(before[-1:] in ("'", '"')),
+        float(bool(_KEY_WORDS.search(before))), float(bool(re.search(r"([=:]>?|bearer)\s*[\"']?$", before, re.I))), float(before[-1:] in ("'", '"')),
         float(bool(_TEST_PATH.search(path))), float(len(path)),
     ]
 
 
 def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Spans in order, none over another: the assigned values, and the runs outside of them."""
+    spans = [m.span(m.lastindex) for m in _ASSIGNED.finditer(text)]
+    k = 0
     for m in CANDIDATE.finditer(text):
         c = m[0]
-        if len(c) >= LONG_WORD or any(x.isdigit() for x in c):
-            yield m.start(), m.end()
+        while k < len(spans) and spans[k][1] <= m.start():
+            yield spans[k]
+            k += 1
+        if (len(c) >= LONG_WORD or any(x.isdigit() for x in c)) and (k == len(spans) or m.end() <= spans[k][0]):
+            yield m.span()
+    yield from spans[k:]
+
+
+def evidence(text: str, start: int, end: int) -> bool:
+    """Whether a candidate is a secret by its name or its form: a value with both letters and digits or mixed case of eight characters or
+    more under any key word, any value but a reference under a password's, or the form of a known key."""
+    c, before = text[start:end], text[max(0, start - 80) : start]
+    if _FORM.fullmatch(c):
+        return True
+    if not _NAMED.search(before) or _REFERENCE.fullmatch(c):
+        return False
+    if _PASSWORD.search(before):
+        return True
+    mixed = any(x.isdigit() for x in c) and any(x.isalpha() for x in c)
+    turns = sum(a.islower() and b.isupper() for a, b in zip(c, c[1:]))
+    return len(c) >= 8 and not any(x.isspace() for x in c) and (mixed or turns >= 2)
 
 
 def findings(docs: DataFrame) -> DataFrame:
-    """doc_id, start, end, before, features for every candidate of docs(doc_id, source, text)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("before", pa.string()), ("features", pa.list_(pa.float64()))])
+    """doc_id, start, end, evident, features for every candidate of docs(doc_id, source, text)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("evident", pa.bool_()), ("features", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from to_batches(((d, a, b, t[max(0, a - 40) : a], features(t, p, a, b)) for d, p, t in rows_of(batches, "doc_id", "source", "text") for a, b in candidates(t)), schema)
+        yield from to_batches(((d, a, b, evidence(t, a, b), features(t, p, a, b)) for d, p, t in rows_of(batches, "doc_id", "source", "text") for a, b in candidates(t)), schema)
 
-    return docs.select("doc_id", or_empty("source").alias("source"), or_empty("text").alias("text")).mapInArrow(run, "doc_id bigint, start bigint, end bigint, before string, features array<double>")
+    return docs.select("doc_id", or_empty("source").alias("source"), or_empty("text").alias("text")).mapInArrow(run, "doc_id bigint, start bigint, end bigint, evident boolean, features array<double>")
 
 
 def labelled(found: DataFrame) -> DataFrame:
-    """findings with a label. The tables hold none, so a finding counts as a secret where a key word and an assignment stand
-    before it and it mixes digits with letters; a table of reviewed findings takes this function's place."""
-    assigned = F.col("before").rlike(r"(?i)(token|key|secret|passw\w*|pwd)\s*[=:]\s*[\"']?$")
-    mixed = (F.col("features")[1] > 0.15) & (F.col("features")[1] < 0.95)
-    return found.withColumn("label", (assigned & mixed).cast("double"))
+    """findings with a label. The tables hold none, so a finding counts as a secret where its name or form is evidence of one; a table
+    of reviewed findings takes this function's place."""
+    return found.withColumn("label", F.col("evident").cast("double"))
 
 
 def train(labels: DataFrame, trees: int = TREES, depth: int = DEPTH) -> list[list[tuple]] | None:
@@ -137,6 +167,12 @@ def score(forest: list[list[tuple]] | None, x: np.ndarray) -> np.ndarray:
     return total / len(forest)
 
 
+def judged(forest: list[list[tuple]] | None, text: str, path: str, spans: list[tuple[int, int]]) -> np.ndarray:
+    """Scores of the spans: 1 with evidence, which may be of a kind that the forest has not seen; else the forest's."""
+    known = np.array([evidence(text, a, b) for a, b in spans])
+    return np.round(np.where(known, 1.0, score(forest, np.array([features(text, path, a, b) for a, b in spans]))), 6)
+
+
 def fitted(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> list[list[tuple]] | None:
     """The forest, trained on the findings of a bounded sample of documents chosen by a hash of doc_id."""
     share = min(1.0, train_docs / max(docs.count(), 1))
@@ -152,7 +188,7 @@ def scan(docs: DataFrame, forest: list[list[tuple]] | None) -> DataFrame:
             for d, p, t in rows_of(batches, "doc_id", "source", "text"):
                 spans = list(candidates(t))
                 if spans:
-                    s = np.round(score(forest, np.array([features(t, p, a, b) for a, b in spans])), 6)
+                    s = judged(forest, t, p, spans)
                     for (a, b), y in zip(spans, s.tolist()):
                         yield d, a, b - a, hashlib.sha256(t[a:b].encode()).hexdigest(), y, y >= THRESHOLD
 
@@ -170,9 +206,9 @@ def redact(docs: DataFrame, forest: list[list[tuple]] | None) -> DataFrame:
         for t, p in zip(text, path):
             spans = list(candidates(t)) if t is not None else []
             if spans:
-                s = score(forest, np.array([features(t, p or "", a, b) for a, b in spans]))
+                s = judged(forest, t, p or "", spans)
                 for (a, b), y in zip(reversed(spans), reversed(s.tolist())):
-                    if round(y, 6) >= THRESHOLD:
+                    if y >= THRESHOLD:
                         t = t[:a] + MASK + t[b:]
             out.append(t)
         return pd.Series(out, dtype=object)

@@ -383,6 +383,24 @@ def test_secret_scan(spark, docs, none):
     assert 'key token = "<secret>" ok' in texts and "number 4761598977407687 here" in texts and None in texts
 
 
+SECRETS = [
+    ("API_KEY={}", "24be64a1f09c7d3388aa12fe90bc4417"), ("export aws_secret_access_key={} x", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"),
+    ('password = "{}" then', "hunter2secret"), ("token = '{}'", "QwErTyUiOpAsDfGhJk"), ("Authorization: Bearer {}", "mF_9.B5f-4.1JqM"),
+    ('{{"client_secret": "{}"}}', "Zx8kQ2pL"), ("auth_key:={};", "YWJjZGVmZ2hpamtsbW5vcDEyMw=="), ("see {} here", "AKIA" + "IOSFODNN7EXAMPLE"), ("pwd={}", "letmein"),
+]
+CLEAN = ["number 4761598977407687 here", "the key: words of it", "path/to/some/file_2024_01/of/data", "password = getpass()", "see id=4761598977407687 there", "token=${TOKEN_FROM_ENV}"]
+
+
+def test_secret_scan_takes_unspaced_short_and_digit_free_values(spark):
+    rng = random.Random(4)
+    made = [(i, f'token = "{rng.randbytes(20).hex()}"' if i % 2 else f"number {rng.randint(10**15, 10**16)} stands here", "en", "src", 1, "") for i in range(100)]
+    made += [(100 + i, form.format(x), "en", "src", 1, "") for i, (form, x) in enumerate(SECRETS)] + [(200 + i, t, "en", "src", 1, "") for i, t in enumerate(CLEAN)]
+    table = spark.createDataFrame(made, SCHEMA)
+    texts = {r["doc_id"]: r["text"] for r in secret_scan.redact(table, secret_scan.fitted(table)).collect()}
+    assert [texts[100 + i] for i in range(len(SECRETS))] == [form.format("<secret>") for form, _ in SECRETS]
+    assert [texts[200 + i] for i in range(len(CLEAN))] == CLEAN
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (101, 99), (7, 7)], "u long, v long")
     got = {r["node"]: r["component"] for r in components.connected(links).collect()}
