@@ -2,12 +2,12 @@
 
 The scan takes every long run of key characters that holds a digit, every very long run, and every value, however short, that a name
 with a key word assigns or that follows `bearer`. A forest over the candidate's length, character transitions, dictionary coverage, path and neighbouring words, trained from labelled findings, tells
-secrets from the rest. MLlib trains it on a bounded sample; its trees, bounded by their depth, then go to the tasks as arrays, so a
-document is read once and nothing is shuffled.
+secrets from the rest. MLlib trains it on a bounded sample of each class, drawn from the findings of all documents; its trees, bounded by their depth, then go to the tasks as arrays, so no
+document is shuffled.
 
 Defined cases: a null text has no findings; a null source counts as an empty path; very long texts are scanned whole; equal candidates
-of one document are separate findings, told apart by their start; where the labelled findings lack one of the two
-classes no forest is trained and every finding counts as a secret. Extra columns are ignored, or carried by `redact`.
+of one document are separate findings, told apart by their start; where the labelled findings of the whole table lack one of the two
+classes no forest is trained and the labelling rule alone decides. Extra columns are ignored, or carried by `redact`.
 """
 
 from __future__ import annotations
@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireworks.llm.common import or_empty, rows_of, table, to_batches
+from quireworks.llm.common import materialised, or_empty, rows_of, table, to_batches
 
 #: A sign of assignment is no part of a candidate; one or two at its end are padding.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=\-]))?")
 #: Runs without a digit are candidates only from this length on.
 LONG_WORD = 32
-#: Documents whose findings train the forest, at most about; trees and their depth.
-TRAIN_DOCS, TREES, DEPTH = 20_000, 20, 6
+#: Findings of a class that train the forest, at most about; trees and their depth.
+PER_CLASS, TREES, DEPTH = 20_000, 20, 6
 THRESHOLD = 0.5
 MASK = "<secret>"
 
@@ -153,9 +153,9 @@ def train(labels: DataFrame, trees: int = TREES, depth: int = DEPTH) -> list[lis
 
 
 def score(forest: list[list[tuple]] | None, x: np.ndarray) -> np.ndarray:
-    """Mean share of secrets in the leaves that each row of x reaches."""
+    """Mean share of secrets in the leaves that each row of x reaches; 0 without a forest, which leaves the labelling rule to decide."""
     if forest is None:
-        return np.ones(len(x))
+        return np.zeros(len(x))
     total = np.zeros(len(x))
     for nodes in forest:
         feature, threshold, left, right, share = (np.array(c) for c in zip(*nodes))
@@ -173,10 +173,13 @@ def judged(forest: list[list[tuple]] | None, text: str, path: str, spans: list[t
     return np.round(np.where(known, 1.0, score(forest, np.array([features(text, path, a, b) for a, b in spans]))), 6)
 
 
-def fitted(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> list[list[tuple]] | None:
-    """The forest, trained on the findings of a bounded sample of documents chosen by a hash of doc_id."""
-    share = min(1.0, train_docs / max(docs.count(), 1))
-    return train(labelled(findings(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))))))
+def fitted(docs: DataFrame, per_class: int = PER_CLASS) -> list[list[tuple]] | None:
+    """The forest, trained on the labelled findings of all documents: those of a class in full up to per_class, else about that
+    many by a hash."""
+    found = materialised(labelled(findings(docs)).select("doc_id", "start", "features", "label"), "findings")
+    share = {r["label"]: min(1.0, per_class / r["n"]) for r in found.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    most = F.when(F.col("label") == 1.0, int(share.get(1.0, 1.0) * (1 << 30))).otherwise(int(share.get(0.0, 1.0) * (1 << 30)))
+    return train(found.filter(F.pmod(F.xxhash64("doc_id", "start"), F.lit(1 << 30)) < most))
 
 
 def scan(docs: DataFrame, forest: list[list[tuple]] | None) -> DataFrame:

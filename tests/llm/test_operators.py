@@ -401,6 +401,19 @@ def test_secret_scan_takes_unspaced_short_and_digit_free_values(spark):
     assert [texts[200 + i] for i in range(len(CLEAN))] == CLEAN
 
 
+def test_secret_scan_of_rare_and_absent_classes(spark):
+    rng = random.Random(6)
+    clean = [(i, f"number {rng.randint(10**15, 10**16)} stands here", "en", "src", 1, "") for i in range(600)]
+    rare = [(1000, f'token = "{rng.randbytes(20).hex()}" x', "en", "src", 1, "")]
+    table = spark.createDataFrame(clean + rare, SCHEMA)
+    assert secret_scan.fitted(table, 20) is not None  # one secret in many documents is in the sample
+    none = spark.createDataFrame(clean, SCHEMA)
+    forest = secret_scan.fitted(none)
+    assert forest is None
+    assert secret_scan.scan(none, forest).filter("is_secret").count() == 0 and secret_scan.scan(table, forest).filter("is_secret").count() == 1
+    assert {r["text"] for r in secret_scan.redact(none, forest).collect()} == {r[1] for r in clean}
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (101, 99), (7, 7)], "u long, v long")
     got = {r["node"]: r["component"] for r in components.connected(links).collect()}
