@@ -1,12 +1,13 @@
 """BPE encoding and decoding by a distinct-word table.
 
 Words (runs without white space, which no token of such a tokenizer crosses) are split off in Spark. Each part of the
-input gives its distinct words once; they are dealt out by hash, each distinct word is encoded once, and its ids go back to
-the parts that hold it, where they are joined by position. Decoding joins ids with the id-to-piece table, whose size is the
-vocabulary's.
+input gives its distinct words once, letters and the signs after them apart; they are dealt out by hash, each distinct word is
+encoded once, and its ids go back to the parts that hold it. The ids that a part uses are joined with the id-to-piece table,
+and the part joins ids and pieces back by position, which encodes and decodes its documents.
 
-A part is a partition of the scan. Only distinct words cross the network on the way out, so a word of a third of all rows
-costs one row a part. The table of a bucket holds the distinct words of 1/n of the hash space and n follows the input.
+A part is a partition of the scan. Only distinct words and ids cross the network besides the documents, so a word of a third of all rows
+costs one row a part. The table of a bucket holds the distinct words of 1/n of the hash space and n follows the input; the piece
+table has as many rows as the vocabulary has entries, whatever the input.
 
 Defined cases: a null text counts as empty and gives no ids, an empty decoded text and the digests of the empty string;
 very long texts are one row each and processed whole; rows repeated with one doc_id are each returned. Extra columns
@@ -19,20 +20,22 @@ import hashlib
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireworks.llm.common import or_empty, pack, pieces_for, rows_of, table, to_batches, total_bytes, unpack
-from quireworks.llm.tokens import WordEncoder, encoder, in_portions, plain_words
+from quireworks.llm.common import PACKED_DDL, materialised, or_empty, pack, packed_documents, pieces_for, rows_of, table, to_batches, total_bytes, unpack
+from quireworks.llm.tokens import WordEncoder, cut_words, encoder, gathered, portions, strings, word_parts
 
 #: Text, before compression, of which one bucket of the word table holds the words on average.
 BUCKET_BYTES = 24 << 20
 
-_ROW = pa.schema([("part", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int8()), ("blob", pa.binary())])
-_ROW_DDL = "part bigint, bucket int, kind tinyint, blob binary"
+_ROW = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int8()), ("blob", pa.binary())])
+_ROW_DDL = "part int, bucket int, kind tinyint, blob binary"
 
 
 def _distinct(n_buckets: int):
@@ -40,8 +43,12 @@ def _distinct(n_buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = -1, set()
-        for part, text in rows_of(batches, "part", "text"):
-            seen.update(plain_words(text))
+        for batch in batches:
+            part, texts = batch.column(0)[0].as_py() if len(batch) else part, batch.column(1)
+            for a, b in portions(texts):
+                for own in word_parts(cut_words(texts.slice(a, b - a)).flatten().unique(), True):
+                    seen.update(strings(own.dictionary, " "))
+        seen.discard("")
         by: dict[int, list[bytes]] = defaultdict(list)
         while seen:
             w = seen.pop().encode()
@@ -51,110 +58,111 @@ def _distinct(n_buckets: int):
     return run
 
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The documents of this part, packed some at a time."""
-
-    def rows():
-        for some in in_portions(rows_of(batches, "part", "doc_id", "text")):
-            part = some[0][0]
-            texts = [t.encode() for _, _, t in some]
-            ids = pa.array([d for _, d, _ in some], pa.int64())
-            null = np.array([d is None for _, d, _ in some], np.uint8).tobytes()
-            yield part, -1, 1, pack(ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(), null, np.array(list(map(len, texts)), "<i8").tobytes(), b"".join(texts))
-
-    yield from to_batches(rows(), _ROW)
-
-
 def _encoded(path: str):
     """Rows of one bucket after another: each distinct word is encoded once, then each part gets the ids of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(WordEncoder, path)
 
-        def finish(bucket: int, parts: list[tuple[int, bytes]]):
-            lists = [(p, zstd_words) for p, zstd_words in parts]
-            distinct: set[str] = set()
-            for _, blob in lists:
-                distinct.update(unpack(blob)[0].decode().split("\n"))
-            ids = enc.learn(distinct)
-            del distinct
-            for p, blob in lists:
-                raw = unpack(blob)[0]
-                own = [ids[w] for w in raw.decode().split("\n")]
-                yield p, bucket, 0, pack(raw, np.fromiter(map(len, own), "<i4", len(own)).tobytes(), b"".join(own))
-
         def rows():
-            at, kept = None, []
-            for part, bucket, blob in rows_of(batches, "part", "bucket", "blob"):
-                if bucket != at and kept:
-                    yield from finish(at, kept)
-                    kept = []
-                at = bucket
-                kept.append((part, blob))
-            if kept:
-                yield from finish(at, kept)
+            for bucket, own in groupby(rows_of(batches, "bucket", "part", "blob"), key=lambda r: r[0]):
+                lists = [(p, blob) for _, p, blob in own]
+                distinct: set[str] = set()
+                for _, blob in lists:
+                    distinct.update(unpack(blob)[0].decode().split("\n"))
+                words = list(distinct)
+                flat, sizes = enc.ids_of(words)
+                number = dict(zip(words, range(len(words))))
+                del distinct, words
+                for p, blob in lists:
+                    raw = unpack(blob)[0]
+                    mine = np.fromiter(map(number.__getitem__, raw.decode().split("\n")), np.int64)
+                    yield p, bucket, 0, pack(raw, sizes[mine].astype("<i4").tobytes(), gathered(flat, sizes, mine)[0].astype("<u2").tobytes())
 
         yield from to_batches(rows(), _ROW)
 
     return run
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+def _used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct ids of each row of words."""
+    for part, blob in rows_of(batches, "part", "blob"):
+        ids = np.unique(np.frombuffer(unpack(blob)[2], "<u2")).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), pa.array(ids)], names=["part", "id"])
 
 
-def _joined(path: str, keep_ids: bool):
-    """Rows of one part after another, its words first: ids by position, pieces by id."""
+_OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("decoded", pa.string())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(WordEncoder, path)
-        number = [str(i) for i in range(len(enc.pieces))]
 
-        def rows():
-            at, ids, shown, told = None, {}, {}, {}
-            for part, kind, blob in rows_of(batches, "part", "kind", "blob"):
-                if part != at:
-                    at, ids, shown, told = part, {}, {}, {}
-                if kind == 0:
-                    words, sizes, flat = unpack(blob)
-                    cuts = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<i4"))])
-                    all_ids = np.frombuffer(flat, "<u2").tolist()
-                    half = (cuts // 2).tolist()
-                    for w, a, b in zip(words.decode().split("\n"), half[:-1], half[1:]):
-                        own = all_ids[a:b]
-                        shown[w] = " ".join([number[i] for i in own])
-                        told[w] = " ".join([enc.pieces[i] for i in own])
-                        if keep_ids:
-                            ids[w] = flat[2 * a : 2 * b]
-                    continue
-                raw_ids, null, sizes, flat = unpack(blob)
-                cuts = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<i8"))]).tolist()
-                for k, d in enumerate(np.frombuffer(raw_ids, "<i8").tolist()):
-                    words = plain_words(flat[cuts[k] : cuts[k + 1]].decode())
-                    a = [x for x in map(shown.__getitem__, words) if x]
-                    s = " ".join(a)
-                    p = " ".join([x for x in map(told.__getitem__, words) if x])
-                    yield None if null[k] else d, s.count(" ") + 1 if s else 0, b"".join(map(ids.__getitem__, words)) if keep_ids else b"", hashlib.sha256(s.encode()).hexdigest(), hashlib.sha256(p.encode()).hexdigest()
+class _Part:
+    """A part's words with their ids, and its ids' pieces."""
 
-        yield from to_batches(rows(), _OUT)
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {"": 0}
+        self.flat: list[bytes] = []
+        self.sizes: list[np.ndarray] = [np.zeros(1, np.int64)]
+        self.pieces: dict[int, str] = {}
 
-    return run
+    def learn(self, blob: bytes) -> None:
+        words, sizes, flat = unpack(blob)
+        own = words.decode().split("\n")
+        self.number.update(zip(own, range(len(self.number), len(self.number) + len(own))))
+        self.sizes.append(np.frombuffer(sizes, "<i4").astype(np.int64))
+        self.flat.append(flat)
 
+    def done(self) -> None:
+        self.all_ids, self.all_sizes = np.frombuffer(b"".join(self.flat), "<u2"), np.concatenate(self.sizes)
+        self.shown = pa.array([str(i) for i in range(max(self.pieces, default=0) + 1)])
+        self.told = pa.array([self.pieces.get(i) for i in range(len(self.shown))], pa.string())
 
-def encode(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian 16-bit), and digests of the decimal ids and of the decoded text.
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and where each text's begin."""
+        cut = cut_words(texts)
+        numbered = cut.flatten().dictionary_encode()
+        base, tail = word_parts(numbered.dictionary, True)
+        at = [np.fromiter(map(self.number.__getitem__, strings(x.dictionary, " ")), np.int64)[x.indices.to_numpy()] for x in (base, tail)]
+        flat, ends = gathered(self.all_ids, self.all_sizes, np.column_stack(at).ravel())
+        ids, ends = gathered(flat, np.diff(ends[::2]), numbered.indices.to_numpy())
+        offsets = cut.offsets.to_numpy()
+        return ids, ends[offsets - offsets[0]]
 
-    docs must give the same rows in the same partitions each time it is read, as tables do; a word without ids is an error.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.spark_partition_id().cast("long").alias("part"), "doc_id", or_empty("text").alias("text"))
-    size = total_bytes(docs)
-    n_buckets = pieces_for(size, BUCKET_BYTES)
-    n_parts = max(12, 3 * rows.rdd.getNumPartitions())  # few tasks then get two parts
-    words = rows.mapInArrow(_distinct(n_buckets), _ROW_DDL)
-    ids = words.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_encoded(path), _ROW_DDL)
-    both = ids.unionByName(rows.mapInArrow(_documents, _ROW_DDL))
-    joined = both.repartition(n_parts, "part").sortWithinPartitions("part", "kind")
-    return joined.mapInArrow(_joined(path, keep_ids), "doc_id bigint, n_tokens bigint, ids binary, ids_sha256 string, decoded_sha256 string")
+    def joined(self, strings_of: pa.Array, ids: np.ndarray, at: np.ndarray) -> list[str]:
+        lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), strings_of.take(pa.array(ids, pa.int32())))
+        return pc.binary_join(lists, " ").to_pylist()
+
+
+def _joined(keep: bool):
+    """Rows of one part after another, its words and pieces first: ids by position, pieces by id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for _, own in groupby(rows_of(batches, "part", "kind", "blob"), key=lambda r: r[0]):
+                part, open_ = _Part(), True
+                for _, kind, blob in own:
+                    if kind == 0:
+                        part.learn(blob)
+                    elif kind == 1:
+                        ids, flat = unpack(blob)
+                        part.pieces.update(zip(np.frombuffer(ids, "<i4").tolist(), flat.decode().split("\n")))
+                    else:
+                        if open_:
+                            part.done()
+                            open_ = False
+                        yield from documents(part, blob)
+
+        def documents(part: _Part, blob: bytes):
+            raw_ids, null, sizes, flat = unpack(blob)
+            docs = [None if z else d for d, z in zip(np.frombuffer(raw_ids, "<i8").tolist(), null)]
+            ends = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<i8"))]).astype("<i4")
+            ids, at = part.texts(pa.StringArray.from_buffers(len(docs), pa.py_buffer(ends.tobytes()), pa.py_buffer(flat)))
+            shown, told, raw, cuts = part.joined(part.shown, ids, at), part.joined(part.told, ids, at), ids.tobytes(), at.tolist()
+            for k, d in enumerate(docs):
+                sha = [hashlib.sha256(x.encode()).hexdigest() for x in (shown[k], told[k])]
+                yield d, cuts[k + 1] - cuts[k], raw[2 * cuts[k] : 2 * cuts[k + 1]] if keep else b"", *sha, told[k] if keep else ""
+
+        yield from to_batches(rows(), _OUT)
+
+    return run
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
@@ -163,6 +171,32 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(pieces)), "id int, piece string")
 
 
+def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Joined pieces packed by part; batches come sorted by part."""
+    for part, own in groupby(rows_of(batches, "part", "id", "piece"), key=lambda r: r[0]):
+        _, ids, pieces = zip(*own)
+        yield from to_batches(iter([(part, -1, 1, pack(np.array(ids, "<i4").tobytes(), "\n".join(pieces).encode()))]), _ROW)
+
+
+def encode(docs: DataFrame, path: str, keep: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian 16-bit), digests of the decimal ids and of the decoded text, and that text.
+
+    docs must give the same rows in the same partitions each time it is read, as tables do; a word without ids is an error.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.spark_partition_id().alias("part"), "doc_id", or_empty("text").alias("text"))
+    n_buckets = pieces_for(total_bytes(docs), BUCKET_BYTES)
+    n_parts = max(1, rows.rdd.getNumPartitions())
+    words = rows.select("part", "text").mapInArrow(_distinct(n_buckets), _ROW_DDL)
+    ids = materialised(words.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_encoded(path), _ROW_DDL), "word-ids")
+    used = ids.select("part", "blob").mapInArrow(_used, "part int, id int").distinct()
+    # The piece table has a row for each entry of the vocabulary, so it may be broadcast whatever the input.
+    pieces = used.join(F.broadcast(piece_table(spark, path)), "id").sortWithinPartitions("part").mapInArrow(_piece_rows, _ROW_DDL)
+    both = ids.unionByName(pieces).unionByName(rows.mapInArrow(packed_documents, PACKED_DDL).select("part", F.lit(-1).alias("bucket"), F.lit(2).cast("tinyint").alias("kind"), "blob"))
+    joined = both.repartitionById(n_parts, "part").sortWithinPartitions("part", "kind")
+    return joined.mapInArrow(_joined(keep), "doc_id bigint, n_tokens bigint, ids binary, ids_sha256 string, decoded_sha256 string, decoded string")
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, decoded from doc_id, ids array<int>: ids joined with their pieces and put together in order."""
     pieces = piece_table(encoded.sparkSession, path)
@@ -177,4 +211,4 @@ def op10_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents")
-    return encode(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return encode(docs, public_tokenizers.path("word_bpe_49k.json"), keep=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

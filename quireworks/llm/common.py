@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,9 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one of our own only where the session names none."""
+    """The folder that the driver and all executors share. In one process a folder of our own will do; on a cluster each executor would
+    then write to a disk of its own, so a session that names no folder is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='quireworks-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -38,7 +43,17 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: its lineage ends there, and a lost executor costs no recomputation."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Deletes the files of materialised DataFrames that nothing will read again."""
+    for df in written:
+        context = df.sparkSession.sparkContext
+        at = context._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def total_bytes(docs: DataFrame, column: str = "text") -> int:
@@ -75,6 +90,36 @@ def to_batches(rows: Iterator[tuple], schema: pa.Schema, max_rows: int = 4096, m
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept), schema.types)], schema=schema)
 
 
+#: Documents of a part of the input, packed some at a time in their order.
+PACKED = pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("blob", pa.binary())])
+PACKED_DDL = "part int, seq bigint, blob binary"
+
+
+def packed_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (part, doc_id, text) of one part as PACKED."""
+    seq = 0
+    for batch in batches:
+        ends = np.cumsum([0, *pc.binary_length(batch.column(2)).to_pylist()])
+        a = 0
+        while a < len(batch):
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + (1 << 20))))
+            ids = batch.column(1).slice(a, b - a)
+            texts = batch.column(2).slice(a, b - a).cast(pa.binary())
+            flat = b"".join(texts.to_pylist())
+            blob = pack(ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(), ids.is_null().to_numpy(zero_copy_only=False).astype("u1").tobytes(), np.diff(ends[a : b + 1]).astype("<i8").tobytes(), flat)
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((batch.column(0)[a].as_py(), seq, blob), PACKED.types)], schema=PACKED)
+            seq += 1
+            a = b
+
+
+def opened(blob: bytes) -> Iterator[tuple[int | None, bytes]]:
+    """(doc_id, bytes of the text) of each packed document."""
+    ids, null, sizes, flat = unpack(blob)
+    cuts = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<i8"))]).tolist()
+    for k, d in enumerate(np.frombuffer(ids, "<i8").tolist()):
+        yield None if null[k] else d, flat[cuts[k] : cuts[k + 1]]
+
+
 def pack(*fields: bytes) -> bytes:
     """Byte strings as one compressed one."""
     sizes = np.array([len(fields), *map(len, fields)], "<i8").tobytes()

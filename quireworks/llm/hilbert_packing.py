@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireworks.llm.common import materialised, or_empty, pieces_for, rows_of, table, to_batches, total_bytes
-from quireworks.llm.tokens import ByteEncoder, encoder, in_portions
+from quireworks.llm.tokens import ByteEncoder, encoder
 
 SEQUENCE = 1024
 #: Buckets that ids are hashed to, dimensions they are projected to, and bits of each in the key.
@@ -84,8 +84,8 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         packer = zstandard.ZstdCompressor(level=1)
 
         def rows():
-            for some in in_portions(rows_of(batches, "doc_id", "text")):
-                for (d, _), x in zip(some, enc.encode([t for _, t in some])):
+            for batch in batches:
+                for d, x in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1))):
                     raw = x + end
                     ids = np.frombuffer(raw, "<u2")
                     v = np.bincount(bucket[ids], minlength=BUCKETS).astype(np.float64)

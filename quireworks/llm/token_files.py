@@ -29,13 +29,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quireworks.llm.common import or_empty, pieces_for, rows_of, scratch, table, to_batches, total_bytes
-from quireworks.llm.tokens import WordEncoder, encoder, in_portions
+from quireworks.llm.tokens import WordEncoder, encoder, portions
 
 MAGIC = b"QWIDS\x001\n"
 END = "\nQWIDS-END\n"
 #: Bytes of text in a range, and of ids in a file, about.
 RANGE_BYTES = 24 << 20
 FILE_BYTES = 8 << 20
+#: Ranges whose starts are summed together.
+BLOCK = 4096
 #: Documents that the dictionary is trained on, at most about; ids of each training sample; bytes of all; size of the dictionary.
 SAMPLE_DOCS, SAMPLE_IDS, SAMPLE_BYTES, DICT_BYTES = 2000, 512, 4 << 20, 64 << 10
 LEVEL = 3
@@ -49,8 +51,8 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int) -> bytes:
 
     def samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(WordEncoder, path)
-        for some in in_portions(rows_of(batches, "doc_id", "text")):
-            ids = enc.encode([t for _, t in some])
+        for batch in batches:
+            ids = enc.encode(batch.column(1))
             step = 2 * SAMPLE_IDS
             cut = [x[k : k + step] for x in ids for k in range(0, len(x), step)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x in cut if len(x) >= 16], pa.binary())], names=["s"])
@@ -94,17 +96,18 @@ def write_ids(docs: DataFrame, path: str, end_id: int, to: str, dictionary: byte
             body = [MAGIC, np.array([len(head)], "<u4").tobytes(), head, np.array([d or 0 for d in ids], "<i8").tobytes(), np.array([d is None for d in ids], "u1").tobytes(), np.array(counts, "<u4").tobytes(), offsets.tobytes(), *frames]
             return pa.RecordBatch.from_arrays([pa.array([b"".join(body)], pa.binary())], names=["file"])
 
-        for some in in_portions(rows_of(batches, "doc_id", "text")):
-            for (d, _), x in zip(some, enc.encode([t for _, t in some])):
-                raw = x + end
-                frames.append(packer.compress(raw))
-                ids.append(d)
-                counts.append(len(raw) // 2)
-                size += len(frames[-1])
-            if size >= FILE_BYTES:
-                yield done()
-                number += 1
-                ids, frames, counts, size = [], [], [], 0
+        for batch in batches:
+            for a, b in portions(batch.column(1)):
+                for d, x in zip(batch.column(0).slice(a, b - a).to_pylist(), enc.encode(batch.column(1).slice(a, b - a))):
+                    raw = x + end
+                    frames.append(packer.compress(raw))
+                    ids.append(d)
+                    counts.append(len(raw) // 2)
+                    size += len(frames[-1])
+                if size >= FILE_BYTES:
+                    yield done()
+                    number += 1
+                    ids, frames, counts, size = [], [], [], 0
         if ids:
             yield done()
 
@@ -162,12 +165,15 @@ def read_ids(spark: SparkSession, at: str, dictionary: bytes) -> DataFrame:
         found = [_header(raw)[0] for (raw,) in rows_of(batches, "content")]
         yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in found], pa.int64()) for k in ("range", "number", "tokens")], names=["range", "number", "tokens"])
 
-    # Tokens before each file: over the ranges first (one row each), then over the files of a range.
+    # Tokens before each file: over blocks of ranges, over the ranges of a block, over the files of a range.
     tops = files.mapInArrow(heads, "range bigint, number bigint, tokens bigint")
     of_range = Window.partitionBy("range").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = tops.groupBy("range").agg(F.sum("tokens").alias("t")).select("range", F.coalesce(F.sum("t").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("range_start"))
-    starts = tops.select("range", "number", F.coalesce(F.sum("tokens").over(of_range), F.lit(0)).alias("file_start")).join(ranges, "range")
-    return files.mapInArrow(documents, ddl).join(F.broadcast(starts), ["range", "number"]).select("doc_id", (F.col("range_start") + F.col("file_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    before = lambda w: F.coalesce(F.sum("t").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = tops.groupBy("range", F.floor(F.col("range") / BLOCK).alias("block")).agg(F.sum("tokens").alias("t"))
+    blocks = ranges.groupBy("block").agg(F.sum("t").alias("t")).select("block", before(Window.orderBy("block")).alias("block_start"))
+    ranges = ranges.select("range", "block", before(Window.partitionBy("block").orderBy("range")).alias("in_block")).join(blocks, "block")
+    starts = tops.select("range", "number", F.coalesce(F.sum("tokens").over(of_range), F.lit(0)).alias("file_start")).join(ranges.select("range", (F.col("block_start") + F.col("in_block")).alias("range_start")), "range")
+    return files.mapInArrow(documents, ddl).join(starts, ["range", "number"]).select("doc_id", (F.col("range_start") + F.col("file_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
