@@ -7,12 +7,14 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as Unicode defines it; U+FEFF is not in it.
+#: White space as Unicode defines it; U+FEFF is not in it. As a pattern, and as the characters themselves.
 WHITE = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
+WHITE_CHARS = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
 
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WHITE}+|{WHITE}+$", "")
+    return F.btrim(c, F.lit(WHITE_CHARS))
 
 
 def java(pattern: str) -> str:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ipaddress
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,15 +48,51 @@ def in_cidr(ip: Column, cidr: str) -> Column:
     return F.coalesce(ip_number(ip).between(*bounds(cidr)), F.lit(False))
 
 
+def _resolved(remote: pd.Series, forwarded: pd.Series, trusted: tuple[str, ...]) -> list[str | None]:
+    blocks = [ipaddress.ip_network(c) for c in trusted]
+
+    def address(x: str):
+        try:
+            ip = ipaddress.ip_address(x.strip())
+        except ValueError:
+            return None
+        return getattr(ip, "ipv4_mapped", None) or ip
+
+    def one(peer: str | None, hops: str | None) -> str | None:
+        host = re.fullmatch(r"\[(.*)\](?::[0-9]+)?|([^:]*):[0-9]+|(.*)", peer or "", re.S)
+        ip = address(host[host.lastindex]) if host and host.lastindex else None
+        if ip is None:
+            return None
+        known = lambda x: any(x in b for b in blocks)
+        if not known(ip) or not (hops or "").strip():
+            return str(ip)
+        own = [address(h) for h in hops.split(",")]
+        if None in own:
+            return str(ip)
+        return str(next((h for h in reversed(own) if not known(h)), own[0]))
+
+    return [one(p, h) for p, h in zip(remote, forwarded)]
+
+
 def attribute_clients(log: DataFrame, trusted: tuple[str, ...]) -> DataFrame:
     """log(remote, forwarded) with client: behind a trusted peer the right-most hop that isn't trusted, the left-most where all are, the
-    peer where a hop can't be read; null where the peer itself can't."""
-    is_trusted = lambda ip: F.lit(False) if not trusted else F.greatest(F.lit(False), F.lit(False), *[in_cidr(ip, c) for c in trusted])
-    peer = host_of(F.col("remote"))
-    hops = F.transform(F.split(F.coalesce("forwarded", F.lit("")), ","), lambda h: host_of(F.trim(h)))
+    peer where a hop can't be read; null where the peer itself can't. Rows whose addresses are all plain IPv4 stay in column
+    expressions; those with an IPv6 address go through Python."""
+    four = tuple(c for c in trusted if ":" not in c)
+    is_trusted = lambda ip: F.greatest(F.lit(False), F.lit(False), *[in_cidr(ip, c) for c in four])
+    peer = host_of(F.trim("remote"))
+    hops = F.transform(F.split("forwarded", ","), lambda h: F.trim(h))
     outside = F.filter(hops, lambda h: ~is_trusted(h))
     through = F.when(F.exists(hops, lambda h: ~h.rlike(IPV4)), peer).otherwise(F.coalesce(F.try_element_at(outside, F.lit(-1)), hops[0]))
-    return log.withColumn("client", F.when(peer.rlike(IPV4), F.when(is_trusted(peer), through).otherwise(peer)))
+    plain = F.when(F.trim(F.coalesce("forwarded", F.lit(""))) == "", peer).otherwise(through)
+    six = F.coalesce(F.contains("forwarded", F.lit(":")), F.lit(False)) | F.col("remote").rlike("\\[|:.*:")
+
+    @F.pandas_udf("string")
+    def resolved(remote: pd.Series, forwarded: pd.Series) -> pd.Series:
+        return pd.Series(_resolved(remote, forwarded, trusted), dtype=object)
+
+    fast = log.filter(~F.coalesce(six, F.lit(False))).withColumn("client", F.when(peer.rlike(IPV4), F.when(is_trusted(peer), plain).otherwise(peer)))
+    return fast.unionByName(log.filter(F.coalesce(six, F.lit(False))).withColumn("client", resolved("remote", "forwarded")))
 
 
 def pseudonym(c: Column, key: bytes) -> Column:

@@ -6,22 +6,28 @@ created_at, completed_at, expires_at, purge_at. `now` is always given, so result
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNFINISHED, TERMINAL, GONE = ("queued", "converting"), ("failed", "expired", "evicted"), ("expired", "evicted")
 
 
-def prefix_sum(df: DataFrame, bucket: Column, order: list[str], value: str, name: str) -> DataFrame:
-    """df with name = the sum of value over all rows before this one, in the order of (bucket, *order).
+def prefix_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """df with name = the sum of value over all rows before this one, in the order of the columns `order`, the first of them a time.
 
-    A window over all rows would run in one task. Here the buckets (say days) are summed, the few sums are accumulated,
-    and each bucket runs its own window from its start."""
-    x = df.withColumn("_bucket", bucket)
-    sums = x.groupBy("_bucket").agg(F.sum(value).alias("_sum"))
-    starts = sums.select("_bucket", F.coalesce(F.sum("_sum").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return x.join(starts, "_bucket").withColumn(name, F.col("_start") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("_bucket", "_start")
+    A window over all rows would run in one task. Here minutes are summed, their sums are accumulated within days, those of the days over all
+    days (a row each), and each minute runs its own window from its start, so a busy day is dealt over its minutes."""
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    x = df.withColumn("_minute", F.date_trunc("minute", order[0]))
+    minutes = x.groupBy("_minute", F.to_date("_minute").alias("_day")).agg(F.sum(value).alias("_sum"))
+    days = minutes.groupBy("_day").agg(F.sum("_sum").alias("_sum")).select("_day", before("_sum", Window.orderBy("_day")).alias("_start"))
+    starts = minutes.select("_minute", "_day", before("_sum", Window.partitionBy("_day").orderBy("_minute")).alias("_in_day")).join(days, "_day").select("_minute", (F.col("_start") + F.col("_in_day")).alias("_start"))
+    return x.join(starts, "_minute").withColumn(name, F.col("_start") + before(value, Window.partitionBy("_minute").orderBy(*order))).drop("_minute", "_start")
 
 
 def capacity(ledger: DataFrame, workers: int) -> DataFrame:
@@ -36,7 +42,7 @@ def active_by_client(ledger: DataFrame) -> DataFrame:
 def queue_positions(ledger: DataFrame) -> DataFrame:
     """job_id, queue_position: 1-based among the queued in order of (created_at, job_id), 0 for the others."""
     queued = ledger.filter("status = 'queued'").select("job_id", "created_at", F.lit(1).alias("one"))
-    at = prefix_sum(queued, F.to_date("created_at"), ["created_at", "job_id"], "one", "before").select("job_id", (F.col("before") + 1).alias("queue_position"))
+    at = prefix_sum(queued, ["created_at", "job_id"], "one", "before").select("job_id", (F.col("before") + 1).alias("queue_position"))
     return at.unionByName(ledger.filter(~F.col("status").eqNullSafe("queued")).select("job_id", F.lit(0).cast("long").alias("queue_position")))
 
 
@@ -63,7 +69,7 @@ def evict_to_quota(ledger: DataFrame, leases: DataFrame, most: int, required: in
         return ledger.limit(0)
     used = ledger.filter("status = 'succeeded'").agg(F.coalesce(F.sum("output_size"), F.lit(0)).alias("_used"))
     may = ledger.filter("status = 'succeeded'").join(leases, "job_id", "left_anti")
-    x = prefix_sum(may, F.to_date("completed_at"), ["completed_at", "job_id"], "output_size", "_before").crossJoin(F.broadcast(used))  # one row
+    x = prefix_sum(may, ["completed_at", "job_id"], "output_size", "_before").crossJoin(F.broadcast(used))  # one row
     return x.filter(F.col("_used") - F.col("_before") > most - required).drop("_before", "_used")
 
 
@@ -138,13 +144,49 @@ def history(records: DataFrame, now: Column, n: int = 30) -> DataFrame:
     return x.select("owner_id", "job_id", "rank", status.alias("status"))
 
 
-def admission_replay(submissions: DataFrame, per_client: int, timeout_column: str = "done_at") -> DataFrame:
-    """submissions(job_id, client_id, created_at, done_at) with the jobs of the client still open at submission, and whether that is
-    over its limit: ends before or at a start close first, so the count is a running sum of starts and ends per client."""
-    starts = submissions.select("client_id", F.col("created_at").alias("at"), F.lit(1).alias("d"), "job_id")
-    ends = submissions.select("client_id", F.col(timeout_column).alias("at"), F.lit(-1).alias("d"), "job_id").filter("at is not null")
-    order = Window.partitionBy("client_id").orderBy("at", "d", "job_id").rowsBetween(Window.unboundedPreceding, -1)
-    return starts.unionByName(ends).withColumn("open", F.coalesce(F.sum("d").over(order), F.lit(0))).filter("d = 1").select("job_id", "client_id", "open", (F.col("open") >= per_client).alias("over_limit"))
+def busy_periods(submissions: DataFrame) -> DataFrame:
+    """submissions(job_id, created_at, done_at) with period: a number that changes where, if all were taken, none would be open.
+
+    What is open at a submission depends on its own period only."""
+    lasts = F.col("done_at").isNull() | (F.col("done_at") > F.col("created_at"))  # others are over as they begin
+    starts = submissions.select(F.col("created_at").alias("at"), F.lit(1).alias("kind"), F.when(lasts, 1).otherwise(0).alias("d"), "job_id")
+    ends = submissions.filter(lasts & F.col("done_at").isNotNull()).select(F.col("done_at").alias("at"), F.lit(0).alias("kind"), F.lit(-1).alias("d"), "job_id")
+    running = prefix_sum(starts.unionByName(ends), ["at", "kind", "job_id"], "d", "_open").filter("kind = 1")
+    first = prefix_sum(running.withColumn("_new", F.when(F.col("_open") <= 0, 1).otherwise(0)), ["at", "job_id"], "_new", "_periods")
+    return submissions.join(first.select("job_id", (F.col("_periods") + F.col("_new")).alias("period")), "job_id")
+
+
+def admission_replay(submissions: DataFrame, per_client: int, capacity: int, storage: int) -> DataFrame:
+    """submissions(job_id, client_id, created_at, done_at, size) with the verdict of each: ip_limit where the client has per_client open jobs,
+    else queue_full where capacity jobs are open, else storage_full where its size and those of the open jobs are more than storage, else
+    accepted. Only accepted jobs count, until their done_at; an end at a start's time comes before it.
+
+    Admission is a sequence. It is cut where nothing can be open (busy_periods), and each period is run through in its order by
+    one task that holds the open jobs only, capacity of them at most."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        period, open_, clients, held = None, [], Counter(), 0
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                if r.period != period:
+                    period, open_, clients, held = r.period, [], Counter(), 0
+                while open_ and open_[0][0] <= r.created_at:
+                    _, client, size = heapq.heappop(open_)
+                    clients[client] -= 1
+                    held -= size
+                n = clients[r.client_id]
+                verdict = "ip_limit" if n >= per_client else "queue_full" if len(open_) >= capacity else "storage_full" if held + r.size > storage else "accepted"
+                out.append((r.job_id, r.client_id, verdict, n, len(open_)))
+                if verdict == "accepted":
+                    heapq.heappush(open_, (pd.Timestamp.max if pd.isna(r.done_at) else r.done_at, r.client_id, r.size))
+                    clients[r.client_id] += 1
+                    held += r.size
+            yield pd.DataFrame(out, columns=["job_id", "client_id", "verdict", "client_open", "all_open"])
+
+    kinds = dict(submissions.dtypes)
+    x = busy_periods(submissions).select("period", "job_id", "client_id", "created_at", "done_at", "size").repartition("period").sortWithinPartitions("period", "created_at", "job_id")
+    return x.mapInPandas(run, f"job_id {kinds['job_id']}, client_id {kinds['client_id']}, verdict string, client_open int, all_open int")
 
 
 def stage_progress(ledger: DataFrame) -> DataFrame:

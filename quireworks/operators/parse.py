@@ -1,6 +1,9 @@
 """From the ordered lines of books to their names, introductions, volumes, chapters and sections.
 
 Everything is a window over (book_id, line_no) or a grouping by book_id, so one exchange by book_id carries the parse.
+
+`rules` is one rule set for all books or, where books follow different ones, a dict of rule sets by the lines' column ruleset_id:
+each expression then has a branch for each of them, and a line takes its own.
 """
 
 from __future__ import annotations
@@ -9,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quireworks.functions import textcols as T
-from quireworks.functions.rules import LANGUAGE, PRESETS, SPECIAL_STARTS, Rules
+from quireworks.functions.rules import EMPTY, LANGUAGE, PRESETS, SPECIAL_STARTS, Rules, extend
+
+RuleSets = Rules | dict[int, Rules]
 
 #: The longest line taken, in bytes; a longer one fails its whole book.
 LONGEST_LINE = 4 << 20
@@ -24,14 +29,32 @@ def _lines() -> WindowSpec:
     return _book().orderBy("line_no")
 
 
-def explode_lines(books: DataFrame) -> DataFrame:
-    """book_id, line_no, line of books(book_id, text): split at line feeds, one carriage return at a line's end dropped."""
-    line = F.regexp_replace("raw", "\r$", "")
-    return books.select("book_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw")).select("book_id", "line_no", line.alias("line"))
+def by_rules(rules: RuleSets, f) -> Column:
+    """f(rules) for the rule set of a line; the branches of other rule sets are not evaluated."""
+    if isinstance(rules, Rules):
+        return f(rules)
+    out = F
+    for k, own in rules.items():
+        out = out.when(F.col("ruleset_id") == k, f(own))
+    return out if rules else f(EMPTY)
+
+
+def longest_line(text: Column) -> Column:
+    return F.array_max(F.transform(F.split(text, "\n", -1), F.octet_length))
 
 
-def overlong_books(lines: DataFrame, most: int = LONGEST_LINE) -> DataFrame:
-    return lines.groupBy("book_id").agg(F.max(F.octet_length("line")).alias("longest")).filter(F.col("longest") > most)
+def explode_lines(books: DataFrame, most: int = LONGEST_LINE) -> DataFrame:
+    """book_id (and ruleset_id), line_no, line of books(book_id, text): split at line feeds, one carriage return at a line's end dropped.
+    A line of more than `most` bytes fails its whole book, which has no lines here; see overlong_books."""
+    own = ["book_id", *(c for c in books.columns if c == "ruleset_id")]
+    line = F.transform(F.split("text", "\n", -1), lambda x: F.when(x.endswith("\r"), F.substring(x, F.lit(1), F.length(x) - 1)).otherwise(x))
+    return books.filter(longest_line(F.col("text")) <= most).select(*own, F.posexplode(line).alias("line_no", "line"))
+
+
+def overlong_books(books: DataFrame, most: int = LONGEST_LINE) -> DataFrame:
+    """book_id, longest, parse_error of the books(book_id, text) that an overlong line fails."""
+    x = books.select("book_id", longest_line(F.col("text")).alias("longest")).filter(F.col("longest") > most)
+    return x.withColumn("parse_error", F.lit("line too long"))
 
 
 def normalize_lines(lines: DataFrame) -> DataFrame:
@@ -39,43 +62,50 @@ def normalize_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("line", T.trim(F.col("line"))).filter("line <> ''")
 
 
-def is_noise(line: Column, rules: Rules) -> Column:
-    found = F.lit(False)
-    for p in rules.ignored_patterns:
-        found = found | T.matches(line, p)
-    for k in rules.ignored_contains:
-        found = found | F.contains(line, F.lit(k))
-    return found
+def is_noise(line: Column, rules: RuleSets) -> Column:
+    def own(r: Rules) -> Column:
+        found = F.lit(False)
+        for p in r.ignored_patterns:
+            found = found | T.matches(line, p)
+        for k in r.ignored_contains:
+            found = found | F.contains(line, F.lit(k))
+        return found
 
+    return by_rules(rules, own)
 
-def drop_noise(lines: DataFrame, rules: Rules) -> DataFrame:
+
+def drop_noise(lines: DataFrame, rules: RuleSets) -> DataFrame:
     return lines.filter(~is_noise(F.col("line"), rules))
 
 
-def noise_lines(lines: DataFrame, rules: Rules) -> DataFrame:
+def noise_lines(lines: DataFrame, rules: RuleSets) -> DataFrame:
     return lines.filter(is_noise(F.col("line"), rules))
 
 
-def kind_of(line: Column, rules: Rules) -> Column:
+def kind_of(line: Column, rules: RuleSets) -> Column:
     """volume, chapter, extra, special or body; the first that holds."""
-    special = line.isin(*rules.special_titles)
-    for s in SPECIAL_STARTS:
-        special = special | line.startswith(s)
-    return F.when(T.matches(line, rules.volume), "volume").when(T.matches(line, rules.chapter), "chapter").when(T.matches(line, rules.extra), "extra").when(special, "special").otherwise("body")
 
+    def own(r: Rules) -> Column:
+        special = line.isin(*r.special_titles)
+        for s in SPECIAL_STARTS:
+            special = special | line.startswith(s)
+        return F.when(T.matches(line, r.volume), "volume").when(T.matches(line, r.chapter), "chapter").when(T.matches(line, r.extra), "extra").when(special, "special").otherwise("body")
+
+    return by_rules(rules, own)
 
-def classify_lines(lines: DataFrame, rules: Rules) -> DataFrame:
+
+def classify_lines(lines: DataFrame, rules: RuleSets) -> DataFrame:
     return lines.withColumn("kind", kind_of(F.col("line"), rules))
 
 
-def with_name_author(lines: DataFrame, rules: Rules, name: str = "", author: str = "") -> DataFrame:
+def with_name_author(lines: DataFrame, rules: RuleSets, name: str = "", author: str = "") -> DataFrame:
     """lines with name, author and the lines they come from, in the closed form of a first-match scan.
 
     The inline pattern (name and author on one line) wins over the title on its line; a title line can't be the author's."""
     line = F.col("line")
-    inline_name, inline_author = T.capture_two(line, rules.title_author)
+    inline_name, inline_author = (by_rules(rules, lambda r, k=k: T.capture_two(line, r.title_author)[k]) for k in (0, 1))
     name, author = name.strip(), author.strip()
-    x = lines.withColumns({"_in": inline_name, "_ia": inline_author, "_t": T.capture(line, rules.title), "_a": T.capture(line, rules.author)})
+    x = lines.withColumns({"_in": inline_name, "_ia": inline_author, "_t": by_rules(rules, lambda r: T.capture(line, r.title)), "_a": by_rules(rules, lambda r: T.capture(line, r.author))})
     at = lambda c: F.min(F.when(c, F.col("line_no"))).over(_book())
     first = F.lit(None).cast("int")
     x = x.withColumns({"_i1": at(F.col("_in").isNotNull()), "_t1": first if name else at(F.col("_t").isNotNull() & F.col("_in").isNull())})
@@ -93,11 +123,11 @@ def unnamed(lines: DataFrame) -> DataFrame:
     return lines.filter(~(no.eqNullSafe(F.col("name_line")) | no.eqNullSafe(F.col("author_line"))))
 
 
-def with_intro(lines: DataFrame, rules: Rules) -> DataFrame:
+def with_intro(lines: DataFrame, rules: RuleSets) -> DataFrame:
     """lines(book_id, line_no, line, kind) with intro and used, whether a line was taken for it.
 
     A prefix opens a stretch that ends at the next heading without one; the first stretch with text is the introduction."""
-    x = lines.withColumn("_p", T.strip_prefix(F.col("line"), rules.intro_prefixes))
+    x = lines.withColumn("_p", by_rules(rules, lambda r: T.strip_prefix(F.col("line"), r.intro_prefixes)))
     x = x.withColumn("_seg", F.sum(F.when(F.col("_p").isNull() & (F.col("kind") != "body"), 1).otherwise(0)).over(_lines()))
     ws = Window.partitionBy("book_id", "_seg").orderBy("line_no")
     x = x.withColumn("_member", F.max(F.col("_p").isNotNull()).over(ws))
@@ -130,7 +160,8 @@ def assemble_chapters(lines: DataFrame) -> DataFrame:
     own = lines.filter((F.col("volume_ix") >= 0) & (F.col("chapter_ix") >= 0) & (F.col("kind") != "volume"))
     body = F.col("kind") == "body"
     html = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(body, F.struct("line_no", paragraph(F.col("line")).alias("h"))))), lambda x: x["h"]), "")
-    return own.groupBy("book_id", "volume_ix", "chapter_ix").agg(F.max(F.when(~body, F.col("line"))).alias("title"), html.alias("content_html"), F.sum(body.cast("long")).alias("n_paragraphs"))
+    keys = ["book_id", *(c for c in lines.columns if c == "ruleset_id")]
+    return own.groupBy(*keys, "volume_ix", "chapter_ix").agg(F.max(F.when(~body, F.col("line"))).alias("title"), html.alias("content_html"), F.sum(body.cast("long")).alias("n_paragraphs"))
 
 
 def assemble_volumes(lines: DataFrame) -> DataFrame:
@@ -143,36 +174,50 @@ def unparsed_books(books: DataFrame, volumes: DataFrame) -> DataFrame:
     return books.select("book_id").distinct().join(volumes, "book_id", "left_anti")
 
 
-def derive_intro(chapters: DataFrame, rules: Rules) -> DataFrame:
-    """book_id, intro: the text of the first chapter whose title the intro pattern matches, tags off, entities as they are."""
-    return chapters.filter(T.matches(F.col("title"), rules.intro)).groupBy("book_id").agg(T.strip_tags(F.min_by("content_html", F.struct("volume_ix", "chapter_ix"))).alias("intro"))
+def derive_intro(chapters: DataFrame, rules: RuleSets) -> DataFrame:
+    """book_id, intro: the text of the first chapter whose title the intro pattern matches, tags off, trimmed, entities as they are."""
+    first = F.min_by("content_html", F.struct("volume_ix", "chapter_ix"))
+    return chapters.filter(by_rules(rules, lambda r: T.matches(F.col("title"), r.intro))).groupBy("book_id").agg(T.trim(T.strip_tags(first)).alias("intro"))
 
 
-def book_metadata(books: DataFrame, found: DataFrame) -> DataFrame:
-    """books(book_id, stem) with name, author, intro, lang and their fallbacks from found(book_id, name, author, intro)."""
+def book_metadata(books: DataFrame, found: DataFrame, derived: DataFrame | None = None) -> DataFrame:
+    """books(book_id, stem) with name, author, intro, lang and their fallbacks from found(book_id, name, author, intro); where that has no
+    intro, the one of derived(book_id, intro)."""
     clean = lambda c: F.nullif(T.trim(F.col(c)), F.lit(""))
-    return books.join(found, "book_id", "left").select("book_id", F.coalesce(clean("name"), "stem").alias("name"), F.coalesce(clean("author"), F.lit("")).alias("author"), F.coalesce("intro", F.lit("")).alias("intro"), F.lit(LANGUAGE).alias("lang"))
+    x, other = books.join(found, "book_id", "left"), F.lit(None).cast("string")
+    if derived is not None:
+        x, other = x.join(derived.select("book_id", F.col("intro").alias("_derived")), "book_id", "left"), F.col("_derived")
+    intro = F.coalesce(F.nullif(F.col("intro"), F.lit("")), other, F.lit(""))
+    return x.select("book_id", F.coalesce(clean("name"), "stem").alias("name"), F.coalesce(clean("author"), F.lit("")).alias("author"), intro.alias("intro"), F.lit(LANGUAGE).alias("lang"))
 
 
-def render_sections(volumes: DataFrame, chapters: DataFrame) -> DataFrame:
-    """book_id, seq, file_name, parent_file, title, body in reading order."""
+def assemble_sections(lines: DataFrame) -> DataFrame:
+    """book_id, seq, file_name, parent_file, title, body in reading order: volumes and chapters from one grouping of lines(book_id, line_no,
+    line, kind, volume_ix, chapter_ix). A volume's own line is alone with chapter_ix -1; body lines before a first chapter belong to nothing."""
+    body = F.col("kind") == "body"
+    own = lines.filter((F.col("volume_ix") >= 0) & ((F.col("chapter_ix") >= 0) | (F.col("kind") == "volume")))
+    html = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(body, F.struct("line_no", paragraph(F.col("line")).alias("h"))))), lambda x: x["h"]), "")
+    units = own.groupBy("book_id", "volume_ix", "chapter_ix").agg(F.max(F.when(~body, F.col("line"))).alias("title"), html.alias("html"))
+    volume, order = Window.partitionBy("book_id", "volume_ix"), Window.partitionBy("book_id").orderBy("volume_ix", "chapter_ix")
+    head = F.col("chapter_ix") < 0
     stem = F.concat(F.lit("volume"), F.col("volume_ix").cast("string"))
-    heads = volumes.filter("title <> ''").select("book_id", "volume_ix", F.lit(-1).alias("chapter_ix"), F.concat(stem, F.lit(".xhtml")).alias("file_name"), F.lit("").alias("parent_file"), "title", F.concat(F.lit("<h1>"), T.escaped(F.col("title")), F.lit("</h1>")).alias("body"))
-    v = volumes.select("book_id", "volume_ix", (F.col("title") != "").alias("named"))
-    parts = chapters.join(v, ["book_id", "volume_ix"]).select(
-        "book_id", "volume_ix", "chapter_ix", F.concat(stem, F.lit("_chapter"), F.col("chapter_ix").cast("string"), F.lit(".xhtml")).alias("file_name"),
-        F.when(F.col("named"), F.concat(stem, F.lit(".xhtml"))).otherwise("").alias("parent_file"), "title",
-        F.concat(F.lit("<h2>"), T.escaped(F.col("title")), F.lit("</h2>"), F.col("content_html")).alias("body"),
+    x = units.withColumns({"_named": F.max(head).over(volume), "seq": F.row_number().over(order)})
+    tag = lambda name: F.concat(F.lit(f"<{name}>"), T.escaped(F.col("title")), F.lit(f"</{name}>"))
+    return x.select(
+        "book_id", "seq",
+        F.concat(stem, F.when(head, "").otherwise(F.concat(F.lit("_chapter"), F.col("chapter_ix").cast("string"))), F.lit(".xhtml")).alias("file_name"),
+        F.when(F.col("_named") & ~head, F.concat(stem, F.lit(".xhtml"))).otherwise("").alias("parent_file"),
+        "title", F.when(head, tag("h1")).otherwise(F.concat(tag("h2"), F.col("html"))).alias("body"),
     )
-    order = Window.partitionBy("book_id").orderBy("volume_ix", "chapter_ix")
-    return heads.unionByName(parts).withColumn("seq", F.row_number().over(order)).select("book_id", "seq", "file_name", "parent_file", "title", "body")
 
 
 def toc(sections: DataFrame) -> DataFrame:
-    """book_id, file_name, title, children: the top level of the contents with what is under each entry, in order."""
-    top = sections.filter("parent_file = ''").select("book_id", "seq", "file_name", "title")
-    under = sections.filter("parent_file <> ''").groupBy("book_id", F.col("parent_file").alias("file_name")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "title"))), lambda x: x["title"]).alias("children"))
-    return top.join(under, ["book_id", "file_name"], "left").withColumn("children", F.coalesce("children", F.array().cast("array<string>")))
+    """book_id, file_name, seq, title, children: the top level of the contents with what is under each entry, in order."""
+    under = F.col("parent_file") != ""
+    entry = F.when(under, F.col("parent_file")).otherwise(F.col("file_name")).alias("file_name")
+    own = lambda c: F.max(F.when(~under, F.col(c))).alias(c)
+    children = F.transform(F.array_sort(F.collect_list(F.when(under, F.struct("seq", "title")))), lambda x: x["title"])
+    return sections.groupBy("book_id", entry).agg(own("seq"), own("title"), children.alias("children"))
 
 
 def detect_presets(lines: DataFrame, first: int = 400) -> DataFrame:
@@ -198,6 +243,24 @@ def assign_rulesets(books: DataFrame, rulesets: DataFrame, default: str) -> Data
     return asked.join(F.broadcast(known), "_c", "left").withColumn("rule_error", F.when(F.col("ruleset_id").isNull(), F.concat(F.lit("unknown channel "), F.col("_c")))).drop("_c")
 
 
+def preset_rules(base: Rules = Rules()) -> dict[int, Rules]:
+    """Rule sets by mask: base extended by the presets whose bits are set, in the order of their names' list."""
+    out = {}
+    for mask in range(1 << len(PRESETS)):
+        own = base
+        for i, p in enumerate(PRESETS.values()):
+            if mask >> i & 1:
+                own = extend(own, p.rules)
+        out[mask] = own
+    return out
+
+
+def detected_mask(books: DataFrame, applied: DataFrame) -> DataFrame:
+    """books with ruleset_id, the mask of preset_rules for what applied(book_id, applied) names."""
+    mask = sum((F.when(F.array_contains("applied", name), 1 << i).otherwise(0) for i, name in enumerate(PRESETS)), F.lit(0))
+    return books.join(applied.select("book_id", mask.cast("int").alias("ruleset_id")), "book_id")
+
+
 def apply_detected(books: DataFrame, detections: DataFrame, mode: str, named: bool = False) -> DataFrame:
     """book_id, suggested, applied: preset names of each book, best first; they take effect in mode apply, and not where a preset was named."""
     mode = mode if mode in ("off", "apply") else "suggest"

@@ -12,6 +12,7 @@ from quireworks.functions import textcols as T
 from quireworks.operators import access as A
 from quireworks.operators import ledger as L
 from quireworks.operators import parse as P
+from quireworks.shared import scratch
 from quireworks.sources import corpus as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,26 +33,31 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-# --- Books: documents with headings, names and notes planted by line number and doc_id.
+# --- Books: documents with headings and names planted between their lines by line number and doc_id; each line stays whole.
 
 RULES = R.extend(R.Rules(), R.PRESETS["serial"].rules)
-_PLANT = """CASE
+_HEADING = """CASE
  WHEN n=0 AND doc_id%5=0 THEN concat('书', cast(doc_id AS {s}), ' 作者：作者', cast(doc_id%97 AS {s}))
  WHEN n=1 AND doc_id%5=1 THEN concat('作者：作者', cast(doc_id%97 AS {s}))
- WHEN n=1 AND doc_id%3=0 THEN concat('简介：', l)
- WHEN n%10=5 AND doc_id%2=0 THEN concat('作者的话：', left(l,30))
  WHEN n%12=2 THEN concat('第', cast(n AS {s}), '卷')
- WHEN n%4=3 THEN concat('第', cast(n AS {s}), '章 ', left(l,20))
- WHEN n%16=9 THEN concat('番外 ', left(l,10))
- WHEN n=8 AND doc_id%7=0 THEN '楔子'
+ WHEN n%4=3 THEN concat('第', cast(n AS {s}), '章 ', cast(doc_id AS {s}))
+ WHEN n%16=9 THEN concat('番外 ', cast(n AS {s}))
+ WHEN n=8 AND doc_id%7=0 THEN '楔子' END"""
+_LINE = """CASE
+ WHEN n=1 AND doc_id%3=0 THEN concat('简介：', l)
+ WHEN n=1 AND doc_id%7=2 THEN concat('文案：', l)
+ WHEN n%10=5 AND doc_id%2=0 THEN concat('作者的话：', l)
+ WHEN n=6 AND doc_id%11=3 THEN concat('上架感言：', l)
  ELSE l END"""
 
 
 def as_books(spark: SparkSession, d: str) -> DataFrame:
-    """book_id, line_no, line: trimmed, none blank."""
-    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    raw = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "l"))
-    return P.normalize_lines(raw.select(F.col("doc_id").alias("book_id"), F.col("n").alias("line_no"), F.expr(_PLANT.format(s="string")).alias("line")))
+    """book_id, line_no, line: trimmed, none blank. A document's line n has the number 2n + 1, the heading before it 2n.
+
+    Lines are made and trimmed within the array, before it is exploded, where no filter above can move: each is trimmed once."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(P.longest_line(F.col("text")) <= P.LONGEST_LINE)
+    planted = F.expr(f"flatten(transform(split(text, '\\n', -1), (l, n) -> array({_HEADING.format(s='string')}, {_LINE.format(s='string')})))")
+    return docs.select(F.col("doc_id").alias("book_id"), F.posexplode(F.transform(planted, T.trim)).alias("line_no", "line")).filter("line <> ''")
 
 
 def _tr(x: str) -> str:
@@ -62,15 +68,28 @@ def _any(parts: list[str]) -> str:
     return "(" + " OR ".join(parts) + ")"
 
 
-_NOISE = _any([f"regexp_matches(line, '{p}')" for p in RULES.ignored_patterns] + [f"contains(line, '{k}')" for k in RULES.ignored_contains])
+def _noise(rules: R.Rules) -> str:
+    return _any([f"regexp_matches(line, '{p}')" for p in rules.ignored_patterns] + [f"contains(line, '{k}')" for k in rules.ignored_contains])
+
+
+def _prefix(prefixes: tuple[str, ...]) -> str:
+    return "coalesce(" + ", ".join(f"CASE WHEN starts_with(line, '{p}') THEN {_tr(f'substr(line, {len(p) + 1})')} END" for p in prefixes) + ")"
+
+
+_NOISE, _PREFIX = _noise(RULES), _prefix(RULES.intro_prefixes)
 _SPECIAL = _any([f"line = '{t}'" for t in RULES.special_titles] + [f"starts_with(line, '{s}')" for s in R.SPECIAL_STARTS])
 _KIND = f"CASE WHEN regexp_matches(line, '{RULES.volume}') THEN 'volume' WHEN regexp_matches(line, '{RULES.chapter}') THEN 'chapter' WHEN regexp_matches(line, '{RULES.extra}') THEN 'extra' WHEN {_SPECIAL} THEN 'special' ELSE 'body' END"
-_PREFIX = "coalesce(" + ", ".join(f"CASE WHEN starts_with(line, '{p}') THEN {_tr(f'substr(line, {len(p) + 1})')} END" for p in RULES.intro_prefixes) + ")"
 _ESCAPED = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '''', '&#39;'), '\"', '&#34;')"
-_CTE = f"""WITH raw AS (
+_LINES = f"""WITH raw AS (
   SELECT doc_id, unnest(range(0, len(p)))::INT AS n, unnest(p) AS l FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)),
-lines AS (SELECT * FROM (SELECT doc_id AS book_id, n AS line_no, {_tr('(' + _PLANT.format(s='VARCHAR') + ')')} AS line FROM raw) WHERE line <> ''),
-clean AS (SELECT * FROM lines WHERE NOT {_NOISE}),
+lines AS (SELECT book_id, line_no, {_tr('line')} AS line FROM (
+  SELECT doc_id AS book_id, 2 * n AS line_no, {_HEADING.format(s='VARCHAR')} AS line FROM raw UNION ALL SELECT doc_id, 2 * n + 1, {_LINE.format(s='VARCHAR')} FROM raw) WHERE {_tr('line')} <> ''),
+"""
+
+
+def _cte(noise: str = _NOISE, prefix: str = _PREFIX, lines: str = "lines") -> str:
+    """All steps of the parse. lines is a table of lines with what noise and prefix ask for."""
+    return _LINES + f"""clean AS (SELECT * FROM {lines} WHERE NOT {noise}),
 f AS (SELECT *, {_tr(f"regexp_extract(line, '{RULES.title_author}', 1)")} AS ia, {_tr(f"regexp_extract(line, '{RULES.title_author}', 2)")} AS ib,
              {_tr(f"regexp_extract(line, '{RULES.title}', 0)")} AS t, {_tr(f"regexp_extract(line, '{RULES.author}', 1)")} AS a FROM clean),
 g AS (SELECT *, (ia <> '' AND ib <> '') AS inl FROM f),
@@ -81,8 +100,8 @@ n AS (SELECT *, least(i1, t1) AS name_line, least(i1, a1) AS author_line FROM h3
 names AS (SELECT book_id, max(CASE WHEN line_no = name_line THEN CASE WHEN inl THEN ia ELSE t END END) AS name,
                  max(CASE WHEN line_no = author_line THEN CASE WHEN inl THEN ib ELSE a END END) AS author,
                  min(name_line) AS name_line, min(author_line) AS author_line FROM n GROUP BY book_id),
-rest AS (SELECT book_id, line_no, line, {_KIND} AS kind FROM n WHERE line_no IS DISTINCT FROM name_line AND line_no IS DISTINCT FROM author_line),
-p AS (SELECT *, {_PREFIX} AS p FROM rest),
+rest AS (SELECT *, {_KIND} AS kind FROM n WHERE line_no IS DISTINCT FROM name_line AND line_no IS DISTINCT FROM author_line),
+p AS (SELECT *, {prefix} AS p FROM rest),
 s AS (SELECT *, sum(CASE WHEN p IS NULL AND kind <> 'body' THEN 1 ELSE 0 END) OVER (PARTITION BY book_id ORDER BY line_no) AS seg FROM p),
 m AS (SELECT *, bool_or(p IS NOT NULL) OVER (PARTITION BY book_id, seg ORDER BY line_no) AS member FROM s),
 tx AS (SELECT *, CASE WHEN member THEN nullif(coalesce(p, line), '') END AS tx FROM m),
@@ -106,6 +125,9 @@ sections AS (SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY vo
 """
 
 
+_CTE = _cte()
+
+
 def _named(spark: SparkSession, d: str) -> DataFrame:
     return P.with_name_author(P.drop_noise(as_books(spark, d), RULES), RULES)
 
@@ -134,9 +156,18 @@ def noise_lines(spark, d):
     return P.noise_lines(as_books(spark, d), RULES)
 
 
-@query("overlong_books", "SELECT doc_id AS book_id, max(strlen(l))::INT AS longest FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l FROM documents) GROUP BY doc_id HAVING max(strlen(l)) > 2000")
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("book_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+@query("overlong_books", "SELECT doc_id AS book_id, max(strlen(l))::INT AS longest, 'line too long' AS parse_error FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l FROM documents) GROUP BY doc_id HAVING max(strlen(l)) > 2000")
 def overlong_books(spark, d):
-    return P.overlong_books(P.explode_lines(table(spark, d, "documents").select(F.col("doc_id").alias("book_id"), F.coalesce("text", F.lit("")).alias("text"))), 2000)
+    return P.overlong_books(_texts(spark, d), 2000)
+
+
+@query("book_lines", "SELECT doc_id AS book_id, count(*) AS n_lines, sum(strlen(l))::BIGINT AS n_bytes FROM (SELECT doc_id, l, max(strlen(l)) OVER (PARTITION BY doc_id) AS longest FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l FROM documents)) WHERE longest <= 2000 GROUP BY doc_id")
+def book_lines(spark, d):
+    return P.explode_lines(_texts(spark, d), 2000).groupBy("book_id").agg(F.count("*").alias("n_lines"), F.sum(F.octet_length("line").cast("long")).alias("n_bytes"))
 
 
 @query("book_names", _CTE + "SELECT * FROM names")
@@ -149,7 +180,8 @@ def book_intros(spark, d):
     return _introduced(spark, d).groupBy("book_id").agg(F.min("intro").alias("intro")).filter("intro is not null")
 
 
-_META = "SELECT d.doc_id AS book_id, coalesce(nullif(name, ''), 'doc' || d.doc_id) AS name, coalesce(author, '') AS author, coalesce(intro, '') AS intro, 'zh-CN' AS lang FROM documents d LEFT JOIN names n ON n.book_id = d.doc_id LEFT JOIN intros i ON i.book_id = d.doc_id"
+_DERIVED = f"SELECT book_id, {_tr("regexp_replace(arg_min(content_html, (volume_ix, chapter_ix)), '<[^>]*>', '', 'g')")} AS intro FROM chapters WHERE regexp_matches(title, '{RULES.intro}') GROUP BY book_id"
+_META = f", derived AS ({_DERIVED}) SELECT d.doc_id AS book_id, coalesce(nullif(name, ''), 'doc' || d.doc_id) AS name, coalesce(author, '') AS author, coalesce(nullif(i.intro, ''), v.intro, '') AS intro, 'zh-CN' AS lang FROM documents d LEFT JOIN names n ON n.book_id = d.doc_id LEFT JOIN intros i ON i.book_id = d.doc_id LEFT JOIN derived v ON v.book_id = d.doc_id"
 
 
 @query("book_metadata", _CTE + _META)
@@ -157,7 +189,7 @@ def book_metadata(spark, d):
     books = table(spark, d, "documents").select(F.col("doc_id").alias("book_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("stem"))
     names = _named(spark, d)
     found = names.groupBy("book_id").agg(F.min("name").alias("name"), F.min("author").alias("author"))
-    return P.book_metadata(books, found.join(book_intros(spark, d), "book_id", "left"))
+    return P.book_metadata(books, found.join(book_intros(spark, d), "book_id", "left"), derived_intros(spark, d))
 
 
 @query("chapter_summary", _CTE + "SELECT book_id, count(*) AS n_chapters, sum(length(content_html))::BIGINT AS n_chars FROM chapters GROUP BY book_id")
@@ -180,19 +212,37 @@ def unparsed_books(spark, d):
     return P.unparsed_books(table(spark, d, "documents").select(F.col("doc_id").alias("book_id")), volumes(spark, d))
 
 
-@query("derived_intros", _CTE + f"SELECT book_id, arg_min(regexp_replace(content_html, '<[^>]*>', '', 'g'), (volume_ix, chapter_ix)) AS intro FROM chapters WHERE regexp_matches(title, '{RULES.intro}') GROUP BY book_id")
+@query("derived_intros", _CTE + _DERIVED)
 def derived_intros(spark, d):
     return P.derive_intro(chapters(spark, d), RULES)
 
 
-@query("sections", _CTE + "SELECT book_id, seq, file_name, parent_file, title, md5(body) AS body_md5 FROM sections")
+def _sections(spark: SparkSession, d: str) -> DataFrame:
+    return P.assemble_sections(_numbered(spark, d))
+
+
+_SECTIONS = _CTE + "SELECT book_id, seq, file_name, parent_file, title, md5(body) AS body_md5 FROM sections"
+
+
+def _digested(sections: DataFrame) -> DataFrame:
+    return sections.withColumn("body_md5", F.md5(F.col("body").cast("binary"))).select("book_id", "seq", "file_name", "parent_file", "title", "body_md5")
+
+
+@query("sections", _SECTIONS)
 def sections(spark, d):
-    return P.render_sections(*_parsed(spark, d)).withColumn("body_md5", F.md5(F.col("body").cast("binary"))).drop("body")
+    return _digested(_sections(spark, d))
+
+
+@query("stored_sections", _SECTIONS)
+def stored_sections(spark, d):
+    to = scratch(spark, "sections")
+    S.write_sections(_sections(spark, d), to)
+    return _digested(spark.read.parquet(to))
 
 
 @query("toc", _CTE + "SELECT t.book_id, t.seq, t.file_name, t.title, coalesce(any_value(c.k), '') AS children FROM sections t LEFT JOIN (SELECT book_id, parent_file, string_agg(title, '|' ORDER BY seq) AS k FROM sections WHERE parent_file <> '' GROUP BY ALL) c ON c.book_id = t.book_id AND c.parent_file = t.file_name WHERE t.parent_file = '' GROUP BY ALL")
 def toc(spark, d):
-    return P.toc(P.render_sections(*_parsed(spark, d))).withColumn("children", F.array_join("children", "|")).select("book_id", "seq", "file_name", "title", "children")
+    return P.toc(_sections(spark, d)).withColumn("children", F.array_join("children", "|")).select("book_id", "seq", "file_name", "title", "children")
 
 
 @query("strip_tags", "SELECT page_id, regexp_replace(html, '<[^>]*>', '', 'g') AS text FROM pages")
@@ -201,24 +251,53 @@ def strip_tags(spark, d):
 
 
 def _detect_sql() -> str:
+    """Tables head and found(book_id, name, score, reasons), after lines."""
     parts = []
     for p in R.PRESETS.values():
         tests = [(f"contains(line, '{k}')", 1, f"keyword:{k}") for k in dict.fromkeys(p.keywords)] + [(f"regexp_matches(line, '{r}')", 2, f"pattern:{r}") for r in dict.fromkeys(p.patterns)]
         score = " + ".join(f"{w} * bool_or({c})::INT" for c, w, _ in tests)
         why = "concat_ws('|', " + ", ".join(f"CASE WHEN bool_or({c}) THEN '{s}' END" for c, _, s in tests) + ")"
         parts.append(f"SELECT book_id, '{p.name}' AS name, ({score})::INT AS score, {why} AS reasons FROM head GROUP BY book_id HAVING {score} >= {p.least}")
-    return _CTE + ", head AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY line_no) AS k FROM lines) WHERE k <= 400) " + " UNION ALL ".join(parts)
+    return "head AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY line_no) AS k FROM lines) WHERE k <= 400), found AS (" + " UNION ALL ".join(parts) + ")"
 
 
-@query("detect_presets", _detect_sql())
+@query("detect_presets", _LINES + _detect_sql() + " SELECT * FROM found")
 def detect_presets(spark, d):
     return P.detect_presets(as_books(spark, d)).withColumn("reasons", F.array_join("reasons", "|"))
 
 
-@query("apply_detected", "WITH q AS (" + _detect_sql() + ") SELECT doc_id AS book_id, coalesce(string_agg(name, ',' ORDER BY score DESC, name), '') AS applied FROM documents LEFT JOIN q ON book_id = doc_id GROUP BY doc_id")
-def apply_detected(spark, d):
+def _applied(spark: SparkSession, d: str) -> DataFrame:
     books = table(spark, d, "documents").select(F.col("doc_id").alias("book_id"))
-    return P.apply_detected(books, P.detect_presets(as_books(spark, d)), "apply").select("book_id", F.array_join("applied", ",").alias("applied"))
+    return P.apply_detected(books, P.detect_presets(as_books(spark, d)), "apply")
+
+
+@query("apply_detected", _LINES + _detect_sql() + " SELECT doc_id AS book_id, coalesce(string_agg(name, ',' ORDER BY score DESC, name), '') AS applied FROM documents LEFT JOIN found ON book_id = doc_id GROUP BY doc_id")
+def apply_detected(spark, d):
+    return _applied(spark, d).select("book_id", F.array_join("applied", ",").alias("applied"))
+
+
+def _by_mask() -> str:
+    """The parse where each book follows the presets that were found in it."""
+    bits = {p: 1 << i for i, p in enumerate(R.PRESETS)}
+    own = [f"(ruleset_id & {bits[p.name]} > 0 AND {_noise(p.rules)})" for p in R.PRESETS.values()]
+    prefixes = [_prefix(R.Rules().intro_prefixes)] + [f"CASE WHEN ruleset_id & {bits[p.name]} > 0 THEN {_prefix(p.rules.intro_prefixes)} END" for p in R.PRESETS.values() if p.rules.intro_prefixes]
+    masks = "masks AS (SELECT doc_id AS book_id, coalesce(sum(CASE name " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in bits.items()) + " END), 0)::INT AS ruleset_id FROM documents LEFT JOIN found ON book_id = doc_id GROUP BY doc_id),\n"
+    steps = _cte(_any([_noise(R.Rules()), *own]), f"coalesce({', '.join(prefixes)})", "marked").replace(_LINES, "")
+    return _LINES + _detect_sql() + ", " + masks + "marked AS (SELECT * FROM lines JOIN masks USING (book_id)),\n" + steps
+
+
+@query("parsed_by_detection", _by_mask() + "SELECT m.book_id, ruleset_id, coalesce(i.intro, '') AS intro, coalesce(c.n, 0)::BIGINT AS n_chapters, coalesce(c.k, 0)::BIGINT AS n_chars FROM masks m LEFT JOIN intros i USING (book_id) LEFT JOIN (SELECT book_id, count(*) AS n, sum(length(content_html)) AS k FROM chapters GROUP BY book_id) c USING (book_id)")
+def parsed_by_detection(spark, d):
+    masks = P.detected_mask(table(spark, d, "documents").select(F.col("doc_id").alias("book_id")), _applied(spark, d))
+    present = [r["ruleset_id"] for r in masks.select("ruleset_id").distinct().collect()]  # a mask of four presets: sixteen at most
+    rules = {k: r for k, r in P.preset_rules().items() if k in present}
+    lines = P.drop_noise(as_books(spark, d).join(masks, "book_id"), rules)
+    x = P.with_intro(P.classify_lines(P.unnamed(P.with_name_author(lines, rules)), rules), rules)
+    intros = x.groupBy("book_id").agg(F.min("intro").alias("intro"))
+    parts = P.assemble_chapters(P.numbered(x.filter("not used").select("book_id", "ruleset_id", "line_no", "line", "kind")))
+    counts = parts.groupBy("book_id").agg(F.count("*").alias("n_chapters"), F.sum(F.length("content_html").cast("long")).alias("n_chars"))
+    out = masks.join(intros, "book_id", "left").join(counts, "book_id", "left")
+    return out.select("book_id", "ruleset_id", F.coalesce("intro", F.lit("")).alias("intro"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_chapters", "n_chars")])
 
 
 @query("assign_rulesets", "SELECT doc_id AS book_id, CASE WHEN c = 'src0' THEN 1 WHEN c = 'src1' THEN 2 WHEN c = 'default' THEN 3 END AS ruleset_id, CASE WHEN c NOT IN ('src0', 'src1', 'default') THEN 'unknown channel ' || c END AS rule_error FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'default' ELSE source END AS c FROM documents)")
@@ -234,10 +313,34 @@ def union_distinct(spark, d):
     return x.select("doc_id", F.array_join(T.union_distinct(F.array("lang", "source", "lang"), F.array(F.concat("source", F.lit("　")), "t", F.lit(" "), "t")), ",").alias("joined"))
 
 
-@query("output_names", _CTE + f"SELECT *, count(*) OVER (PARTITION BY output_name) > 1 AS collides FROM (SELECT book_id, coalesce(nullif(regexp_replace({_tr('''translate(left(name, 12), '<>:\"/\\|?*', '_________')''')}, '^[. ]+|[. ]+$', '', 'g'), ''), 'doc') || '.epub' AS output_name FROM names)")
+_SAFE = _tr("translate(name, '<>:\"/\\|?*', '_________')")
+_NAMED = f"SELECT book_id, coalesce(nullif(regexp_replace({_SAFE}, '^[. ]+|[. ]+$', '', 'g'), ''), 'doc') || '.epub' AS output_name FROM names"
+
+
+@query("output_names", _CTE + f"SELECT *, count(*) OVER (PARTITION BY output_name) > 1 AS collides FROM ({_NAMED})")
 def output_names(spark, d):
-    names = book_names(spark, d)
-    return S.output_names(names, T.safe_name(F.left("name", F.lit(12))), F.lit("doc")).select("book_id", "output_name", "collides")
+    return S.output_names(book_names(spark, d), T.safe_name(F.col("name")), F.lit("doc")).select("book_id", "output_name", "collides")
+
+
+@query("package_books", _CTE + f"SELECT s.book_id, output_name, count(*) + 1 AS n_entries, true AS valid FROM sections s JOIN ({_NAMED}) o ON o.book_id = s.book_id GROUP BY ALL")
+def package_books(spark, d):
+    return S.package_books(_sections(spark, d), output_names(spark, d)).select("book_id", "output_name", "n_entries", "valid")
+
+
+@query("verify_packages", _CTE + "SELECT doc_id AS book_id FROM documents WHERE doc_id NOT IN (SELECT book_id FROM sections)")
+def verify_packages(spark, d):
+    books = table(spark, d, "documents").select(F.col("doc_id").alias("book_id"))
+    return S.verify_packages(books, S.package_books(_sections(spark, d), output_names(spark, d)))
+
+
+@query("read_corpus", "SELECT 'shelf=' || (doc_id % 64) AS folder, strlen(string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id)) + 1 AS length, md5(string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) || chr(10)) AS content_md5 FROM documents GROUP BY ALL")
+def read_corpus(spark, d):
+    """All documents as 64 text files, one a shelf, read back whole."""
+    to = scratch(spark, "corpus")
+    docs = table(spark, d, "documents").select((F.col("doc_id") % 64).alias("shelf"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs.repartition(64, "shelf").sortWithinPartitions("shelf", "doc_id").select("shelf", "text").write.partitionBy("shelf").text(to)
+    files = S.read_corpus(spark, to)
+    return files.select(F.regexp_extract("path", "(shelf=[0-9]+)/[^/]*$", 1).alias("folder"), "length", F.md5("content").alias("content_md5"))
 
 
 @query("intake_gate", "SELECT reject_code, count(*) AS n FROM (SELECT CASE WHEN doc_id % 11 = 0 THEN 'not_txt' WHEN text IS NULL OR text = '' THEN 'empty' WHEN strlen(text) > 5000 THEN 'too_large' END AS reject_code FROM documents) GROUP BY reject_code")
@@ -382,9 +485,10 @@ def history(spark, d):
     return L.history(x, _now())
 
 
-@query("admission_replay", _LEDGER + ", e AS (SELECT client_id, created_at AS t, 1 AS d, job_id FROM ledger UNION ALL SELECT client_id, done_at, -1, job_id FROM ledger WHERE done_at IS NOT NULL) SELECT job_id, client_id, open::BIGINT AS open, open >= 1 AS over_limit FROM (SELECT *, coalesce(sum(d) OVER (PARTITION BY client_id ORDER BY t, d, job_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open FROM e) WHERE d = 1")
+@query("admission_replay")
 def admission_replay(spark, d):
-    return L.admission_replay(as_ledger(spark, d), 1)
+    x = as_ledger(spark, d)
+    return L.admission_replay(x.withColumn("size", F.col("output_size")), 1, 3, 60_000)
 
 
 @query("stage_progress", _LEDGER + "SELECT CASE status WHEN 'queued' THEN 1 WHEN 'converting' THEN 2 WHEN 'succeeded' THEN 3 ELSE CASE WHEN completed_at IS NOT NULL THEN 2 ELSE 0 END END AS stage, count(*) AS n_jobs FROM ledger GROUP BY ALL")
@@ -399,7 +503,8 @@ def as_access_log(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     return e.select(
         "event_id", F.concat(F.lit("10.0.0."), (F.col("user_id") % 250).cast("string"), F.lit(":443")).alias("remote"),
-        F.concat(F.lit("198.51.100."), F.get_json_object("props", "$.k"), F.lit(", 10.1.2.3")).alias("forwarded"), F.col("event_type").alias("status"),
+        F.when(F.col("user_id") % 7 == 0, F.concat(F.lit("2001:db8::"), F.get_json_object("props", "$.k"), F.lit(", ::ffff:10.1.2.3"))).when(F.col("user_id") % 7 == 1, F.lit(" ")).when(F.col("user_id") % 7 == 2, "10.9.9.9, 10.1.2.3")
+        .otherwise(F.concat(F.lit("198.51.100."), F.get_json_object("props", "$.k"), F.lit(", 10.1.2.3"))).alias("forwarded"), F.col("event_type").alias("status"),
         F.concat(F.lit("/api/conversions/"), F.col("event_id").cast("string"), F.when(F.col("event_id") % 2 == 0, "/download").otherwise("")).alias("path"),
         F.floor("value").alias("duration_ms"), F.floor(F.col("value") * 10).alias("response_bytes"),
         F.when(F.col("user_id") % 3 == 0, "https://Books.example").when(F.col("user_id") % 3 == 1, "https://books.example/x").alias("origin"),
@@ -411,7 +516,7 @@ def route_report(spark, d):
     return A.route_report(as_access_log(spark, d))
 
 
-@query("attribute_clients", "SELECT event_id, CASE WHEN k BETWEEN 0 AND 255 THEN '198.51.100.' || k ELSE '10.0.0.' || (user_id % 250) END AS client FROM (SELECT *, json_extract_string(props, '$.k')::INT AS k FROM events)")
+@query("attribute_clients", "SELECT event_id, CASE WHEN user_id % 7 = 0 THEN '2001:db8::' || coalesce(nullif(ltrim(k::VARCHAR, '0'), ''), '') WHEN user_id % 7 = 2 THEN '10.9.9.9' WHEN user_id % 7 > 2 AND k BETWEEN 0 AND 255 THEN '198.51.100.' || k ELSE '10.0.0.' || (user_id % 250) END AS client FROM (SELECT *, json_extract_string(props, '$.k')::INT AS k FROM events)")
 def attribute_clients(spark, d):
     return A.attribute_clients(as_access_log(spark, d), ("10.0.0.0/8",)).select("event_id", "client")
 
@@ -426,15 +531,31 @@ def pseudonymize(spark, d):
     return as_access_log(spark, d).select("event_id", A.pseudonym(A.host_of(F.col("remote")), b"an example key").alias("client_key"))
 
 
-@query("error_report", "SELECT CASE event_type WHEN 'click' THEN 429 WHEN 'view' THEN 503 WHEN 'purchase' THEN 404 ELSE 500 END::INT AS status, CASE event_type WHEN 'click' THEN 'RATE_LIMITED' WHEN 'view' THEN 'QUEUE_FULL' WHEN 'purchase' THEN 'JOB_NOT_FOUND' ELSE 'INTERNAL_ERROR' END AS code, CASE event_type WHEN 'click' THEN 30 WHEN 'view' THEN 15 ELSE 0 END::INT AS retry_seconds, count(*) AS n FROM events GROUP BY ALL")
+_CAUSES = [*(c for c, *_ in A.ERRORS), "odd"]
+
+
+@query("error_report", "SELECT CASE k " + " ".join(f"WHEN {i} THEN {s}" for i, (_, s, *_r) in enumerate(A.ERRORS)) + " ELSE 500 END::INT AS status, CASE k " + " ".join(f"WHEN {i} THEN '{c}'" for i, (_, _s, c, _w) in enumerate(A.ERRORS)) + " ELSE 'INTERNAL_ERROR' END AS code, CASE k " + " ".join(f"WHEN {i} THEN {w}" for i, (*_r, w) in enumerate(A.ERRORS)) + f" ELSE 0 END::INT AS retry_seconds, count(*) AS n FROM (SELECT event_id % {len(_CAUSES)} AS k FROM events) GROUP BY ALL")
 def error_report(spark, d):
-    cause = F.when(F.col("status") == "click", "ip_limit").when(F.col("status") == "view", "queue_full").when(F.col("status") == "purchase", "not_found").otherwise("odd")
-    return A.error_report(as_access_log(spark, d).select(cause.alias("cause")))
+    cause = F.element_at(F.array(*map(F.lit, _CAUSES)), (F.col("event_id") % len(_CAUSES) + 1).cast("int"))
+    return A.error_report(table(spark, d, "events").select(cause.alias("cause")))
+
 
+#: URLs that stand in for those of the pages by page_id, with the code that each must get.
+_ODD_URLS = (
+    ("https:///p", "no_host"), ("https://u:p@books.example/p", "userinfo"), ("ftp://books.example/p", "scheme"), ("https://books.example:8443/p", "port"), ("https://127.0.0.1/p", "address"),
+    ("https://[::1]/p", "address"), ("https://[::ffff:10.0.0.1]/p", "address"), ("https://172.20.1.1/p", "address"), ("https://books.example:443/p", None), ("https://8.8.8.8/p", None),
+)
 
-@query("audit_urls", "SELECT page_id, url, CASE WHEN NOT starts_with(lower(url), 'https:') THEN 'scheme' END AS reject_code FROM pages")
+
+_PICK = "page_id % 20"
+
+
+@query("audit_urls", f"SELECT page_id, CASE {_PICK} " + " ".join(f"WHEN {i} THEN '{u}'" for i, (u, _) in enumerate(_ODD_URLS)) + f" ELSE url END AS url, CASE WHEN {_PICK} < {len(_ODD_URLS)} THEN CASE {_PICK} " + " ".join(f"WHEN {i} THEN '{c}'" for i, (_, c) in enumerate(_ODD_URLS) if c) + " END WHEN NOT starts_with(lower(url), 'https:') THEN 'scheme' END AS reject_code FROM pages")
 def audit_urls(spark, d):
-    return A.audit_urls(table(spark, d, "pages").select("page_id", "url"))
+    url = F.col("url")
+    for i, (u, _) in enumerate(_ODD_URLS):
+        url = F.when(F.col("page_id") % 20 == i, u).otherwise(url)
+    return A.audit_urls(table(spark, d, "pages").select("page_id", url.alias("url")))
 
 
 @query("audit_origins", "SELECT event_id, user_id % 3 <> 1 AS origin_ok FROM events")
@@ -445,8 +566,3 @@ def audit_origins(spark, d):
 @query("clean_names", "SELECT page_id, CASE WHEN n = '' THEN 'novel.txt' ELSE left(n, 180) END AS display_name FROM (SELECT page_id, regexp_extract(url, '([^/]*)/*$', 1) AS n FROM pages)")
 def clean_names(spark, d):
     return A.clean_names(table(spark, d, "pages").select("page_id", F.col("url").alias("name"))).select("page_id", "display_name")
-
-
-@query("package_books")
-def package_books(spark, d):
-    return S.package_books(P.render_sections(*_parsed(spark, d))).select("book_id", "n_entries", "valid")

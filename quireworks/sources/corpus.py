@@ -112,8 +112,9 @@ def zip_book(pdf: pd.DataFrame) -> bytes:
     return out.getvalue()
 
 
-def package_books(sections: DataFrame, pack=zip_book) -> DataFrame:
-    """book_id, package, size, n_entries, valid: one archive a book, bounded by the intake's size limit."""
+def package_books(sections: DataFrame, books: DataFrame, pack=zip_book) -> DataFrame:
+    """book_id, output_name, package, size, n_entries, valid: one archive for each of books(book_id, output_name) that has sections. A book is
+    bounded by the intake's size limit."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         import io
@@ -124,9 +125,11 @@ def package_books(sections: DataFrame, pack=zip_book) -> DataFrame:
             n = len(zipfile.ZipFile(io.BytesIO(raw)).namelist())
         except zipfile.BadZipFile:
             n = 0
-        return pd.DataFrame({"book_id": [pdf["book_id"].iloc[0]], "package": [raw], "size": [len(raw)], "n_entries": [n], "valid": [n > 0]})
+        return pd.DataFrame({"book_id": [pdf["book_id"].iloc[0]], "output_name": [pdf["output_name"].iloc[0]], "package": [raw], "size": [len(raw)], "n_entries": [n], "valid": [n > 0]})
 
-    return sections.groupBy("book_id").applyInPandas(one, "book_id bigint, package binary, size bigint, n_entries int, valid boolean")
+    own = sections.select("book_id", "seq", "file_name", "body").join(books.select("book_id", "output_name"), "book_id")
+    kind = dict(sections.dtypes)["book_id"]
+    return own.groupBy("book_id").applyInPandas(one, f"book_id {kind}, output_name string, package binary, size bigint, n_entries bigint, valid boolean")
 
 
 def verify_packages(books: DataFrame, packages: DataFrame) -> DataFrame:

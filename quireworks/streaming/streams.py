@@ -20,7 +20,7 @@ from quireworks.sources.corpus import decode_corpus, stream_corpus
 def parse_books(files: DataFrame, rules: Rules) -> DataFrame:
     """Chapters of files(stem, content), by stem."""
     books = decode_corpus(files.select("stem", "content")).select(F.col("stem").alias("book_id"), "text")
-    lines = P.drop_noise(P.normalize_lines(P.explode_lines(books)), rules)
+    lines = P.drop_noise(P.normalize_lines(P.explode_lines(books)), rules)  # without books that an overlong line fails
     named = P.classify_lines(P.unnamed(P.with_name_author(lines, rules)), rules)
     body = P.with_intro(named, rules).filter("not used").select("book_id", "line_no", "line", "kind")
     return P.assemble_chapters(P.numbered(body))
@@ -55,28 +55,50 @@ def stream_admission(events: DataFrame, per_client: int) -> DataFrame:
     return events.groupBy("client_key").applyInPandasWithState(run, "job_id string, client_key string, open int, admitted boolean", "open string", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_timeouts(events: DataFrame, timeout_s: int, delay: str = "1 minute") -> DataFrame:
-    """job_id, status for each job that has no end within timeout_s of its start, once the watermark is past that."""
+def stream_timeouts(events: DataFrame, timeout_s: int, retention_s: int, delay: str = "1 minute") -> DataFrame:
+    """job_id, status for each job once the watermark is past its deadline: timeout where it has no end within timeout_s of its start, expired
+    where it finished and retention_s have gone by since.
+
+    Events of a job may come in any order: an end is kept as state, so a start that follows it is no open job. A job's state goes with its
+    deadline; a failed one's waits as long as a timeout would."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kind, at = state.get if state.exists else ("", 0)
         if state.hasTimedOut:
             state.remove()
-            yield pd.DataFrame({"job_id": [key[0]], "status": ["timeout"]})
-            return
-        e = pd.concat(list(parts))
-        if e["kind"].isin(["finish", "fail"]).any():
-            if state.exists:
-                state.remove()
+            if kind != "fail":
+                yield pd.DataFrame({"job_id": [key[0]], "status": ["timeout" if kind == "start" else "expired"]})
             return
-        started = e[e["kind"] == "start"]
-        if len(started):
-            at = int(started["at"].min().timestamp() * 1000)
-            state.update((at,))
-            state.setTimeoutTimestamp(max(at + timeout_s * 1000, state.getCurrentWatermarkMs() + 1))
+        for e in pd.concat(list(parts)).sort_values("at").itertuples():
+            if e.kind in ("finish", "fail") or (e.kind == "start" and not kind):
+                kind, at = e.kind, int(e.at.timestamp() * 1000)
+        if kind:
+            state.update((kind, at))
+            state.setTimeoutTimestamp(max(at + 1000 * (retention_s if kind == "finish" else timeout_s), state.getCurrentWatermarkMs() + 1))
+
+    return events.withWatermark("at", delay).groupBy("job_id").applyInPandasWithState(run, "job_id string, status string", "kind string, at long", "append", GroupStateTimeout.EventTimeTimeout)
+
 
-    return events.withWatermark("at", delay).groupBy("job_id").applyInPandasWithState(run, "job_id string, status string", "at long", "append", GroupStateTimeout.EventTimeTimeout)
+#: What a job is after an event of each kind.
+STATES = {"submit": "queued", "start": "converting", "finish": "succeeded", "fail": "failed"}
 
 
 def stream_capacity(events: DataFrame) -> DataFrame:
-    """The latest event of each job, kept as state in update mode; counting its kinds gives the gauge."""
-    return events.groupBy("job_id").agg(F.max_by("kind", "at").alias("kind"))
+    """status, n_jobs: how many jobs are in each state, as of each job's latest event. For the complete or update mode.
+
+    An event adds one to its job's new state and takes one from the one before; both are summed by state, so the gauge
+    is a stream of few rows whatever the number of jobs."""
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kind, at = state.get if state.exists else ("", -1)
+        rows, before = [], kind
+        for e in pd.concat(list(parts)).itertuples():
+            if e.kind in STATES and e.at.value // 1000 >= at:
+                kind, at = e.kind, e.at.value // 1000
+        if kind != before:
+            rows = [(STATES[kind], 1)] + ([(STATES[before], -1)] if before else [])
+            state.update((kind, at))
+        yield pd.DataFrame(rows, columns=["status", "d"])
+
+    moves = events.groupBy("job_id").applyInPandasWithState(run, "status string, d long", "kind string, at long", "append", GroupStateTimeout.NoTimeout)
+    return moves.groupBy("status").agg(F.sum("d").alias("n_jobs"))

@@ -1,22 +1,44 @@
 """Ledger, log and address cases."""
 
 import hmac
+import random
+import time
 
-import pytest
 from pyspark.sql import functions as F
 
 from quireworks.operators import access as A
 from quireworks.operators import ledger as L
+from quireworks.sources import corpus as S
+from quireworks.streaming import streams
 
 
-@pytest.mark.parametrize(
-    ("remote", "forwarded", "trusted", "client"),
-    [("203.0.113.9:1234", "198.51.100.1", True, "203.0.113.9"), ("10.0.0.2:443", "198.51.100.7", True, "198.51.100.7"), ("10.0.0.2:443", "198.51.100.8, 10.1.2.3", True, "198.51.100.8"),
-     ("10.0.0.2:443", "not-an-ip", True, "10.0.0.2"), ("[::ffff:192.0.2.4]:80", None, False, "192.0.2.4"), ("nonsense", None, False, None)],
-)
-def test_clients(spark, remote, forwarded, trusted, client):
-    df = spark.createDataFrame([(remote, forwarded)], "remote string, forwarded string")
-    assert A.attribute_clients(df, ("10.0.0.0/8",) if trusted else ()).first()["client"] == client
+CLIENTS = [
+    # remote, forwarded, client behind 172.30.0.0/16 and fd00:7::/32
+    ("192.0.2.77:9000", "203.0.113.5", "192.0.2.77"),
+    ("172.30.4.4:9000", None, "172.30.4.4"),
+    ("172.30.4.4:9000", "  ", "172.30.4.4"),
+    ("172.30.4.4:9000", "203.0.113.5", "203.0.113.5"),
+    ("172.30.4.4:9000", "192.0.2.1, 203.0.113.5, 172.30.9.9", "203.0.113.5"),
+    ("172.30.4.4", "172.30.1.1, 172.30.2.2", "172.30.1.1"),
+    ("172.30.4.4:9000", "203.0.113.5, unknown", "172.30.4.4"),
+    ("172.30.4.4:9000", "203.0.113.5:81", "172.30.4.4"),
+    ("172.30.4.4:9000", "2001:DB8:0::00a1, 172.30.2.2", "2001:db8::a1"),
+    ("172.30.4.4:9000", "203.0.113.5, fd00:7::9", "203.0.113.5"),
+    ("172.30.4.4:9000", "::ffff:203.0.113.5", "203.0.113.5"),
+    ("[fd00:7::2]:443", "2001:db8::7", "2001:db8::7"),
+    ("[2001:db8::2]:443", "203.0.113.5", "2001:db8::2"),
+    ("[::ffff:172.30.4.4]:443", "203.0.113.5", "203.0.113.5"),
+    ("2001:db8::3", None, "2001:db8::3"),
+    ("[2001:db8::zz]:1", None, None), ("where", "203.0.113.5", None), (None, None, None),
+]
+
+
+def test_clients(spark):
+    df = spark.createDataFrame([(i, r, f) for i, (r, f, _) in enumerate(CLIENTS)], "id int, remote string, forwarded string")
+    got = {r["id"]: r["client"] for r in A.attribute_clients(df, ("172.30.0.0/16", "fd00:7::/32")).collect()}
+    assert got == {i: c for i, (_, _, c) in enumerate(CLIENTS)}
+    alone = {r["id"]: r["client"] for r in A.attribute_clients(df, ()).collect()}
+    assert alone[3] == "172.30.4.4" and alone[11] == "fd00:7::2"
 
 
 def test_urls(spark):
@@ -37,5 +59,99 @@ def test_quota_and_limits(spark):
     none = spark.createDataFrame([], "job_id long")
     assert [r["job_id"] for r in L.evict_to_quota(ledger, none, 2048 - 512).collect()] == [1]
     assert L.evict_to_quota(ledger, none, 100, 200).count() == 0 and L.storage_full(ledger, none, 100, 200).first()["storage_full"]
-    subs = spark.createDataFrame([(1, "a", 0, 10), (2, "a", 5, 12), (3, "b", 5, 9), (4, "a", 12, None)], "job_id long, client_id string, created_at long, done_at long")
-    assert {r["job_id"]: r["over_limit"] for r in L.admission_replay(subs, 1).collect()} == {1: False, 2: True, 3: False, 4: False}
+
+
+def replayed(rows, per_client, capacity, storage):
+    """Admission by a plain scan over all submissions."""
+    open_, out = [], {}
+    for job, client, at, done, size in sorted(rows, key=lambda r: (r[2], r[0])):
+        open_ = [o for o in open_ if o[1] > at]
+        n, held = sum(o[0] == client for o in open_), sum(o[2] for o in open_)
+        out[job] = "ip_limit" if n >= per_client else "queue_full" if len(open_) >= capacity else "storage_full" if held + size > storage else "accepted"
+        if out[job] == "accepted":
+            open_.append((client, max(done, at) if done else float("inf"), size))
+    return out
+
+
+def as_submissions(spark, rows):
+    df = spark.createDataFrame(rows, "job_id long, client_id string, created_at long, done_at long, size long")
+    return df.withColumns({c: F.timestamp_seconds(c).cast("timestamp_ntz") for c in ("created_at", "done_at")})
+
+
+def test_a_refused_job_is_not_open(spark):
+    rows = [(1, "a", 0, 10, 1), (2, "a", 5, 20, 1), (3, "a", 12, 30, 1), (4, "b", 12, 13, 1), (5, "c", 12, 13, 1), (6, "d", 13, 14, 9)]
+    got = {r["job_id"]: r["verdict"] for r in L.admission_replay(as_submissions(spark, rows), 1, 2, 9).collect()}
+    assert got == {1: "accepted", 2: "ip_limit", 3: "accepted", 4: "accepted", 5: "queue_full", 6: "storage_full"}
+
+
+def test_admission_equals_a_scan(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(1500):
+        at = rng.randint(0, 300_000)
+        rows.append((i, f"c{rng.randint(0, 6)}", at, at + rng.choice([0, 5, 300, 900]) if i % 700 else None, rng.randint(0, 40)))
+    got = {r["job_id"]: r["verdict"] for r in L.admission_replay(as_submissions(spark, rows), 2, 3, 60).collect()}
+    assert got == replayed(rows, 2, 3, 60)
+    rows = [r for r in rows if r[3]]
+    got = {r["job_id"]: r["verdict"] for r in L.admission_replay(as_submissions(spark, rows), 2, 3, 60).collect()}
+    assert got == replayed(rows, 2, 3, 60) and len(set(got.values())) == 4
+    assert L.busy_periods(as_submissions(spark, rows)).select("period").distinct().count() > 50
+    assert L.admission_replay(as_submissions(spark, []), 1, 1, 1).count() == 0
+
+
+def test_prefix_sum(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.randint(0, 200_000), rng.randint(-5, 5)) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, at long, v long").withColumn("at", F.timestamp_seconds("at").cast("timestamp_ntz"))
+    total, want = 0, {}
+    for i, _, v in sorted(rows, key=lambda r: (r[1], r[0])):
+        want[i] = total
+        total += v
+    assert {r["id"]: r["s"] for r in L.prefix_sum(df, ["at", "id"], "v", "s").collect()} == want
+
+
+def test_read_ledger(spark, tmp_path):
+    for folder, text in (("j1", '{"id": "j1", "status": "queued",\n "input_size": 7}'), ("j2", '{"id": "other"}'), ("j3", "{broken")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "job.json").write_text(text)
+    got = S.read_ledger(spark, str(tmp_path / "*/job.json")).collect()
+    assert [(r["id"], r["status"], r["input_size"], r["output_name"]) for r in got] == [("j1", "queued", 7, None)]
+
+
+def events_of(spark, tmp_path, batches):
+    """events as a stream of one file a batch."""
+    for i, rows in enumerate(batches):
+        df = spark.createDataFrame([(j, c, k, at) for j, c, k, at in rows], "job_id string, client_key string, kind string, at long").withColumn("at", F.timestamp_seconds("at"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+        time.sleep(1.1)  # files are taken in the order of their times
+    schema = "job_id string, client_key string, kind string, at timestamp"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "events"))
+
+
+def rows_of(df, name, mode, tmp_path):
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    return df.sparkSession.table(name).collect()
+
+
+def test_stream_admission(spark, tmp_path):
+    first = [("a", "x", "submit", 10), ("b", "x", "submit", 20), ("c", "y", "submit", 20)]
+    later = [("a", "x", "finish", 30), ("d", "x", "submit", 40), ("b", "x", "finish", 45), ("e", "x", "submit", 50)]
+    got = {r["job_id"]: (r["open"], r["admitted"]) for r in rows_of(streams.stream_admission(events_of(spark, tmp_path, [first, later]), 1), "admission", "append", tmp_path)}
+    assert got == {"a": (0, True), "b": (1, False), "c": (0, True), "d": (0, True), "e": (1, False)}
+
+
+def test_stream_timeouts(spark, tmp_path):
+    first = [("late", "x", "start", 100), ("done", "x", "start", 100), ("turned", "x", "finish", 140), ("failed", "x", "start", 100), ("open", "x", "start", 4990)]
+    second = [("done", "x", "finish", 150), ("turned", "x", "start", 139), ("failed", "x", "fail", 145)]  # an end may come before its start
+    clock = [[("clock", "x", "submit", at)] for at in (300, 5000, 5001)]
+    batches = [[e for e in first if e[0] != "open"], second, clock[0], [e for e in first if e[0] == "open"], *clock[1:]]
+    got = {r["job_id"]: r["status"] for r in rows_of(streams.stream_timeouts(events_of(spark, tmp_path, batches), 600, 3600, "1 second"), "timeouts", "append", tmp_path)}
+    assert got == {"late": "timeout", "done": "expired", "turned": "expired"}
+
+
+def test_stream_capacity(spark, tmp_path):
+    first = [("a", "x", "submit", 1), ("b", "x", "submit", 2), ("c", "x", "submit", 3), ("a", "x", "start", 4)]
+    second = [("a", "x", "finish", 9), ("b", "x", "start", 6), ("c", "x", "fail", 7), ("d", "x", "submit", 8), ("b", "x", "submit", 2)]
+    got = {r["status"]: r["n_jobs"] for r in rows_of(streams.stream_capacity(events_of(spark, tmp_path, [first, second])), "capacity", "complete", tmp_path)}
+    assert {k: v for k, v in got.items() if v} == {"succeeded": 1, "converting": 1, "failed": 1, "queued": 1}
