@@ -3,6 +3,10 @@
 Quality rules drop junk, exact and near copies go but for one document of each group, secrets are masked in the texts that
 stay, and the rest is tokenised and packed. Each stage's rows are written and read again, so a stage starts from a table
 and a lost executor never costs an earlier stage.
+
+Defined cases: a null or empty text is too short for the quality rules and goes; of equal texts and of rows repeated with one doc_id one row stays;
+a row with a null doc_id stays unless an equal text has a doc_id, takes no part in the join of near copies, and is packed under a null
+doc_id; an empty table gives no pieces. Extra columns, whatever their names, are carried up to the packing.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("exact dedup", exact), ("n-gram Jaccard join", near), ("secret scans", secrets), ("packing", packing)]
 
-#: Neither the forest of the secret scan nor the tokenizer can be put in SQL; the stages' tests hold them against brute force.
+#: Neither the forest of the secret scan nor the tokenizer can be put in SQL; a test holds run() against plain Python.
 ORACLE_SQL = None
 
 
