@@ -5,7 +5,7 @@ input gives its distinct words once, letters and the signs after them apart; the
 encoded once, and its ids go back to the parts that hold it. The ids that a part uses are joined with the id-to-piece table,
 and the part joins ids and pieces back by position, which encodes and decodes its documents.
 
-A part is a partition of the scan. Only distinct words and ids cross the network besides the documents, so a word of a third of all rows
+A part is a partition of the scan, or a stretch of one. Only distinct words and ids cross the network besides the documents, so a word of a third of all rows
 costs one row a part. The table of a bucket holds the distinct words of 1/n of the hash space and n follows the input; the piece
 table has as many rows as the vocabulary has entries, whatever the input.
 
@@ -28,8 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireworks.llm.common import PACKED_DDL, materialised, or_empty, pack, packed_documents, pieces_for, rows_of, table, to_batches, total_bytes, unpack
-from quireworks.llm.tokens import WordEncoder, cut_words, encoder, gathered, portions, strings, word_parts
+from quireworks.llm.common import PACKED_DDL, materialised, opened_arrays, or_empty, pack, packed, packs, parts_of, pieces_for, rows_of, table, to_batches, total_bytes, unpack
+from quireworks.llm.tokens import WordEncoder, cut_words, encoder, gathered, strings, word_parts
 
 #: Text, before compression, of which one bucket of the word table holds the words on average.
 BUCKET_BYTES = 24 << 20
@@ -38,22 +38,24 @@ _ROW = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int8
 _ROW_DDL = "part int, bucket int, kind tinyint, blob binary"
 
 
-def _distinct(n_buckets: int):
+def _distinct(n_buckets: int, n_scan: int):
     """The distinct words of this part, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen = -1, set()
-        for batch in batches:
-            part, texts = batch.column(0)[0].as_py() if len(batch) else part, batch.column(1)
-            for a, b in portions(texts):
-                for own in word_parts(cut_words(texts.slice(a, b - a)).flatten().unique(), True):
-                    seen.update(strings(own.dictionary, " "))
-        seen.discard("")
-        by: dict[int, list[bytes]] = defaultdict(list)
-        while seen:
-            w = seen.pop().encode()
-            by[zlib.crc32(w) % n_buckets].append(w)
-        yield from to_batches(((part, b, 0, pack(b"\n".join(sorted(ws)))) for b, ws in by.items()), _ROW)
+        def rows():
+            for part, own in groupby(packs(batches, n_scan), key=lambda x: x[0]):
+                seen: set[str] = set()
+                for _, _, _, texts in own:
+                    for found in word_parts(cut_words(texts).flatten().unique(), True):
+                        seen.update(strings(found.dictionary, " "))
+                seen.discard("")
+                by: dict[int, list[bytes]] = defaultdict(list)
+                while seen:
+                    w = seen.pop().encode()
+                    by[zlib.crc32(w) % n_buckets].append(w)
+                yield from ((part, b, 0, pack(b"\n".join(sorted(ws)))) for b, ws in by.items())
+
+        yield from to_batches(rows(), _ROW)
 
     return run
 
@@ -151,10 +153,9 @@ def _joined(keep: bool):
                         yield from documents(part, blob)
 
         def documents(part: _Part, blob: bytes):
-            raw_ids, null, sizes, flat = unpack(blob)
-            docs = [None if z else d for d, z in zip(np.frombuffer(raw_ids, "<i8").tolist(), null)]
-            ends = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<i8"))]).astype("<i4")
-            ids, at = part.texts(pa.StringArray.from_buffers(len(docs), pa.py_buffer(ends.tobytes()), pa.py_buffer(flat)))
+            doc_ids, null, texts = opened_arrays(blob)
+            docs = [None if z else d for d, z in zip(doc_ids.tolist(), null.tolist())]
+            ids, at = part.texts(texts)
             shown, told, raw, cuts = part.joined(part.shown, ids, at), part.joined(part.told, ids, at), ids.tobytes(), at.tolist()
             for k, d in enumerate(docs):
                 sha = [hashlib.sha256(x.encode()).hexdigest() for x in (shown[k], told[k])]
@@ -184,15 +185,15 @@ def encode(docs: DataFrame, path: str, keep: bool = True) -> DataFrame:
     docs must give the same rows in the same partitions each time it is read, as tables do; a word without ids is an error.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.spark_partition_id().alias("part"), "doc_id", or_empty("text").alias("text"))
-    n_buckets = pieces_for(total_bytes(docs), BUCKET_BYTES)
-    n_parts = max(1, rows.rdd.getNumPartitions())
-    words = rows.select("part", "text").mapInArrow(_distinct(n_buckets), _ROW_DDL)
+    size = total_bytes(docs)
+    rows, n_scan, n_parts = parts_of(docs.select("doc_id", or_empty("text").alias("text")), size)
+    n_buckets = pieces_for(size, BUCKET_BYTES)
+    words = rows.mapInArrow(_distinct(n_buckets, n_scan), _ROW_DDL)
     ids = materialised(words.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_encoded(path), _ROW_DDL), "word-ids")
     used = ids.select("part", "blob").mapInArrow(_used, "part int, id int").distinct()
     # The piece table has a row for each entry of the vocabulary, so it may be broadcast whatever the input.
     pieces = used.join(F.broadcast(piece_table(spark, path)), "id").sortWithinPartitions("part").mapInArrow(_piece_rows, _ROW_DDL)
-    both = ids.unionByName(pieces).unionByName(rows.mapInArrow(packed_documents, PACKED_DDL).select("part", F.lit(-1).alias("bucket"), F.lit(2).cast("tinyint").alias("kind"), "blob"))
+    both = ids.unionByName(pieces).unionByName(rows.mapInArrow(packed(n_scan), PACKED_DDL).select("part", F.lit(-1).alias("bucket"), F.lit(2).cast("tinyint").alias("kind"), "blob"))
     joined = both.repartitionById(n_parts, "part").sortWithinPartitions("part", "kind")
     return joined.mapInArrow(_joined(keep), "doc_id bigint, n_tokens bigint, ids binary, ids_sha256 string, decoded_sha256 string, decoded string")
 

@@ -1,9 +1,8 @@
-"""What the operators share: the shared folder, safe columns, prefix sums over partitions, Arrow helpers."""
+"""What the operators share: tables in the shared folder, parts of the input, Arrow helpers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,32 +12,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space of the word and normalisation contracts: space and U+0009 to U+000D.
-SPACES = " \t\n\x0b\f\r"
+from quireworks.shared import scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share. In one process a folder of our own will do; on a cluster each executor would
-    then write to a disk of its own, so a session that names no folder is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.conf.get("spark.master", "")
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='quireworks-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def materialised(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: its lineage ends there, and a lost executor costs no recomputation."""
     path = scratch(df.sparkSession, name)
@@ -71,9 +51,20 @@ def or_empty(column: str | Column) -> Column:
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
-    """Rows of Arrow batches as tuples of Python values."""
+    """Rows of Arrow batches as tuples of Python values, few at a time: a batch may hold ten thousand whole texts."""
     for batch in batches:
-        yield from zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names))
+        for a in range(0, len(batch), 256):
+            few = batch.slice(a, 256)
+            yield from zip(*(few.column(few.schema.get_field_index(n)).to_pylist() for n in names))
+
+
+def release_memory() -> None:
+    """Gives what a task has freed back to the machine. Workers live on between tasks and would keep each stage's peak beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
 
 
 def to_batches(rows: Iterator[tuple], schema: pa.Schema, max_rows: int = 4096, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -88,42 +79,78 @@ def to_batches(rows: Iterator[tuple], schema: pa.Schema, max_rows: int = 4096, m
             kept, size = [], 0
     if kept:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept), schema.types)], schema=schema)
+    del kept
+    release_memory()
 
 
-#: Documents of a part of the input, packed some at a time in their order.
+#: Bytes of text of a part of the input, and of those packed together, about.
+PART_BYTES, PACK_BYTES = 24 << 20, 1 << 20
 PACKED = pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("blob", pa.binary())])
-PACKED_DDL = "part int, seq bigint, blob binary"
 
 
-def packed_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (part, doc_id, text) of one part as PACKED."""
-    seq = 0
+def parts_of(docs: DataFrame, size: int) -> tuple[DataFrame, int, int]:
+    """Rows (partition, then docs' columns), the partitions of their scan, and partitions enough for their parts, given the bytes of all texts."""
+    rows = docs.select(F.spark_partition_id().alias("partition"), "*")
+    n_scan = max(1, rows.rdd.getNumPartitions())
+    return rows, n_scan, n_scan * max(1, -(-size // (n_scan * PART_BYTES)))
+
+
+def packs(batches: Iterator[pa.RecordBatch], n_scan: int) -> Iterator[tuple[int, int, pa.Array, pa.Array]]:
+    """(part, number, doc_ids, texts) of about PACK_BYTES each, from batches of (partition, doc_id, text). A partition of the scan is cut
+    into parts of about PART_BYTES, numbered alike each time it is read, so no table of a part grows with the scan's partitions."""
+    number, size, sub = 0, 0, 0
     for batch in batches:
-        ends = np.cumsum([0, *pc.binary_length(batch.column(2)).to_pylist()])
+        ends = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False))
         a = 0
         while a < len(batch):
-            b = max(a + 1, int(np.searchsorted(ends, ends[a] + (1 << 20))))
-            ids = batch.column(1).slice(a, b - a)
-            texts = batch.column(2).slice(a, b - a).cast(pa.binary())
-            flat = b"".join(texts.to_pylist())
-            blob = pack(ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(), ids.is_null().to_numpy(zero_copy_only=False).astype("u1").tobytes(), np.diff(ends[a : b + 1]).astype("<i8").tobytes(), flat)
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((batch.column(0)[a].as_py(), seq, blob), PACKED.types)], schema=PACKED)
-            seq += 1
+            before = int(ends[a - 1]) if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, before + PACK_BYTES, "right")))
+            if size and size + int(ends[b - 1]) - before > PART_BYTES:
+                sub, size = sub + 1, 0
+            size += int(ends[b - 1]) - before
+            yield batch.column(0)[a].as_py() + sub * n_scan, number, batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a)
+            number += 1
             a = b
 
 
-def opened(blob: bytes) -> Iterator[tuple[int | None, bytes]]:
-    """(doc_id, bytes of the text) of each packed document."""
-    ids, null, sizes, flat = unpack(blob)
-    cuts = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<i8"))]).tolist()
-    for k, d in enumerate(np.frombuffer(ids, "<i8").tolist()):
-        yield None if null[k] else d, flat[cuts[k] : cuts[k + 1]]
+def flat_of(ids: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """doc_ids (0 for null), which are null, all bytes, the end of each text."""
+    raw = np.frombuffer(b"".join(texts.cast(pa.binary()).to_pylist()), np.uint8)
+    return ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False), raw, np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+
+
+def packed(n_scan: int):
+    """Documents as PACKED, for batches of (partition, doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, seq, ids, texts in packs(batches, n_scan):
+            d, null, raw, ends = flat_of(ids, texts)
+            blob = pack(d.astype("<i8").tobytes(), null.astype("u1").tobytes(), ends.astype("<i8").tobytes(), raw.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, seq, blob), PACKED.types)], schema=PACKED)
+
+    return run
+
+
+PACKED_DDL = "part int, seq bigint, blob binary"
+
+
+def opened_flat(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """doc_ids (0 for null), which are null, all bytes, the end of each text of packed documents."""
+    ids, null, ends, raw = unpack(blob)
+    return np.frombuffer(ids, "<i8"), np.frombuffer(null, "u1").astype(bool), np.frombuffer(raw, np.uint8), np.frombuffer(ends, "<i8")
+
+
+def opened_arrays(blob: bytes) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """doc_ids (0 for null), which are null, and the texts of packed documents."""
+    ids, null, raw, ends = opened_flat(blob)
+    offsets = np.concatenate([[0], ends]).astype("<i4").tobytes()
+    return ids, null, pa.StringArray.from_buffers(len(ids), pa.py_buffer(offsets), pa.py_buffer(raw.tobytes()))
 
 
 def pack(*fields: bytes) -> bytes:
     """Byte strings as one compressed one."""
     sizes = np.array([len(fields), *map(len, fields)], "<i8").tobytes()
-    return zstandard.compress(sizes + b"".join(fields), 1)
+    return zstandard.compress(sizes + b"".join(fields), 3)
 
 
 def unpack(blob: bytes) -> list[bytes]:

@@ -19,12 +19,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireworks.llm.common import materialised, or_empty, rows_of, table, to_batches
+from quireworks.llm.common import materialised, or_empty, release_memory, rows_of, table, to_batches
 
 #: A sign of assignment is no part of a candidate; one or two at its end are padding.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=\-]))?")
@@ -203,20 +202,25 @@ def scan(docs: DataFrame, forest: list[list[tuple]] | None) -> DataFrame:
 def redact(docs: DataFrame, forest: list[list[tuple]] | None) -> DataFrame:
     """docs with each secret of its text replaced by MASK; all other text and columns stay as they are."""
 
-    @F.pandas_udf("string")
-    def masked(text: pd.Series, path: pd.Series) -> pd.Series:
-        out = []
-        for t, p in zip(text, path):
-            spans = list(candidates(t)) if t is not None else []
-            if spans:
-                s = judged(forest, t, p or "", spans)
-                for (a, b), y in zip(reversed(spans), reversed(s.tolist())):
-                    if y >= THRESHOLD:
-                        t = t[:a] + MASK + t[b:]
-            out.append(t)
-        return pd.Series(out, dtype=object)
-
-    out = docs.withColumn("text", masked("text", "source"))
+    at, path_at = docs.columns.index("text"), docs.columns.index("source")
+
+    def masked(t: str | None, p: str | None) -> str | None:
+        spans = list(candidates(t)) if t is not None else []
+        if spans:
+            for (a, b), y in zip(reversed(spans), reversed(judged(forest, t, p or "", spans).tolist())):
+                if y >= THRESHOLD:
+                    t = t[:a] + MASK + t[b:]
+        return t
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), 256):
+                few = batch.slice(a, 256)
+                texts = [masked(t, p) for t, p in zip(few.column(at).to_pylist(), few.column(path_at).to_pylist())]
+                yield few.set_column(at, few.schema.field(at), pa.array(texts, few.schema.field(at).type))
+        release_memory()
+
+    out = docs.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

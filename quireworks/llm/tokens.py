@@ -21,7 +21,7 @@ CACHE_BYTES = 64 << 20
 #: What an entry takes besides its characters and ids.
 ENTRY_BYTES = 200
 #: Bytes of text that are cut at once.
-PORTION_BYTES = 4 << 20
+PORTION_BYTES = 2 << 20
 #: Words that go through the tokenizer as one text.
 AT_ONCE = 512
 
