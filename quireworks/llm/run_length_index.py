@@ -2,18 +2,20 @@
 
 A byte goes if a 50-byte string covering it also starts in a document with a smaller doc_id.
 
-1. Anchors. Winnowing picks 25-byte strings so that every 50-byte string holds one, picked the same way wherever the string stands.
-   Each part of the input sends its distinct anchors by hash; anchors of one document only go no further.
-2. Passages. Each anchor left gives the bytes around it, 25 before to 25 after, which hold every 50-byte string around that anchor.
-   Equal passages of a part are one row with their smallest doc_id. Passages meet by the anchor's hash. An anchor that
-   very many parts' documents hold gives its 50-byte strings one by one instead, dealt out by their own hash, so a
+1. Anchors. Winnowing picks 20-byte strings so that every 50-byte string holds one, picked the same way wherever the string stands.
+   Each part of the input sends its distinct anchors by a mixed hash; anchors of one document only go no further.
+2. Passages. Each anchor left gives the bytes around it, 30 before to 30 after, which hold every 50-byte string around that anchor.
+   Equal passages of a part are one row with their smallest doc_id. Passages meet by their anchor. An anchor that
+   very many documents hold gives its 50-byte strings one by one instead, dealt out by their own hash, so a
    common line's many surroundings don't meet in one task.
-3. Index. The passages of a bucket become a run-compressed Burrows-Wheeler transform with suffix samples at the run ends. Matching
-   statistics are streamed from each passage's end by LF steps on the runs; where the match is 50 bytes or longer, the
-   row's interval tells the smallest document that starts it.
-4. The minima go back to the parts, which mark, cut and digest their documents.
+3. Index. Of the passages around one anchor, those of the smaller documents become a run-compressed Burrows-Wheeler transform with suffix
+   samples at both ends of each run, and the others are streamed against it from their ends: where the next byte isn't the row's, the
+   row moves to the nearer run of that byte, and the samples tell how much of the match is left. Where the match is 50 bytes or longer
+   and the rows of that string hold a smaller document, the string goes. Either half is then dealt with alone in the same way, so
+   a passage has met all those of smaller documents after as many rounds as the number of passages around an anchor has bits.
+4. The answers go back to the parts, which mark, cut and digest their documents.
 
-No step holds more than a part of the input or a bucket, whose number follows the input.
+No step holds more than a part of the input (common.PART_BYTES, or one text if that is longer) or a bucket, whose number follows the input.
 
 Defined cases: null and empty texts are empty byte strings, with nothing removed; texts under 50 bytes keep everything; rows repeated with one
 doc_id don't remove each other's bytes; rows with a null doc_id are returned as they are and remove nothing. Extra columns are ignored.
@@ -22,30 +24,32 @@ doc_id don't remove each other's bytes; rows with a null doc_id are returned as
 from __future__ import annotations
 
 import hashlib
-import zlib
-from collections import Counter, defaultdict
+import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireworks.llm.common import or_empty, pack, pieces_for, rows_of, table, to_batches, total_bytes, unpack
-from quireworks.llm.tokens import in_portions
+from quireworks.llm.common import PACKED_DDL, flat_of, opened_flat, or_empty, pack, packed, packs, parts_of, pieces_for, rows_of, table, to_batches, total_bytes, unpack
+from quireworks.llm.shingles import mix
 
-#: Length of a match, of an anchor, and anchor starts in a window of that length.
-MATCH, ANCHOR = 50, 25
-WINDOW = MATCH - ANCHOR + 1
+#: Length of a match, of an anchor, anchor starts in a window of that length, and bytes of a passage.
+MATCH, ANCHOR = 50, 20
+WINDOW, PASSAGE = MATCH - ANCHOR + 1, 2 * MATCH - ANCHOR
 #: Bytes of text for which there is one bucket of anchors, one of passages.
 ANCHOR_BYTES, PASSAGE_BYTES = 24 << 20, 4 << 20
-#: Documents from which on an anchor's 50-byte strings are dealt out one by one.
-HOT_DOCS = 20_000
+#: Anchor starts that are looked at together.
+CHUNK = 1 << 18
+#: Documents from which on an anchor's 50-byte strings are dealt out one by one; the place that marks such a string.
+HOT_DOCS, ALONE = 20_000, 255
 
 _rng = np.random.default_rng(50)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-_MUL = [np.uint64(int(x) * 2 + 1) for x in _rng.integers(1, 1 << 62, 8, dtype=np.uint64)]
-_NONE = np.iinfo(np.int64).max
+_MUL = [np.uint64(int(x) * 2 + 1) for x in _rng.integers(1, 1 << 62, 16, dtype=np.uint64)]
+_TABLE = _rng.integers(0, 1 << 63, (2, PASSAGE, 256), dtype=np.uint64) * np.uint64(2) + _rng.integers(0, 2, (2, PASSAGE, 256), dtype=np.uint64)
 
 
 def _sliding(x: np.ndarray, width: int, f) -> np.ndarray:
@@ -56,172 +60,248 @@ def _sliding(x: np.ndarray, width: int, f) -> np.ndarray:
     return f(x[: len(x) - (width - k)], x[width - k :]) if k < width else x
 
 
-def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and starts of the anchors of a text: each is the least of some WINDOW neighbouring anchor strings."""
-    n = len(raw) - ANCHOR + 1
-    if n < WINDOW:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h1 = _BYTE[np.frombuffer(raw, np.uint8)]
+def _hashes(b: np.ndarray) -> np.ndarray:
+    """A hash of the ANCHOR bytes from each start on."""
+    n = len(b) - ANCHOR + 1
+    h1 = _BYTE[b]
     h2 = h1[:-1] * _MUL[0] + h1[1:]
     h4 = h2[:-2] * _MUL[1] + h2[2:]
     h8 = h4[:-4] * _MUL[2] + h4[4:]
     h16 = h8[:-8] * _MUL[3] + h8[8:]
-    h = (h16[:n] * _MUL[4] + h8[16 : 16 + n]) * _MUL[5] + h1[24 : 24 + n]
+    h = h16[:n] * _MUL[4] + h4[16 : 16 + n]
     h = (h ^ (h >> np.uint64(29))) * _MUL[6]
-    h ^= h >> np.uint64(32)
-    low = np.zeros(n + WINDOW - 1, np.uint64)
-    low[WINDOW - 1 : n] = _sliding(h, WINDOW, np.minimum)
-    at = np.flatnonzero(_sliding(low, WINDOW, np.maximum) == h)
-    return h[at], at
+    return h ^ (h >> np.uint64(32))
+
+
+def _chunks(flat: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For CHUNK after CHUNK of the texts that lie one after another in flat, each up to its end: (first byte, hashes from there on, the anchors'
+    places from there on, the first and the end byte of their texts). An anchor is the least of some WINDOW neighbours of its text."""
+    starts = np.concatenate([[0], ends[:-1]])
+    for a in range(0, len(flat), CHUNK):
+        lo, hi = max(0, a - MATCH), min(len(flat), a + CHUNK + MATCH + ANCHOR)
+        if hi - lo < MATCH:
+            continue
+        h = _hashes(flat[lo:hi])
+        n = len(h) - WINDOW + 1
+        k = np.arange(int(np.searchsorted(ends, lo, "right")), int(np.searchsorted(starts, hi, "left")))
+        of = np.repeat(k, np.minimum(ends[k], hi) - np.maximum(starts[k], lo))
+        low = np.zeros(len(h) + WINDOW - 1, np.uint64)
+        inside = np.arange(lo, lo + n) + MATCH <= ends[of[:n]]
+        low[WINDOW - 1 : WINDOW - 1 + n][inside] = _sliding(h, WINDOW, np.minimum)[inside]
+        at = np.flatnonzero(_sliding(low, WINDOW, np.maximum)[: len(h)] == h)
+        at = at[(at + lo >= a) & (at + lo < a + CHUNK)]
+        at = at[at + lo + ANCHOR <= ends[of[at]]]
+        yield lo, h, at, starts[of[at]], ends[of[at]]
+
+
+def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the anchors of one text."""
+    found = [(h[at], at + lo) for lo, h, at, _, _ in _chunks(np.frombuffer(raw, np.uint8), np.array([len(raw)]))]
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 class RunLengthIndex:
-    """A run-compressed BWT of distinct passages, each ended by a separator of its own.
+    """A run-compressed BWT of passages (rows of a matrix, cut to their lengths), each ended by a separator.
 
-    Kept: symbols and starts of the runs, LF at the run starts, suffix samples at the run ends, the starts of the row
+    Kept: symbols and starts of the runs, LF at the run starts, the suffixes at both ends of each run, the starts of the row
     intervals of equal MATCH-byte prefixes and the smallest document of each.
     """
 
-    def __init__(self, passages: list[bytes], docs: np.ndarray) -> None:
-        self.n = m = len(passages)
-        self.lengths = np.fromiter(map(len, passages), np.int64, m)
-        flat = np.frombuffer(b"\0".join(passages) + b"\0", np.uint8).astype(np.int64) + 1
-        ends = np.cumsum(self.lengths + 1) - 1
-        flat[ends] = 0
+    def __init__(self, matrix: np.ndarray, lengths: np.ndarray, docs: np.ndarray) -> None:
+        m = len(lengths)
+        wide = np.zeros((m, PASSAGE + 1), np.int64)
+        inside = np.arange(PASSAGE + 1) < lengths[:, None]
+        wide[:, :PASSAGE] = matrix
+        self.text = flat = np.where(inside, wide + 1, 0)[np.arange(PASSAGE + 1) <= lengths[:, None]]
+        ends = np.cumsum(lengths + 1) - 1
         size = len(flat)
-        of = np.repeat(np.arange(m), self.lengths + 1)
+        of = np.repeat(np.arange(m), lengths + 1)
         left = ends[of] - np.arange(size)  # symbols before the separator
-        order, rank28 = self._suffixes(flat, of, left, m)
+        order, rank, depth = self._suffixes(flat, of, left, m)
         bwt = flat[order - 1]
         bwt[order == 0] = 0
         starts = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
         self.run_start, self.run_symbol = starts, bwt[starts]
         sizes = np.diff(np.concatenate([starts, [size]]))
-        self.run_end_sample = order[starts + sizes - 1]
+        self.run_last = starts + sizes - 1
+        self.start_sample, self.end_sample = order[starts], order[self.run_last]
         by = np.argsort(self.run_symbol, kind="stable")
-        lf = np.empty(len(starts), np.int64)
-        lf[by] = np.concatenate([[0], np.cumsum(sizes[by])[:-1]])
-        self.run_lf = lf
-        # Rows whose suffix has MATCH bytes, in runs of equal ones: bytes 0-27 and 22-49 are equal.
+        self.run_lf = np.empty(len(starts), np.int64)
+        self.run_lf[by] = np.concatenate([[0], np.cumsum(sizes[by])[:-1]])
+        self.by, self.by_key = by, self.run_symbol[by] * len(starts) + by
+        # Rows whose suffix has MATCH bytes, in runs of equal ones: the first `depth` and the last `depth` of these are equal.
         rows = np.flatnonzero(left[order] >= MATCH)
-        a, b = rank28[order[rows]], rank28[order[rows] + MATCH - 28]
+        a, b = rank[order[rows]], rank[order[rows] + MATCH - depth]
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(rows)]
         self.group_row = rows[new]
         self.group_doc = np.minimum.reduceat(docs[of[order[rows]]], np.flatnonzero(new)) if len(rows) else np.zeros(0, np.int64)
 
     @staticmethod
-    def _suffixes(flat: np.ndarray, of: np.ndarray, left: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-        """The suffix array by doubling from 7 symbols, and the ranks at 28. Separators are ordered by passage."""
+    def _suffixes(flat: np.ndarray, of: np.ndarray, left: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """The suffix array by doubling, and the ranks at a depth of MATCH / 2 to MATCH. Separators are ordered by passage."""
         size = len(flat)
+        used, dense = np.unique(flat, return_inverse=True)
+        depth = max(2, int(62 * math.log(2) / math.log(len(used) + 1)))
         key = np.zeros(size, np.int64)
-        padded = np.concatenate([flat, np.zeros(7, np.int64)])
+        padded = np.concatenate([dense, np.zeros(depth, np.int64)])
         open_ = np.ones(size, bool)
-        for k in range(7):
-            key = key * 257 + np.where(open_, padded[k : k + size], 0)
+        for k in range(depth):
+            key = key * (len(used) + 1) + np.where(open_, padded[k : k + size], 0)
             open_ &= left > k
-        rank28, depth = None, 7
         order = np.argsort(key)
+        s = key[order]
+        new = np.concatenate([[True], s[1:] != s[:-1]])
+        rank = np.empty(size, np.int64)  # where the suffixes that are equal so far begin in the order
+        rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
+        tied = ~new | ~np.concatenate([new[1:], [True]])
+        kept = None
         while True:
-            s = key[order]
-            rank = np.empty(size, np.int64)
-            rank[order] = np.cumsum(np.concatenate([[0], s[1:] != s[:-1]]))
-            if depth == 28:
-                rank28 = rank
-            if depth > 2 * MATCH:
-                return order, rank28
-            ahead = np.minimum(np.arange(size) + depth, size - 1)
-            second = np.where(left >= depth, rank[ahead] + m, of)
-            key = rank * (size + m + 1) + second
-            order = np.argsort(key)
+            if MATCH <= 2 * depth <= 2 * MATCH:
+                kept = rank.copy(), depth
+            if not tied.any() or depth >= PASSAGE:
+                return order, *(kept or (rank, MATCH // 2))  # without ties equal ranks are one suffix, whatever the depth
+            at = np.flatnonzero(tied)
+            some = order[at]
+            second = np.where(left[some] >= depth, rank[np.minimum(some + depth, size - 1)] + m, of[some])
+            key = rank[some] * (size + m + 1) + second
+            by = np.argsort(key)
+            s, some = key[by], some[by]
+            new = np.concatenate([[True], s[1:] != s[:-1]])
+            order[at] = some
+            rank[some] = at[np.flatnonzero(new)[np.cumsum(new) - 1]]
+            tied[at] = ~new | ~np.concatenate([new[1:], [True]])
             depth *= 2
 
-    def lf(self, rows: np.ndarray) -> np.ndarray:
-        run = np.searchsorted(self.run_start, rows, "right") - 1
-        return self.run_lf[run] + rows - self.run_start[run]
-
-    def matches(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(start, passages, smallest document): for each start, of the passages that have MATCH bytes from there on.
-
-        All passages step together from their separators, whose rows are the first and in order; after k steps a row stands for the last
-        k bytes and its statistic is k. Passages of one length reach a start at the same step."""
-        by = np.argsort(-self.lengths, kind="stable")
-        rows, lengths = by.copy(), self.lengths[by]
-        for k in range(1, int(lengths[0]) + 1 if len(lengths) else 0):
-            live = int(np.searchsorted(-lengths, -k, "right"))
-            rows = self.lf(rows[:live])
-            if k >= MATCH:
-                yield k, by[:live], self.group_doc[np.searchsorted(self.group_row, rows, "right") - 1]
-
-
-_ROW = pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("kind", pa.int8()), ("seq", pa.int64()), ("blob", pa.binary())])
-_ROW_DDL = "part bigint, bucket bigint, kind tinyint, seq bigint, blob binary"
+    def _common(self, at: np.ndarray, flat: np.ndarray, begin: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """How many symbols of the text from `at` on equal those of flat from `begin` on, up to `most`."""
+        out = np.zeros(len(at), np.int64)
+        go = np.flatnonzero(most > 0)
+        step = 4
+        while len(go):
+            j = out[go, None] + np.arange(step)
+            same = (self.text[np.minimum(at[go, None] + j, len(self.text) - 1)] == flat[np.minimum(begin[go, None] + j, len(flat) - 1)]) & (j < most[go, None])
+            n = np.where(same.all(1), step, same.argmin(1))
+            out[go] += n
+            go = go[(n == step) & (out[go] < most[go])]
+            step = 16
+        return out
+
+    def matches(self, matrix: np.ndarray, lengths: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """For each of the passages, as bits by start: whether the MATCH bytes from there on stand in the index under a smaller document.
+
+        All passages are streamed together, byte by byte from their ends. A row's suffix is a longest match of what a passage has
+        streamed so far, and its statistic is how long that match is."""
+        flat = (matrix.astype(np.int64) + 1).ravel()
+        found = np.zeros(len(lengths), np.int64)
+        live = np.arange(len(lengths))  # passages that can still come to a match of MATCH bytes
+        row, size = np.zeros(len(live), np.int64), np.zeros(len(live), np.int64)
+        n_runs = len(self.run_start)
+        for k in range(1, PASSAGE + 1):
+            ahead = lengths[live] - k
+            may = (ahead >= 0) & (size + 1 + ahead >= MATCH)
+            live, row, size, ahead = live[may], row[may], size[may], ahead[may]
+            if not len(live):
+                break
+            here = live * PASSAGE + ahead
+            c = flat[here]
+            run = np.searchsorted(self.run_start, row, "right") - 1
+            lost = np.flatnonzero(self.run_symbol[run] != c)
+            if len(lost):
+                j = np.searchsorted(self.by_key, c[lost] * n_runs + run[lost])
+                up, down = self.by[np.maximum(j - 1, 0)], self.by[np.minimum(j, n_runs - 1)]
+                has_up, has_down = (j > 0) & (self.run_symbol[up] == c[lost]), (j < n_runs) & (self.run_symbol[down] == c[lost])
+                u = self._common(self.end_sample[up], flat, here[lost] + 1, np.where(has_up, size[lost], 0))
+                d = self._common(self.start_sample[down], flat, here[lost] + 1, np.where(has_down, size[lost], 0))
+                go_up = has_up & (~has_down | (u >= d))
+                run[lost] = np.where(go_up, up, np.where(has_down, down, run[lost]))
+                row[lost] = np.where(go_up, self.run_last[up], np.where(has_down, self.run_start[down], 0))
+                size[lost] = np.where(go_up, u, np.where(has_down, d, -1))
+            # A byte that the index doesn't hold starts anew, at any row.
+            row = np.where(size < 0, 0, self.run_lf[run] + row - self.run_start[run])
+            size += 1
+            if k >= MATCH and len(self.group_row):
+                long = np.flatnonzero(size >= MATCH)
+                least = self.group_doc[np.searchsorted(self.group_row, row[long], "right") - 1]
+                hit = long[least < docs[live[long]]]
+                found[live[hit]] |= np.int64(1) << ahead[hit]
+        return found
+
+
+def smaller_elsewhere(matrix: np.ndarray, lengths: np.ndarray, docs: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For each of distinct passages, as bits by start: whether the MATCH bytes from there on also stand in a passage of its group with a
+    smaller document. A group shares an anchor; its earlier half is indexed, its later half streamed, then each half is a group."""
+    found = np.zeros(len(lengths), np.int64)
+    full = (np.int64(1) << (lengths - MATCH + 1)) - 1
+    at = np.lexsort((docs, group))
+    g = group[at]
+    while True:
+        first = np.concatenate([[True], g[1:] != g[:-1]]) if len(g) else np.zeros(0, bool)
+        begin = np.flatnonzero(first)
+        n = np.diff(np.concatenate([begin, [len(g)]]))
+        several = np.repeat(n > 1, n)
+        if not several.any():
+            return found
+        late = (np.arange(len(g)) - np.repeat(begin, n) >= np.repeat((n + 1) // 2, n))[several]
+        at, g = at[several], np.cumsum(first[several])
+        old, new = at[~late], at[late]
+        found[new] |= RunLengthIndex(matrix[old], lengths[old], docs[old]).matches(matrix[new], lengths[new], docs[new])
+        # What a passage found whole could still tell others, the index has told them as well.
+        stay = ~late | (found[at] != full[at])
+        at, g = at[stay], (2 * g + late)[stay]
+        order = np.argsort(g, kind="stable")
+        at, g = at[order], g[order]
+
+
+_ROW = pa.schema([("part", pa.int32()), ("bucket", pa.int64()), ("kind", pa.int8()), ("seq", pa.int64()), ("blob", pa.binary())])
+_ROW_DDL = "part int, bucket bigint, kind tinyint, seq bigint, blob binary"
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Sorted 64-bit numbers as differences, byte by byte: the upper bytes are nearly all zero and vanish in compression."""
-    return np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """64-bit numbers as differences, byte by byte: of sorted or small ones the upper bytes are nearly all zero and vanish in compression."""
+    return np.diff(x.view(np.uint64), prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
 def _from_planes(raw: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(raw, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows():
-        for seq, some in enumerate(in_portions(rows_of(batches, "part", "doc_id", "text"))):
-            texts = [t.encode() for _, _, t in some]
-            ids = np.array([0 if d is None else d for _, d, _ in some], "<i8").tobytes()
-            null = np.array([d is None for _, d, _ in some], "u1").tobytes()
-            yield some[0][0], -1, 2, seq, pack(ids, null, np.array(list(map(len, texts)), "<i8").tobytes(), b"".join(texts))
-
-    yield from to_batches(rows(), _ROW)
-
-
-def _opened(blob: bytes) -> Iterator[tuple[int | None, bytes]]:
-    ids, null, sizes, flat = unpack(blob)
-    cuts = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<i8"))]).tolist()
-    for k, d in enumerate(np.frombuffer(ids, "<i8").tolist()):
-        yield None if null[k] else d, flat[cuts[k] : cuts[k + 1]]
-
-
-def _anchor_rows(n_buckets: int):
+def _anchor_rows(n_buckets: int, n_scan: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, found, pending = -1, [], 0
-        for part, d, text in rows_of(batches, "part", "doc_id", "text"):
-            raw = text.encode()
-            if d is not None and len(raw) >= MATCH:
-                found.append(np.unique(anchors(raw)[0]))
-        if not found:
-            return
-        h, count = np.unique(np.concatenate(found), return_counts=True)
-        del found
-        cuts = np.searchsorted(h, np.array([(b << 64) // n_buckets for b in range(1, n_buckets)], np.uint64)) if n_buckets > 1 else []
-        edges = [0, *map(int, cuts), len(h)]
-        rows = ((part, b, 0, 0, pack(_planes(h[x:y]), count[x:y].astype("<u4").tobytes())) for b, (x, y) in enumerate(zip(edges, edges[1:])) if y > x)
-        yield from to_batches(rows, _ROW)
+        def part_rows(part: int, found: list[np.ndarray]):
+            """Anchors with the number of texts that hold them."""
+            h, count = np.unique(np.concatenate(found), return_counts=True)
+            bucket = (mix(h) % np.uint64(n_buckets)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[by], np.arange(n_buckets + 1))
+            for b in np.flatnonzero(np.diff(edges)).tolist():
+                own = by[edges[b] : edges[b + 1]]
+                yield part, b, 0, 0, pack(_planes(h[own]), count[own].astype("<u4").tobytes())
 
-    return run
+        def rows():
+            for part, own in groupby(packs(batches, n_scan), key=lambda x: x[0]):
+                found = []
+                for _, _, ids, texts in own:
+                    _, null, raw, ends = flat_of(ids, texts)
+                    for lo, h, at, start, _ in _chunks(raw, ends):
+                        x, of = h[at], np.searchsorted(ends, start, "right")
+                        x, of = x[~null[of]], of[~null[of]]
+                        by = np.lexsort((of, x))
+                        x, of = x[by], of[by]
+                        found.append(x[np.concatenate([[True], (x[1:] != x[:-1]) | (of[1:] != of[:-1])])[: len(x)]])  # once a text
+                if found:
+                    yield from part_rows(part, found)
 
+        yield from to_batches(rows(), _ROW)
 
-def _grouped(batches: Iterator[pa.RecordBatch], name: str, *rest: str) -> Iterator[tuple]:
-    """(key, its rows) of batches sorted by the key."""
-    at, kept = None, []
-    for key, *row in rows_of(batches, name, *rest):
-        if key != at and kept:
-            yield at, kept
-            kept = []
-        at = key
-        kept.append(row)
-    if kept:
-        yield at, kept
+    return run
 
 
 def _repeated(hot_docs: int):
     """Of each part's anchors those that two documents or more hold, and whether very many do."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for bucket, parts in _grouped(batches, "bucket", "part", "blob"):
-            own = [(p, *unpack(blob)) for p, blob in parts]
+        for bucket, parts in groupby(rows_of(batches, "bucket", "part", "blob"), key=lambda r: r[0]):
+            own = [(p, *unpack(blob)) for _, p, blob in parts]
             hs = [_from_planes(h) for _, h, _ in own]
             every, where = np.unique(np.concatenate(hs), return_inverse=True)
             total = np.bincount(where, weights=np.concatenate([np.frombuffer(c, "<u4") for _, _, c in own]))
@@ -236,50 +316,58 @@ def _repeated(hot_docs: int):
 
 
 class _Passages:
-    """The passages of a part's documents, numbered within their buckets by first sight."""
+    """The passages around a part's repeated anchors."""
 
     def __init__(self, n_buckets: int) -> None:
-        self.n = n_buckets
+        self.n = np.uint64(n_buckets)
         self.hashes: list[np.ndarray] = []
         self.flags: list[np.ndarray] = []
-        self.sorted: tuple[np.ndarray, np.ndarray] | None = None
-        self.at: dict[bytes, tuple[int, int]] = {}
-        self.size: dict[int, int] = defaultdict(int)
 
     def learn(self, blob: bytes) -> None:
         h, hot = unpack(blob)
         self.hashes.append(_from_planes(h))
         self.flags.append(np.frombuffer(hot, "u1"))
 
-    def of(self, raw: bytes) -> Iterator[tuple[int, int, bytes, tuple[int, int]]]:
-        """(start, the anchor's place in the passage, passage, (bucket, number)) around each repeated anchor."""
-        if self.sorted is None:
-            h = np.concatenate(self.hashes) if self.hashes else np.zeros(0, np.uint64)
-            by = np.argsort(h)
-            self.sorted = h[by], (np.concatenate(self.flags) if self.flags else np.zeros(0, "u1"))[by]
-        known, hot = self.sorted
-        h, at = anchors(raw)
-        if not len(h) or not len(known):
+    def done(self) -> None:
+        h = np.concatenate(self.hashes) if self.hashes else np.zeros(0, np.uint64)
+        by = np.argsort(h)
+        self.known, self.hot = h[by], (np.concatenate(self.flags) if self.flags else np.zeros(0, "u1"))[by].astype(bool)
+
+    def of(self, flat: np.ndarray, ends: np.ndarray, null: np.ndarray) -> Iterator[tuple]:
+        """Arrays of start, size, the anchor's place in the passage, two hashes that name the passage, its bucket, its text."""
+        if not len(self.known):
             return
-        k = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        hit = known[k] == h
-        buckets = (h[hit] % np.uint64(self.n)).tolist()
-        for p, b, is_hot in zip(at[hit].tolist(), buckets, hot[k[hit]].tolist()):
-            start = max(0, p - MATCH + ANCHOR)
-            whole = raw[start : p + MATCH]
-            if not is_hot:
-                yield start, p - start, whole, self._number(whole, b)
-                continue
-            for i in range(len(whole) - MATCH + 1):
-                one = whole[i : i + MATCH]
-                yield start + i, 0, one, self._number(one, zlib.crc32(one) % self.n)
-
-    def _number(self, passage: bytes, bucket: int) -> tuple[int, int]:
-        got = self.at.get(passage)
-        if got is None:
-            got = self.at[passage] = (bucket, self.size[bucket])
-            self.size[bucket] += 1
-        return got
+        for lo, h, at, start, end in _chunks(flat, ends):
+            of = np.searchsorted(ends, start, "right")
+            k = np.minimum(np.searchsorted(self.known, h[at]), len(self.known) - 1)
+            hit = (self.known[k] == h[at]) & ~null[of]
+            at, start, end, of, hot = at[hit], start[hit] - lo, end[hit] - lo, of[hit], self.hot[k[hit]]
+            s, e = np.maximum(start, at + ANCHOR - MATCH), np.minimum(end, at + MATCH)
+            whole = e - s == PASSAGE
+            w = np.flatnonzero(whole & ~hot)
+            four = [h[s[w] + k] for k in range(0, PASSAGE, ANCHOR)]
+            yield s[w] + lo, e[w] - s[w], at[w] - s[w], *(mix(sum(x * m for x, m in zip(four, _MUL[i : i + 4]))) for i in (7, 11)), h[at[w]] % self.n, of[w]
+            w = np.flatnonzero(~whole & ~hot)  # at the edge of a text
+            if len(w):
+                names = np.frombuffer(b"".join(hashlib.blake2b(flat[a:b].tobytes(), digest_size=16).digest() for a, b in zip((s[w] + lo).tolist(), (e[w] + lo).tolist())), np.uint64).reshape(-1, 2)
+                yield s[w] + lo, e[w] - s[w], at[w] - s[w], names[:, 0], names[:, 1], h[at[w]] % self.n, of[w]
+            w = np.flatnonzero(hot)
+            if len(w):
+                n = e[w] - s[w] - MATCH + 1
+                one = np.repeat(s[w], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                three = h[one], h[one + ANCHOR], h[one + MATCH - ANCHOR]
+                name, again = (mix(sum(x * m for x, m in zip(three, _MUL[i : i + 3]))) for i in (7, 10))
+                yield one + lo, np.full(len(one), MATCH), np.full(len(one), ALONE), name, again, name % self.n, np.repeat(of[w], n)
+
+
+def _first_of_each(name: np.ndarray, again: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the distinct names first stand, in their order, and the smallest document of each."""
+    by = np.argsort(name, kind="stable")
+    new = np.concatenate([[True], name[by][1:] != name[by][:-1]])[: len(by)]
+    first = np.flatnonzero(new)
+    if (again[by] != np.repeat(again[by][first], np.diff(np.concatenate([first, [len(by)]])))).any():
+        raise RuntimeError("two passages have one name")
+    return by[first], np.minimum.reduceat(doc[by], first) if len(first) else doc[:0]
 
 
 def _passage_rows(n_buckets: int):
@@ -287,81 +375,79 @@ def _passage_rows(n_buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            for part, own in _grouped_lazily(batches):
-                seen = _Passages(n_buckets)
-                least: dict[int, list[int]] = defaultdict(list)
-                place: dict[int, bytearray] = defaultdict(bytearray)
-                for kind, _, blob in own:
+            for part, own in groupby(rows_of(batches, "part", "kind", "blob"), key=lambda r: r[0]):
+                seen, open_ = _Passages(n_buckets), True
+                kept: list[tuple] = []
+                for _, kind, blob in own:
                     if kind == 0:
                         seen.learn(blob)
                         continue
-                    for d, raw in _opened(blob):
-                        if d is None:
-                            continue
-                        for _, at, _, (b, k) in seen.of(raw):
-                            if k == len(least[b]):
-                                least[b].append(d)
-                                place[b].append(at)
-                            elif d < least[b][k]:
-                                least[b][k] = d
-                texts: dict[int, list[bytes]] = defaultdict(list)
-                for passage, (b, _) in seen.at.items():
-                    texts[b].append(passage)
-                for b, own_texts in texts.items():
-                    yield part, b, 1, 0, pack(np.array(list(map(len, own_texts)), "u1").tobytes(), np.array(least[b], "<i8").tobytes(), bytes(place[b]), b"".join(own_texts))
+                    if open_:
+                        seen.done()
+                        open_ = False
+                    ids, null, flat, ends = opened_flat(blob)
+                    for s, n, place, name, again, bucket, of in seen.of(flat, ends, null):
+                        if len(s):
+                            at, doc = _first_of_each(name, again, ids[of])
+                            j = np.arange(PASSAGE)
+                            text = np.where(j < n[at, None], flat[np.minimum(s[at, None] + j, len(flat) - 1)], 0).astype(np.uint8)
+                            kept.append((name[at], again[at], doc, bucket[at].astype(np.int64), n[at].astype("u1"), place[at].astype("u1"), text))
+                            if sum(len(x[0]) for x in kept) > 1 << 19 and len(kept) > 8:
+                                kept = [merged(kept)]
+                if kept:
+                    name, _, doc, bucket, n, place, text = merged(kept)
+                    by = np.argsort(bucket, kind="stable")
+                    edges = np.flatnonzero(np.concatenate([[True], bucket[by][1:] != bucket[by][:-1]]))
+                    for x in np.split(by, edges[1:]):
+                        yield part, int(bucket[x[0]]), 1, 0, pack(_planes(name[x]), n[x].tobytes(), _planes(doc[x]), place[x].tobytes(), text[x].tobytes())
+
+        def merged(kept: list[tuple]) -> tuple:
+            name, again, doc, *rest = (np.concatenate(x) for x in zip(*kept))
+            at, least = _first_of_each(name, again, doc)
+            return name[at], again[at], least, *(x[at] for x in rest)
 
         yield from to_batches(rows(), _ROW)
 
     return run
 
 
-def _grouped_lazily(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(part, iterator of its (kind, bucket, blob)); a part's rows are taken before the next part is asked for."""
-    from itertools import groupby
-
-    for part, own in groupby(rows_of(batches, "part", "kind", "bucket", "blob"), key=lambda r: r[0]):
-        yield part, (r[1:] for r in own)
+def _named(matrix: np.ndarray, lengths: np.ndarray, begin: np.ndarray | None = None, width: int = PASSAGE) -> list[np.ndarray]:
+    """Two hashes of each row's bytes, or of `width` bytes from `begin` on."""
+    out = [lengths.astype(np.uint64) * _MUL[0], lengths.astype(np.uint64) * _MUL[1]]
+    for j in range(width):
+        c = matrix[:, j] if begin is None else matrix[np.arange(len(matrix)), np.minimum(begin + j, PASSAGE - 1)]
+        for x, t in zip(out, _TABLE):
+            x += t[j][c]
+    return out
 
 
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a bucket's passages the smallest document of each 50-byte string, for each part that holds them."""
+    """Of a bucket's passages the smallest document, and which of their strings a smaller one holds elsewhere, for each part that has them."""
 
     def rows():
-        for bucket, parts in _grouped(batches, "bucket", "part", "blob"):
-            number: dict[bytes, int] = {}
-            docs: list[int] = []
-            anchor: list[bytes] = []
-            places = []
-            for part, blob in parts:
-                sizes, least, where, flat = unpack(blob)
-                at, mine = 0, []
-                for n, d, a in zip(sizes, np.frombuffer(least, "<i8").tolist(), where):
-                    p = flat[at : at + n]
-                    at += n
-                    k = number.setdefault(p, len(docs))
-                    if k == len(docs):
-                        docs.append(d)
-                        anchor.append(p[a : a + ANCHOR])
-                    elif d < docs[k]:
-                        docs[k] = d
-                    mine.append(k)
-                places.append((part, np.array(mine)))
-            first_docs = np.array(docs, np.int64)
-            width = np.fromiter(map(len, number), np.int64, len(docs)) - MATCH + 1
-            first = np.concatenate([[0], np.cumsum(width)])
-            least = np.repeat(first_docs, width)
-            # A passage that stands alone around its anchor shares no 50-byte string with another: its own minimum holds.
-            shared = Counter(anchor)
-            some = np.flatnonzero(np.fromiter((shared[a] > 1 for a in anchor), bool, len(anchor)))
+        for bucket, parts in groupby(rows_of(batches, "bucket", "part", "blob"), key=lambda r: r[0]):
+            own = [(p, *unpack(blob)) for _, p, blob in parts]
+            n = np.concatenate([np.frombuffer(x[2], "u1") for x in own]).astype(np.int64)
+            doc = np.concatenate([_from_planes(x[3]).view(np.int64) for x in own])
+            place = np.concatenate([np.frombuffer(x[4], "u1") for x in own]).astype(np.int64)
+            text = np.concatenate([np.frombuffer(x[5], np.uint8).reshape(-1, PASSAGE) for x in own])
+            name, again = _named(text, n + 256 * place)
+            _, at, of = np.unique(name, return_index=True, return_inverse=True)
+            if (again != again[at][of]).any():
+                raise RuntimeError("two passages have one name")
+            least = np.full(len(at), np.iinfo(np.int64).max)
+            np.minimum.at(least, of, doc)
+            found = np.zeros(len(at), np.int64)
+            some = np.flatnonzero(place[at] != ALONE)
             if len(some):
-                texts = list(number)
-                index = RunLengthIndex([texts[k] for k in some.tolist()], first_docs[some])
-                for k, which, found in index.matches():
-                    least[first[some[which]] + index.lengths[which] - k] = found
-            for part, mine in places:
-                w = width[mine]
-                take = np.repeat(first[mine] - np.concatenate([[0], np.cumsum(w)[:-1]]), w) + np.arange(w.sum())
-                yield part, bucket, 1, 0, pack(w.astype("u1").tobytes(), np.diff(least[take], prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes())
+                x = at[some]
+                group = np.unique(_named(text[x], n[x] * 0, place[x], ANCHOR)[0], return_inverse=True)[1]
+                found[some] = smaller_elsewhere(text[x], n[x], least[some], group)
+            a = 0
+            for p, names, *_ in own:
+                mine = of[a : a + len(names) // 8]
+                a += len(mine)
+                yield p, bucket, 1, 0, pack(names, _planes(least[mine]), found[mine].astype("<u4").tobytes())
 
     yield from to_batches(rows(), _ROW)
 
@@ -370,49 +456,53 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed",
 
 
 def _marked(n_buckets: int, keep_bytes: bool):
-    """A part's repeated anchors (0), the minima of its passages (1), then its documents (2): what is left of each."""
+    """A part's repeated anchors (0), the answers for its passages (1), then its documents (2): what is left of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            for _, own in _grouped_lazily(batches):
-                seen = _Passages(n_buckets)
-                minima: dict[int, tuple[np.ndarray, list[int]]] = {}
-                for kind, bucket, blob in own:
+            for _, own in groupby(rows_of(batches, "part", "kind", "blob"), key=lambda r: r[0]):
+                seen, answers, open_ = _Passages(n_buckets), [], True
+                for _, kind, blob in own:
                     if kind == 0:
                         seen.learn(blob)
                     elif kind == 1:
-                        w, planes = unpack(blob)
-                        ends = np.concatenate([[0], np.cumsum(np.frombuffer(w, "u1").astype(np.int64))]).tolist()
-                        each = np.frombuffer(w, "u1").astype(np.int64)
-                        least = np.cumsum(np.frombuffer(planes, np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel())
-                        begins = np.cumsum(each) - each
-                        minima[bucket] = least, begins.tolist(), each.tolist(), np.minimum.reduceat(least, begins).tolist(), np.maximum.reduceat(least, begins).tolist()
+                        names, least, found = unpack(blob)
+                        answers.append((_from_planes(names), _from_planes(least).view(np.int64), np.frombuffer(found, "<u4").astype(np.int64)))
                     else:
-                        for d, raw in _opened(blob):
-                            yield cut(d, raw, seen, minima)
-
-        def cut(d: int | None, raw: bytes, seen: _Passages, minima: dict) -> tuple:
-            n = len(raw)
-            change = None
-            for start, _, _, (b, k) in seen.of(raw) if d is not None else ():
-                least, begins, each, low, high = minima[b]
-                if low[k] >= d:
-                    continue
-                if change is None:
-                    change = [0] * (n + 1)
-                if high[k] < d:  # every string around this anchor starts in an earlier document
-                    change[start] += 1
-                    change[start + each[k] - 1 + MATCH] -= 1
-                    continue
-                for i in np.flatnonzero(least[begins[k] : begins[k] + each[k]] < d).tolist():
-                    change[start + i] += 1
-                    change[start + i + MATCH] -= 1
-            if change is None:
-                return d, n, 0, 0, hashlib.sha256(raw).hexdigest(), raw if keep_bytes else b""
-            gone = np.cumsum(np.array(change[:n])) > 0
-            left = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-            spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-            return d, n, int(gone.sum()), spans, hashlib.sha256(left).hexdigest(), left if keep_bytes else b""
+                        if open_:
+                            seen.done()
+                            answers = [np.concatenate(x) for x in zip(*answers)] or [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+                            by = np.argsort(answers[0])
+                            answers = [x[by] for x in answers]
+                            open_ = False
+                        yield from cut(seen, answers, *opened_flat(blob))
+
+        def cut(seen: _Passages, answers: list[np.ndarray], ids: np.ndarray, null: np.ndarray, flat: np.ndarray, ends: np.ndarray):
+            names, least, found = answers
+            change = np.zeros(len(flat) + 1, np.int32)
+            for s, n, _, name, _, _, of in seen.of(flat, ends, null):
+                k = np.searchsorted(names, name)
+                if len(k) and not (k < len(names)).all() or (names[k] != name).any():
+                    raise RuntimeError("a partition of the input differs between two reads")
+                whole = least[k] < ids[of]
+                np.add.at(change, s[whole], 1)
+                np.add.at(change, s[whole] + n[whole], -1)
+                part = ~whole & (found[k] != 0)
+                s, bits = s[part], found[k[part]]
+                for i in range(WINDOW):
+                    on = s[(bits >> i) & 1 == 1] + i
+                    np.add.at(change, on, 1)
+                    np.add.at(change, on + MATCH, -1)
+            gone = np.cumsum(change[:-1]) > 0
+            left = flat[~gone].tobytes()
+            before = np.concatenate([[0], np.cumsum(gone)])
+            begins = gone & ~np.concatenate([[False], gone[:-1]])
+            starts = np.concatenate([[0], ends[:-1]])
+            begins[starts[starts < len(flat)]] = gone[starts[starts < len(flat)]]
+            spans = np.concatenate([[0], np.cumsum(begins)])
+            for d, z, a, b in zip(ids.tolist(), null.tolist(), starts.tolist(), ends.tolist()):
+                raw = left[a - before[a] : b - before[b]]
+                yield None if z else d, b - a, int(before[b] - before[a]), int(spans[b] - spans[a]), hashlib.sha256(raw).hexdigest(), raw if keep_bytes else b""
 
         yield from to_batches(rows(), _OUT)
 
@@ -422,18 +512,17 @@ def _marked(n_buckets: int, keep_bytes: bool):
 def dedup(docs: DataFrame, keep_bytes: bool = True, hot_docs: int = HOT_DOCS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes for each row of docs(doc_id, text).
 
-    docs must give the same rows in the same partitions each time it is read, as tables do.
+    docs must give the same rows in the same partitions each time it is read, as tables do; a passage without an answer is an error.
     """
     size = total_bytes(docs)
     n_anchor, n_passage = pieces_for(size, ANCHOR_BYTES), pieces_for(size, PASSAGE_BYTES)
-    rows = docs.select(F.spark_partition_id().cast("long").alias("part"), "doc_id", or_empty("text").alias("text"))
-    n_parts = max(12, 3 * rows.rdd.getNumPartitions())  # few tasks then get two parts
-    packed = rows.mapInArrow(_documents, _ROW_DDL)
-    repeated = rows.mapInArrow(_anchor_rows(n_anchor), _ROW_DDL).repartition(n_anchor, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated(hot_docs), _ROW_DDL)
-    parts = repeated.unionByName(packed).repartition(n_parts, "part")
+    rows, n_scan, n_parts = parts_of(docs.select("doc_id", or_empty("text").alias("text")), size)
+    documents = rows.mapInArrow(packed(n_scan), PACKED_DDL).select("part", F.lit(-1).cast("long").alias("bucket"), F.lit(2).cast("tinyint").alias("kind"), "seq", "blob")
+    repeated = rows.mapInArrow(_anchor_rows(n_anchor, n_scan), _ROW_DDL).repartition(n_anchor, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated(hot_docs), _ROW_DDL)
+    parts = repeated.unionByName(documents).repartitionById(n_parts, "part")
     passages = parts.sortWithinPartitions("part", "kind", "seq", "bucket").mapInArrow(_passage_rows(n_passage), _ROW_DDL)
-    minima = passages.repartition(n_passage, "bucket").sortWithinPartitions("bucket").mapInArrow(_indexed, _ROW_DDL)
-    whole = repeated.unionByName(packed).unionByName(minima).repartition(n_parts, "part").sortWithinPartitions("part", "kind", "seq", "bucket")
+    answers = passages.repartition(n_passage, "bucket").sortWithinPartitions("bucket").mapInArrow(_indexed, _ROW_DDL)
+    whole = repeated.unionByName(documents).unionByName(answers).repartitionById(n_parts, "part").sortWithinPartitions("part", "kind", "seq", "bucket")
     out = whole.mapInArrow(_marked(n_passage, keep_bytes), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     return out if keep_bytes else out.drop("kept")
 
