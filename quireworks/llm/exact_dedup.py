@@ -27,8 +27,8 @@ PREFIX = 16
 RANGE_BYTES = 24 << 20
 #: A text is dealt over ranges if it has more copies than this, and more than a quarter of a mean range.
 LEAST_HOT = 64
-#: Rows of 17 bytes up to which the list of such texts is broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Rows of 17 to 90 bytes up to which the list of such texts is broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def normalised(text: Column) -> Column:
@@ -39,9 +39,9 @@ def normalised(text: Column) -> Column:
     return F.when(F.contains(t, F.lit("  ")), F.regexp_replace(t, " {2,}", " ")).otherwise(t)
 
 
-def _sorted(docs: DataFrame, carry: Column, range_bytes: int, least_hot: int) -> tuple[DataFrame, bool]:
+def _sorted(docs: DataFrame, carry: Column, range_bytes: int, least_hot: int) -> tuple[DataFrame, int]:
     """doc_id, norm, h, hot, `carry` as row, and of each run of equal texts: at (place in it), least (its smallest doc_id), n (its rows).
-    Runs of a hot text are one a salt. Also whether any text is hot."""
+    Runs of a hot text are one a salt. Also how many texts are hot."""
     of = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.count("*").alias("n")).first()
     n_ranges = pieces_for(of["bytes"] or 0, range_bytes)
     hot_from = max(least_hot, of["n"] // (4 * n_ranges))
@@ -54,18 +54,18 @@ def _sorted(docs: DataFrame, carry: Column, range_bytes: int, least_hot: int) ->
     run = Window.partitionBy("prefix", "h", "norm", "salt")
     first = run.orderBy(F.col("doc_id").asc_nulls_last())
     ordered = keyed.repartitionByRange(n_ranges, "prefix", "h", "salt")
-    return ordered.select("doc_id", "norm", "row", "h", "hot", F.row_number().over(first).alias("at"), F.first("doc_id").over(first).alias("least"), F.count("*").over(run).alias("n")), n_hot > 0
+    return ordered.select("doc_id", "norm", "row", "h", "hot", F.row_number().over(first).alias("at"), F.first("doc_id").over(first).alias("least"), F.count("*").over(run).alias("n")), n_hot
 
 
 def groups_of(docs: DataFrame, range_bytes: int = RANGE_BYTES, least_hot: int = LEAST_HOT) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for each row of docs(doc_id, text)."""
-    found, any_hot = _sorted(docs.select("doc_id", "text"), F.lit(None).cast("int"), range_bytes, least_hot)
+    found, n_hot = _sorted(docs.select("doc_id", "text"), F.lit(None).cast("int"), range_bytes, least_hot)
     found = found.select("doc_id", "hot", "at", "least", "n", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"))
     keep, size = F.col("least"), F.col("n")
-    if any_hot:
+    if n_hot:
         found = materialised(found, "runs")  # without the texts
         merged = found.filter("hot and at = 1").groupBy("text_sha256").agg(F.min("least").alias("all_least"), F.sum("n").alias("all_n"))
-        found = found.join(merged, "text_sha256", "left")
+        found = found.join(F.broadcast(merged) if n_hot <= BROADCAST_ROWS else merged, "text_sha256", "left")
         keep, size = F.when(F.col("hot"), F.col("all_least")).otherwise(keep), F.when(F.col("hot"), F.col("all_n")).otherwise(size)
     # Of rows repeated with one doc_id all are returned; `kept` tells the doc_id that stays.
     return found.select("doc_id", keep.alias("keep_id"), size.cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
@@ -73,9 +73,9 @@ def groups_of(docs: DataFrame, range_bytes: int = RANGE_BYTES, least_hot: int =
 
 def filter_documents(docs: DataFrame, range_bytes: int = RANGE_BYTES, least_hot: int = LEAST_HOT) -> DataFrame:
     """One row of docs for each normalised text: one of the smallest doc_id, with docs' own columns."""
-    found, any_hot = _sorted(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]), range_bytes, least_hot)
+    found, n_hot = _sorted(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]), range_bytes, least_hot)
     first = found.filter("at = 1")
-    if not any_hot:
+    if not n_hot:
         return first.select("row.*")
     again = Window.partitionBy("h", "norm").orderBy(F.col("doc_id").asc_nulls_last())
     # One row a salt of each hot text.
