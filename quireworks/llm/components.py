@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quireworks.llm.common import materialised
+from quireworks.llm.common import discard, materialised
 
 MAX_ROUNDS = 60
 
@@ -31,7 +31,8 @@ def connected(links: DataFrame) -> DataFrame:
     at = materialised(links.select("u", "v").filter("u <> v").distinct(), "links")
     mark = None
     for _ in range(MAX_ROUNDS):
-        at = materialised(_small_star(_large_star(at)), "links")
+        before, at = at, materialised(_small_star(_large_star(at)), "links")
+        discard(before)
         now = at.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break

@@ -1,11 +1,14 @@
 """Self-join of documents by n-gram Jaccard similarity with signature trees.
 
 1. A document's set: distinct hashes of its word shingles. Documents of equal sets form one class, led by the smallest doc_id.
-2. Two sets of similarity t share one of their first n - ceil(t n) + 1 hashes, in the order of the hashes. Classes that
+2. Two sets of similarity t share one of their first n - ceil(t n) + 1 hashes, in any order that is the same for all. The hashes that many
+   documents of a sample hold come last, the most frequent at the very end, so a passage in many documents brings few of these together; the
+   sample decides the order only, which changes no result. Classes that
    share such a hash form a list, cut where, in the order of sizes, one is too small for the next; equal lists count once.
-3. Star rounds: each list's members are held against its leader; the leader is the least by a hash that changes with the round. Links that
+3. Star rounds: each list's members are held against its leader; the leader is the smallest doc_id, for copies mostly follow
+   what they copy, then the least by a hash. Links that
    pass the exact test merge components, so a group of thousands of near copies costs about one test a member and round.
-4. Lists that still span components go to the tree: leaves of documents ordered by size, nodes with OR-combined bitmaps
+4. Lists that still span components go to the tree, very long ones in pieces, each two of which meet in a task: leaves of documents ordered by size, nodes with OR-combined bitmaps
    of hashes and size ranges. A dual traversal drops node pairs whose largest possible overlap is too small and
    document pairs already in one component; what is left is tested on wider bitmaps and then exactly. So no link between components is missed.
 
@@ -19,13 +22,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireworks.llm.common import materialised, or_empty, rows_of, table, to_batches
+from quireworks.llm.common import discard, materialised, or_empty, rows_of, table, to_batches
 from quireworks.llm.components import connected
 from quireworks.llm.shingles import mix, shingle_set
 
@@ -35,6 +39,10 @@ STAR_ROUNDS = 2
 SALTS = 16
 #: Rows of a tree's leaf; lists of no more than SMALL rows need no tree. A tree's bitmaps have 1/FOLD of the bits.
 LEAF, SMALL, FOLD = 64, 16, 4
+#: Rows of a list that one task holds twice at most.
+PIECE = 4096
+#: Documents in the sample that tells frequent hashes: this share of all, or this many; how many hold such a hash, and hashes at most.
+SAMPLE_SHARE, SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 1 / 16, 20_000, 3, 200_000
 
 
 def enough(inter: int, a: int, b: int, percent: int = PERCENT) -> bool:
@@ -63,11 +71,9 @@ def _bound(pa_: np.ndarray, na: int, pb: np.ndarray, nb: int) -> int:
 
 
 class SignatureTree:
-    """Documents (id, size, bitmap, component, its lists) of one list, ordered by size; `pairs` runs the dual traversal of the
-    tree with itself. A pair that meets in several lists is given in the least of them only."""
+    """Documents (id, size, bitmap, component) of one list, ordered by size; `pairs` runs the dual traversal of the tree with itself."""
 
-    def __init__(self, rows: list[tuple], percent: int = PERCENT, name: int | None = None) -> None:
-        self.name = name
+    def __init__(self, rows: list[tuple], percent: int = PERCENT) -> None:
         self.rows = rows = sorted(rows, key=lambda r: (r[1], r[0]))
         self.comp = np.array([r[3] for r in rows])
         width = min(len(r[2]) for r in rows)
@@ -119,16 +125,10 @@ class SignatureTree:
         hit &= self.comp[p, None] != self.comp[None, q]
         at, to = np.nonzero(np.triu(hit, 1) if x is y else hit)
         for i, j in zip((at + x[0]).tolist(), (to + y[0]).tolist()):
-            if first_meeting(self.rows[i], self.rows[j], self.name):
-                yield self.rows[i][0], self.rows[j][0]
+            yield self.rows[i][0], self.rows[j][0]
 
 
-def first_meeting(x: tuple, y: tuple, name: int | None) -> bool:
-    """Whether `name` is the least of the lists that two rows share."""
-    return name is None or min(set(x[4]).intersection(y[4])) == name
-
-
-def leaf_pairs(rows: list[tuple], percent: int, name: int | None) -> Iterator[tuple]:
+def leaf_pairs(rows: list[tuple], percent: int) -> Iterator[tuple]:
     """The same for a list that is less than one leaf, each row held against the others."""
     rows = sorted(rows, key=lambda r: r[1])
     bits = [int.from_bytes(r[2].tobytes(), "little") for r in rows]
@@ -150,23 +150,23 @@ def leaf_pairs(rows: list[tuple], percent: int, name: int | None) -> Iterator[tu
             size = min(len(r[2]), len(o[2]))
             x, y = fold(i, size), fold(j, size)
             slack = min(r[1] - x.bit_count(), o[1] - y.bit_count())
-            if (100 + percent) * ((x & y).bit_count() + slack) >= percent * (r[1] + o[1]) and first_meeting(r, o, name):
+            if (100 + percent) * ((x & y).bit_count() + slack) >= percent * (r[1] + o[1]):
                 yield r[0], o[0]
 
 
-def list_pairs(rows: list[tuple], percent: int = PERCENT, name: int | None = None) -> Iterator[tuple]:
+def list_pairs(rows: list[tuple], percent: int = PERCENT) -> Iterator[tuple]:
     """Pairs of one list's rows from a tree for each width of bitmap, and one for each two neighbouring widths.
 
     One tree for all would fold the bitmaps of large sets to the width of the smallest, where they tell nothing apart."""
     if len(rows) <= SMALL:
-        yield from leaf_pairs(rows, percent, name)
+        yield from leaf_pairs(rows, percent)
         return
     by: dict[int, list[tuple]] = {}
     for r in rows:
         by.setdefault(len(r[2]), []).append(r)
     widths = sorted(by)
     for w in widths:
-        yield from SignatureTree(by[w], percent, name).pairs()
+        yield from SignatureTree(by[w], percent).pairs()
     for k, w in enumerate(widths):
         for v in widths[k + 1 :]:
             least, most = min(r[1] for r in by[v]), max(r[1] for r in by[w])
@@ -174,12 +174,41 @@ def list_pairs(rows: list[tuple], percent: int = PERCENT, name: int | None = Non
             high = [r for r in by[v] if percent * r[1] <= 100 * most]
             if low and high:
                 small = {r[0] for r in low}
-                yield from (p for p in SignatureTree(low + high, percent, name).pairs() if (p[0] in small) != (p[1] in small))
+                yield from (p for p in SignatureTree(low + high, percent).pairs() if (p[0] in small) != (p[1] in small))
+
+
+def frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that many documents of a sample hold, sorted, and the place of each in the order of their counts. As many as MOST_FREQUENT."""
+    n = docs.count()
+    share = min(1.0, max(SAMPLE_SHARE, SAMPLE_DOCS / max(n, 1)))
+    schema = pa.schema([("h", pa.int64()), ("n", pa.int64())])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [shingle_set(t.encode(), width) for (t,) in rows_of([batch], "text")]
+            h, n = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], schema=schema)
+
+    some = docs.sample(share, 7).select(or_empty("text").alias("text")).mapInArrow(counted, "h bigint, n bigint")
+    top = some.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT).orderBy(F.col("n").desc(), "h").limit(MOST_FREQUENT).collect()
+    h = np.array([r["h"] for r in reversed(top)], np.int64).view(np.uint64)
+    by = np.argsort(h)
+    return h[by], by + 1
+
+
+def prefix_of(h: np.ndarray, often: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
+    """The first hashes of a set, of which two sets that link share one: those not known as frequent, in their order, then the rarest of the others."""
+    known, place = often
+    if len(known):
+        k = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        h = h[np.argsort(np.where(known[k] == h, place[k], 0), kind="stable")]
+    return h[: len(h) - -(-percent * len(h) // 100) + 1]
 
 
 def shingled(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n, h1, h2 (128 bits that name the set), bits, the same folded for the trees, prefix (its first hashes) for docs(doc_id, text)."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bits", pa.binary()), ("narrow", pa.binary()), ("prefix", pa.binary())])
+    often = docs.sparkSession.sparkContext.broadcast(frequent(docs, width))  # bounded by MOST_FREQUENT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -189,10 +218,9 @@ def shingled(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
                 if not n:
                     yield d, 0, 0, 0, b"", b"", b""
                     continue
-                first = n - -(-percent * n // 100) + 1
                 name = np.array([mix(h).sum(), mix(h ^ np.uint64(0x5851F42D4C957F2D)).sum()]).view(np.int64)
                 bits = bitmap(h)
-                yield d, n, int(name[0]), int(name[1]), bits.tobytes(), folded(bits, max(32, len(bits) // FOLD)).tobytes(), h[:first].tobytes()
+                yield d, n, int(name[0]), int(name[1]), bits.tobytes(), folded(bits, max(32, len(bits) // FOLD)).tobytes(), prefix_of(h, often.value, percent).tobytes()
 
         yield from to_batches(rows(), schema)
 
@@ -304,42 +332,46 @@ def components_of(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -
         sign = lambda i, n, s: signs.select(F.col("id").alias(i), F.col("n").alias(n), F.col("bits").alias(s))
         return pairs.join(sign("a", "na", "x"), "a").join(sign("b", "nb", "y"), "b").mapInArrow(run, "a bigint, b bigint")
 
-    links, labels = None, None
+    links, labels, done = None, None, []
     for k in range(STAR_ROUNDS):
         at = lists if labels is None else _spanning(lists, labels)
-        order = F.xxhash64("id", F.lit(k))
+        order = F.xxhash64("id", F.lit(k)) if k else F.col("id")
         leader = at.groupBy("list").agg(F.min_by("id", order).alias("a"))
         star = at.join(leader, "list").filter("a <> id").select("a", F.col("id").alias("b")).distinct()
         pairs = materialised(possible(star), "pairs")
+        done.append(pairs)
         if k == 0:
             wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
             sets = materialised(sets_of(wanted), "sets")
         passed = materialised(_tested(pairs, sets, percent), "passed")
         links = passed if links is None else links.unionByName(passed)
         labels = materialised(connected(links), "labels")
+        done.append(labels)
     spanning = _spanning(lists, labels)
-    # A document is on no more lists than it has prefix hashes.
-    members = spanning.groupBy("id").agg(F.collect_set("list").alias("lists")).join(signs.select("id", "n", "narrow"), "id").join(labels.select(F.col("node").alias("id"), "component"), "id", "left")
-    left = spanning.join(members, "id").select("list", "id", "n", "narrow", F.coalesce("component", "id").alias("component"), "lists")
+    # A list of several pieces meets piece by piece: a row goes to every pair of pieces that its own is one of.
+    pieces = spanning.groupBy("list").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))
+    signed = spanning.join(signs.select("id", "n", "narrow"), "id").join(labels.select(F.col("node").alias("id"), "component"), "id", "left")
+    dealt = signed.join(pieces, "list").select("list", "id", "n", "narrow", F.coalesce("component", "id").alias("component"), F.pmod(F.xxhash64("id"), "pieces").cast("int").alias("piece"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
+    left = dealt.select("list", F.least("piece", "other").alias("x"), F.greatest("piece", "other").alias("y"), "piece", "id", "n", "narrow", "component")
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            at, kept = None, []
-            for name, i, n, bits, comp, own in rows_of(batches, "list", "id", "n", "narrow", "component", "lists"):
-                if name != at and kept:
-                    yield from list_pairs(kept, percent, at)
-                    kept = []
-                at = name
-                kept.append((i, n, np.frombuffer(bits, np.uint8), comp, own))
-            if kept:
-                yield from list_pairs(kept, percent, at)
+            for (_, x, y), own in groupby(rows_of(batches, "list", "x", "y", "piece", "id", "n", "narrow", "component"), key=lambda r: r[:3]):
+                own = list(own)
+                pairs = list_pairs([(i, n, np.frombuffer(bits, np.uint8), comp) for *_, i, n, bits, comp in own], percent)
+                if x == y:
+                    yield from pairs
+                else:
+                    piece = {r[4]: r[3] for r in own}
+                    yield from (p for p in pairs if piece[p[0]] != piece[p[1]])
 
         yield from to_batches(((min(p), max(p)) for p in rows()), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    rest = materialised(possible(left.repartition("list").sortWithinPartitions("list").mapInArrow(traverse, "a bigint, b bigint").distinct()), "pairs")
+    rest = materialised(possible(left.repartition("list", "x", "y").sortWithinPartitions("list", "x", "y").mapInArrow(traverse, "a bigint, b bigint").distinct()), "pairs")
     more = rest.select(F.col("a").alias("id")).union(rest.select("b")).distinct().join(sets.select("id"), "id", "left_anti")
-    passed = _tested(rest, materialised(sets.unionByName(sets_of(more)), "sets"), percent)
+    passed = _tested(rest, sets.unionByName(materialised(sets_of(more), "sets")), percent)
     labels = connected(links.unionByName(passed))
+    discard(*done, lists, signs, sets, rest)
     of_class = classes.join(labels.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", "n", F.coalesce("component", "id").alias("component"))
     return info.select("doc_id", "n", "h1", "h2").join(of_class, ["h1", "h2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -353,8 +385,8 @@ def _spanning(lists: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """docs without the rows that follow another in their component: one document of each group of near copies stays."""
-    follow = components_of(docs.select("doc_id", "text"), width, percent).filter("component_id <> doc_id").select(F.col("doc_id").alias("_follows"))
-    return docs.join(follow, docs["doc_id"] == F.col("_follows"), "left_anti")
+    follow = components_of(docs.select("doc_id", "text"), width, percent).filter("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(follow, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
