@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
-from quireworks.llm import bpe_words, dual_tree_search, exact_dedup, fuzzy_lines, hilbert_packing, jaccard_join, preference_format, quality_rules, run_length_index, secret_scan, token_files
+from quireworks.llm import bpe_words, dual_tree_search, exact_dedup, fuzzy_lines, hilbert_packing, jaccard_join, preference_format, prefix_trie, quality_rules, run_length_index, secret_scan, token_files
 
 
 def queries() -> dict[str, Callable]:
@@ -22,8 +22,15 @@ def queries() -> dict[str, Callable]:
         "pipeline": corpus_pipeline.run,
         "op10_bpe_words": bpe_words.op10_bpe_words,
         "op11_dual_tree_search": dual_tree_search.op11_dual_tree_search,
+        "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE_SQL, "op6_quality_rules": quality_rules.ORACLE_SQL, "op8_preference_format": preference_format.ORACLE_SQL, "op11_dual_tree_search": dual_tree_search.ORACLE_SQL}
+    return {
+        "op4_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op6_quality_rules": quality_rules.ORACLE_SQL,
+        "op8_preference_format": preference_format.ORACLE_SQL,
+        "op11_dual_tree_search": dual_tree_search.ORACLE_SQL,
+        "op12_prefix_trie": prefix_trie.ORACLE_SQL,
+    }
