@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
-from quireworks.llm import bpe_words, dual_tree_search, exact_dedup, fuzzy_lines, hilbert_packing, jaccard_join, preference_format, prefix_trie, quality_rules, run_length_index, secret_scan, token_files
+from quireworks.llm import bpe_words, collision_search, dual_tree_search, exact_dedup, fuzzy_lines, hilbert_packing, jaccard_join, preference_format, prefix_trie, quality_rules, run_length_index, secret_scan, token_files
 
 
 def queries() -> dict[str, Callable]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable]:
         "op10_bpe_words": bpe_words.op10_bpe_words,
         "op11_dual_tree_search": dual_tree_search.op11_dual_tree_search,
         "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+        "op13_collision_search": collision_search.op13_collision_search,
     }
 
 
