@@ -32,10 +32,10 @@ from quireworks.llm.common import discard, materialised, release_memory, table
 TOP = 20
 BLOCK = 8192
 PROJECTIONS = 64
-#: Half of a window's width for radius 1, and the share of windows that a vector has to lie in. A vector at the radius lies in 0.73 of them on average.
-HALF, SHARE = 1.1, 0.68
-#: The first radius as a share of the largest norm, and what it grows by.
-START, GROWTH = 0.5, 1.25
+#: Half of a window's width for radius 1, and the share of windows that a vector has to lie in. A vector at the radius lies in 0.87 of them on average.
+HALF, SHARE = 1.5, 0.82
+#: The first radius, as a share of the k-th nearest distance of a block's own vectors (the median over TRIED of them), and what it grows by.
+START, GROWTH, TRIED = 0.92, 1.1, 32
 
 
 @lru_cache(maxsize=8)
@@ -51,24 +51,32 @@ def directions(n_dims: int, n: int) -> np.ndarray:
 class Block:
     """The sorted arrays of some vectors of one length; scale and norm as in `search`."""
 
-    def __init__(self, vectors: np.ndarray, first_ids: np.ndarray, scale: float, norm: float, n_projections: int = PROJECTIONS) -> None:
+    def __init__(self, vectors: np.ndarray, first_ids: np.ndarray, scale: float, norm: float, k: int, n_projections: int = PROJECTIONS) -> None:
         self.vectors, self.first_ids, self.scale, self.norm = vectors, first_ids, scale, norm
         x = vectors / scale
         extra = np.sqrt(np.maximum(norm * norm - (x * x).sum(axis=1), 0))
         self.directions = directions(vectors.shape[1] + 1, n_projections)
         values = self.directions[:, :-1] @ x.T + self.directions[:, -1:] * extra
-        self.order = np.argsort(values, axis=1, kind="stable")
-        values = np.take_along_axis(values, self.order, axis=1)
+        order = np.argsort(values, axis=1, kind="stable")
+        values = np.take_along_axis(values, order, axis=1)
+        self.order = order.astype(np.uint16 if len(vectors) <= 1 << 16 else np.int64).ravel()
         # one sorted array after another in one: a search for all windows is one call
         self.gap = 4 * norm * math.sqrt(vectors.shape[1] + 1) + 1
         self.offset = np.arange(n_projections) * self.gap
         self.values = (values + self.offset[:, None]).ravel()
-        self.start = np.arange(n_projections) * len(vectors)
         self.least = math.ceil(SHARE * n_projections)
+        tried = x[:: max(1, len(x) // TRIED)][:TRIED]
+        products = np.sort((tried / np.maximum(np.sqrt((tried * tried).sum(axis=1, keepdims=True)), 1e-300)) @ x.T, axis=1)[:, -min(k, len(x))]
+        self.first_radius = max(START * math.sqrt(max(0.0, float(np.median(2 * norm * (norm - products))))), 0.01 * norm)
+
+    def _walk(self, parts: list[tuple[int, int]]) -> np.ndarray:
+        """How often each vector lies in these parts of the sorted arrays."""
+        found = [self.order[a:b] for a, b in parts if a < b]
+        return np.bincount(np.concatenate(found), minlength=len(self.vectors)) if found else np.zeros(len(self.vectors), np.int64)
 
     def nearest(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         """Places in the block and inner products of about the k best, best first, and how many were verified."""
-        n, walked = len(self.vectors), self.order.ravel()
+        n, walked = len(self.vectors), self.order
         q = query / self.scale
         size = math.sqrt(float((q * q).sum()))
         stretch = self.norm / size if size else 0.0
@@ -77,31 +85,39 @@ class Block:
         low = high = np.searchsorted(self.values, at + self.offset)
         counts, verified = np.zeros(n, np.int64), np.zeros(n, bool)
         places, scores = np.zeros(0, np.int64), np.zeros(0)
-        radius = START * self.norm
+        radius = before = self.first_radius
         while True:
             half = min(HALF * radius, reach)
             to_low, to_high = np.searchsorted(self.values, at + self.offset - half), np.searchsorted(self.values, at + self.offset + half, "right")
-            parts = [walked[a:b] for a, b in zip(to_low.tolist(), low.tolist()) if a < b] + [walked[a:b] for a, b in zip(high.tolist(), to_high.tolist()) if a < b]
-            if parts:
-                counts += np.bincount(np.concatenate(parts), minlength=n)
+            if low is high and 2 * int((to_high - to_low).sum()) > len(walked):  # the first windows cover most of the arrays: what lies outside is walked
+                ends = range(0, len(walked) + 1, n)
+                counts += len(at) - self._walk([*zip(ends, to_low.tolist()), *zip(to_high.tolist(), ends[1:])])
+            else:
+                counts += self._walk([*zip(to_low.tolist(), low.tolist()), *zip(high.tolist(), to_high.tolist())])
             low, high = to_low, to_high
             new = np.flatnonzero((counts >= self.least) & ~verified)
             if len(new):
                 verified[new] = True
                 places = np.concatenate([places, new])
-                scores = np.concatenate([scores, (self.vectors[new] * query).sum(axis=1)])
+                scores = np.concatenate([scores, self.vectors[new] @ query])
+                if len(scores) > 4 * k:
+                    near = np.argpartition(-scores, k)
+                    near = np.flatnonzero(scores >= scores[near[k]])
+                    places, scores = places[near], scores[near]
                 best = np.lexsort((self.first_ids[places], -scores))[:k]
                 places, scores = places[best], scores[best]
             if half == reach or verified.all():
                 break
-            radius *= GROWTH
+            before, radius = radius, radius * GROWTH
             if len(places) >= k:
                 cosine = float(((self.vectors[places[-1]] / self.scale) * q).sum()) * stretch
                 distance = math.sqrt(max(0.0, 2 * (self.norm * self.norm - cosine)))
-                if distance <= radius / GROWTH:
+                if distance <= before:
                     break
                 radius = min(radius, distance)
-        return places, scores, int(verified.sum())
+        scores = (self.vectors[places] * query).sum(axis=1)  # summed alike wherever a vector lies
+        best = np.lexsort((self.first_ids[places], -scores))
+        return places[best], scores[best], int(verified.sum())
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -149,7 +165,7 @@ def block_search(scale: float, norm: float, k: int, n_projections: int):
                     continue
                 if held:
                     for n_dims, own in held.items():
-                        blocks[n_dims] = (Block(np.array([x for x, _ in own]), np.array([x[0] for _, x in own]), scale, norm, n_projections), [x for _, x in own])
+                        blocks[n_dims] = (Block(np.array([x for x, _ in own]), np.array([x[0] for _, x in own]), scale, norm, k, n_projections), [x for _, x in own])
                     held = {}
                 if len(vector) in blocks:
                     index, names = blocks[len(vector)]

@@ -213,7 +213,7 @@ def test_collision_search_recall(spread):
     x = rng.standard_normal((6000, 64))
     x *= np.exp(spread * rng.standard_normal((6000, 1))) / np.linalg.norm(x, axis=1, keepdims=True)
     norm = float(np.sqrt((x * x).sum(axis=1)).max())
-    own = collision_search.Block(x, np.arange(6000), 1.0, norm)
+    own = collision_search.Block(x, np.arange(6000), 1.0, norm, 21)
     hits = verified = 0
     for i in range(0, 6000, 200):
         places, scores, n = own.nearest(x[i], 21)
