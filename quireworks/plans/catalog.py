@@ -51,13 +51,18 @@ _LINE = """CASE
  ELSE l END"""
 
 
-def as_books(spark: SparkSession, d: str) -> DataFrame:
-    """book_id, line_no, line: trimmed, none blank. A document's line n has the number 2n + 1, the heading before it 2n.
+def as_books(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
+    """book_id, line_no, line: trimmed, none blank. A document's line n has the number 2n + 1, the heading before it 2n. With `every`, a book
+    without such lines has one row whose line is null.
 
     Lines are made and trimmed within the array, before it is exploded, where no filter above can move: each is trimmed once."""
-    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(P.longest_line(F.col("text")) <= P.LONGEST_LINE)
+    docs = table(spark, d, "documents").select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     planted = F.expr(f"flatten(transform(split(text, '\\n', -1), (l, n) -> array({_HEADING.format(s='string')}, {_LINE.format(s='string')})))")
-    return docs.select(F.col("doc_id").alias("book_id"), F.posexplode(F.transform(planted, T.trim)).alias("line_no", "line")).filter("line <> ''")
+    lines, fits = F.transform(planted, T.trim), P.longest_line(F.col("text")) <= P.LONGEST_LINE
+    if every:
+        rows = F.filter(F.transform(lines, lambda x, n: F.struct(n.alias("line_no"), F.nullif(x, F.lit("")).alias("line"))), lambda r: r["line"].isNotNull())
+        return docs.select(F.col("doc_id").alias("book_id"), F.inline_outer(F.when(fits, rows)))
+    return docs.filter(fits).select(F.col("doc_id").alias("book_id"), F.posexplode(lines).alias("line_no", "line")).filter("line <> ''")
 
 
 def _tr(x: str) -> str:
@@ -177,7 +182,7 @@ def book_names(spark, d):
 
 @query("book_intros", _CTE + "SELECT book_id, intro FROM intros")
 def book_intros(spark, d):
-    return _introduced(spark, d).groupBy("book_id").agg(F.min("intro").alias("intro")).filter("intro is not null")
+    return P.introductions(_introduced(spark, d))
 
 
 _DERIVED = f"SELECT book_id, {_tr("regexp_replace(arg_min(content_html, (volume_ix, chapter_ix)), '<[^>]*>', '', 'g')")} AS intro FROM chapters WHERE regexp_matches(title, '{RULES.intro}') GROUP BY book_id"
@@ -186,10 +191,8 @@ _META = f", derived AS ({_DERIVED}) SELECT d.doc_id AS book_id, coalesce(nullif(
 
 @query("book_metadata", _CTE + _META)
 def book_metadata(spark, d):
-    books = table(spark, d, "documents").select(F.col("doc_id").alias("book_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("stem"))
-    names = _named(spark, d)
-    found = names.groupBy("book_id").agg(F.min("name").alias("name"), F.min("author").alias("author"))
-    return P.book_metadata(books, found.join(book_intros(spark, d), "book_id", "left"), derived_intros(spark, d))
+    lines = as_books(spark, d, every=True)
+    return P.book_metadata(lines.withColumn("stem", F.concat(F.lit("doc"), F.col("book_id").cast("string"))), RULES)
 
 
 @query("chapter_summary", _CTE + "SELECT book_id, count(*) AS n_chapters, sum(length(content_html))::BIGINT AS n_chars FROM chapters GROUP BY book_id")
@@ -288,16 +291,8 @@ def _by_mask() -> str:
 
 @query("parsed_by_detection", _by_mask() + "SELECT m.book_id, ruleset_id, coalesce(i.intro, '') AS intro, coalesce(c.n, 0)::BIGINT AS n_chapters, coalesce(c.k, 0)::BIGINT AS n_chars FROM masks m LEFT JOIN intros i USING (book_id) LEFT JOIN (SELECT book_id, count(*) AS n, sum(length(content_html)) AS k FROM chapters GROUP BY book_id) c USING (book_id)")
 def parsed_by_detection(spark, d):
-    masks = P.detected_mask(table(spark, d, "documents").select(F.col("doc_id").alias("book_id")), _applied(spark, d))
-    present = [r["ruleset_id"] for r in masks.select("ruleset_id").distinct().collect()]  # a mask of four presets: sixteen at most
-    rules = {k: r for k, r in P.preset_rules().items() if k in present}
-    lines = P.drop_noise(as_books(spark, d).join(masks, "book_id"), rules)
-    x = P.with_intro(P.classify_lines(P.unnamed(P.with_name_author(lines, rules)), rules), rules)
-    intros = x.groupBy("book_id").agg(F.min("intro").alias("intro"))
-    parts = P.assemble_chapters(P.numbered(x.filter("not used").select("book_id", "ruleset_id", "line_no", "line", "kind")))
-    counts = parts.groupBy("book_id").agg(F.count("*").alias("n_chapters"), F.sum(F.length("content_html").cast("long")).alias("n_chars"))
-    out = masks.join(intros, "book_id", "left").join(counts, "book_id", "left")
-    return out.select("book_id", "ruleset_id", F.coalesce("intro", F.lit("")).alias("intro"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_chapters", "n_chars")])
+    found = P.book_summaries(P.parsed(P.with_detected(as_books(spark, d, every=True)), P.preset_rules()))
+    return found.select("book_id", "ruleset_id", F.coalesce("intro", F.lit("")).alias("intro"), "n_chapters", "n_chars")
 
 
 @query("assign_rulesets", "SELECT doc_id AS book_id, CASE WHEN c = 'src0' THEN 1 WHEN c = 'src1' THEN 2 WHEN c = 'default' THEN 3 END AS ruleset_id, CASE WHEN c NOT IN ('src0', 'src1', 'default') THEN 'unknown channel ' || c END AS rule_error FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'default' ELSE source END AS c FROM documents)")

@@ -64,7 +64,7 @@ def test_closed_forms_equal_a_scan(spark):
     named = P.with_name_author(lines, rules)
     got = {r[0]: r[1:] for r in named.groupBy("book_id").agg(F.min("name"), F.min("author")).collect()}
     intro = P.with_intro(P.classify_lines(P.unnamed(named), rules), rules)
-    said = {r[0]: r[1] for r in intro.groupBy("book_id").agg(F.min("intro")).collect()}
+    said = {r[0]: r[1] for r in P.introductions(intro).collect()}
     left = {(r[0], r[1]) for r in intro.filter("not used").select("book_id", "line_no").collect()}
     for b, ls in books.items():
         name, author, text, rest = scan(ls, rules)
@@ -79,7 +79,7 @@ def parsed(spark, text, rules=R.Rules()):
     x = P.with_intro(P.classify_lines(P.unnamed(named), rules), rules)
     n = P.numbered(x.filter("not used").select("book_id", "line_no", "line", "kind"))
     meta = named.select("name", "author").first()
-    said = [r[0] for r in x.select("intro").distinct().collect() if r[0]]
+    said = [r["intro"] for r in P.introductions(x).collect()]
     return meta["name"], meta["author"], said, P.assemble_volumes(n).orderBy("volume_ix").collect(), P.assemble_chapters(n).orderBy("volume_ix", "chapter_ix").collect()
 
 
@@ -137,11 +137,11 @@ def test_each_book_follows_the_presets_found_in_it(spark):
     x = P.with_intro(P.classify_lines(P.unnamed(P.with_name_author(lines, rules)), rules), rules)
     parts = P.assemble_chapters(P.numbered(x.filter("not used").select("book_id", "ruleset_id", "line_no", "line", "kind")))
     got = {r["book_id"]: (r["ruleset_id"], re.findall(">([^<]*)</p>", r["content_html"])) for r in parts.collect()}
-    intros = {r[0]: r[1] for r in x.groupBy("book_id").agg(F.max("intro")).collect()}
+    intros = {r[0]: r[1] for r in P.introductions(x).collect()}
     bit = {p: 1 << i for i, p in enumerate(R.PRESETS)}
     # The third book has the word of one preset only: its note stays for want of the other's score.
     assert got == {1: (bit["jjwxc"], ["正文"]), 2: (bit["qidian"], ["正文", "入V之后"]), 3: (got[3][0], got[3][1])}
-    assert intros[1] == "一段话" and intros[2] is None
+    assert intros[1] == "一段话" and 2 not in intros
     for b, t in text.items():  # and the same as each book parsed alone with its own rules
         own = rules[got[b][0]]
         assert [re.findall(">([^<]*)</p>", c["content_html"]) for c in parsed(spark, t, own)[4]] == [got[b][1]]
@@ -150,11 +150,65 @@ def test_each_book_follows_the_presets_found_in_it(spark):
 
 
 def test_intro_falls_back_to_a_chapter(spark):
-    books = spark.createDataFrame([(1, "f1"), (2, "f2"), (3, "f3")], "book_id long, stem string")
-    found = spark.createDataFrame([(1, "N", None, "said"), (2, " ", "A", None)], "book_id long, name string, author string, intro string")
-    parts = spark.createDataFrame([(b, v, c, t, h) for b, v, c, t, h in [(1, 0, 0, "楔子", "<p>x</p>"), (2, 0, 3, "序", "<p>late</p>"), (2, 0, 1, "楔子", "<p>a &amp; b</p>\n<p>c</p>\n"), (3, 0, 0, "第1章", "<p>y</p>")]], "book_id long, volume_ix int, chapter_ix int, title string, content_html string")
-    got = {r["book_id"]: (r["name"], r["author"], r["intro"]) for r in P.book_metadata(books, found, P.derive_intro(parts, R.Rules())).collect()}
-    assert got == {1: ("N", "", "said"), 2: ("f2", "A", "a &amp; b\nc"), 3: ("f3", "", "")}
+    text = {1: "N 作者：A\n简介：said\n楔子\nx", 2: "作者：B\n第1章 a\n第2卷 b\n楔子\na & b\nc\n序\nlate", 3: "T\n作者：C\n第1章\ny", 4: "T\n作者：C\n楔子\n第1章\n序\nz", 5: None, 6: "月底请假"}
+    rows = [(b, f"f{b}", i, x) for b, t in text.items() for i, x in enumerate((t or "").split("\n")) if x] + [(5, "f5", None, None)]
+    lines = spark.createDataFrame(rows, "book_id long, stem string, line_no int, line string")
+    got = {r["book_id"]: (r["name"], r["author"], r["intro"], r["lang"]) for r in P.book_metadata(lines, R.Rules()).collect()}
+    assert got == {
+        1: ("N", "A", "said", "zh-CN"), 2: ("作者：B", "", "a &amp; b\nc", "zh-CN"), 3: ("T", "C", "", "zh-CN"),
+        4: ("T", "C", "", "zh-CN"), 5: ("f5", "", "", "zh-CN"), 6: ("f6", "", "", "zh-CN"),  # 4: the first chapter that matches has no text; 6: noise only
+    }
+    assert {r["name"]: r["author"] for r in P.book_metadata(lines.filter("book_id = 3"), R.Rules(), " given ", "B").collect()} == {"given": "B"}
+
+
+def test_one_pass_equals_the_steps(spark):
+    """parsed and book_summaries, which drop nothing, against the steps that filter, and derive_intro against the one grouping."""
+    rng, rules = random.Random(8), R.Rules()
+    some = [*LINES, "月底请假", "序", "第2卷 承", "a <b> & c"]
+    rows = [(b, f"f{b}", i, rng.choice(some)) for b in range(300) for i in range(rng.randint(1, 14))]
+    lines = spark.createDataFrame(rows, "book_id long, stem string, line_no int, line string")
+    named = P.with_name_author(P.drop_noise(lines, rules), rules)
+    x = P.with_intro(P.classify_lines(P.unnamed(named), rules), rules)
+    n = P.numbered(x.filter("not used"))
+    one = P.parsed(lines, rules)
+    kept = lambda df: sorted(tuple(r) for r in df.select("book_id", "line_no", "line", "kind", "volume_ix", "chapter_ix").collect())
+    assert kept(one.filter("kind is not null")) == kept(n)
+    got = {r["book_id"]: (r["name"], r["author"], r["intro"], r["n_volumes"], r["n_chapters"], r["n_paragraphs"], r["n_chars"]) for r in P.book_summaries(one).collect()}
+    names = {r[0]: r[1:] for r in named.groupBy("book_id").agg(F.max("name"), F.max("author")).collect()}
+    intros = dict(map(tuple, P.introductions(x).collect()))
+    volumes = dict(map(tuple, P.assemble_volumes(n).groupBy("book_id").count().collect()))
+    chapters = {r[0]: r[1:] for r in P.assemble_chapters(n).groupBy("book_id").agg(F.count("*"), F.sum("n_paragraphs"), F.sum(F.length("content_html").cast("long"))).collect()}
+    assert got == {b: (*names.get(b, (None, None)), intros.get(b), volumes.get(b, 0), *chapters.get(b, (0, 0, 0))) for b in {r[0] for r in rows}}
+    derived = dict(map(tuple, P.derive_intro(P.assemble_chapters(n), rules).collect()))
+    meta = {r["book_id"]: r["intro"] for r in P.book_metadata(lines, rules).collect()}
+    assert meta == {b: intros.get(b) or derived.get(b, "") for b in meta} and set(meta) == set(got) and sum(map(bool, derived.values())) > 5
+
+
+def test_a_long_introduction_takes_linear_time(spark):
+    """One book of 100,000 lines, all of its introduction but the last."""
+    import time
+
+    books = spark.createDataFrame([(1, "书 作者：甲\n简介：头\n" + "一行字\n" * 100_000 + "第1章 始\n文")], "book_id long, text string")
+    lines = P.normalize_lines(P.explode_lines(books))
+    began = time.time()
+    (row,) = P.book_summaries(P.parsed(lines, R.Rules())).collect()
+    assert row["intro"] == "头" + "\n一行字" * 100_000 and (row["name"], row["n_chapters"], row["n_paragraphs"]) == ("书", 1, 1)
+    assert time.time() - began < 30
+
+
+def test_presets_as_a_window(spark):
+    """The mask of with_detected against what detect_presets scores, past the first lines too, and null lines counting for nothing."""
+    rng = random.Random(4)
+    words = [k for p in R.PRESETS.values() for k in p.keywords] + ["入V公告：周五", "单章求订阅", "请假条：周一", "正文"]
+    rows = [(b, i, rng.choice(words) if rng.random() < 0.3 else "正文") for b in range(150) for i in range(rng.randint(1, 9))] + [(900, i, "正文") for i in range(5)] + [(900, 5, "作者的话"), (900, 6, "请假条：周一")]
+    lines = spark.createDataFrame(rows, "book_id long, line_no int, line string")
+    for first in (5, 400):
+        want = {b: 0 for b, *_ in rows}
+        for r in P.detect_presets(lines, first).collect():
+            want[r["book_id"]] += 1 << list(R.PRESETS).index(r["name"])
+        blank = lines.unionByName(spark.createDataFrame([(b, i, None) for b in (0, 900, 901) for i in (-3, -2, -1)], lines.schema))
+        got = {(r[0], r[1]) for r in P.with_detected(blank, first).select("book_id", "ruleset_id").distinct().collect()}
+        assert got == {*want.items(), (901, 0)} and len(set(want.values())) > 3 and (want[900] > 0) == (first == 400)
 
 
 def test_packages(spark, tmp_path):
