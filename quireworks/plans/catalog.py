@@ -508,8 +508,8 @@ def stage_progress(spark, d):
 def as_access_log(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     return e.select(
-        "event_id", F.concat(F.lit("10.0.0."), (F.col("user_id") % 250).cast("string"), F.lit(":443")).alias("remote"),
-        F.when(F.col("user_id") % 7 == 0, F.concat(F.lit("2001:db8::"), F.get_json_object("props", "$.k"), F.lit(", ::ffff:10.1.2.3"))).when(F.col("user_id") % 7 == 1, F.lit(" ")).when(F.col("user_id") % 7 == 2, "10.9.9.9, 10.1.2.3")
+        "event_id", F.concat(F.when(F.col("user_id") % 7 == 5, "[::FFFF:10.0.0.").otherwise("10.0.0."), (F.col("user_id") % 250).cast("string"), F.when(F.col("user_id") % 7 == 5, "]:443").otherwise(":443")).alias("remote"),
+        F.when(F.col("user_id") % 7 == 3, F.concat(F.lit("2001:0DB8:0:0:0:0:0:"), F.get_json_object("props", "$.k"), F.lit(", 10.1.2.3, 2001:db8:ff7f::1"))).when(F.col("user_id") % 7 == 4, "198.51.100.1:80, 10.1.2.3").when(F.col("user_id") % 7 == 0, F.concat(F.lit("2001:db8::"), F.get_json_object("props", "$.k"), F.lit(", ::ffff:10.1.2.3"))).when(F.col("user_id") % 7 == 1, F.lit(" ")).when(F.col("user_id") % 7 == 2, "10.9.9.9, 10.1.2.3")
         .otherwise(F.concat(F.lit("198.51.100."), F.get_json_object("props", "$.k"), F.lit(", 10.1.2.3"))).alias("forwarded"), F.col("event_type").alias("status"),
         F.concat(F.lit("/api/conversions/"), F.col("event_id").cast("string"), F.when(F.col("event_id") % 2 == 0, "/download").otherwise("")).alias("path"),
         F.floor("value").alias("duration_ms"), F.floor(F.col("value") * 10).alias("response_bytes"),
@@ -522,9 +522,9 @@ def route_report(spark, d):
     return A.route_report(as_access_log(spark, d))
 
 
-@query("attribute_clients", "SELECT event_id, CASE WHEN user_id % 7 = 0 THEN '2001:db8::' || coalesce(nullif(ltrim(k::VARCHAR, '0'), ''), '') WHEN user_id % 7 = 2 THEN '10.9.9.9' WHEN user_id % 7 > 2 AND k BETWEEN 0 AND 255 THEN '198.51.100.' || k ELSE '10.0.0.' || (user_id % 250) END AS client FROM (SELECT *, json_extract_string(props, '$.k')::INT AS k FROM events)")
+@query("attribute_clients", "SELECT event_id, CASE WHEN user_id % 7 IN (0, 3) THEN '2001:db8::' || ltrim(k::VARCHAR, '0') WHEN user_id % 7 = 4 THEN '10.0.0.' || (user_id % 250) WHEN user_id % 7 = 2 THEN '10.9.9.9' WHEN user_id % 7 > 2 AND k BETWEEN 0 AND 255 THEN '198.51.100.' || k ELSE '10.0.0.' || (user_id % 250) END AS client FROM (SELECT *, json_extract_string(props, '$.k')::INT AS k FROM events)")
 def attribute_clients(spark, d):
-    return A.attribute_clients(as_access_log(spark, d), ("10.0.0.0/8",)).select("event_id", "client")
+    return A.attribute_clients(as_access_log(spark, d), ("10.0.0.0/8", "2001:db8:ff00::/40")).select("event_id", "client")
 
 
 def _hmac_sql(value: str, key: bytes) -> str:
@@ -550,17 +550,23 @@ def error_report(spark, d):
 _ODD_URLS = (
     ("https:///p", "no_host"), ("https://u:p@books.example/p", "userinfo"), ("ftp://books.example/p", "scheme"), ("https://books.example:8443/p", "port"), ("https://127.0.0.1/p", "address"),
     ("https://[::1]/p", "address"), ("https://[::ffff:10.0.0.1]/p", "address"), ("https://172.20.1.1/p", "address"), ("https://books.example:443/p", None), ("https://8.8.8.8/p", None),
+    ("https://[0:0:0:0:0:0:0:1]/", "address"), ("https://[0:0:0:0:0:ffff:10.0.0.1]/", "address"), ("https://[0:0:0:0:0:FFFF:7f00:1]/", "address"), ("https://h:abc/", "invalid"), ("https://h /", "invalid"),
+    ("https://255.255.255.255/", "address"), ("https://:443/p", "no_host"), ("https:books.example", "no_host"), ("https://books.example:/p", None), ("https://books.example:99999999999/", "port"),
+    ("https://[2001:DB8:1::7]:443/p", None), ("https://[2001:db8::1%25eth0]/", "address"), ("https://[2001:db8::g]/", "invalid"), ("https://[::1/", "invalid"), ("https://a:b:443/", "invalid"),
+    ("https://0.0.0.0/", "address"), ("https://0.1.2.3/", None), ("https://100.64.0.0/", "address"), ("https://100.128.0.0/", None), ("https://[fd12::1]/", "address"),
+    ("https://[FE80:0::1]/", "address"), ("https://[ff02::1]/", "address"), ("https://224.0.0.9/", "address"), ("https://169.254.1.1/", "address"), ("https://192.168.7.7/", "address"),
+    ("https://books.example/%zz", "invalid"), ("https://books.example/p?q=%zz", None), ("https://books.example/#%zz", "invalid"), ("http://10.0.0.1/", "scheme"), ("https://a{b/", "invalid"),
 )
 
 
-_PICK = "page_id % 20"
+_PICK = "page_id % 50"
 
 
 @query("audit_urls", f"SELECT page_id, CASE {_PICK} " + " ".join(f"WHEN {i} THEN '{u}'" for i, (u, _) in enumerate(_ODD_URLS)) + f" ELSE url END AS url, CASE WHEN {_PICK} < {len(_ODD_URLS)} THEN CASE {_PICK} " + " ".join(f"WHEN {i} THEN '{c}'" for i, (_, c) in enumerate(_ODD_URLS) if c) + " END WHEN NOT starts_with(lower(url), 'https:') THEN 'scheme' END AS reject_code FROM pages")
 def audit_urls(spark, d):
     url = F.col("url")
     for i, (u, _) in enumerate(_ODD_URLS):
-        url = F.when(F.col("page_id") % 20 == i, u).otherwise(url)
+        url = F.when(F.col("page_id") % 50 == i, u).otherwise(url)
     return A.audit_urls(table(spark, d, "pages").select("page_id", url.alias("url")))
 
 
@@ -569,6 +575,9 @@ def audit_origins(spark, d):
     return A.audit_origins(as_access_log(spark, d), "https://books.example").select("event_id", "origin_ok")
 
 
-@query("clean_names", "SELECT page_id, CASE WHEN n = '' THEN 'novel.txt' ELSE left(n, 180) END AS display_name FROM (SELECT page_id, regexp_extract(url, '([^/]*)/*$', 1) AS n FROM pages)")
+_NAME = """CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN concat(url, '%5Cdir%2F%E7%AC%AC+', cast(page_id AS {s}), '%0A.txt') WHEN 2 THEN concat(url, '/100%') ELSE concat(url, '%20a%2Bb%00', repeat('c', 200)) END"""
+
+
+@query("clean_names", f"SELECT page_id, CASE WHEN n = '' THEN 'novel.txt' ELSE left(n, 180) END AS display_name FROM (SELECT page_id, trim(regexp_replace(regexp_extract(replace(CASE WHEN page_id % 4 = 2 THEN n ELSE url_decode(replace(n, '+', '%2B')) END, chr(92), '/'), '([^/]*)/*$', 1), '[\\x00-\\x1F\\x7F]', '', 'g')) AS n FROM (SELECT page_id, {_NAME.format(s='VARCHAR')} AS n FROM pages))")
 def clean_names(spark, d):
-    return A.clean_names(table(spark, d, "pages").select("page_id", F.col("url").alias("name"))).select("page_id", "display_name")
+    return A.clean_names(table(spark, d, "pages").select("page_id", F.expr(_NAME.format(s="string")).alias("name"))).select("page_id", "display_name")

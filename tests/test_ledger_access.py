@@ -1,11 +1,13 @@
 """Ledger, log and address cases."""
 
 import hmac
+import ipaddress
 import random
 import time
 
 from pyspark.sql import functions as F
 
+from quireworks.functions import addresses as IP
 from quireworks.operators import access as A
 from quireworks.operators import ledger as L
 from quireworks.sources import corpus as S
@@ -41,10 +43,65 @@ def test_clients(spark):
     assert alone[3] == "172.30.4.4" and alone[11] == "fd00:7::2"
 
 
+URLS = [
+    ("https://example.com/a", None), ("https://8.8.8.8:443/", None), ("https://e.com:0443/", None), ("https://e.com:/", None), ("https://[2001:db8::1]:443/x", None), ("https://0.1.2.3/", None),
+    ("https://127.0.0.01/", None), ("https://e.com/%41?x=%zz", None), ("https://e.com%c3%a9/", None), ("https://e.com?q=a@b", None), ("https://[::10.0.0.1]/", None), ("https://100.128.0.0", None), ("https://é.com/", None),
+    (None, "no_host"), ("", "no_host"), ("https:///x", "no_host"), ("https://:443/x", "no_host"), ("https:foo", "no_host"), ("//e.com/", "no_host"),
+    ("https://u:p@example.com", "userinfo"), ("https://a@b@c/", "userinfo"), ("http://example.com/a", "scheme"), ("ftp://example.com", "scheme"),
+    ("https://example.com:8443/", "port"), ("https://e.com:99999999999/", "port"), ("https://[fe80::1]:80/", "port"),
+    ("https://h:abc/", "invalid"), ("https://h /", "invalid"), ("https://[zz]/", "invalid"), ("https://[::1/", "invalid"), ("https://a:b:443/", "invalid"), ("https://[1.2.3.4]/", "invalid"), ("https://a{b/", "invalid"),
+    ("HTTPS://E.com/%zz", "invalid"), ("https://e.com/#%zz", "invalid"), ("https://e.com/a\tb", "invalid"), ("https://e.com%41/", "invalid"),
+    *((f"https://{h}/", "address") for h in ("127.0.0.1", "[::1]", "100.64.1.1", "10.2.3.4", "[::ffff:10.0.0.1]", "169.254.1.1", "224.0.0.1", "0.0.0.0", "255.255.255.255", "[0:0:0:0:0:0:0:1]", "[0:0:0:0:0:ffff:10.0.0.1]",
+                                              "[0:0:0:0:0:ffff:7f00:1]", "[::FFFF:8.8.8.8]", "[2001:db8::1%25eth0]", "[fd00::1]", "[fe80::1]", "[ff02::1]", "[::]", "100.127.255.255", "172.31.0.1", "192.168.0.1")),
+]
+
+
 def test_urls(spark):
-    bad = ["http://example.com/a", "https://u:p@example.com", "https:///x", "ftp://example.com", "https://example.com:8443/", "https://127.0.0.1/", "https://[::1]/", "https://100.64.1.1/", "https://10.2.3.4", "https://[::ffff:10.0.0.1]/", "https://169.254.1.1", "https://224.0.0.1", "https://0.0.0.0"]
-    got = A.audit_urls(spark.createDataFrame([(u,) for u in [*bad, "https://example.com/a", "https://8.8.8.8:443/"]], "url string")).collect()
-    assert [r["url"] for r in got if r["reject_code"] is None] == ["https://example.com/a", "https://8.8.8.8:443/"]
+    df = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(URLS)], "id int, url string")
+    assert {r["id"]: r["reject_code"] for r in A.audit_urls(df).collect()} == {i: c for i, (_, c) in enumerate(URLS)}
+    plain = spark.createDataFrame([("http://e.com/",), ("HTTP://e.com:80/",), ("http://e.com:8080/",), ("http://e.com:443/",), ("https://e.com/",)], "url string")
+    assert [r["reject_code"] for r in A.audit_urls(plain, allow_http=True).collect()] == [None, None, "port", "port", None]
+
+
+def test_addresses_against_the_standard_library(spark):
+    rng, texts = random.Random(1), ["", ":", "::", ":::", "1::", "::1", "1:2:3:4:5:6:7::", "1::2:3:4:5:6:7:8", "1.2.3.4", "1.2.3", "01.2.3.4", "256.1.1.1", "::1.2.3.4", "1.2.3.4::", "fe80::1%eth0", "fe80::1%", "1.2.3.4%x", "::ffff:1.2.3.4"]
+    for _ in range(1500):
+        b = bytearray(rng.randbytes(16))
+        for k in range(0, 16, 2):
+            if rng.random() < 0.6:
+                b[k : k + 2] = b"\0\0"
+        a = ipaddress.IPv6Address(bytes(b) if rng.random() > 0.1 else bytes(10) + b"\xff\xff" + bytes(b[12:]))
+        s = a.exploded if rng.random() < 0.3 else str(a)
+        s = s.upper() if rng.random() < 0.3 else s
+        if rng.random() < 0.2 and "::" not in s:
+            s = ":".join([*s.split(":")[:-2], str(ipaddress.IPv4Address(bytes(b[12:])))])
+        if rng.random() < 0.2:
+            p = rng.randrange(len(s))
+            s = s[:p] + rng.choice(":0g.f") + s[p + rng.randint(0, 1) :]
+        texts.append(s)
+
+    def usual(x):
+        try:
+            a = ipaddress.ip_address(x)
+        except ValueError:
+            return None
+        return str(getattr(a, "ipv4_mapped", None) or a)
+
+    blocks = ("10.0.0.0/8", "128.0.0.0/1", "::/3", "2000::/5", "192.0.2.0/27", "fe80::/10", "::/128")
+    nets = [ipaddress.ip_network(b) for b in blocks]
+    x = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("ip", IP.address(F.col("t")))
+    for t, said, inside in x.select("t", IP.spelled(F.col("ip")), IP.is_within(F.col("ip"), blocks)).collect():
+        assert said == usual(t), t
+        assert inside == (said is not None and "%" not in said and any(ipaddress.ip_address(said) in n for n in nets)), t
+
+
+def test_many_trusted_blocks(spark):
+    """Thousands of blocks are sets of prefixes, a look-up each length, and one scan."""
+    blocks = tuple(f"10.{k // 256}.{k % 256}.0/24" for k in range(5000)) + ("2001:db8::/33",)
+    df = spark.createDataFrame([(i, "10.0.0.9:1", f) for i, f in enumerate(["198.51.100.1, 10.19.135.1", "198.51.100.1, 10.19.136.1", "198.51.100.1,2001:db8:7fff::1", "198.51.100.1, 2001:db8:8000::1"])], "id int, remote string, forwarded string")
+    got = A.attribute_clients(df, blocks)
+    assert [r["client"] for r in got.orderBy("id").collect()] == ["198.51.100.1", "10.19.136.1", "198.51.100.1", "2001:db8:8000::1"]
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString() and "Union" not in got._jdf.queryExecution().executedPlan().toString()
 
 
 def test_hmac_and_names(spark):
