@@ -22,9 +22,10 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return with_stem(spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path))
 
 
-def stream_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """New files of an inbox, each taken once."""
-    return with_stem(spark.readStream.format("binaryFile").schema(FILE).option("pathGlobFilter", "*.txt").load(path))
+def stream_corpus(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """New files of an inbox and its folders, each taken once, in batches of at most so many."""
+    reader = spark.readStream.format("binaryFile").schema(FILE).option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true")
+    return with_stem((reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).load(path))
 
 
 def with_stem(files: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """The parse and the ledger as streams. Event time, watermarks and state are this engine's own; deadlines count from events, not clocks.
 
-events(job_id, client_key, kind, at): kind is submit, start, finish or fail.
+events(job_id, client_key, kind, at): kind is submit, start, finish or fail. What the ledger's streams say depends on the events' times only, not
+on how they are cut into batches, as long as no event is later than the watermark allows; later ones are left out. All state has an end
+in event time. It lives in RocksDB, which state with timers needs: set_state_store, which each of these calls, says so to the session.
 """
 
 from __future__ import annotations
@@ -10,12 +12,29 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quireworks.functions.rules import Rules
 from quireworks.operators import parse as P
 from quireworks.sources.corpus import decode_corpus, stream_corpus
 
+ENDS = ("finish", "fail")
+
+
+def set_state_store(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def run_to_end(rows: DataFrame, out: str, checkpoint: str):
+    """Appends all rows that a stream has now to the table at `out`; a later run goes on from the checkpoint. Returns the ended query."""
+    q = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
+def _ms(at: pd.Series) -> list[int]:
+    return (at.astype("datetime64[us]").astype("int64") // 1000).tolist()
+
 
 def parse_books(files: DataFrame, rules: Rules) -> DataFrame:
     """Chapters of files(stem, content), by stem."""
@@ -26,33 +45,106 @@ def parse_books(files: DataFrame, rules: Rules) -> DataFrame:
     return P.assemble_chapters(P.numbered(body))
 
 
-def stream_parse(spark: SparkSession, inbox: str, out: str, checkpoint: str, rules: Rules = Rules()):
-    """Parse each new file of an inbox once and add its chapters to the table at `out`. A file lies in one batch, so no state crosses
-    batches; each batch writes its own folder, so a batch that is tried again leaves its rows once."""
+def stream_parse(spark: SparkSession, inbox: str, out: str, checkpoint: str, rules: Rules = Rules(), stem: str | None = None, files_per_batch: int | None = None):
+    """Parse each new file of an inbox once and add its chapters to the table at `out`, by stem: the file's name or what the expression gives. A file
+    lies in one batch, so no state crosses batches; each batch writes its own folder, so a batch that is tried again leaves its rows once."""
 
     def write(batch: DataFrame, number: int) -> None:
         parse_books(batch, rules).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return stream_corpus(spark, inbox).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def stream_admission(events: DataFrame, per_client: int) -> DataFrame:
-    """job_id, client_key, open, admitted for each submission, from the client's open jobs in order of time."""
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        open_ = set((state.get[0] or "").split("\n")) - {""} if state.exists else set()
-        rows = []
-        for e in pd.concat(list(parts)).sort_values(["at", "job_id"]).itertuples():
-            if e.kind == "submit":
-                rows.append((e.job_id, key[0], len(open_), len(open_) < per_client))
-                if len(open_) < per_client:
-                    open_.add(e.job_id)
-            elif e.kind in ("finish", "fail"):
-                open_.discard(e.job_id)
-        state.update(("\n".join(sorted(open_)),))
-        yield pd.DataFrame(rows, columns=["job_id", "client_key", "open", "admitted"])
-
-    return events.groupBy("client_key").applyInPandasWithState(run, "job_id string, client_key string, open int, admitted boolean", "open string", "append", GroupStateTimeout.NoTimeout)
+    files = stream_corpus(spark, inbox, files_per_batch)
+    files = files.withColumn("stem", F.expr(stem)) if stem else files
+    return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class _Admission(StatefulProcessor):
+    """A client's open jobs, each with its deadline; a timer for each deadline takes out what never ended."""
+
+    def __init__(self, per_client: int, lifetime_s: int) -> None:
+        self.per_client, self.lifetime = per_client, 1000 * lifetime_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.open = handle, handle.getMapState("open", "job_id string", "until long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        e = pd.concat(list(rows))
+        e = e.assign(ms=_ms(e["at"]), late=e["kind"] == "submit").sort_values(["at", "late", "job_id"])
+        before = {k[0]: v[0] for k, v in self.open.iterator()}
+        now, out = dict(before), []
+        for job, kind, ms in zip(e["job_id"], e["kind"], e["ms"]):
+            now = {k: v for k, v in now.items() if v > ms}
+            if kind == "submit":
+                out.append((job, key[0], len(now), len(now) < self.per_client))
+                if len(now) < self.per_client:
+                    now[job] = ms + self.lifetime
+            elif kind in ENDS:
+                now.pop(job, None)
+        for job in before.keys() - now.keys():
+            self.open.removeKey((job,))
+        for job, until in now.items():
+            if before.get(job) != until:
+                self.open.updateValue((job,), (until,))
+        for until in set(before.values()) - set(now.values()):
+            self.handle.deleteTimer(until)
+        for until in set(now.values()) - set(before.values()):
+            self.handle.registerTimer(until)
+        yield pd.DataFrame(out, columns=["job_id", "client_key", "open", "admitted"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for k, v in list(self.open.iterator()):
+            if v[0] <= expiredTimerInfo.getExpiryTimeInMs():
+                self.open.removeKey(k)
+        yield pd.DataFrame(columns=["job_id", "client_key", "open", "admitted"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_admission(events: DataFrame, per_client: int, lifetime_s: int = 600, delay: str = "1 minute") -> DataFrame:
+    """job_id, client_key, open, admitted for each submission, from the client's open jobs in order of time; at one time ends come first. A job is open
+    from its admission to its end, or for lifetime_s where none comes; a client without open jobs has no state."""
+    set_state_store(events.sparkSession)
+    return events.withWatermark("at", delay).groupBy("client_key").transformWithStateInPandas(_Admission(per_client, lifetime_s), "job_id string, client_key string, open int, admitted boolean", "Append", "EventTime")
+
+
+class _Deadline(StatefulProcessor):
+    """The first start and the first end of a job, and a timer for what follows from them."""
+
+    def __init__(self, timeout_s: int, retention_s: int) -> None:
+        self.timeout, self.retention = 1000 * timeout_s, 1000 * retention_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.job = handle, handle.getValueState("job", "start long, kind string, ended long")
+
+    def verdict(self, start: int | None, kind: str | None, ended: int | None) -> tuple[int, str | None]:
+        """When a job's state ends, and what the job is then."""
+        if start is not None and (ended is None or ended > start + self.timeout):
+            return start + self.timeout, "timeout"
+        return (ended + self.retention, "expired") if kind == "finish" else (ended + self.timeout, None)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        e = pd.concat(list(rows))
+        start, kind, ended = self.job.get() if self.job.exists() else (None, None, None)
+        for k, ms in zip(e["kind"], _ms(e["at"])):
+            if k == "start" and (start is None or ms < start):
+                start = ms
+            elif k in ENDS and (ended is None or ms < ended):
+                kind, ended = k, ms
+        if start is not None or ended is not None:
+            until = self.verdict(start, kind, ended)[0]
+            for other in set(self.handle.listTimers()) - {until}:
+                self.handle.deleteTimer(other)
+            self.job.update((start, kind, ended))
+            self.handle.registerTimer(until)
+        yield pd.DataFrame(columns=["job_id", "status"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        status = self.verdict(*self.job.get())[1] if self.job.exists() else None
+        self.job.clear()
+        yield pd.DataFrame([(key[0], status)] if status else [], columns=["job_id", "status"])
+
+    def close(self) -> None:
+        pass
 
 
 def stream_timeouts(events: DataFrame, timeout_s: int, retention_s: int, delay: str = "1 minute") -> DataFrame:
@@ -61,44 +153,61 @@ def stream_timeouts(events: DataFrame, timeout_s: int, retention_s: int, delay:
 
     Events of a job may come in any order: an end is kept as state, so a start that follows it is no open job. A job's state goes with its
     deadline; a failed one's waits as long as a timeout would."""
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kind, at = state.get if state.exists else ("", 0)
-        if state.hasTimedOut:
-            state.remove()
-            if kind != "fail":
-                yield pd.DataFrame({"job_id": [key[0]], "status": ["timeout" if kind == "start" else "expired"]})
-            return
-        for e in pd.concat(list(parts)).sort_values("at").itertuples():
-            if e.kind in ("finish", "fail") or (e.kind == "start" and not kind):
-                kind, at = e.kind, int(e.at.timestamp() * 1000)
-        if kind:
-            state.update((kind, at))
-            state.setTimeoutTimestamp(max(at + 1000 * (retention_s if kind == "finish" else timeout_s), state.getCurrentWatermarkMs() + 1))
-
-    return events.withWatermark("at", delay).groupBy("job_id").applyInPandasWithState(run, "job_id string, status string", "kind string, at long", "append", GroupStateTimeout.EventTimeTimeout)
+    set_state_store(events.sparkSession)
+    return events.withWatermark("at", delay).groupBy("job_id").transformWithStateInPandas(_Deadline(timeout_s, retention_s), "job_id string, status string", "Append", "EventTime")
 
 
 #: What a job is after an event of each kind.
 STATES = {"submit": "queued", "start": "converting", "finish": "succeeded", "fail": "failed"}
 
 
-def stream_capacity(events: DataFrame) -> DataFrame:
-    """status, n_jobs: how many jobs are in each state, as of each job's latest event. For the complete or update mode.
+class _Moves(StatefulProcessor):
+    """A job's latest event. Once the watermark is past its end nothing earlier can come, and its state goes."""
 
-    An event adds one to its job's new state and takes one from the one before; both are summed by state, so the gauge
-    is a stream of few rows whatever the number of jobs."""
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.job = handle, handle.getValueState("job", "kind string, at long")
 
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kind, at = state.get if state.exists else ("", -1)
-        rows, before = [], kind
-        for e in pd.concat(list(parts)).itertuples():
-            if e.kind in STATES and e.at.value // 1000 >= at:
-                kind, at = e.kind, e.at.value // 1000
-        if kind != before:
-            rows = [(STATES[kind], 1)] + ([(STATES[before], -1)] if before else [])
-            state.update((kind, at))
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        e = pd.concat(list(rows))
+        order = {k: i for i, k in enumerate(STATES)}
+        before, at = self.job.get() if self.job.exists() else (None, -1)
+        latest = max([(at, order.get(before, -1), before), *((ms, order[k], k) for k, ms in zip(e["kind"], _ms(e["at"])) if k in STATES)])
+        rows = []
+        if latest[2] != before:
+            rows = [(STATES[latest[2]], 1)] + ([(STATES[before], -1)] if before else [])
+        if latest[2] is not None:
+            for other in list(self.handle.listTimers()):
+                self.handle.deleteTimer(other)
+            self.job.update((latest[2], latest[0]))
+            if latest[2] in ENDS:
+                self.handle.registerTimer(latest[0])
         yield pd.DataFrame(rows, columns=["status", "d"])
 
-    moves = events.groupBy("job_id").applyInPandasWithState(run, "status string, d long", "kind string, at long", "append", GroupStateTimeout.NoTimeout)
-    return moves.groupBy("status").agg(F.sum("d").alias("n_jobs"))
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.job.clear()
+        yield pd.DataFrame(columns=["status", "d"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_moves(events: DataFrame, delay: str = "1 minute") -> DataFrame:
+    """status, d: one more in a job's new state, one less in the one before, as of its latest event (at one time the later kind). State holds open jobs,
+    and those that ended within the watermark's delay."""
+    set_state_store(events.sparkSession)
+    return events.withWatermark("at", delay).groupBy("job_id").transformWithStateInPandas(_Moves(), "status string, d long", "Append", "EventTime")
+
+
+def stream_capacity(events: DataFrame, out: str, checkpoint: str, delay: str = "1 minute"):
+    """Keeps the gauge at `out`: how many jobs are in each state. Each batch adds its moves up to a few rows in a folder of its own, so one that is tried
+    again counts once; see capacity_at."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.groupBy("status").agg(F.sum("d").alias("d")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return stream_moves(events, delay).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def capacity_at(spark: SparkSession, out: str) -> DataFrame:
+    """status, n_jobs after all batches so far."""
+    return spark.read.schema("status string, d long").parquet(out).groupBy("status").agg(F.sum("d").alias("n_jobs")).filter("n_jobs <> 0")

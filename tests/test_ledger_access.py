@@ -185,30 +185,59 @@ def events_of(spark, tmp_path, batches):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "events"))
 
 
-def rows_of(df, name, mode, tmp_path):
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    return df.sparkSession.table(name).collect()
+def rows_of(df, tmp_path, seen=None):
+    """All rows so far; seen gets the rows of state after each batch."""
+    q = streams.run_to_end(df, str(tmp_path / "rows"), str(tmp_path / "check"))
+    if seen is not None:
+        seen += [s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"]]
+    return df.sparkSession.read.schema(df.schema).parquet(str(tmp_path / "rows")).collect()
 
 
 def test_stream_admission(spark, tmp_path):
     first = [("a", "x", "submit", 10), ("b", "x", "submit", 20), ("c", "y", "submit", 20)]
     later = [("a", "x", "finish", 30), ("d", "x", "submit", 40), ("b", "x", "finish", 45), ("e", "x", "submit", 50)]
-    got = {r["job_id"]: (r["open"], r["admitted"]) for r in rows_of(streams.stream_admission(events_of(spark, tmp_path, [first, later]), 1), "admission", "append", tmp_path)}
+    got = {r["job_id"]: (r["open"], r["admitted"]) for r in rows_of(streams.stream_admission(events_of(spark, tmp_path, [first, later]), 1), tmp_path)}
     assert got == {"a": (0, True), "b": (1, False), "c": (0, True), "d": (0, True), "e": (1, False)}
 
 
+def test_state_of_idle_clients_goes(spark, tmp_path):
+    """Jobs without an end leave after their lifetime, by event time and before the timer is due; the state metrics fall to nothing."""
+    first = [(f"j{i}", f"c{i}", "submit", 100 + i) for i in range(20)] + [("k", "c3", "submit", 110), ("m", "c4", "submit", 110), ("j4", "c4", "finish", 108)]
+    clock = [[("t1", "clock", "finish", 1000)], [("t2", "clock", "finish", 5000)], [("n", "c3", "submit", 5001)]]
+    seen = []
+    df = streams.stream_admission(events_of(spark, tmp_path, [first, *clock]), 1, 300, "1 second")
+    got = {r["job_id"]: (r["open"], r["admitted"]) for r in rows_of(df, tmp_path, seen)}
+    assert got["j3"] == (0, True) and got["k"] == (1, False) and got["m"] == (0, True) and got["n"] == (0, True) and len(got) == 23
+    assert seen[0] >= 20 and seen[-1] <= 2, seen  # at the end the new job and its timer
+
+
 def test_stream_timeouts(spark, tmp_path):
-    first = [("late", "x", "start", 100), ("done", "x", "start", 100), ("turned", "x", "finish", 140), ("failed", "x", "start", 100), ("open", "x", "start", 4990)]
-    second = [("done", "x", "finish", 150), ("turned", "x", "start", 139), ("failed", "x", "fail", 145)]  # an end may come before its start
+    first = [("late", "x", "start", 100), ("done", "x", "start", 100), ("turned", "x", "finish", 140), ("failed", "x", "start", 100), ("open", "x", "start", 4990), ("slow", "x", "start", 100), ("queer", "x", "finish", 900)]
+    second = [("done", "x", "finish", 150), ("turned", "x", "start", 139), ("failed", "x", "fail", 145), ("slow", "x", "finish", 701), ("queer", "x", "start", 250)]  # an end may come before its start, or after its deadline
     clock = [[("clock", "x", "submit", at)] for at in (300, 5000, 5001)]
     batches = [[e for e in first if e[0] != "open"], second, clock[0], [e for e in first if e[0] == "open"], *clock[1:]]
-    got = {r["job_id"]: r["status"] for r in rows_of(streams.stream_timeouts(events_of(spark, tmp_path, batches), 600, 3600, "1 second"), "timeouts", "append", tmp_path)}
-    assert got == {"late": "timeout", "done": "expired", "turned": "expired"}
+    seen = []
+    got = {r["job_id"]: r["status"] for r in rows_of(streams.stream_timeouts(events_of(spark, tmp_path, batches), 600, 3600, "1000 seconds"), tmp_path, seen)}
+    assert got == {"late": "timeout", "slow": "timeout", "queer": "timeout", "done": "expired", "turned": "expired"}  # the watermark stands at 4001
+    assert max(seen) > seen[-1] > 0
+    stop = [("clock", "x", "submit", at) for at in (9000, 9001)]
+    for e in stop:  # a restart from the checkpoint, with what was open
+        later = events_of(spark, tmp_path, [[e]])
+        got |= {r["job_id"]: r["status"] for r in rows_of(streams.stream_timeouts(later, 600, 3600, "1000 seconds"), tmp_path, seen)}
+    late = events_of(spark, tmp_path, [[("older", "x", "start", 100)]])  # the watermark is past it
+    got |= {r["job_id"]: r["status"] for r in rows_of(streams.stream_timeouts(late, 600, 3600, "1000 seconds"), tmp_path, seen)}
+    assert got == {"late": "timeout", "slow": "timeout", "queer": "timeout", "done": "expired", "turned": "expired", "open": "timeout"}
+    assert seen[-1] == 0
 
 
 def test_stream_capacity(spark, tmp_path):
     first = [("a", "x", "submit", 1), ("b", "x", "submit", 2), ("c", "x", "submit", 3), ("a", "x", "start", 4)]
-    second = [("a", "x", "finish", 9), ("b", "x", "start", 6), ("c", "x", "fail", 7), ("d", "x", "submit", 8), ("b", "x", "submit", 2)]
-    got = {r["status"]: r["n_jobs"] for r in rows_of(streams.stream_capacity(events_of(spark, tmp_path, [first, second])), "capacity", "complete", tmp_path)}
-    assert {k: v for k, v in got.items() if v} == {"succeeded": 1, "converting": 1, "failed": 1, "queued": 1}
+    second = [("a", "x", "finish", 9), ("b", "x", "start", 6), ("c", "x", "fail", 7), ("d", "x", "submit", 8), ("b", "x", "submit", 2), ("a", "x", "start", 8)]
+    third = [[(f"e{i}", "x", k, 100 + i) for i in range(50) for k in ("submit", "start", "finish")], [("f", "x", "submit", 5000)], [("f", "x", "start", 5001)], [("f", "x", "start", 5002)]]
+    seen = []
+    q = streams.stream_capacity(events_of(spark, tmp_path, [first, second, *third]), str(tmp_path / "out"), str(tmp_path / "check"), "10 seconds")
+    q.awaitTermination(120)
+    got = {r["status"]: r["n_jobs"] for r in streams.capacity_at(spark, str(tmp_path / "out")).collect()}
+    assert got == {"succeeded": 51, "converting": 2, "failed": 1, "queued": 1}
+    seen = [s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"]]
+    assert max(seen) >= 53 and seen[-1] <= 3, seen  # b, d and f are open
