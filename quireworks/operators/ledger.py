@@ -14,20 +14,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quireworks.shared import scratch
+
 UNFINISHED, TERMINAL, GONE = ("queued", "converting"), ("failed", "expired", "evicted"), ("expired", "evicted")
 
 
 def prefix_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
-    """df with name = the sum of value over all rows before this one, in the order of the columns `order`, the first of them a time.
+    """df with name = the sum of value over all rows before this one, in the order of the columns `order` (nulls first), which tell all rows apart.
 
-    A window over all rows would run in one task. Here minutes are summed, their sums are accumulated within days, those of the days over all
-    days (a row each), and each minute runs its own window from its start, so a busy day is dealt over its minutes."""
-    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    x = df.withColumn("_minute", F.date_trunc("minute", order[0]))
-    minutes = x.groupBy("_minute", F.to_date("_minute").alias("_day")).agg(F.sum(value).alias("_sum"))
-    days = minutes.groupBy("_day").agg(F.sum("_sum").alias("_sum")).select("_day", before("_sum", Window.orderBy("_day")).alias("_start"))
-    starts = minutes.select("_minute", "_day", before("_sum", Window.partitionBy("_day").orderBy("_minute")).alias("_in_day")).join(days, "_day").select("_minute", (F.col("_start") + F.col("_in_day")).alias("_start"))
-    return x.join(starts, "_minute").withColumn(name, F.col("_start") + before(value, Window.partitionBy("_minute").orderBy(*order))).drop("_minute", "_start")
+    A window over all rows would run in one task. Here rows are dealt by ranges of the whole order, so that any number of rows of one
+    second are dealt too, and stored with their range; the ranges' sums, a row each, are accumulated, and each range runs its own window from its
+    start. The stored copy makes sure that sums and windows see the same ranges."""
+    spark, before = df.sparkSession, lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    to = scratch(spark, "ranges")
+    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    ranged.write.parquet(to)
+    x = spark.read.schema(ranged.schema).parquet(to)
+    starts = x.groupBy("_range").agg(F.sum(value).alias("_sum")).select("_range", before("_sum", Window.orderBy("_range")).alias("_start"))  # as many rows as there are partitions
+    return x.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + before(value, Window.partitionBy("_range").orderBy(*order))).drop("_range", "_start")
 
 
 def capacity(ledger: DataFrame, workers: int) -> DataFrame:
@@ -40,7 +44,7 @@ def active_by_client(ledger: DataFrame) -> DataFrame:
 
 
 def queue_positions(ledger: DataFrame) -> DataFrame:
-    """job_id, queue_position: 1-based among the queued in order of (created_at, job_id), 0 for the others."""
+    """job_id, queue_position: 1-based among the queued in order of (created_at, job_id), those without created_at first; 0 for the others."""
     queued = ledger.filter("status = 'queued'").select("job_id", "created_at", F.lit(1).alias("one"))
     at = prefix_sum(queued, ["created_at", "job_id"], "one", "before").select("job_id", (F.col("before") + 1).alias("queue_position"))
     return at.unionByName(ledger.filter(~F.col("status").eqNullSafe("queued")).select("job_id", F.lit(0).cast("long").alias("queue_position")))
@@ -64,11 +68,11 @@ def purge(ledger: DataFrame, leases: DataFrame, now: Column) -> DataFrame:
 def evict_to_quota(ledger: DataFrame, leases: DataFrame, most: int, required: int = 0) -> DataFrame:
     """The succeeded rows without a lease to evict, oldest first, until what is used leaves `required` of `most` free.
 
-    Nothing is evicted where required alone is over most."""
+    Nothing is evicted where required alone is over most, and no job without completed_at."""
     if most - required < 0:
         return ledger.limit(0)
     used = ledger.filter("status = 'succeeded'").agg(F.coalesce(F.sum("output_size"), F.lit(0)).alias("_used"))
-    may = ledger.filter("status = 'succeeded'").join(leases, "job_id", "left_anti")
+    may = ledger.filter("status = 'succeeded' and completed_at is not null").join(leases, "job_id", "left_anti")
     x = prefix_sum(may, ["completed_at", "job_id"], "output_size", "_before").crossJoin(F.broadcast(used))  # one row
     return x.filter(F.col("_used") - F.col("_before") > most - required).drop("_before", "_used")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from quireworks.operators import ledger as L
 from quireworks.operators import parse as P
 from quireworks.shared import scratch
 from quireworks.sources import corpus as S
+from quireworks.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -351,6 +353,19 @@ def encoding_census(spark, d):
     return S.encoding_census(S.decode_corpus(files))
 
 
+@F.pandas_udf("binary")
+def _as_gb18030(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else t.encode("gb18030"))
+
+
+@query("decode_corpus", r"SELECT doc_id, CASE doc_id % 3 WHEN 1 THEN 'utf-8-bom' WHEN 2 THEN 'utf-8' ELSE CASE WHEN regexp_matches(text, '[^\x00-\x7F]') THEN 'gb18030' ELSE 'utf-8' END END AS encoding, md5(coalesce(text, '')) AS text_md5 FROM documents")
+def decode_corpus(spark, d):
+    text = F.coalesce("text", F.lit(""))
+    raw = text.cast("binary")
+    content = F.when(F.col("doc_id") % 3 == 1, F.concat(F.unhex(F.lit("EFBBBF")), raw)).when(F.col("doc_id") % 3 == 2, raw).otherwise(_as_gb18030(F.when(F.col("doc_id") % 3 == 0, text)))
+    return S.decode_corpus(table(spark, d, "documents").select("doc_id", content.alias("content"))).select("doc_id", "encoding", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 # --- The ledger: events as conversion jobs.
 
 NOW, KEEP_HOURS, QUOTA = "2024-01-30 12:00:00", 24, 5_000_000
@@ -502,6 +517,89 @@ def stage_progress(spark, d):
     return L.stage_progress(as_ledger(spark, d))
 
 
+@query("read_ledger", "SELECT status, count(*) AS n_jobs, sum(s_suppkey * 10)::BIGINT AS n_bytes FROM (SELECT *, CASE s_suppkey % 3 WHEN 0 THEN 'queued' WHEN 1 THEN 'succeeded' ELSE 'failed' END AS status FROM supplier WHERE s_suppkey % 13 <> 1 AND s_suppkey % 17 <> 1 AND s_suppkey % 19 <> 1) GROUP BY status")
+def read_ledger(spark, d):
+    """A record for each supplier in a folder of its own, read back; some records broken off, some under another's name, some with a size that is no
+    number. A folder a job is the ledger's format; at some 14 ms a folder it is not one for the events."""
+    to, job = scratch(spark, "ledger"), F.col("s_suppkey")
+    own = F.concat(F.lit("job="), F.when(job % 13 == 1, job + 1).otherwise(job).cast("string"))
+    status = F.when(job % 3 == 0, "queued").when(job % 3 == 1, "succeeded").otherwise("failed")
+    record = F.concat(F.lit('{"id": "'), own, F.lit('", "status": "'), status, F.lit('", "input_size": '), F.when(job % 19 == 1, '"large"').otherwise((job * 10).cast("string")), F.when(job % 17 == 1, "").otherwise("}"))
+    table(spark, d, "supplier").select(job.alias("job"), record.alias("value")).repartition("job").write.partitionBy("job").text(to)
+    return S.read_ledger(spark, f"{to}/job=*").groupBy("status").agg(F.count("*").alias("n_jobs"), F.sum("input_size").alias("n_bytes"))
+
+
+# --- Streams: the tables as files in the order of their times, taken some at a time, run to their end and read back.
+
+PER_CLIENT, LIFETIME_S, TIMEOUT_S, RETENTION_S = 2, 3_000_000, 60, 3600
+
+
+def _event_stream(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
+    """The ledger's events (submit; start a second later, but for the queued; end some seconds on) as a stream of files, two a batch, and a folder
+    for results. Two ticks of a clock after all others let every deadline pass."""
+    at = scratch(spark, "replay")
+    x = _jobs(spark, d)
+    after = lambda s: F.timestamp_add("SECOND", s, F.col("at"))
+    kinds = F.array(
+        F.struct(F.lit("submit").alias("kind"), F.col("at").alias("at")), F.when(F.col("status") != "queued", F.struct(F.lit("start").alias("kind"), after(F.lit(1)).alias("at"))),
+        F.when(F.col("status").isin("succeeded", "failed"), F.struct(F.when(F.col("status") == "failed", "fail").otherwise("finish").alias("kind"), after(F.col("k") + 2).alias("at"))),
+    )
+    events = x.select("job_id", "client_key", F.explode(F.filter(kinds, lambda e: e.isNotNull())).alias("e")).select("job_id", "client_key", "e.kind", "e.at")
+    tick = lambda days: (spark.createDataFrame([("clock", "clock", "clock")], "job_id string, client_key string, kind string").withColumn("at", F.to_timestamp(F.lit(f"2200-01-0{days} 00:00:00"))), "at", 1)
+    S.replay_files(f"{at}/events", (events, "at", 8), tick(1), tick(2))
+    return spark.readStream.schema("job_id string, client_key string, kind string, at timestamp").option("maxFilesPerTrigger", 2).parquet(f"{at}/events"), at
+
+
+def _jobs(spark: SparkSession, d: str) -> DataFrame:
+    return as_ledger(spark, d).select(F.col("job_id").cast("string").alias("job_id"), F.col("client_id").cast("string").alias("client_key"), "status", F.date_trunc("millisecond", F.col("created_at").cast("timestamp")).alias("at"), F.timestamp_diff("SECOND", F.col("created_at"), F.col("done_at")).cast("int").alias("k"))
+
+
+_JOBS = ", jobs AS (SELECT job_id, client_id, status, date_trunc('millisecond', created_at) AS begun, date_diff('second', created_at, done_at) AS k FROM ledger)"
+
+
+@query("stream_admission", _LEDGER.replace("WITH", "WITH RECURSIVE", 1) + _JOBS + f""", o AS MATERIALIZED (SELECT job_id, client_id, begun, row_number() OVER (PARTITION BY client_id ORDER BY begun, job_id::VARCHAR) AS i,
+  least(begun + to_seconds({LIFETIME_S}), CASE WHEN status IN ('succeeded', 'failed') THEN begun + to_seconds(k + 2) END) AS until FROM jobs),
+r AS (SELECT client_id, 0::BIGINT AS i, NULL::BIGINT AS job_id, 0::BIGINT AS open, []::TIMESTAMP[] AS held FROM (SELECT DISTINCT client_id FROM o)
+UNION ALL
+SELECT client_id, i, job_id, len(still)::BIGINT, CASE WHEN len(still) < {PER_CLIENT} THEN list_append(still, until) ELSE still END FROM (
+  SELECT o.client_id, o.i, o.job_id, o.until, list_filter(r.held, lambda u: u > o.begun) AS still FROM r JOIN o ON o.client_id = r.client_id AND o.i = r.i + 1))
+SELECT job_id::VARCHAR AS job_id, client_id::VARCHAR AS client_key, open::INT AS open, open < {PER_CLIENT} AS admitted FROM r WHERE i > 0""")
+def stream_admission(spark, d):
+    events, at = _event_stream(spark, d)
+    rows = streams.stream_admission(events, PER_CLIENT, LIFETIME_S)
+    streams.run_to_end(rows, f"{at}/out", f"{at}/check")
+    return spark.read.schema(rows.schema).parquet(f"{at}/out")
+
+
+@query("stream_timeouts", _LEDGER + _JOBS + f" SELECT job_id::VARCHAR AS job_id, CASE WHEN status = 'converting' OR k + 1 > {TIMEOUT_S} THEN 'timeout' ELSE 'expired' END AS status FROM jobs WHERE status = 'converting' OR (status IN ('succeeded', 'failed') AND k + 1 > {TIMEOUT_S}) OR status = 'succeeded'")
+def stream_timeouts(spark, d):
+    events, at = _event_stream(spark, d)
+    rows = streams.stream_timeouts(events, TIMEOUT_S, RETENTION_S)
+    streams.run_to_end(rows, f"{at}/out", f"{at}/check")
+    return spark.read.schema(rows.schema).parquet(f"{at}/out")
+
+
+@query("stream_capacity", _LEDGER + "SELECT status, count(*) AS n_jobs FROM ledger GROUP BY status")
+def stream_capacity(spark, d):
+    events, at = _event_stream(spark, d)
+    streams.stream_capacity(events, f"{at}/out", f"{at}/check").awaitTermination()
+    return streams.capacity_at(spark, f"{at}/out")
+
+
+_SHELF = 16
+
+
+@query("stream_parse", _cte(lines="shelved").replace("clean AS", f"shelved AS (SELECT book_id // {_SHELF} AS book_id, row_number() OVER (PARTITION BY book_id // {_SHELF} ORDER BY book_id, line_no)::INT AS line_no, line FROM lines),\nclean AS", 1) + "SELECT book_id, volume_ix, chapter_ix, title, md5(content_html) AS content_md5, n_paragraphs FROM chapters")
+def stream_parse(spark, d):
+    """The lines of sixteen books at a time as one text file, which arrive as an inbox and are parsed batch by batch."""
+    at = scratch(spark, "inbox")
+    lines = as_books(spark, d).withColumn("shelf", F.floor(F.col("book_id") / _SHELF))
+    lines.repartition("shelf").sortWithinPartitions("shelf", "book_id", "line_no").select("shelf", F.col("line").alias("value")).write.partitionBy("shelf").text(f"{at}/in")
+    streams.stream_parse(spark, f"{at}/in", f"{at}/out", f"{at}/check", RULES, "regexp_extract(path, 'shelf=([0-9]+)/', 1)", 40).awaitTermination()
+    found = spark.read.schema("book_id string, volume_ix int, chapter_ix int, title string, content_html string, n_paragraphs long").parquet(f"{at}/out")
+    return found.select(F.col("book_id").cast("long").alias("book_id"), "volume_ix", "chapter_ix", "title", F.md5(F.col("content_html").cast("binary")).alias("content_md5"), "n_paragraphs")
+
+
 # --- Access log, addresses and names.
 
 

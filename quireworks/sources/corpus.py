@@ -60,7 +60,8 @@ def _gb18030(content: pd.Series) -> pd.Series:
 
 
 def decode_corpus(files: DataFrame, encoding: str = "auto") -> DataFrame:
-    """files(content) with text, encoding, decode_error. auto: a UTF-8 mark, else valid UTF-8, else GB18030; only rows of the last go through Python."""
+    """files(content) with text, encoding, decode_error. auto: a UTF-8 mark, else valid UTF-8, else GB18030, whose bytes alone go through Python; files
+    are read once. A null content counts as GB18030 with a null text."""
     encoding = encoding.lower()
     if encoding not in ("auto", "utf-8", "gbk", "gb18030"):
         raise ValueError(f"unknown encoding {encoding!r}")
@@ -71,10 +72,9 @@ def decode_corpus(files: DataFrame, encoding: str = "auto") -> DataFrame:
     if encoding == "utf-8":
         return files.withColumns({"text": F.when(valid, s), "encoding": F.lit("utf-8"), "decode_error": F.when(~valid, "invalid utf-8")}).drop("content")
     kind = F.when(marked, "utf-8-bom").when(valid, "utf-8").otherwise("gb18030")
-    named = files.withColumn("encoding", kind)
-    plain = named.filter("encoding <> 'gb18030'").withColumn("text", F.when(marked, F.make_valid_utf8(F.substring(c, 4, 1 << 30).cast("string"))).otherwise(s))
-    other = named.filter("encoding = 'gb18030'").withColumn("text", _gb18030(c))
-    return plain.unionByName(other).withColumn("decode_error", F.lit(None).cast("string")).drop("content")
+    plain = F.when(marked, F.make_valid_utf8(F.substring(c, 4, 1 << 30).cast("string"))).when(valid, s)
+    other = _gb18030(F.when(~marked & ~valid, c))  # null, and so nothing to send to Python, for all other files
+    return files.withColumns({"text": F.coalesce(plain, other), "encoding": kind, "decode_error": F.lit(None).cast("string")}).drop("content")
 
 
 def encoding_census(decoded: DataFrame) -> DataFrame:
@@ -82,10 +82,26 @@ def encoding_census(decoded: DataFrame) -> DataFrame:
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """One record a job folder; records that can't be read, or whose id isn't the folder's name, are left out."""
-    rows = spark.read.schema(JOB).option("multiLine", "true").option("mode", "PERMISSIVE").json(path)
+    """One record a job folder; records that can't be read whole, a field of another type included, or whose id isn't the folder's name, are
+    left out."""
+    rows = spark.read.schema(T.StructType([*JOB, T.StructField("_corrupt", T.StringType())])).option("multiLine", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
     folder = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]*$", 1)
-    return rows.filter(F.col("id").isNotNull() & (F.col("id") == folder))
+    return rows.filter(F.col("_corrupt").isNull() & (F.col("id") == F.try_url_decode(folder))).drop("_corrupt")
+
+
+def replay_files(path: str, *parts: tuple[DataFrame, str, int]) -> None:
+    """Tables as files of a stream: each (rows, column of time, number of files) is dealt by ranges of time over so many files, and all files get times of
+    modification in that order, which is the order in which a file source takes them. The file system has to keep times."""
+    spark = parts[0][0].sparkSession
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(context._jsc.hadoopConfiguration())
+    began, done = context._jvm.System.currentTimeMillis() - 3_600_000, set()
+    for rows, time, n in parts:
+        rows.repartitionByRange(n, time).sortWithinPartitions(time).write.mode("append").parquet(path)
+        for name in sorted({f.getPath().getName() for f in fs.listStatus(at)} - done):
+            fs.setTimes(context._jvm.org.apache.hadoop.fs.Path(at, name), began + 1000 * len(done), -1)
+            done.add(name)
 
 
 def output_names(books: DataFrame, safe: Column, stem: Column) -> DataFrame:

@@ -167,8 +167,23 @@ def test_prefix_sum(spark):
     assert {r["id"]: r["s"] for r in L.prefix_sum(df, ["at", "id"], "v", "s").collect()} == want
 
 
+def test_one_second_is_dealt_over_tasks(spark):
+    """A million rows of one second: their sums are right, and no task has more than a share of them."""
+    df = spark.range(1_000_000).select(F.col("id").alias("job_id"), F.lit("queued").alias("status"), F.timestamp_seconds(F.lit(5)).alias("created_at"))
+    x = L.queue_positions(df)
+    assert x.filter("queue_position <> job_id + 1").count() == 0
+    shares = L.prefix_sum(df, ["created_at", "job_id"], "job_id", "s").groupBy(F.spark_partition_id()).count().collect()
+    assert len(shares) >= 4 and max(r["count"] for r in shares) < 500_000
+
+
+def test_jobs_without_a_time(spark):
+    rows = [(1, "queued", None), (2, "queued", 5), (3, "queued", None), (4, "failed", None), (5, None, 7)]
+    df = spark.createDataFrame(rows, "job_id long, status string, at long").withColumn("created_at", F.timestamp_seconds("at"))
+    assert {r["job_id"]: r["queue_position"] for r in L.queue_positions(df).collect()} == {1: 1, 3: 2, 2: 3, 4: 0, 5: 0}
+
+
 def test_read_ledger(spark, tmp_path):
-    for folder, text in (("j1", '{"id": "j1", "status": "queued",\n "input_size": 7}'), ("j2", '{"id": "other"}'), ("j3", "{broken")):
+    for folder, text in (("j1", '{"id": "j1", "status": "queued",\n "input_size": 7}'), ("j2", '{"id": "other"}'), ("j3", "{broken"), ("j4", '{"id": "j4", "input_size": "much"}'), ("j5", '{"id": "j5", "status": "qu')):
         (tmp_path / folder).mkdir()
         (tmp_path / folder / "job.json").write_text(text)
     got = S.read_ledger(spark, str(tmp_path / "*/job.json")).collect()
