@@ -353,6 +353,21 @@ def encoding_census(spark, d):
     return S.encoding_census(S.decode_corpus(files))
 
 
+#: Images that stand in for the pages by page_id: PNG heads with a size of their own, JPEG heads, text, nothing, and what is too long.
+_COVER_PIXELS, _COVER_BYTES = 4_000_000, 4_000
+
+
+@query("cover_gate", f"""SELECT page_id, CASE WHEN page_id % 5 < 3 THEN 'png' WHEN page_id % 5 = 3 AND page_id % 10 = 3 THEN 'jpeg' END AS format,
+  CASE WHEN page_id % 10 = 4 THEN 'empty' WHEN n > {_COVER_BYTES} THEN 'too_large' WHEN page_id % 5 = 4 OR page_id % 10 = 8 THEN 'format' WHEN page_id % 5 < 3 AND w * h > {_COVER_PIXELS} THEN 'pixels' END AS reject_code
+FROM (SELECT page_id, page_id * 37 + 1 AS w, strlen(html) AS h, strlen(html) + CASE WHEN page_id % 5 < 3 THEN 24 WHEN page_id % 10 = 3 THEN 3 ELSE 0 END AS n FROM pages)""")
+def cover_gate(spark, d):
+    number = lambda c: F.lpad(F.hex(c.cast("long")), 8, "0")
+    k, html = F.col("page_id"), F.col("html").cast("binary")
+    png = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), number(k * 37 + 1), number(F.octet_length(html))))
+    content = F.when(k % 5 < 3, F.concat(png, html)).when(k % 10 == 3, F.concat(F.unhex(F.lit("FFD8FF")), html)).when(k % 10 == 4, F.lit(b"")).otherwise(html)
+    return S.cover_gate(table(spark, d, "pages").select("page_id", content.alias("content")), _COVER_BYTES, _COVER_PIXELS).select("page_id", "format", "reject_code")
+
+
 @F.pandas_udf("binary")
 def _as_gb18030(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else t.encode("gb18030"))
