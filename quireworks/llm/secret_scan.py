@@ -36,8 +36,13 @@ MASK = "<secret>"
 
 _KEY_WORDS = re.compile(r"(token|key|secret|passw|pwd|auth|credential|bearer)", re.I)
 _NAME = r"(?:token|key|secret|passw|pwd|auth(?!or)|credential|bearer)[\w.\-]*"
-#: name = value, "name": "value", name=value, bearer value; a quoted value ends with its quote.
-_ASSIGNED = re.compile(_NAME + r"""["']?\s*(?::=|=>|[=:](?!=))\s*(?:bearer\s+)?(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"'<>,;&]+))|\bbearer\s+["']?([A-Za-z0-9+/_.~\-]+=*)""", re.I)
+#: name = value, "name": "value", name=value; a quoted value ends with its quote. A name with its white space has NAME_CHARS characters at most, so
+#: each sign of assignment looks back a bounded way and a text of any length takes linear time. Or: bearer value.
+NAME_CHARS = 96
+_SIGN = re.compile(r":=|=>|[=:](?!=)")
+_NAME_BEFORE = re.compile(_NAME + r"""["']?\s*\Z""", re.I)
+_VALUE = re.compile(r"""\s*(?:bearer\s+)?(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"'<>,;&]+))""", re.I)
+_BEARER = re.compile(r"""\bbearer\s+["']?([A-Za-z0-9+/_.~\-]+=*)""", re.I)
 _NAMED = re.compile(_NAME + r"""["']?\s*(?::=|=>|[=:])\s*(?:bearer\s+)?["']?$|\bbearer\s+["']?$""", re.I)
 _PASSWORD = re.compile(r"""(?:passw|pwd|secret)[\w.\-]*["']?\s*(?::=|=|:\s*["'])\s*["']?$""", re.I)
 #: Forms that tell a secret without a name: keys and tokens of known services, signed tokens.
@@ -74,9 +79,41 @@ def features(text: str, path: str, start: int, end: int) -> list[float]:
     ]
 
 
+def assigned(text: str) -> list[tuple[int, int]]:
+    """Spans of the values that a name with a key word assigns, or that follow `bearer`, in order and apart."""
+    spans: list[tuple[int, int]] = []
+    end, bearer = 0, _BEARER.search(text)
+
+    def take_bearers(before: int) -> None:
+        nonlocal end, bearer
+        while bearer and bearer.start() < before:
+            if bearer.start() >= end:
+                spans.append(bearer.span(1))
+                end = bearer.end()
+            bearer = _BEARER.search(text, max(end, bearer.start() + 1))
+
+    words, latest = _KEY_WORDS.finditer(text), -1
+    word = next(words, None)
+    for sign in _SIGN.finditer(text):
+        while word and word.end() <= sign.start():
+            latest, word = word.start(), next(words, None)
+        if sign.start() < end:
+            continue
+        since = max(end, sign.start() - NAME_CHARS)
+        name = _NAME_BEFORE.search(text, since, sign.start()) if latest >= since else None
+        take_bearers(name.start() if name else sign.start())
+        if name and name.start() < end:
+            name = _NAME_BEFORE.search(text, min(end, sign.start()), sign.start())
+        if name and sign.start() >= end and (m := _VALUE.match(text, sign.end())):
+            spans.append(m.span(m.lastindex))
+            end = m.end()
+    take_bearers(len(text))
+    return spans
+
+
 def candidates(text: str) -> Iterator[tuple[int, int]]:
     """Spans in order, none over another: the assigned values, and the runs outside of them."""
-    spans = [m.span(m.lastindex) for m in _ASSIGNED.finditer(text)]
+    spans = assigned(text)
     k = 0
     for m in CANDIDATE.finditer(text):
         c = m[0]

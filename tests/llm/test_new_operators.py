@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quireworks.llm import collision_search, dual_tree_search, prefix_trie
+from quireworks.llm import collision_search, dual_tree_search, prefix_trie, secret_scan
 
 TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
@@ -223,3 +224,27 @@ def test_collision_search_recall(spread):
         verified += n
     assert hits >= 0.9 * 30 * 21
     assert spread or verified < 0.5 * 30 * 6000
+
+
+PLAIN = re.compile(
+    r"""(?:token|key|secret|passw|pwd|auth(?!or)|credential|bearer)[\w.\-]*["']?\s*(?::=|=>|[=:](?!=))\s*(?:bearer\s+)?(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"'<>,;&]+))|\bbearer\s+["']?([A-Za-z0-9+/_.~\-]+=*)""", re.I
+)
+
+
+def test_assigned_values_equal_one_plain_pattern():
+    rng = random.Random(21)
+    bits = ["key", "token", "api_key", "Author", "auth", "passwd", "bearer ", "Bearer", " ", "  ", "\n", "=", ":", ":=", "=>", "'", '"', "abc", "x1Y2", ",", ";", "a.b-c", "=="]
+    for _ in range(20_000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 14)))
+        want, end = [], 0
+        for m in PLAIN.finditer(text):
+            want.append(m.span(m.lastindex))
+        assert secret_scan.assigned(text) == want, (text, secret_scan.assigned(text), want)
+
+
+@pytest.mark.parametrize("unit", ["key", "key=", 'key="', "key ", "key: ' ", "bearer ", "=", "a:b ", "pwd\n="])
+def test_secrets_of_long_texts_take_linear_time(unit):
+    text = unit * (1_000_000 // len(unit))
+    began = time.time()
+    assert all(a < b for a, b in secret_scan.candidates(text))
+    assert time.time() - began < 5
