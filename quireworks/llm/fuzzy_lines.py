@@ -8,9 +8,9 @@ stays, all others go. Lines without a word are left alone.
 
 SimHash finds nearly all lines that differ in few of their words and few of those that differ in many: see the README for the measured recall by
 similarity. Lines travel as ids and hashes; texts are fetched from their documents for candidates only. In a first round each line is held
-against the nearest few and the first of those it meets, which joins a group of thousands at a cost that follows its size; in a
-second one candidates that are still apart are held against all others that they meet. A block value of very many lines is dealt out in pieces,
-each two of which meet in a task.
+against the nearest few and the first of those it meets, which joins a group of thousands at a cost that follows its size. In a second one every
+line, linked or not, is held against all that it meets in other groups, so no candidate is left out. A block value of very many
+lines is dealt out in pieces, each two of which meet in a task. What is near and first doesn't depend on how rows arrive.
 
 Defined cases: null and empty texts have no lines and stay empty; rows repeated with one doc_id have equal lines, of which none is
 second to itself, so both rows keep them; a null doc_id sorts after all others; very long lines are compared whole. Extra columns are ignored.
@@ -178,7 +178,7 @@ def candidates(lines: DataFrame, labelled: bool) -> DataFrame:
                     u, v = lid[a], lid[b]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], schema=_PAIR)
 
-    found = tiles.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "u bigint, v bigint")
+    found = tiles.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "lid").mapInArrow(run, "u bigint, v bigint")
     return found.distinct()
 
 
@@ -305,6 +305,12 @@ def _cut(keep_text: bool):
     return run
 
 
+def _texts_of(pairs: DataFrame, lines: DataFrame, documents: DataFrame, n_parts: int) -> DataFrame:
+    """lid, norm of the lines in pairs(u, v), from the part of the first that has each."""
+    asked = pairs.select(F.col("u").alias("lid")).union(pairs.select("v")).distinct().join(lines.select("lid", "part"), "lid")
+    return _with_documents(asked.select("part", "lid"), documents, n_parts).mapInArrow(_texts, "lid bigint, norm string")
+
+
 def dedup_lines(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """doc_id, n_lines (with a word), n_removed, kept_sha256 and the kept text for each row of docs(doc_id, text).
 
@@ -315,14 +321,14 @@ def dedup_lines(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     lines = materialised(seen.groupBy("lid", "sim").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.sum("n").alias("n"), F.min("part").alias("part")), "lines")
     documents = rows.mapInArrow(packed(n_scan), "part int, seq bigint, blob binary")
     pairs = materialised(candidates(lines.select("lid", "sim"), False), "pairs")
-    ends = materialised(pairs.select(F.col("u").alias("lid")).union(pairs.select("v")).distinct().join(lines.select("lid", "sim", "part"), "lid"), "ends")
-    texts = materialised(_with_documents(ends.select("part", "lid"), documents, n_parts).mapInArrow(_texts, "lid bigint, norm string"), "texts")
+    texts = materialised(_texts_of(pairs, lines, documents, n_parts), "texts")
     links = materialised(verified(pairs, texts), "passed")
     labels = materialised(connected(links), "labels")
-    named = ends.join(labels.withColumnRenamed("node", "lid"), "lid", "left").select("lid", "sim", F.coalesce("component", "lid").alias("label"))
-    more = verified(candidates(named, True), texts)
-    groups = connected(links.unionByName(more)).withColumnRenamed("node", "lid")
-    discard(pairs, ends, texts, links, labels)
+    named = lines.select("lid", "sim").join(labels.withColumnRenamed("node", "lid"), "lid", "left").withColumn("label", F.coalesce("component", "lid")).drop("component")
+    rest = materialised(candidates(named, True).join(pairs, ["u", "v"], "left_anti"), "pairs")
+    more_texts = materialised(_texts_of(rest, lines, documents, n_parts), "texts")
+    groups = materialised(connected(links.unionByName(verified(rest, more_texts))), "groups").withColumnRenamed("node", "lid")
+    discard(pairs, rest, texts, more_texts, links, labels)
     of = lines.select("lid", "first", "n").join(groups, "lid", "left").filter("n > 1 or component is not null").withColumn("component", F.coalesce("component", "lid"))
     keep = of.groupBy("component").agg(F.min("first").alias("keep"))
     again = of.select("lid", "component").join(keep, "component").select("lid", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line_no").alias("keep_line"))
