@@ -19,8 +19,9 @@ from quireworks.shared import scratch
 UNFINISHED, TERMINAL, GONE = ("queued", "converting"), ("failed", "expired", "evicted"), ("expired", "evicted")
 
 
-def prefix_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
-    """df with name = the sum of value over all rows before this one, in the order of the columns `order` (nulls first), which tell all rows apart.
+def prefix_sums(df: DataFrame, order: list[str], values: dict[str, str]) -> DataFrame:
+    """df with each name of values = the sum of its column over all rows before this one, in the order of the columns `order` (nulls first), which
+    tell all rows apart.
 
     A window over all rows would run in one task. Here rows are dealt by ranges of the whole order, so that any number of rows of one
     second are dealt too, and stored with their range; the ranges' sums, a row each, are accumulated, and each range runs its own window from its
@@ -30,8 +31,15 @@ def prefix_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataFr
     ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
     ranged.write.parquet(to)
     x = spark.read.schema(ranged.schema).parquet(to)
-    starts = x.groupBy("_range").agg(F.sum(value).alias("_sum")).select("_range", before("_sum", Window.orderBy("_range")).alias("_start"))  # as many rows as there are partitions
-    return x.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + before(value, Window.partitionBy("_range").orderBy(*order))).drop("_range", "_start")
+    sums = x.groupBy("_range").agg(*[F.sum(c).alias(f"_sum_{n}") for n, c in values.items()])
+    starts = sums.select("_range", *[before(f"_sum_{n}", Window.orderBy("_range")).alias(f"_start_{n}") for n in values])  # as many rows as there are partitions
+    own = Window.partitionBy("_range").orderBy(*order)
+    return x.join(F.broadcast(starts), "_range").select(*df.columns, *[(F.col(f"_start_{n}") + before(c, own)).alias(n) for n, c in values.items()])
+
+
+def prefix_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """prefix_sums of one column."""
+    return prefix_sums(df, order, {name: value})
 
 
 def capacity(ledger: DataFrame, workers: int) -> DataFrame:
@@ -148,25 +156,43 @@ def history(records: DataFrame, now: Column, n: int = 30) -> DataFrame:
     return x.select("owner_id", "job_id", "rank", status.alias("status"))
 
 
+def _lasts() -> Column:
+    return F.col("done_at").isNull() | (F.col("done_at") > F.col("created_at"))  # other jobs are over as they begin
+
+
+def open_counts(jobs: DataFrame) -> DataFrame:
+    """jobs(job_id, client_id, created_at, done_at, size, taken) with what is open when each begins: all_low, held_low (bytes) and client_low count the
+    jobs that are taken, all_high, held_high and client_high also those of which it isn't known (taken null). An end at a start's time comes before it.
+
+    A job is one more at its start and one less at its end, so each count is a prefix sum: over all changes in order of time, and over
+    those in order of client and time less what the clients before have left."""
+    start = F.struct(F.col("created_at").alias("at"), F.lit(1).alias("kind"), F.when(_lasts(), 1).otherwise(0).alias("d"))
+    end = F.when(_lasts() & F.col("done_at").isNotNull(), F.struct(F.col("done_at").alias("at"), F.lit(0).alias("kind"), F.lit(-1).alias("d")))
+    x = jobs.withColumn("_e", F.explode(F.filter(F.array(start, end), lambda e: e.isNotNull()))).select(*jobs.columns, "_e.at", "_e.kind", "_e.d")
+    low, high = F.when(F.col("taken"), F.col("d")).otherwise(0), F.when(F.coalesce("taken", F.lit(True)), F.col("d")).otherwise(0)
+    x = x.withColumns({"_low": low, "_high": high, "_low_b": low * F.coalesce("size", F.lit(0)), "_high_b": high * F.coalesce("size", F.lit(0))})
+    x = prefix_sums(x, ["at", "kind", "job_id"], {"all_low": "_low", "all_high": "_high", "held_low": "_low_b", "held_high": "_high_b"})
+    x = prefix_sums(x, ["client_id", "at", "kind", "job_id"], {"client_low": "_low", "client_high": "_high"})
+    first = F.min(F.struct("at", "kind", "job_id", "client_low", "client_high"))
+    before = x.groupBy("client_id").agg(first.alias("f")).select(F.col("client_id").alias("_client"), F.col("f.client_low").alias("_l"), F.col("f.client_high").alias("_h"))
+    y = x.filter("kind = 1").join(before, F.col("client_id").eqNullSafe(F.col("_client")))
+    return y.select(*jobs.columns, "all_low", "all_high", "held_low", "held_high", (F.col("client_low") - F.col("_l")).alias("client_low"), (F.col("client_high") - F.col("_h")).alias("client_high"))
+
+
 def busy_periods(submissions: DataFrame) -> DataFrame:
-    """submissions(job_id, created_at, done_at) with period: a number that changes where, if all were taken, none would be open.
+    """submissions(job_id, created_at, done_at, more) with period: a number that changes where, if all were taken, none would be open.
 
     What is open at a submission depends on its own period only."""
-    lasts = F.col("done_at").isNull() | (F.col("done_at") > F.col("created_at"))  # others are over as they begin
-    starts = submissions.select(F.col("created_at").alias("at"), F.lit(1).alias("kind"), F.when(lasts, 1).otherwise(0).alias("d"), "job_id")
-    ends = submissions.filter(lasts & F.col("done_at").isNotNull()).select(F.col("done_at").alias("at"), F.lit(0).alias("kind"), F.lit(-1).alias("d"), "job_id")
+    starts = submissions.select(F.col("created_at").alias("at"), F.lit(1).alias("kind"), F.when(_lasts(), 1).otherwise(0).alias("d"), "job_id")
+    ends = submissions.filter(_lasts() & F.col("done_at").isNotNull()).select(F.col("done_at").alias("at"), F.lit(0).alias("kind"), F.lit(-1).alias("d"), "job_id")
     running = prefix_sum(starts.unionByName(ends), ["at", "kind", "job_id"], "d", "_open").filter("kind = 1")
     first = prefix_sum(running.withColumn("_new", F.when(F.col("_open") <= 0, 1).otherwise(0)), ["at", "job_id"], "_new", "_periods")
     return submissions.join(first.select("job_id", (F.col("_periods") + F.col("_new")).alias("period")), "job_id")
 
 
-def admission_replay(submissions: DataFrame, per_client: int, capacity: int, storage: int) -> DataFrame:
-    """submissions(job_id, client_id, created_at, done_at, size) with the verdict of each: ip_limit where the client has per_client open jobs,
-    else queue_full where capacity jobs are open, else storage_full where its size and those of the open jobs are more than storage, else
-    accepted. Only accepted jobs count, until their done_at; an end at a start's time comes before it.
-
-    Admission is a sequence. It is cut where nothing can be open (busy_periods), and each period is run through in its order by
-    one task that holds the open jobs only, capacity of them at most."""
+def _replayed(undecided: DataFrame, per_client: int, capacity: int, storage: int) -> DataFrame:
+    """job_id, taken of the undecided, one after another within each busy period, on top of the counts of what is surely open. A task holds the open
+    ones only."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         period, open_, clients, held = None, [], Counter(), 0
@@ -179,18 +205,49 @@ def admission_replay(submissions: DataFrame, per_client: int, capacity: int, sto
                     _, client, size = heapq.heappop(open_)
                     clients[client] -= 1
                     held -= size
-                n = clients[r.client_id]
-                verdict = "ip_limit" if n >= per_client else "queue_full" if len(open_) >= capacity else "storage_full" if held + r.size > storage else "accepted"
-                out.append((r.job_id, r.client_id, verdict, n, len(open_)))
-                if verdict == "accepted":
-                    heapq.heappush(open_, (pd.Timestamp.max if pd.isna(r.done_at) else r.done_at, r.client_id, r.size))
-                    clients[r.client_id] += 1
+                client = None if pd.isna(r.client_id) else r.client_id
+                taken = clients[client] + r.client_low < per_client and len(open_) + r.all_low < capacity and held + r.held_low + r.size <= storage
+                out.append((r.job_id, taken))
+                if taken:
+                    heapq.heappush(open_, (pd.Timestamp.max if pd.isna(r.done_at) else r.done_at, client, r.size))
+                    clients[client] += 1
                     held += r.size
-            yield pd.DataFrame(out, columns=["job_id", "client_id", "verdict", "client_open", "all_open"])
+            yield pd.DataFrame(out, columns=["job_id", "taken"])
 
-    kinds = dict(submissions.dtypes)
-    x = busy_periods(submissions).select("period", "job_id", "client_id", "created_at", "done_at", "size").repartition("period").sortWithinPartitions("period", "created_at", "job_id")
-    return x.mapInPandas(run, f"job_id {kinds['job_id']}, client_id {kinds['client_id']}, verdict string, client_open int, all_open int")
+    x = busy_periods(undecided).repartition("period").sortWithinPartitions("period", "created_at", "job_id")
+    return x.select("period", "job_id", "client_id", "created_at", "done_at", "size", "client_low", "all_low", "held_low").mapInPandas(run, f"job_id {dict(undecided.dtypes)['job_id']}, taken boolean")
+
+
+def admission_replay(submissions: DataFrame, per_client: int, capacity: int, storage: int, rounds: int = 3) -> DataFrame:
+    """submissions(job_id, client_id, created_at, done_at, size) with the verdict of each: ip_limit where the client has per_client open jobs,
+    else queue_full where capacity jobs are open, else storage_full where its size and those of the open jobs are more than storage, else
+    accepted. Only accepted jobs count, until their done_at, or for good where that is null; an end at a start's time comes before it. A null size is 0.
+
+    Admission is a sequence, but most of it is settled by bounds: a job that fits beside all that may be open is in, one that does not fit
+    beside what is surely open is out, and each round of such verdicts, a few prefix sums over all jobs, narrows the bounds of the next. What is still
+    open after `rounds` of them is run through in its order on top of what is known, cut where none of it can be open."""
+    spark = submissions.sparkSession
+    jobs = submissions.select("job_id", "client_id", "created_at", "done_at", F.coalesce("size", F.lit(0)).alias("size")).withColumn("taken", F.lit(None).cast("boolean"))
+
+    def stored(df: DataFrame) -> DataFrame:
+        to = scratch(spark, "admission")
+        df.write.parquet(to)
+        return spark.read.schema(df.schema).parquet(to)
+
+    fits = lambda k: (F.col(f"client_{k}") < per_client) & (F.col(f"all_{k}") < capacity) & (F.col(f"held_{k}") + F.col("size") <= storage)
+    left = None
+    for _ in range(rounds):
+        verdict = F.when(F.col("taken").isNotNull(), F.col("taken")).when(fits("high"), True).when(~fits("low"), False)
+        jobs = stored(open_counts(jobs).withColumn("taken", verdict).select(*jobs.columns))
+        before, left = left, jobs.filter("taken is null").count()
+        if not left or left == before:
+            break
+    if left:
+        counted = stored(open_counts(jobs).filter("taken is null"))
+        found = _replayed(counted, per_client, capacity, storage).withColumnRenamed("taken", "_taken")
+        jobs = stored(jobs.join(found, "job_id", "left").withColumn("taken", F.coalesce("taken", "_taken")).select(*jobs.columns))
+    why = F.when(F.col("client_low") >= per_client, "ip_limit").when(F.col("all_low") >= capacity, "queue_full").when(F.col("held_low") + F.col("size") > storage, "storage_full").otherwise("accepted")
+    return open_counts(jobs).select("job_id", "client_id", why.alias("verdict"), F.col("client_low").cast("int").alias("client_open"), F.col("all_low").cast("int").alias("all_open"))
 
 
 def stage_progress(ledger: DataFrame) -> DataFrame:

@@ -153,6 +153,22 @@ def test_admission_equals_a_scan(spark):
     got = {r["job_id"]: r["verdict"] for r in L.admission_replay(as_submissions(spark, rows), 2, 3, 60).collect()}
     assert got == replayed(rows, 2, 3, 60) and len(set(got.values())) == 4
     assert L.busy_periods(as_submissions(spark, rows)).select("period").distinct().count() > 50
+    busy = [(i, f"c{i % 5}" if i % 9 else None, 10 * (i // 2), 10 * (i // 2) + rng.randint(0, 90), rng.randint(0, 40)) for i in range(400)]  # never idle, equal times, clients without a name
+    for rounds in (1, 4):
+        got = {r["job_id"]: r["verdict"] for r in L.admission_replay(as_submissions(spark, busy), 2, 3, 60, rounds).collect()}
+        assert got == replayed(busy, 2, 3, 60)
+
+
+def test_jobs_that_never_end_are_settled_by_bounds(spark, monkeypatch):
+    """Where jobs stay open for good nothing is left to run through one after another."""
+    rng = random.Random(11)
+    rows = [(i, f"c{i}", 7 * i, None if i % 100 == 5 else 7 * i + rng.randint(1, 5), 1) for i in range(1500)]
+    monkeypatch.setattr(L, "_replayed", None)
+    got = {r["job_id"]: (r["verdict"], r["all_open"]) for r in L.admission_replay(as_submissions(spark, rows), 2, 4, 600, 12).collect()}
+    assert {k: v for k, (v, _) in got.items()} == replayed(rows, 2, 4, 600) and got[1499] == ("queue_full", 4)
+
+
+def test_admission_of_nothing(spark):
     assert L.admission_replay(as_submissions(spark, []), 1, 1, 1).count() == 0
 
 
