@@ -6,7 +6,8 @@ assistant turns) and leaves out turn marks and other roles.
 
 Defined cases: a null role or text counts as empty; turns are ordered by number, then role, then text (a null number first), so repeated
 turns stay, in a fixed order; a pair whose other side has no turns gets an empty completion there; equal conversations have
-the whole of it as prompt and two empty completions; an empty table gives no rows. Extra columns are ignored.
+the whole of it as prompt and two empty completions; an empty table gives no rows; turns with a null conv_id belong to no
+pair and are left out. Extra columns are ignored.
 """
 
 from __future__ import annotations

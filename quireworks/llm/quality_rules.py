@@ -59,7 +59,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     has_word = "[^\\x20\\x09-\\x0D]"
     base = docs.select(
-        "*",
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),  # no column of docs stands beside those made here
         F.array_remove(F.split(t, _SPACE_RUN, -1), "").alias("_w"),
         F.filter(F.split(t, "\n", -1), lambda x: x.rlike(has_word)).alias("_lines"),
         F.length(_without(t, " \t\n\x0b\f\r")).cast("long").alias("_word_chars"),
@@ -112,8 +112,8 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
             lambda a, x: a + x,
         ),
     ).otherwise(F.lit(0).cast("long"))
-    out = twice.select(
-        *[c for c in docs.columns if c not in _COUNTS],
+    counted = twice.select(
+        "_row",
         n.cast("long").alias("n_words"),
         F.col("_word_chars").alias("word_chars"),
         F.col("_n_symbols").alias("n_symbols"),
@@ -122,6 +122,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size("_lines").cast("long").alias("n_lines"),
         F.size(F.filter("_w", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
     )
+    out = counted.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() not in _COUNTS], *counted.columns[1:])
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     return out.select(
         "*",

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quireworks.llm import collision_search, dual_tree_search, prefix_trie, secret_scan
+from quireworks.llm import collision_search, dual_tree_search, prefix_trie, quality_rules, secret_scan
 
 TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
@@ -248,3 +248,14 @@ def test_secrets_of_long_texts_take_linear_time(unit):
     began = time.time()
     assert all(a < b for a, b in secret_scan.candidates(text))
     assert time.time() - began < 5
+
+
+def test_quality_rules_beside_columns_of_any_name(spark):
+    """Columns named like those made on the way, or like the counts in another case, neither clash nor change."""
+    text = "the cat sat on the mat and the dog ran off with it " * 3
+    plain = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    odd = plain.selectExpr("*", "7 as _w", "8 as _g", "9 as _row", "'x' as _lines", "10 as `a.b`", "11 as N_Words", "12 as _R")
+    got, want = quality_rules.measures(odd), quality_rules.measures(plain)
+    same = want.columns[2:]
+    assert got.select("doc_id", *same).orderBy("doc_id").collect() == want.select("doc_id", *same).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got.select("_w", "_g", "_row", "_lines", "`a.b`", "_R").distinct().collect()] == [(7, 8, 9, "x", 10, 12)]
