@@ -100,6 +100,12 @@ def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
+def _words(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros after the end."""
+    padded = np.concatenate([raw, np.zeros(PASSAGE + 8, np.uint8)])
+    return np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+
+
 class RunLengthIndex:
     """A run-compressed BWT of passages (rows of a matrix, cut to their lengths), each ended by a separator.
 
@@ -112,11 +118,12 @@ class RunLengthIndex:
         wide = np.zeros((m, PASSAGE + 1), np.int64)
         inside = np.arange(PASSAGE + 1) < lengths[:, None]
         wide[:, :PASSAGE] = matrix
-        self.text = flat = np.where(inside, wide + 1, 0)[np.arange(PASSAGE + 1) <= lengths[:, None]]
+        flat = np.where(inside, wide + 1, 0)[np.arange(PASSAGE + 1) <= lengths[:, None]]
         ends = np.cumsum(lengths + 1) - 1
         size = len(flat)
         of = np.repeat(np.arange(m), lengths + 1)
         left = ends[of] - np.arange(size)  # symbols before the separator
+        self.left, self.eight = left, _words(np.where(flat > 0, flat - 1, 0).astype(np.uint8))
         order, rank, depth = self._suffixes(flat, of, left, m)
         bwt = flat[order - 1]
         bwt[order == 0] = 0
@@ -124,6 +131,7 @@ class RunLengthIndex:
         self.run_start, self.run_symbol = starts, bwt[starts]
         sizes = np.diff(np.concatenate([starts, [size]]))
         self.run_last = starts + sizes - 1
+        self.run_of = np.repeat(np.arange(len(starts), dtype=np.int32), sizes)  # of each row; as long as the passages are at hand this saves a search in run_start
         self.start_sample, self.end_sample = order[starts], order[self.run_last]
         by = np.argsort(self.run_symbol, kind="stable")
         self.run_lf = np.empty(len(starts), np.int64)
@@ -140,7 +148,8 @@ class RunLengthIndex:
     def _suffixes(flat: np.ndarray, of: np.ndarray, left: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, int]:
         """The suffix array by doubling, and the ranks at a depth of MATCH / 2 to MATCH. Separators are ordered by passage."""
         size = len(flat)
-        used, dense = np.unique(flat, return_inverse=True)
+        there = np.bincount(flat, minlength=257) > 0
+        used, dense = np.flatnonzero(there), (np.cumsum(there) - 1)[flat]
         depth = max(2, int(62 * math.log(2) / math.log(len(used) + 1)))
         key = np.zeros(size, np.int64)
         padded = np.concatenate([dense, np.zeros(depth, np.int64)])
@@ -172,26 +181,25 @@ class RunLengthIndex:
             tied[at] = ~new | ~np.concatenate([new[1:], [True]])
             depth *= 2
 
-    def _common(self, at: np.ndarray, flat: np.ndarray, begin: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """How many symbols of the text from `at` on equal those of flat from `begin` on, up to `most`."""
+    def _common(self, at: np.ndarray, eight: np.ndarray, begin: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """How many bytes of the text from `at` on equal those of another from `begin` on, up to `most` and the separator: eight at a time."""
+        most = np.minimum(most, self.left[at])
         out = np.zeros(len(at), np.int64)
         go = np.flatnonzero(most > 0)
-        step = 4
         while len(go):
-            j = out[go, None] + np.arange(step)
-            same = (self.text[np.minimum(at[go, None] + j, len(self.text) - 1)] == flat[np.minimum(begin[go, None] + j, len(flat) - 1)]) & (j < most[go, None])
-            n = np.where(same.all(1), step, same.argmin(1))
+            differ = self.eight[at[go] + out[go]] ^ eight[begin[go] + out[go]]
+            n = np.where(differ == 0, 8, np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) >> 3)
             out[go] += n
-            go = go[(n == step) & (out[go] < most[go])]
-            step = 16
-        return out
+            go = go[(n == 8) & (out[go] < most[go])]
+        return np.minimum(out, np.maximum(most, 0))
 
     def matches(self, matrix: np.ndarray, lengths: np.ndarray, docs: np.ndarray) -> np.ndarray:
         """For each of the passages, as bits by start: whether the MATCH bytes from there on stand in the index under a smaller document.
 
         All passages are streamed together, byte by byte from their ends. A row's suffix is a longest match of what a passage has
         streamed so far, and its statistic is how long that match is."""
-        flat = (matrix.astype(np.int64) + 1).ravel()
+        raw = np.ascontiguousarray(matrix, np.uint8).ravel()
+        flat, eight = raw.astype(np.int64) + 1, _words(raw)
         found = np.zeros(len(lengths), np.int64)
         live = np.arange(len(lengths))  # passages that can still come to a match of MATCH bytes
         row, size = np.zeros(len(live), np.int64), np.zeros(len(live), np.int64)
@@ -199,19 +207,20 @@ class RunLengthIndex:
         for k in range(1, PASSAGE + 1):
             ahead = lengths[live] - k
             may = (ahead >= 0) & (size + 1 + ahead >= MATCH)
-            live, row, size, ahead = live[may], row[may], size[may], ahead[may]
+            if not may.all():
+                live, row, size, ahead = live[may], row[may], size[may], ahead[may]
             if not len(live):
                 break
             here = live * PASSAGE + ahead
             c = flat[here]
-            run = np.searchsorted(self.run_start, row, "right") - 1
+            run = self.run_of[row].astype(np.int64)
             lost = np.flatnonzero(self.run_symbol[run] != c)
             if len(lost):
                 j = np.searchsorted(self.by_key, c[lost] * n_runs + run[lost])
                 up, down = self.by[np.maximum(j - 1, 0)], self.by[np.minimum(j, n_runs - 1)]
                 has_up, has_down = (j > 0) & (self.run_symbol[up] == c[lost]), (j < n_runs) & (self.run_symbol[down] == c[lost])
-                u = self._common(self.end_sample[up], flat, here[lost] + 1, np.where(has_up, size[lost], 0))
-                d = self._common(self.start_sample[down], flat, here[lost] + 1, np.where(has_down, size[lost], 0))
+                u = self._common(self.end_sample[up], eight, here[lost] + 1, np.where(has_up, size[lost], 0))
+                d = self._common(self.start_sample[down], eight, here[lost] + 1, np.where(has_down, size[lost], 0))
                 go_up = has_up & (~has_down | (u >= d))
                 run[lost] = np.where(go_up, up, np.where(has_down, down, run[lost]))
                 row[lost] = np.where(go_up, self.run_last[up], np.where(has_down, self.run_start[down], 0))
@@ -331,6 +340,10 @@ class _Passages:
     def done(self) -> None:
         h = np.concatenate(self.hashes) if self.hashes else np.zeros(0, np.uint64)
         by = np.argsort(h)
+        # Most anchors aren't repeated: their first bits tell that without a search.
+        self.shift = np.uint64(64 - max(10, min(26, int(8 * len(h) + 1).bit_length())))
+        self.maybe = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.maybe[h >> self.shift] = True
         self.known, self.hot = h[by], (np.concatenate(self.flags) if self.flags else np.zeros(0, "u1"))[by].astype(bool)
 
     def of(self, flat: np.ndarray, ends: np.ndarray, null: np.ndarray) -> Iterator[tuple]:
@@ -338,6 +351,8 @@ class _Passages:
         if not len(self.known):
             return
         for lo, h, at, start, end in _chunks(flat, ends):
+            some = self.maybe[h[at] >> self.shift]
+            at, start, end = at[some], start[some], end[some]
             of = np.searchsorted(ends, start, "right")
             k = np.minimum(np.searchsorted(self.known, h[at]), len(self.known) - 1)
             hit = (self.known[k] == h[at]) & ~null[of]
