@@ -21,6 +21,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders that go when the application ends.
+_KEPT: set[str] = set()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the application's own part of the shared folder. Results that are read later stay until the application ends; then
+    the file system deletes the whole of it, unless the driver is killed."""
+    context = spark.sparkContext
+    own = f"{shared_dir(spark)}/quireworks-{context.applicationId}"
+    if own not in _KEPT:
+        at = context._jvm.org.apache.hadoop.fs.Path(own)
+        fs = at.getFileSystem(context._jsc.hadoopConfiguration())
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _KEPT.add(own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
