@@ -21,6 +21,11 @@ _GROUPS = "^(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?$"
 MAPPED = "0" * 20 + "ffff"
 
 
+def _eight(dotted: Column) -> Column:
+    """A dotted IPv4 address as eight hex digits."""
+    return F.array_join(F.transform(F.split(dotted, "\\."), lambda o: F.lpad(F.lower(F.hex(o.try_cast("long"))), 2, "0")), "")
+
+
 def _split_zone(x: Column) -> Column:
     """The address in lower case, and what follows its first percent sign."""
     zoned = F.contains(x, F.lit("%"))
@@ -31,8 +36,10 @@ def _split_tail(x: Column) -> Column:
     """A dotted IPv4 at the end as eight hex digits, with what is before it."""
     dotted = x["t"].rlike(f"(?:^|:){_DOTTED}$")
     tail = F.substring_index(x["t"], ":", -1)
-    octets = F.transform(F.split(F.when(dotted, tail), "\\."), lambda o: F.lpad(F.lower(F.hex(F.try_to_number(o, F.lit("999")).cast("long"))), 2, "0"))
-    return F.struct(x["t"].alias("t"), x["zone"].alias("zone"), F.array_join(octets, "").alias("v4"), F.when(dotted, F.left(x["t"], F.length(x["t"]) - F.length(tail))).alias("head"))
+    return F.struct(
+        x["t"].alias("t"), x["zone"].alias("zone"), F.when(dotted, _eight(tail)).alias("v4"), F.when(dotted, tail).alias("tail"),
+        F.when(dotted, F.left(x["t"], F.length(x["t"]) - F.length(tail))).alias("head"),
+    )
 
 
 def _split_gap(x: Column) -> Column:
@@ -41,7 +48,7 @@ def _split_gap(x: Column) -> Column:
     t = F.when(x["head"].isNull(), x["t"]).otherwise(F.concat(x["head"], F.left(x["v4"], F.lit(4)), F.lit(":"), F.right(x["v4"], F.lit(4))))
     gap = F.instr(t, "::")
     return F.struct(
-        x["zone"].alias("zone"), F.when(whole, x["v4"]).alias("v4"), (gap > 0).alias("gap"),
+        x["zone"].alias("zone"), F.when(whole, x["v4"]).alias("v4"), x["tail"].alias("tail"), (gap > 0).alias("gap"),
         F.when(gap > 0, F.left(t, gap - 1)).otherwise(t).alias("a"), F.when(gap > 0, F.substring(t, gap + 2, F.lit(1 << 20))).otherwise("").alias("b"),
     )
 
@@ -54,15 +61,22 @@ def _digits(x: Column) -> Column:
     n = F.length(a) + F.length(b)
     six = F.when(sound & F.when(x["gap"], n <= 28).otherwise(n == 32), F.concat(a, F.repeat(F.lit("0"), F.lit(32) - n), b))
     digits = F.when(x["v4"].isNotNull(), F.when(x["zone"].isNull(), F.concat(F.lit(MAPPED), x["v4"]))).when(F.coalesce(x["zone"] != "", F.lit(True)), six)
-    return F.when(digits.isNotNull(), F.struct(digits.alias("digits"), F.when(~digits.startswith(MAPPED), x["zone"]).alias("zone")))
+    mapped = digits.startswith(MAPPED)
+    return F.when(digits.isNotNull(), F.struct(digits.alias("digits"), F.when(~mapped, x["zone"]).alias("zone"), F.when(mapped, x["tail"]).alias("dotted")))
 
 
 def addresses(texts: Column) -> Column:
-    """An array of (digits, zone) of an array of texts; null for a text that is no address. Dotted octets have no leading zeros, `::` stands for one
+    """An array of (digits, zone, dotted: an IPv4 address as it was written, if it was) of an array of texts; null for a text that is no address. Dotted octets have no leading zeros, `::` stands for one
     group at least, a zone is not empty and no IPv4 address has one (of a mapped one it is dropped)."""
-    for step in (_split_zone, _split_tail, _split_gap, _digits):
-        texts = F.transform(texts, step)
-    return texts
+
+    def read(t: Column) -> Column:
+        plain = F.struct(F.concat(F.lit(MAPPED), _eight(t)).alias("digits"), F.lit(None).cast("string").alias("zone"), t.alias("dotted"))
+        other = F.array(t)
+        for step in (_split_zone, _split_tail, _split_gap, _digits):
+            other = F.transform(other, step)
+        return F.when(t.rlike(IPV4), plain).otherwise(other[0])  # most addresses take the short way
+
+    return F.transform(texts, read)
 
 
 def address(text: Column) -> Column:
@@ -84,7 +98,7 @@ def spelled(x: Column) -> Column:
         return out.otherwise(F.btrim(s, F.lit(":")))
 
     six = F.transform(F.array(F.concat(F.lit(":"), groups, F.lit(":"))), short)[0]
-    return F.when(x["digits"].startswith(MAPPED), octets).when(x["digits"].isNotNull(), F.concat(six, F.coalesce(F.concat(F.lit("%"), x["zone"]), F.lit(""))))
+    return F.when(x["dotted"].isNotNull(), x["dotted"]).when(x["digits"].startswith(MAPPED), octets).when(x["digits"].isNotNull(), F.concat(six, F.coalesce(F.concat(F.lit("%"), x["zone"]), F.lit(""))))
 
 
 def prefixes(block: str) -> list[str]:
