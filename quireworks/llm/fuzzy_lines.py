@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireworks.llm.common import discard, materialised, opened_arrays, or_empty, pack, packed, packs, parts_of, rows_of, table, to_batches, total_bytes, unpack
+from quireworks.llm.common import discard, materialised, opened_arrays, or_empty, pack, packed, packs, parts_of, release_memory, rows_of, table, to_batches, total_bytes, unpack
 from quireworks.llm.components import connected
 from quireworks.llm.shingles import word_hashes
 from quireworks.llm.tokens import strings
@@ -205,13 +205,63 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: tuple, names: tuple) -> Ite
         yield at, [np.concatenate(x) for x in zip(*kept)]
 
 
+def _shared(a: str, b: str) -> int:
+    """How many characters two strings have in common at their start."""
+    low, high = 0, min(len(a), len(b)) + 1  # of low characters it holds, of high it doesn't
+    while high - low > 1:
+        mid = (low + high) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid
+    return low
+
+
+def within(a: str, b: str, most: int) -> bool:
+    """Whether the edit distance is `most` or less: what both share at their ends goes, then a column of the distance table is a number whose bits
+    say where it rises and where it falls, so a character of the shorter string takes a few operations on such numbers."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    k = _shared(a, b)
+    a, b = a[k:], b[k:]
+    k = _shared(a[::-1], b[::-1])
+    a, b = a[: len(a) - k], b[: len(b) - k]
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
+        return len(a) <= most
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full, last, distance, left = (1 << len(a)) - 1, 1 << len(a) - 1, len(a), len(b)
+    rise, fall = full, 0
+    for c in b:
+        same = at.get(c, 0)
+        diagonal = (((same & rise) + rise) ^ rise) | same
+        up, down = fall | ~(diagonal | rise) & full, rise & diagonal
+        distance += bool(up & last) - bool(down & last)
+        left -= 1
+        if distance - left > most:
+            return False
+        up, down, same = up << 1 | 1, down << 1, same | fall
+        rise, fall = (down | ~(same | up)) & full, up & same & full
+    return distance <= most
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (u, v) whose texts are similar: the lengths first, then the edit distance as far as it may go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [within(x, y, n) for x, y, n in rows_of([batch], "x", "y", "most")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=_PAIR).filter(pa.array(ok, pa.bool_()))
+        release_memory()
+
     side = lambda i, t: texts.select(F.col("lid").alias(i), F.col("norm").alias(t))
     both = pairs.join(side("u", "x"), "u").join(side("v", "y"), "v")
     most = F.floor((1 - SIMILAR) * F.greatest(F.length("x"), F.length("y")) + 1e-9).cast("int")
     sized = both.withColumn("most", most).filter(F.abs(F.length("x") - F.length("y")) <= F.col("most"))
-    return sized.filter(F.expr("levenshtein(x, y, most) >= 0")).select("u", "v")
+    return sized.select("u", "v", "x", "y", "most").mapInArrow(run, "u bigint, v bigint")
 
 
 _NOTE = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("seq", pa.int64()), ("blob", pa.binary())])

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quireworks.llm import collision_search, dual_tree_search, prefix_trie, quality_rules, secret_scan
+from quireworks.llm import collision_search, dual_tree_search, fuzzy_lines, prefix_trie, quality_rules, secret_scan
 
 TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
@@ -259,3 +259,21 @@ def test_quality_rules_beside_columns_of_any_name(spark):
     same = want.columns[2:]
     assert got.select("doc_id", *same).orderBy("doc_id").collect() == want.select("doc_id", *same).orderBy("doc_id").collect()
     assert [tuple(r) for r in got.select("_w", "_g", "_row", "_lines", "`a.b`", "_R").distinct().collect()] == [(7, 8, 9, "x", 10, 12)]
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_edit_distance_by_bits_equals_the_table():
+    rng = random.Random(17)
+    for _ in range(4000):
+        a = "".join(rng.choice("abé😀") for _ in range(rng.randint(0, 12)))
+        b = "".join(rng.choice("abé😀") for _ in range(rng.randint(0, 12))) if rng.random() < 0.4 else "".join(rng.choice("abc") if rng.random() < 0.2 else c for c in a)
+        d = edit_distance(a, b)
+        assert [fuzzy_lines.within(a, b, k) for k in range(14)] == [d <= k for k in range(14)], (a, b, d)
