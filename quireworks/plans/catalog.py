@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from quireworks.functions import rules as R
 from quireworks.functions import textcols as T
@@ -368,7 +369,7 @@ def cover_gate(spark, d):
     return S.cover_gate(table(spark, d, "pages").select("page_id", content.alias("content")), _COVER_BYTES, _COVER_PIXELS).select("page_id", "format", "reject_code")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _as_gb18030(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else t.encode("gb18030"))
 
