@@ -144,6 +144,11 @@ class RunLengthIndex:
         self.group_row = rows[new]
         self.group_doc = np.minimum.reduceat(docs[of[order[rows]]], np.flatnonzero(new)) if len(rows) else np.zeros(0, np.int64)
 
+    @property
+    def text(self) -> np.ndarray:
+        """The symbols: a byte as its number and one, a separator as 0."""
+        return np.where(self.left > 0, (self.eight[: len(self.left)] & np.uint64(255)).astype(np.int64) + 1, 0)
+
     @staticmethod
     def _suffixes(flat: np.ndarray, of: np.ndarray, left: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, int]:
         """The suffix array by doubling, and the ranks at a depth of MATCH / 2 to MATCH. Separators are ordered by passage."""
