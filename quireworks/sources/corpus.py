@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,24 +130,49 @@ def zip_book(pdf: pd.DataFrame) -> bytes:
     return out.getvalue()
 
 
+def _by_book(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of one book after another, from rows in the order of their books."""
+    pieces: list[pd.DataFrame] = []
+    for pdf in batches:
+        ids = pdf["book_id"].to_numpy()
+        cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+        for a, b in zip(cuts, cuts[1:]):
+            own = pdf.iloc[a:b]
+            if pieces and (a or pieces[0]["book_id"].iloc[0] != ids[0]):
+                yield pd.concat(pieces) if len(pieces) > 1 else pieces[0]
+                pieces = []
+            if len(own):
+                pieces.append(own)
+    if pieces:
+        yield pd.concat(pieces)
+
+
 def package_books(sections: DataFrame, books: DataFrame, pack=zip_book) -> DataFrame:
     """book_id, output_name, package, size, n_entries, valid: one archive for each of books(book_id, output_name) that has sections. A book is
-    bounded by the intake's size limit."""
+    bounded by the intake's size limit; books run through a task one after another, as a call of Spark for each costs more than its archive."""
+    columns = ["book_id", "output_name", "package", "size", "n_entries", "valid"]
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import io
         import zipfile
 
-        raw = pack(pdf.sort_values("seq"))
-        try:
-            n = len(zipfile.ZipFile(io.BytesIO(raw)).namelist())
-        except zipfile.BadZipFile:
-            n = 0
-        return pd.DataFrame({"book_id": [pdf["book_id"].iloc[0]], "output_name": [pdf["output_name"].iloc[0]], "package": [raw], "size": [len(raw)], "n_entries": [n], "valid": [n > 0]})
+        rows, held = [], 0
+        for pdf in _by_book(batches):
+            raw = pack(pdf)
+            try:
+                n = len(zipfile.ZipFile(io.BytesIO(raw)).namelist())
+            except zipfile.BadZipFile:
+                n = 0
+            rows.append((pdf["book_id"].iloc[0], pdf["output_name"].iloc[0], raw, len(raw), n, n > 0))
+            held += len(raw)
+            if held > 16 << 20 or len(rows) >= 1000:
+                yield pd.DataFrame(rows, columns=columns)
+                rows, held = [], 0
+        yield pd.DataFrame(rows, columns=columns)
 
     own = sections.select("book_id", "seq", "file_name", "body").join(books.select("book_id", "output_name"), "book_id")
     kind = dict(sections.dtypes)["book_id"]
-    return own.groupBy("book_id").applyInPandas(one, f"book_id {kind}, output_name string, package binary, size bigint, n_entries bigint, valid boolean")
+    return own.repartition("book_id").sortWithinPartitions("book_id", "seq").mapInPandas(run, f"book_id {kind}, output_name string, package binary, size bigint, n_entries bigint, valid boolean")
 
 
 def verify_packages(books: DataFrame, packages: DataFrame) -> DataFrame:

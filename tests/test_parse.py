@@ -262,3 +262,21 @@ def test_stream_parse(spark, tmp_path):
     q = streams.stream_parse(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"))
     q.awaitTermination(90)
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("book_id", "title", "n_paragraphs").collect()] == [("one", "第一章 始", 1)]
+
+
+def test_packages_of_books_in_one_task(spark):
+    """Books go through a task one after another, whatever the batches they come in, without a call of Spark for each."""
+    sections = spark.createDataFrame([(b, n, f"s{n}.xhtml", f"<h2>{b} {n}</h2>") for b in range(40) for n in reversed(range(1 + b % 9))], "book_id long, seq int, file_name string, body string")
+    books = spark.createDataFrame([(b, f"{b}.epub") for b in range(40)], "book_id long, output_name string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        packages = S.package_books(sections, books)
+        assert "FlatMapGroupsInPandas" not in packages._jdf.queryExecution().toString()
+        got = {r["book_id"]: r for r in packages.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {b: (r["output_name"], r["n_entries"], r["valid"]) for b, r in got.items()} == {b: (f"{b}.epub", 2 + b % 9, True) for b in range(40)}
+    import io
+    import zipfile
+
+    assert zipfile.ZipFile(io.BytesIO(got[8]["package"])).namelist() == ["mimetype", *[f"s{n}.xhtml" for n in range(9)]]
