@@ -541,7 +541,7 @@ def read_ledger(spark, d):
     own = F.concat(F.lit("job="), F.when(job % 13 == 1, job + 1).otherwise(job).cast("string"))
     status = F.when(job % 3 == 0, "queued").when(job % 3 == 1, "succeeded").otherwise("failed")
     record = F.concat(F.lit('{"id": "'), own, F.lit('", "status": "'), status, F.lit('", "input_size": '), F.when(job % 19 == 1, '"large"').otherwise((job * 10).cast("string")), F.when(job % 17 == 1, "").otherwise("}"))
-    table(spark, d, "supplier").select(job.alias("job"), record.alias("value")).repartition("job").write.partitionBy("job").text(to)
+    S.write_folders(table(spark, d, "supplier").select(job.alias("job"), record.alias("value")), "job", to)
     return S.read_ledger(spark, f"{to}/job=*").groupBy("status").agg(F.count("*").alias("n_jobs"), F.sum("input_size").alias("n_bytes"))
 
 

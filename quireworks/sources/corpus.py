@@ -130,6 +130,13 @@ def zip_book(pdf: pd.DataFrame) -> bytes:
     return out.getvalue()
 
 
+def write_folders(rows: DataFrame, key: str, path: str, each: int = 500) -> None:
+    """rows(value and the key) as text, a folder for each value of the key. What a folder costs is time, not bytes, so tasks are dealt by rows, `each` on
+    average, and move their own folders into place; the path must be a fresh one that is read after the write has ended."""
+    parts = max(1, -(-rows.count() // each))
+    rows.repartition(parts, key).sortWithinPartitions(key).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(key).text(path)
+
+
 def _by_book(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The rows of one book after another, from rows in the order of their books."""
     pieces: list[pd.DataFrame] = []

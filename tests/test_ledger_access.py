@@ -282,3 +282,11 @@ def test_state_is_held_by_groups(spark, tmp_path):
     assert [(r["status"], r["n_jobs"]) for r in streams.capacity_at(spark, str(tmp_path / "out")).collect()] == [("succeeded", 20_000)]
     seen = [s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"]]
     assert 0 < max(seen) <= streams.GROUPS
+
+
+def test_folders_are_dealt_by_rows(spark, tmp_path):
+    """What a folder costs does not show in bytes: a few small rows are still dealt over tasks."""
+    rows = spark.range(1200).select(F.col("id").alias("job"), F.format_string("record %d", "id").alias("value"))
+    S.write_folders(rows, "job", str(tmp_path / "out"), 100)
+    assert sorted(p.name for p in (tmp_path / "out").glob("job=*")) == sorted(f"job={i}" for i in range(1200))
+    assert len({p.name.split("-")[1] for p in (tmp_path / "out").glob("job=*/part-*")}) > 8
