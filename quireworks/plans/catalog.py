@@ -611,7 +611,7 @@ def stream_parse(spark, d):
     at = scratch(spark, "inbox")
     lines = as_books(spark, d).withColumn("shelf", F.floor(F.col("book_id") / _SHELF))
     lines.repartition("shelf").sortWithinPartitions("shelf", "book_id", "line_no").select("shelf", F.col("line").alias("value")).write.partitionBy("shelf").text(f"{at}/in")
-    streams.stream_parse(spark, f"{at}/in", f"{at}/out", f"{at}/check", RULES, "regexp_extract(path, 'shelf=([0-9]+)/', 1)", 40).awaitTermination()
+    streams.stream_parse(spark, f"{at}/in", f"{at}/out", f"{at}/check", RULES, "regexp_extract(path, 'shelf=([0-9]+)/', 1)", bytes_per_batch=64 << 20).awaitTermination()
     found = spark.read.schema("book_id string, volume_ix int, chapter_ix int, title string, content_html string, n_paragraphs long").parquet(f"{at}/out")
     return found.select(F.col("book_id").cast("long").alias("book_id"), "volume_ix", "chapter_ix", "title", F.md5(F.col("content_html").cast("binary")).alias("content_md5"), "n_paragraphs")
 

@@ -23,10 +23,12 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return with_stem(spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path))
 
 
-def stream_corpus(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """New files of an inbox and its folders, each taken once, in batches of at most so many."""
+def stream_corpus(spark: SparkSession, path: str, files_per_batch: int | None = None, bytes_per_batch: int | None = None) -> DataFrame:
+    """New files of an inbox and its folders, each taken once, in batches of at most so many files or bytes (not both). A batch has a cost of its own, so
+    small files are better taken by bytes."""
     reader = spark.readStream.format("binaryFile").schema(FILE).option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true")
-    return with_stem((reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).load(path))
+    reader = reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader
+    return with_stem((reader.option("maxBytesPerTrigger", bytes_per_batch) if bytes_per_batch else reader).load(path))
 
 
 def with_stem(files: DataFrame) -> DataFrame:

@@ -280,3 +280,14 @@ def test_packages_of_books_in_one_task(spark):
     import zipfile
 
     assert zipfile.ZipFile(io.BytesIO(got[8]["package"])).namelist() == ["mimetype", *[f"s{n}.xhtml" for n in range(9)]]
+
+
+def test_stream_parse_by_bytes(spark, tmp_path):
+    """Small files share a batch up to a size; each is taken once."""
+    (tmp_path / "in").mkdir()
+    for i in range(50):
+        (tmp_path / "in" / f"b{i}.txt").write_text(f"书名\n作者：甲\n第一章 始\n文字{i}")
+    q = streams.stream_parse(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"), bytes_per_batch=1 << 20)
+    q.awaitTermination(120)
+    assert len([p for p in q.recentProgress if p["numInputRows"]]) == 1
+    assert spark.read.parquet(str(tmp_path / "out")).select("book_id").distinct().count() == 50
