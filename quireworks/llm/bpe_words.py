@@ -86,13 +86,30 @@ def _encoded(path: str):
     return run
 
 
+_IDS = pa.schema([("part", pa.int32()), ("ids", pa.binary())])
+
+
+def _ids_of_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct ids of each row of words, as one value."""
+    yield from to_batches(((part, np.unique(np.frombuffer(unpack(blob)[2], "<u2")).tobytes()) for part, blob in rows_of(batches, "part", "blob")), _IDS)
+
+
 def _used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct ids of each row of words."""
-    for part, blob in rows_of(batches, "part", "blob"):
-        ids = np.unique(np.frombuffer(unpack(blob)[2], "<u2")).astype(np.int32)
+    """The distinct ids of each part, whose rows come one after another, from one bucket each."""
+    for part, own in groupby(rows_of(batches, "part", "ids"), key=lambda r: r[0]):
+        seen = np.zeros(1 << 16, bool)
+        for _, ids in own:
+            seen[np.frombuffer(ids, "<u2")] = True
+        ids = np.flatnonzero(seen).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), pa.array(ids)], names=["part", "id"])
 
 
+def used_ids(ids: DataFrame, n_parts: int) -> DataFrame:
+    """part, id: each id that a part uses, once, so no part has more rows than the vocabulary has entries, whatever the number of buckets."""
+    of_rows = ids.select("part", "blob").mapInArrow(_ids_of_row, "part int, ids binary")
+    return of_rows.repartitionById(n_parts, "part").sortWithinPartitions("part").mapInArrow(_used, "part int, id int")
+
+
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("decoded", pa.string())])
 
 
@@ -190,9 +207,8 @@ def encode(docs: DataFrame, path: str, keep: bool = True) -> DataFrame:
     n_buckets = pieces_for(size, BUCKET_BYTES)
     words = rows.mapInArrow(_distinct(n_buckets, n_scan), _ROW_DDL)
     ids = materialised(words.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_encoded(path), _ROW_DDL), "word-ids")
-    used = ids.select("part", "blob").mapInArrow(_used, "part int, id int").distinct()
     # The piece table has a row for each entry of the vocabulary, so it may be broadcast whatever the input.
-    pieces = used.join(F.broadcast(piece_table(spark, path)), "id").sortWithinPartitions("part").mapInArrow(_piece_rows, _ROW_DDL)
+    pieces = used_ids(ids, n_parts).join(F.broadcast(piece_table(spark, path)), "id").sortWithinPartitions("part").mapInArrow(_piece_rows, _ROW_DDL)
     both = ids.unionByName(pieces).unionByName(rows.mapInArrow(packed(n_scan), PACKED_DDL).select("part", F.lit(-1).alias("bucket"), F.lit(2).cast("tinyint").alias("kind"), "blob"))
     joined = both.repartitionById(n_parts, "part").sortWithinPartitions("part", "kind")
     return joined.mapInArrow(_joined(keep), "doc_id bigint, n_tokens bigint, ids binary, ids_sha256 string, decoded_sha256 string, decoded string")

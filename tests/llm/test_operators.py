@@ -103,6 +103,20 @@ def test_bpe_words(docs, none, rows):
     assert {r[0]: r[1] for r in bpe_words.decode(few, path).collect()} == {1: tok.decode([320, 49407, 531], skip_special_tokens=False), 2: ""}
 
 
+def test_bpe_words_of_many_buckets(docs, rows, monkeypatch):
+    """The ids that a part uses are as many rows as it has distinct ids, however many buckets its words are dealt over."""
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    tok, spark = Tokenizer.from_file(path), docs.sparkSession
+    made = spark.createDataFrame([(p, b, 0, common.pack(b"", b"", np.array([7, 300, 49000 + p, b], "<u2").tobytes())) for b in range(5) for p in (0, 1, 2)], bpe_words._ROW_DDL)
+    # Counted as the tasks make them: nothing after them takes away what is double.
+    same(map(tuple, bpe_words.used_ids(made, 3).collect()), [(p, i) for p in (0, 1, 2) for i in (0, 1, 2, 3, 4, 7, 300, 49000 + p)])
+    monkeypatch.setattr(bpe_words, "BUCKET_BYTES", 500)
+    want = [(d, len(ids), tok.decode(ids, skip_special_tokens=False)) for d, t in rows for ids in [tok.encode(t or "", add_special_tokens=False).ids]]
+    same(map(tuple, bpe_words.encode(docs, path).select("doc_id", "n_tokens", "decoded").collect()), want)
+
+
 def test_token_files(spark, docs, none, rows):
     from tokenizers import Tokenizer
 
