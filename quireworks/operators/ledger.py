@@ -10,12 +10,15 @@ import heapq
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quireworks.shared import scratch
 
+#: Jobs of a stretch of the admission's order, at least; times before and after all others, in microseconds.
+STRETCH_JOBS, _BEFORE, _NEVER = 100_000, -(1 << 63), (1 << 63) - 1
 UNFINISHED, TERMINAL, GONE = ("queued", "converting"), ("failed", "expired", "evicted"), ("expired", "evicted")
 
 
@@ -190,64 +193,135 @@ def busy_periods(submissions: DataFrame) -> DataFrame:
     return submissions.join(first.select("job_id", (F.col("_periods") + F.col("_new")).alias("period")), "job_id")
 
 
-def _replayed(undecided: DataFrame, per_client: int, capacity: int, storage: int) -> DataFrame:
-    """job_id, taken of the undecided, one after another within each busy period, on top of the counts of what is surely open. A task holds the open
-    ones only."""
+def _admitted(per_client: int, capacity: int, storage: int, verdicts: bool):
+    """Of each stretch its verdicts, or those of its jobs that are open at its end, from batches in the order of (stretch, kind, created_at, job_id): first the
+    earlier jobs that are open as it begins (kind 0), then its own (kind 1). A task holds a batch and the open jobs only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stretch, open_, clients, held, number = None, [], Counter(), 0, 0
+        fields: list[pa.Field] = []
+
+        def still_open() -> Iterator[pa.RecordBatch]:
+            own = [x[2] for x in sorted(open_) if x[2] is not None]
+            if own and not verdicts:
+                columns = [pa.array(c, pa.int64()).cast(f.type) if pa.types.is_timestamp(f.type) else pa.array(c, f.type) for c, f in zip(zip(*own), fields)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), stretch, np.int32)), *columns], names=["stretch", *(f.name for f in fields)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        period, open_, clients, held = None, [], Counter(), 0
         for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                if r.period != period:
-                    period, open_, clients, held = r.period, [], Counter(), 0
-                while open_ and open_[0][0] <= r.created_at:
-                    _, client, size = heapq.heappop(open_)
-                    clients[client] -= 1
-                    held -= size
-                client = None if pd.isna(r.client_id) else r.client_id
-                taken = clients[client] + r.client_low < per_client and len(open_) + r.all_low < capacity and held + r.held_low + r.size <= storage
-                out.append((r.job_id, taken))
-                if taken:
-                    heapq.heappush(open_, (pd.Timestamp.max if pd.isna(r.done_at) else r.done_at, client, r.size))
-                    clients[client] += 1
-                    held += r.size
-            yield pd.DataFrame(out, columns=["job_id", "taken"])
-
-    x = busy_periods(undecided).repartition("period").sortWithinPartitions("period", "created_at", "job_id")
-    return x.select("period", "job_id", "client_id", "created_at", "done_at", "size", "client_low", "all_low", "held_low").mapInPandas(run, f"job_id {dict(undecided.dtypes)['job_id']}, taken boolean")
-
-
-def admission_replay(submissions: DataFrame, per_client: int, capacity: int, storage: int, rounds: int = 3) -> DataFrame:
+            fields = [batch.schema.field(n) for n in ("job_id", "client_id", "created_at", "done_at", "size")]
+            stretches, kinds = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("stretch", "kind"))
+            jobs, names, begins, ends, sizes = (c.cast(pa.int64()).to_pylist() if pa.types.is_timestamp(c.type) else c.to_pylist() for f in fields for c in [batch.column(batch.schema.get_field_index(f.name))])
+            times = np.array([_BEFORE if t is None else t for t in begins], np.int64)
+            edges = [*np.flatnonzero(np.diff(np.array(stretches)) != 0).tolist(), len(batch) - 1] if len(batch) else []
+            out: tuple[list, ...] = ([], [], [], [], [])
+            i = 0
+            for last in edges:
+                if stretches[i] != stretch:
+                    yield from still_open()
+                    stretch, open_, clients, held = stretches[i], [], Counter(), 0
+                while i <= last:
+                    if kinds[i]:
+                        while open_ and open_[0][0] <= times[i]:
+                            _, _, _, client, size = heapq.heappop(open_)
+                            clients[client] -= 1
+                            held -= size
+                        if len(open_) >= capacity:  # nothing is taken before one of them ends
+                            to = i + max(1, int(np.searchsorted(times[i : last + 1], open_[0][0]))) if open_ else last + 1
+                            if verdicts:
+                                n = [clients[c] for c in names[i:to]]
+                                for x, more in zip(out, (jobs[i:to], names[i:to], ["ip_limit" if k >= per_client else "queue_full" for k in n], n, [len(open_)] * (to - i))):
+                                    x.extend(more)
+                            i = to
+                            continue
+                        n = clients[names[i]]
+                        why = "ip_limit" if n >= per_client else "storage_full" if held + sizes[i] > storage else "accepted"
+                        if verdicts:
+                            for x, one in zip(out, (jobs[i], names[i], why, n, len(open_))):
+                                x.append(one)
+                        taken = why == "accepted" and (ends[i] is None or begins[i] is not None and ends[i] > begins[i])  # others are over as they begin
+                    else:
+                        taken = True
+                    if taken:
+                        number += 1
+                        row = (jobs[i], names[i], begins[i], ends[i], sizes[i]) if kinds[i] else None
+                        heapq.heappush(open_, (_NEVER if ends[i] is None else ends[i], number, row, names[i], sizes[i]))
+                        clients[names[i]] += 1
+                        held += sizes[i]
+                    i += 1
+            if verdicts and out[0]:
+                types = (fields[0].type, fields[1].type, pa.string(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=["job_id", "client_id", "verdict", "client_open", "all_open"])
+        if stretch is not None:
+            yield from still_open()
+
+    return run
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    to = scratch(df.sparkSession, "admission")
+    df.write.parquet(to)
+    return df.sparkSession.read.schema(df.schema).parquet(to)
+
+
+def _replayed(jobs: DataFrame, n_jobs: int, per_client: int, capacity: int, storage: int, stretch_jobs: int = STRETCH_JOBS) -> DataFrame:
+    """job_id, client_id, verdict, client_open, all_open: stretches of the jobs' order are run through side by side, each from a guess of what is open as it
+    begins: at first nothing, then what the stretches before it have left open. Stretches whose guess has changed run again, until none has. Then
+    each has begun with what those before it left, from the first on, so every verdict is that of the sequence. What is open is soon forgotten, as a
+    rule after two or three passes; each pass settles at least one stretch more."""
+    spark = jobs.sparkSession
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    n = max(1, min(most, n_jobs // stretch_jobs))
+    names = ["stretch", "job_id", "client_id", "created_at", "done_at", "size"]
+    kinds = dict(jobs.dtypes)
+    ranged = _stored(jobs.repartitionByRange(n, "created_at", "job_id").withColumn("stretch", F.spark_partition_id()).select(*names))
+    starts = ranged.groupBy("stretch").agg(F.min("created_at").alias("at")).withColumnRenamed("stretch", "to")  # a row a stretch
+
+    def passed(rows: DataFrame, before: DataFrame, verdicts: bool) -> DataFrame:
+        both = before.select(*names, F.lit(0).alias("kind")).unionByName(rows.select(*names, F.lit(1).alias("kind")))
+        dealt = both.repartitionById(n, "stretch").sortWithinPartitions("stretch", "kind", "created_at", "job_id")
+        shown = f"job_id {kinds['job_id']}, client_id {kinds['client_id']}, verdict string, client_open int, all_open int"
+        return dealt.mapInArrow(_admitted(per_client, capacity, storage, verdicts), shown if verdicts else ", ".join(f"{c} {'int' if c == 'stretch' else kinds[c]}" for c in names))
+
+    def marks(before: DataFrame) -> dict[int, tuple]:
+        return {r[0]: (r[1], r[2]) for r in before.groupBy("stretch").agg(F.count("*"), F.sum(F.xxhash64("job_id").cast("decimal(38,0)"))).collect()}  # a row a stretch
+
+    before, left, known = ranged.limit(0), ranged.limit(0), {}
+    changed = list(range(n)) if n > 1 else []
+    while changed:
+        some = F.col("stretch").isin(changed)
+        left = _stored(left.filter(~some).unionByName(passed(ranged.filter(some), before.filter(some), False)))
+        later = (F.col("stretch") < F.col("to")) & (F.col("done_at").isNull() | (F.col("done_at") > F.col("at")))
+        first = Window.partitionBy("to").orderBy("created_at", "job_id")  # no more than capacity can be open, so a wrong guess holds no more either
+        guess = left.join(F.broadcast(starts), later).withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= capacity)
+        before = _stored(guess.select(F.col("to").alias("stretch"), *names[1:]))
+        was, known = known, marks(before)
+        changed = [k for k in range(n) if known.get(k) != was.get(k)]
+    return passed(ranged, before, True)
+
+
+def admission_replay(submissions: DataFrame, per_client: int, capacity: int, storage: int, rounds: int = 0) -> DataFrame:
     """submissions(job_id, client_id, created_at, done_at, size) with the verdict of each: ip_limit where the client has per_client open jobs,
     else queue_full where capacity jobs are open, else storage_full where its size and those of the open jobs are more than storage, else
     accepted. Only accepted jobs count, until their done_at, or for good where that is null; an end at a start's time comes before it. A null size is 0.
 
-    Admission is a sequence, but most of it is settled by bounds: a job that fits beside all that may be open is in, one that does not fit
-    beside what is surely open is out, and each round of such verdicts, a few prefix sums over all jobs, narrows the bounds of the next, while
-    each settles an eighth of what is left. What is still open after `rounds` of them is run through in its order on top of what is known, cut where none of it can be open."""
-    spark = submissions.sparkSession
-    jobs = submissions.select("job_id", "client_id", "created_at", "done_at", F.coalesce("size", F.lit(0)).alias("size")).withColumn("taken", F.lit(None).cast("boolean"))
-
-    def stored(df: DataFrame) -> DataFrame:
-        to = scratch(spark, "admission")
-        df.write.parquet(to)
-        return spark.read.schema(df.schema).parquet(to)
-
+    Admission is a sequence; stretches of it are run through side by side until they fit together (`_replayed`). Before that, as many `rounds` as asked for
+    try to settle all by bounds: a job that fits beside all that may be open is in, one that does not fit beside what is surely open is out, and
+    each round, a few prefix sums over all jobs, narrows the bounds of the next, while each settles an eighth of what is left. They pay where jobs
+    that stay open for good fill the service one by one over a long time."""
+    jobs = submissions.select("job_id", "client_id", "created_at", "done_at", F.coalesce("size", F.lit(0)).alias("size"))
+    left = n_jobs = jobs.count()
+    bounded = jobs.withColumn("taken", F.lit(None).cast("boolean"))
     fits = lambda k: (F.col(f"client_{k}") < per_client) & (F.col(f"all_{k}") < capacity) & (F.col(f"held_{k}") + F.col("size") <= storage)
-    left = jobs.count()
-    for _ in range(rounds if left else 0):
+    for _ in range(rounds):
         verdict = F.when(F.col("taken").isNotNull(), F.col("taken")).when(fits("high"), True).when(~fits("low"), False)
-        jobs = stored(open_counts(jobs).withColumn("taken", verdict).select(*jobs.columns))
-        before, left = left, jobs.filter("taken is null").count()
+        bounded = _stored(open_counts(bounded).withColumn("taken", verdict).select(*bounded.columns))
+        before, left = left, bounded.filter("taken is null").count()
         if not left or left > before - before // 8:  # settled, or too near its limits for bounds to close in
             break
-    if left:
-        counted = stored(open_counts(jobs).filter("taken is null"))
-        found = _replayed(counted, per_client, capacity, storage).withColumnRenamed("taken", "_taken")
-        jobs = stored(jobs.join(found, "job_id", "left").withColumn("taken", F.coalesce("taken", "_taken")).select(*jobs.columns))
+    if left or not rounds:
+        return _replayed(jobs, n_jobs, per_client, capacity, storage)
     why = F.when(F.col("client_low") >= per_client, "ip_limit").when(F.col("all_low") >= capacity, "queue_full").when(F.col("held_low") + F.col("size") > storage, "storage_full").otherwise("accepted")
-    return open_counts(jobs).select("job_id", "client_id", why.alias("verdict"), F.col("client_low").cast("int").alias("client_open"), F.col("all_low").cast("int").alias("all_open"))
+    return open_counts(bounded).select("job_id", "client_id", why.alias("verdict"), F.col("client_low").cast("int").alias("client_open"), F.col("all_low").cast("int").alias("all_open"))
 
 
 def stage_progress(ledger: DataFrame) -> DataFrame:

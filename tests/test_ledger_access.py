@@ -168,6 +168,18 @@ def test_jobs_that_never_end_are_settled_by_bounds(spark, monkeypatch):
     assert {k: v for k, (v, _) in got.items()} == replayed(rows, 2, 4, 600) and got[1499] == ("queue_full", 4)
 
 
+def test_admission_in_stretches(spark):
+    """Stretches that run side by side and again, each from what those before it left open, give what one scan gives."""
+    rng = random.Random(5)
+    busy = [(i, f"c{i % 5}" if i % 9 else None, at, None if i % 301 == 7 else at + rng.choice([0, 20, 90, 4000]), rng.randint(0, 40)) for i in range(1200) for at in [10 + 10 * (i // 2)]]
+    for capacity, storage in ((3, 60), (6, 200), (0, 60)):
+        df = L._replayed(as_submissions(spark, busy), len(busy), 2, capacity, storage, stretch_jobs=150)
+        got = {r["job_id"]: r["verdict"] for r in df.collect()}
+        assert got == replayed(busy, 2, capacity, storage)
+        shares = df.groupBy(F.spark_partition_id()).count().collect()
+        assert len(shares) == 8 and max(r["count"] for r in shares) < 400  # no task has all of a service that is never idle
+
+
 def test_admission_of_nothing(spark):
     assert L.admission_replay(as_submissions(spark, []), 1, 1, 1).count() == 0
 
