@@ -8,8 +8,8 @@ stays, all others go. Lines without a word are left alone.
 
 SimHash finds nearly all lines that differ in few of their words and few of those that differ in many: see the README for the measured recall by
 similarity. Lines travel as ids and hashes; texts are fetched from their documents for candidates only. In a first round each line is held
-against the nearest few and the first of those it meets, which joins a group of thousands at a cost that follows its size. In a second one every
-line, linked or not, is held against all that it meets in other groups, so no candidate is left out. A block value of very many
+against the nearest few and the first of those it meets, which joins a group of thousands at a cost that follows its size. In a second one, for the
+block values where some line meets more than that, every line, linked or not, is held against all that it meets in other groups, so no candidate is left out. A block value of very many
 lines is dealt out in pieces, each two of which meet in a task. What is near and first doesn't depend on how rows arrive.
 
 Defined cases: null and empty texts have no lines and stay empty; rows repeated with one doc_id have equal lines, of which none is
@@ -35,8 +35,8 @@ from quireworks.llm.tokens import strings
 
 #: Blocks of the SimHash, of 16 bits each; bits that candidates may be apart; edit similarity, as a share of the longer line that may stay.
 BLOCKS, NEAR, SIMILAR = 6, 14, 0.8
-#: Lines that each line is held against in the first round; lines of a block value in a piece; rows and words taken at once.
-NEAREST, PIECE, TILE, WORDS = 3, 4096, 1024, 1 << 15
+#: Lines that each line is held against in the first round; lines of a block value in a piece; rows and words taken at once; lines of a small group.
+NEAREST, PIECE, TILE, WORDS, FEW = 3, 4096, 1024, 1 << 15, 64
 _LAST = (1 << 63) - 1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -129,40 +129,63 @@ def _first(lid: np.ndarray, doc: np.ndarray, line: np.ndarray, n: np.ndarray) ->
 _PAIR = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def near(sims: np.ndarray, label: np.ndarray | None, side: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidates among lines that share a block value, as places: of each line the nearest few and the first before it; with labels
-    all before it that have another. side: only lines of different sides count."""
-    n = len(sims)
-    words = np.ascontiguousarray(np.concatenate([sims, np.zeros((n, -BLOCKS % 4), np.uint16)], axis=1)).view(np.uint64)
-    for i in range(0, n, TILE):
-        rows = np.arange(i, min(n, i + TILE))
-        best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for j in range(0, i + 1, TILE):
-            to = np.arange(j, min(n, j + TILE))
-            apart = np.bitwise_count(words[rows, None] ^ words[None, to]).sum(2, dtype=np.int64)
-            hit = (apart <= NEAR) & (to[None, :] < rows[:, None])
-            if side is not None:
-                hit &= side[rows, None] != side[None, to]
-            if label is not None:
-                hit &= label[rows, None] != label[None, to]
-            a, b = np.nonzero(hit)
-            best.append((rows[a], to[b], apart[a, b]))
-        a, b, d = (np.concatenate(x) for x in zip(*best))
-        if label is None and len(a):
-            by = np.lexsort((b, d, a))
-            a, b = a[by], b[by]
-            start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-            rank = np.arange(len(a)) - np.repeat(start, np.diff(np.concatenate([start, [len(a)]])))
-            keep = rank < NEAREST
-            first = a[start], np.minimum.reduceat(b, start)
-            a, b = np.concatenate([a[keep], first[0]]), np.concatenate([b[keep], first[1]])
-        yield a, b
-
-
-def candidates(lines: DataFrame, labelled: bool) -> DataFrame:
-    """Distinct candidates (u, v) among lines(lid, sim), or (lid, sim, label), by the blocks of their SimHash."""
+def near(words: np.ndarray, first: np.ndarray, size: np.ndarray, differ: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Candidates (place, earlier place, bits apart) among lines that share a block value, which lie side by side from `first` on; all of a place
+    come together. differ: only lines with different values there count. Groups of FEW or less are compared at once, each line with the one s before it."""
+    few = size <= FEW
+    at = np.where(np.repeat(few, size), np.arange(len(words)) - np.repeat(first, size), -1)
+    left, right = np.ascontiguousarray(words[:, 0]), np.ascontiguousarray(words[:, 1])
+    rows, s, found = np.flatnonzero(at > 0), 1, []
+    while len(rows):
+        to = rows - s
+        apart = np.bitwise_count(left[rows] ^ left[to]) + np.bitwise_count(right[rows] ^ right[to])
+        hit = apart <= NEAR
+        for x in differ:
+            hit &= x[rows] != x[to]
+        found.append((rows[hit], to[hit], apart[hit].astype(np.int64)))
+        s += 1
+        rows = rows[at[rows] >= s]
+    if found:
+        yield tuple(np.concatenate(x) for x in zip(*found))
+    for f, n in zip(first[~few].tolist(), size[~few].tolist()):
+        for i in range(f, f + n, TILE):
+            rows, found = np.arange(i, min(f + n, i + TILE)), []
+            for j in range(f, i + 1, TILE):
+                to = np.arange(j, min(f + n, j + TILE))
+                apart = np.bitwise_count(words[rows, None] ^ words[None, to]).sum(2, dtype=np.int64)
+                hit = (apart <= NEAR) & (to[None, :] < rows[:, None])
+                for x in differ:
+                    hit &= x[rows, None] != x[None, to]
+                a, b = np.nonzero(hit)
+                found.append((rows[a], to[b], apart[a, b]))
+            yield tuple(np.concatenate(x) for x in zip(*found))
+
+
+def nearest(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each place the nearest few candidates and the first; the places that have more."""
+    by = np.lexsort((b, apart, a))
+    a, b = a[by], b[by]
+    start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])[: len(a)])
+    n = np.diff(np.concatenate([start, [len(a)]]))
+    rank = np.arange(len(a)) - np.repeat(start, n)
+    keep = rank < NEAREST
+    if len(a):
+        keep |= b == np.repeat(np.minimum.reduceat(b, start), n)
+    return a[keep], b[keep], a[~keep]
+
+
+_FOUND = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("key", pa.int32())])
+
+
+def blocks_of(lines: DataFrame) -> DataFrame:
+    """key, lid, sim of lines(lid, sim): a row for each block of the SimHash."""
     values = [F.conv(F.hex(F.substring("sim", 2 * k + 1, 2)), 16, 10).cast("int") + (k << 16) for k in range(BLOCKS)]
-    blocks = lines.withColumn("key", F.explode(F.array(*values)))
+    return lines.select("lid", "sim", F.explode(F.array(*values)).alias("key"))
+
+
+def candidates(blocks: DataFrame, labelled: bool) -> DataFrame:
+    """Distinct candidates (u, v) among blocks(key, lid, sim): of each line the nearest few and the first of those before it, and rows without u and v
+    for each key where some line has more. With blocks(key, lid, sim, label) all that have another label, and no such rows."""
     # No more keys than BLOCKS << 16, whatever the input.
     sizes = blocks.groupBy("key").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces")).filter("pieces > 1")
     dealt = blocks.join(F.broadcast(sizes), "key", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
@@ -171,38 +194,57 @@ def candidates(lines: DataFrame, labelled: bool) -> DataFrame:
     tiles = dealt.select("key", F.least("piece", "other").alias("x"), F.greatest("piece", "other").alias("y"), "piece", "lid", "sim", *label)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, x, y), own in grouped(batches, ("key", "x", "y"), ("lid", "piece", "sim", *label)):
-            lid = own[0]
-            if len(lid) > 1:
-                for a, b in near(own[2], own[3] if labelled else None, None if x == y else own[1]):
-                    u, v = lid[a], lid[b]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], schema=_PAIR)
-
-    found = tiles.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "lid").mapInArrow(run, "u bigint, v bigint")
+        for keys, first, (lid, words, piece, *labels) in grouped(batches, ("key", "x", "y"), ("lid", "sim", "piece", *label)):
+            size = np.diff(np.append(first, len(lid)))
+            # Where two pieces meet, only lines of different ones count.
+            own = np.where(np.repeat(keys[1][first] == keys[2][first], size), np.arange(len(lid)), -1 - piece)
+            for a, b, apart in near(words, first, size, [own, *labels]):
+                more = a[:0]
+                if not labelled:
+                    a, b, more = nearest(a, b, apart)
+                u, v, short = lid[a], lid[b], np.unique(keys[0][more])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.nulls(len(u), pa.int32())], schema=_FOUND)
+                if len(short):
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(short), pa.int64()), pa.nulls(len(short), pa.int64()), pa.array(short.astype(np.int32))], schema=_FOUND)
+
+    found = tiles.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "lid").mapInArrow(run, "u bigint, v bigint, key int")
     return found.distinct()
 
 
-def grouped(batches: Iterator[pa.RecordBatch], keys: tuple, names: tuple) -> Iterator[tuple[tuple, list[np.ndarray]]]:
-    """Key and columns of each run of equal keys; a run may go on in the next batch. sim comes as rows of numbers of 16 bits."""
-    at, kept = None, []
+def grouped(batches: Iterator[pa.RecordBatch], keys: tuple, names: tuple) -> Iterator[tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]]:
+    """Key columns, starts and columns of whole runs of equal keys, many at a time; a run may go on in the next batch. sim comes as rows of two numbers of 64 bits."""
+
+    def opened(name: str, c: pa.Array) -> np.ndarray:
+        if name != "sim":
+            return c.to_numpy()
+        ends = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+        out = np.zeros((len(c), 16), np.uint8)
+        out[:, : 2 * BLOCKS] = np.frombuffer(c.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, 2 * BLOCKS)
+        return out.view(np.uint64)
+
+    kept: list[np.ndarray] = []
     for batch in batches:
-        own = [batch.column(batch.schema.get_field_index(k)).to_numpy() for k in keys]
-        columns = [np.frombuffer(b"".join(c.to_pylist()), ">u2").reshape(-1, BLOCKS).astype(np.uint16) if n == "sim" else c.to_numpy() for n in names for c in [batch.column(batch.schema.get_field_index(n))]]
-        change = np.zeros(len(batch), bool)
-        for k in own:
+        if not len(batch):
+            continue
+        columns = [opened(n, batch.column(batch.schema.get_field_index(n))) for n in (*keys, *names)]
+        if kept:
+            columns = [np.concatenate(x) for x in zip(kept, columns)]
+        change = np.ones(len(columns[0]), bool)
+        change[1:] = False
+        for k in columns[: len(keys)]:
             change[1:] |= k[1:] != k[:-1]
-        edges = [0, *np.flatnonzero(change).tolist(), len(batch)]
-        for a, b in zip(edges, edges[1:]):
-            if a == b:
-                continue
-            key = tuple(int(k[a]) for k in own)
-            if key != at and kept:
-                yield at, [np.concatenate(x) for x in zip(*kept)]
-                kept = []
-            at = key
-            kept.append([c[a:b] for c in columns])
+        first = np.flatnonzero(change)
+        end = first[-1]
+        if end:
+            yield [c[:end] for c in columns[: len(keys)]], first[:-1], [c[:end] for c in columns[len(keys) :]]
+        kept = [c[end:] for c in columns]
     if kept:
-        yield at, [np.concatenate(x) for x in zip(*kept)]
+        yield kept[: len(keys)], np.zeros(1, np.int64), kept[len(keys) :]
+
+
+#: Words that may be skipped on either side, and how many on each, few first.
+AHEAD = 3
+_SKIPS = sorted(((i, j) for i in range(AHEAD + 1) for j in range(AHEAD + 1) if i or j), key=lambda s: (max(s), -min(s)))
 
 
 def _shared(a: str, b: str) -> int:
@@ -248,12 +290,40 @@ def within(a: str, b: str, most: int) -> bool:
     return distance <= most
 
 
+def replaced(a: str, b: str, most: int) -> bool:
+    """Whether the edit distance is surely `most` or less: words are paired from the left, at most AHEAD of them skipped on either side to where both go on
+    alike, and what is skipped is counted as replaced. False says nothing."""
+    x, y = (a + " ").split(" "), (b + " ").split(" ")  # each word with a space after it; the last ones are empty and equal
+    i = j = cost = 0
+    n, m = len(x) - 1, len(y) - 1
+    while i < n or j < m:
+        if i < n and j < m and x[i] == y[j]:
+            i += 1
+            j += 1
+            continue
+        for di, dj in _SKIPS:
+            if i + di <= n and j + dj <= m and x[i + di] == y[j + dj] and (x[i + di] or (i + di, j + dj) == (n, m)):
+                break
+        else:
+            return False
+        p, q = " ".join(x[i : i + di]), " ".join(y[j : j + dj])
+        if di and dj and len(p) == len(q):
+            cost += sum(map(str.__ne__, p, q))
+        else:
+            cost += max(len(p) + (di > 0), len(q) + (dj > 0))
+        if cost > most:
+            return False
+        i += di
+        j += dj
+    return True
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (u, v) whose texts are similar: the lengths first, then the edit distance as far as it may go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [within(x, y, n) for x, y, n in rows_of([batch], "x", "y", "most")]
+            ok = [replaced(x, y, n) or within(x, y, n) for x, y, n in rows_of([batch], "x", "y", "most")]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=_PAIR).filter(pa.array(ok, pa.bool_()))
         release_memory()
 
@@ -361,6 +431,21 @@ def _texts_of(pairs: DataFrame, lines: DataFrame, documents: DataFrame, n_parts:
     return _with_documents(asked.select("part", "lid"), documents, n_parts).mapInArrow(_texts, "lid bigint, norm string")
 
 
+def _joined(labels: DataFrame, rest: DataFrame, texts: DataFrame, lines: DataFrame, documents: DataFrame, n_parts: int) -> DataFrame:
+    """labels(node, component) with the groups joined that similar ones of the pairs rest(u, v) link. Only lines whose texts aren't at hand are fetched."""
+    missing = rest.select(F.col("u").alias("lid")).union(rest.select("v")).distinct().join(texts, "lid", "left_anti")
+    if not missing.isEmpty():
+        texts = texts.unionByName(materialised(_texts_of(missing.select(F.col("lid").alias("u"), F.col("lid").alias("v")), lines, documents, n_parts), "texts"))
+    more = materialised(verified(rest, texts), "passed")
+    if more.isEmpty():
+        return labels
+    new = more.select(F.col("u").alias("node")).union(more.select("v")).distinct().join(labels, "node", "left_anti")
+    known = labels.unionByName(new.withColumn("component", F.col("node")))
+    side = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    top = materialised(connected(more.join(side("u"), "u").join(side("v"), "v").select(F.col("of_u").alias("u"), F.col("of_v").alias("v"))), "groups")
+    return known.join(top.select(F.col("node").alias("component"), F.col("component").alias("_top")), "component", "left").select("node", F.coalesce("_top", "component").alias("component"))
+
+
 def dedup_lines(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """doc_id, n_lines (with a word), n_removed, kept_sha256 and the kept text for each row of docs(doc_id, text).
 
@@ -370,15 +455,20 @@ def dedup_lines(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     # A part has sent each line once, so a line has no more rows here than there are parts.
     lines = materialised(seen.groupBy("lid", "sim").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.sum("n").alias("n"), F.min("part").alias("part")), "lines")
     documents = rows.mapInArrow(packed(n_scan), "part int, seq bigint, blob binary")
-    pairs = materialised(candidates(lines.select("lid", "sim"), False), "pairs")
+    found = materialised(candidates(blocks_of(lines), False), "pairs")
+    pairs, short = found.filter("key is null").select("u", "v"), found.filter("key is not null").select("key").distinct()
     texts = materialised(_texts_of(pairs, lines, documents, n_parts), "texts")
     links = materialised(verified(pairs, texts), "passed")
-    labels = materialised(connected(links), "labels")
-    named = lines.select("lid", "sim").join(labels.withColumnRenamed("node", "lid"), "lid", "left").withColumn("label", F.coalesce("component", "lid")).drop("component")
-    rest = materialised(candidates(named, True).join(pairs, ["u", "v"], "left_anti"), "pairs")
-    more_texts = materialised(_texts_of(rest, lines, documents, n_parts), "texts")
-    groups = materialised(connected(links.unionByName(verified(rest, more_texts))), "groups").withColumnRenamed("node", "lid")
-    discard(pairs, rest, texts, more_texts, links, labels)
+    groups = labels = materialised(connected(links), "labels")
+    if not short.isEmpty():
+        # No more keys than BLOCKS << 16, whatever the input.
+        again = blocks_of(lines).join(F.broadcast(short), "key", "left_semi").join(labels.withColumnRenamed("node", "lid"), "lid", "left")
+        named = again.select("key", "lid", "sim", F.coalesce("component", "lid").alias("label"))
+        rest = materialised(candidates(named, True).select("u", "v").join(pairs, ["u", "v"], "left_anti"), "pairs")
+        groups = _joined(labels, rest, texts, lines, documents, n_parts)
+        discard(rest)
+    groups = groups.withColumnRenamed("node", "lid")
+    discard(found, texts, links)
     of = lines.select("lid", "first", "n").join(groups, "lid", "left").filter("n > 1 or component is not null").withColumn("component", F.coalesce("component", "lid"))
     keep = of.groupBy("component").agg(F.min("first").alias("keep"))
     again = of.select("lid", "component").join(keep, "component").select("lid", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line_no").alias("keep_line"))

@@ -277,3 +277,43 @@ def test_edit_distance_by_bits_equals_the_table():
         b = "".join(rng.choice("abé😀") for _ in range(rng.randint(0, 12))) if rng.random() < 0.4 else "".join(rng.choice("abc") if rng.random() < 0.2 else c for c in a)
         d = edit_distance(a, b)
         assert [fuzzy_lines.within(a, b, k) for k in range(14)] == [d <= k for k in range(14)], (a, b, d)
+
+
+def test_replaced_words_bound_the_edit_distance():
+    rng = random.Random(17)
+    told = 0
+    for _ in range(3000):
+        a = [rng.choice(("a", "bc", "def", "ghij")) for _ in range(rng.randint(0, 9))]
+        b = [w for w in a if rng.random() < 0.9]
+        for _ in range(rng.randint(0, 2)):
+            b.insert(rng.randint(0, len(b)), rng.choice(("a", "xyz", "q")))
+        most = rng.randint(0, 9)
+        if fuzzy_lines.replaced(" ".join(a), " ".join(b), most):
+            told += 1
+            assert fuzzy_lines.within(" ".join(a), " ".join(b), most), (a, b, most)
+    assert told > 1000 and not fuzzy_lines.replaced("a b", "c d", 1) and fuzzy_lines.replaced("", "", 0)
+
+
+def test_candidates_of_small_and_large_groups(monkeypatch):
+    """Many groups at once, small and large ones, give what all pairs give."""
+    rng = np.random.default_rng(3)
+    size = np.array([1, 5, 2, 90, 1, 30, 64, 65, 3])
+    first = np.cumsum(size) - size
+    base = rng.integers(0, 1 << 63, (9, 2), dtype=np.uint64)
+    flips = np.uint64(1) << rng.integers(0, 64, (size.sum(), 2, 4), dtype=np.uint64)
+    words = np.repeat(base, size, axis=0) ^ np.bitwise_xor.reduce(flips, axis=2) ^ (flips[:, :, 0] * (rng.random((size.sum(), 2)) < 0.3))
+    label = rng.integers(0, 4, size.sum())
+    monkeypatch.setattr(fuzzy_lines, "TILE", 16)
+    bits = lambda a, b: sum(bin(int(x)).count("1") for x in words[a] ^ words[b])
+    want = {(a, b, bits(a, b)) for f, n in zip(first.tolist(), size.tolist()) for a in range(f, f + n) for b in range(f, a) if bits(a, b) <= fuzzy_lines.NEAR}
+    for differ in ([], [label]):
+        got = [tuple(map(int, x)) for found in fuzzy_lines.near(words, first, size, differ) for x in zip(*found)]
+        assert len(got) == len(set(got)) and set(got) == {w for w in want if not differ or label[w[0]] != label[w[1]]}
+    by: dict = {}
+    for a, b, d in want:
+        by.setdefault(a, []).append((d, b))
+    for found in fuzzy_lines.near(words, first, size, []):
+        a, b, more = fuzzy_lines.nearest(*found)
+        for k in np.unique(found[0]).tolist():
+            kept = {y for _, y in sorted(by[k])[: fuzzy_lines.NEAREST]} | {min(y for _, y in by[k])}
+            assert set(b[a == k].tolist()) == kept and (k in more) == (len(kept) < len(by[k]))
