@@ -36,7 +36,7 @@ from quireworks.llm.tokens import strings
 #: Blocks of the SimHash, of 16 bits each; bits that candidates may be apart; edit similarity, as a share of the longer line that may stay.
 BLOCKS, NEAR, SIMILAR = 6, 14, 0.8
 #: Lines that each line is held against in the first round; lines of a block value in a piece; rows and words taken at once; lines of a small group.
-NEAREST, PIECE, TILE, WORDS, FEW = 3, 4096, 1024, 1 << 15, 64
+NEAREST, PIECE, TILE, WORDS, FEW = 3, 4096, 1024, 1 << 13, 64
 _LAST = (1 << 63) - 1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -74,8 +74,10 @@ def simhashes(lines: pa.Array) -> np.ndarray:
     bits = np.concatenate([np.unpackbits((h * m ^ (h >> np.uint64(29))).view(np.uint8).reshape(-1, 8), axis=1) for m in _MIX], axis=1)
     bits = np.ascontiguousarray(bits[:, : 16 * BLOCKS]).view(np.uint64)  # a byte a bit, so eight are added at once
     # Each word once a line: else the frequent words of a language make all its longer lines alike.
-    once = np.sort(np.repeat(np.arange(len(lines)), np.diff(words.offsets.to_numpy())) * len(distinct) + numbered.indices.to_numpy())
-    of, codes = np.divmod(once[np.concatenate([[True], once[1:] != once[:-1]])[: len(once)]], len(distinct))
+    shift = len(distinct).bit_length()
+    once = np.sort(np.repeat(np.arange(len(lines)) << shift, np.diff(words.offsets.to_numpy())) | numbered.indices.to_numpy())
+    once = once[np.concatenate([[True], once[1:] != once[:-1]])[: len(once)]]
+    of, codes = once >> shift, once & ((1 << shift) - 1)
     at = np.searchsorted(of, np.arange(len(lines) + 1))
     out = np.empty((len(lines), 16 * BLOCKS), bool)
     a = 0
@@ -85,7 +87,7 @@ def simhashes(lines: pa.Array) -> np.ndarray:
         pieces = -(-n // 255)  # of 255 words at most, which a byte can count
         first = np.cumsum(pieces) - pieces
         starts = np.repeat(begin, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(first, pieces))
-        counts = np.add.reduceat(bits[codes[at[a] : at[b]]], starts).view(np.uint8)
+        counts = np.add.reduceat(bits.take(codes[at[a] : at[b]], axis=0, mode="clip"), starts).view(np.uint8)
         out[a:b] = 2 * np.add.reduceat(counts, first, dtype=np.int32) > n[:, None]
         a = b
     return np.packbits(out, axis=1).view(">u2").astype(np.uint16)
