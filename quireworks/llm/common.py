@@ -147,10 +147,10 @@ def opened_arrays(blob: bytes) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return ids, null, pa.StringArray.from_buffers(len(ids), pa.py_buffer(offsets), pa.py_buffer(raw.tobytes()))
 
 
-def pack(*fields: bytes) -> bytes:
+def pack(*fields: bytes, level: int = 3) -> bytes:
     """Byte strings as one compressed one."""
     sizes = np.array([len(fields), *map(len, fields)], "<i8").tobytes()
-    return zstandard.compress(sizes + b"".join(fields), 3)
+    return zstandard.compress(sizes + b"".join(fields), level)
 
 
 def unpack(blob: bytes) -> list[bytes]:

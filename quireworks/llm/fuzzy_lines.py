@@ -7,7 +7,7 @@ or more are linked, and connected lines form a group. The occurrence with the sm
 stays, all others go. Lines without a word are left alone.
 
 SimHash finds nearly all lines that differ in few of their words and few of those that differ in many: see the README for the measured recall by
-similarity. Lines travel as ids and hashes; texts are fetched from their documents for candidates only. In a first round each line is held
+similarity. The input is read once, into the shared folder; lines travel as ids and hashes, and texts are fetched from their documents once, for candidates only. In a first round each line is held
 against the nearest few and the first of those it meets, which joins a group of thousands at a cost that follows its size. In a second one, for the
 block values where some line meets more than that, every line, linked or not, is held against all that it meets in other groups, so no candidate is left out. A block value of very many
 lines is dealt out in pieces, each two of which meet in a task. What is near and first doesn't depend on how rows arrive.
@@ -28,21 +28,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireworks.llm.common import discard, materialised, opened_arrays, or_empty, pack, packed, packs, parts_of, release_memory, rows_of, table, to_batches, total_bytes, unpack
+from quireworks.llm.common import discard, flat_of, materialised, or_empty, pack, packs, parts_of, release_memory, rows_of, table, to_batches, unpack
 from quireworks.llm.components import connected
-from quireworks.llm.shingles import word_hashes
+from quireworks.llm.shingles import span_hashes
 from quireworks.llm.tokens import strings
 
 #: Blocks of the SimHash, of 16 bits each; bits that candidates may be apart; edit similarity, as a share of the longer line that may stay.
 BLOCKS, NEAR, SIMILAR = 6, 14, 0.8
-#: Lines that each line is held against in the first round; lines of a block value in a piece; rows and words taken at once; lines of a small group.
-NEAREST, PIECE, TILE, WORDS, FEW = 3, 4096, 1024, 1 << 13, 64
+#: Lines that each line is held against in the first round; lines of a block value in a piece; rows, words and bytes taken at once; lines of a small group; rows compared at once.
+NEAREST, PIECE, TILE, WORDS, BYTES, FEW, ROWS = 3, 4096, 1024, 1 << 13, 1 << 16, 64, 1 << 16
 _LAST = (1 << 63) - 1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[49:58] = 48
 _LOWER[[9, 11, 12, 13]] = 32
 _MIX = np.random.default_rng(64).integers(1, 1 << 62, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: The bits of a byte, a byte each, so eight are added at once.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)).view(np.uint64)
 
 
 def cut_lines(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -64,58 +66,87 @@ def line_ids(lines: list[str]) -> np.ndarray:
     return np.frombuffer(b"".join(hashlib.blake2b(x.encode(), digest_size=8).digest() if x else bytes(8) for x in lines), np.int64)
 
 
+def _hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
+    """The hashes of words, those of some bytes at a time."""
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + BYTES)))
+        at = starts[a]
+        yield span_hashes(raw[at : ends[b - 1]], starts[a:b] - at, ends[a:b] - at)
+        a = b
+
+
 def simhashes(lines: pa.Array) -> np.ndarray:
-    """Of each line BLOCKS numbers of 16 bits: bit by bit the majority over the hashes of its distinct words."""
-    words = pc.split_pattern(lines, " ")
-    numbered = words.flatten().dictionary_encode()
-    distinct = strings(numbered.dictionary, " ")
-    h = np.zeros(len(distinct), np.uint64)
-    h[[bool(w) for w in distinct]] = word_hashes(" ".join(distinct).encode())  # an empty line has one empty word
-    bits = np.concatenate([np.unpackbits((h * m ^ (h >> np.uint64(29))).view(np.uint8).reshape(-1, 8), axis=1) for m in _MIX], axis=1)
-    bits = np.ascontiguousarray(bits[:, : 16 * BLOCKS]).view(np.uint64)  # a byte a bit, so eight are added at once
+    """Of each normalised line BLOCKS numbers of 16 bits: bit by bit the majority over the hashes of its distinct words."""
+    n_words = np.where(pc.binary_length(lines).to_numpy() > 0, pc.count_substring(lines, " ").to_numpy() + 1, 0)
+    out = np.zeros((len(lines), 2 * BLOCKS), np.uint8)
+    full = np.flatnonzero(n_words)
+    if not len(full):
+        return out.view(">u2").astype(np.uint16)
+    raw = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines), " ")[0].as_buffer(), np.uint8)
+    gaps = np.flatnonzero(raw == 32)
+    starts, ends = np.append(0, gaps + 1), np.append(gaps, len(raw))
+    starts, ends = starts[ends > starts], ends[ends > starts]  # an empty line has no word
+    numbered = pa.array(np.concatenate(list(_hashes(raw, starts, ends)))).dictionary_encode()
+    h = numbered.dictionary.to_numpy()
+    bits = _SPREAD.take(np.stack([h * m ^ (h >> np.uint64(29)) for m in _MIX], axis=1).view(np.uint8)[:, : 2 * BLOCKS])
     # Each word once a line: else the frequent words of a language make all its longer lines alike.
-    shift = len(distinct).bit_length()
-    once = np.sort(np.repeat(np.arange(len(lines)) << shift, np.diff(words.offsets.to_numpy())) | numbered.indices.to_numpy())
-    once = once[np.concatenate([[True], once[1:] != once[:-1]])[: len(once)]]
+    shift = len(h).bit_length()
+    once = np.sort(np.repeat(np.arange(len(full)) << shift, n_words[full]) | numbered.indices.to_numpy())
+    once = once[np.concatenate([[True], once[1:] != once[:-1]])]
     of, codes = once >> shift, once & ((1 << shift) - 1)
-    at = np.searchsorted(of, np.arange(len(lines) + 1))
-    out = np.empty((len(lines), 16 * BLOCKS), bool)
+    at = np.searchsorted(of, np.arange(len(full) + 1))
     a = 0
-    while a < len(lines):  # some lines at a time
+    while a < len(full):  # some lines at a time
         b = max(a + 1, int(np.searchsorted(at, at[a] + WORDS, "right")) - 1)
         begin, n = at[a:b] - at[a], np.diff(at[a : b + 1])
-        pieces = -(-n // 255)  # of 255 words at most, which a byte can count
-        first = np.cumsum(pieces) - pieces
-        starts = np.repeat(begin, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(first, pieces))
-        counts = np.add.reduceat(bits.take(codes[at[a] : at[b]], axis=0, mode="clip"), starts).view(np.uint8)
-        out[a:b] = 2 * np.add.reduceat(counts, first, dtype=np.int32) > n[:, None]
+        gathered = bits.take(codes[at[a] : at[b]], axis=0, mode="clip")
+        if n.max() < 256:
+            counts = np.add.reduceat(gathered, begin).view(np.uint8)
+        else:
+            pieces = -(-n // 255)  # of 255 words at most, which a byte can count
+            first = np.cumsum(pieces) - pieces
+            starts = np.repeat(begin, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(first, pieces))
+            counts = np.add.reduceat(np.add.reduceat(gathered, starts).view(np.uint8), first, dtype=np.int32)
+        out[full[a:b]] = np.packbits(counts > (n // 2).astype(counts.dtype)[:, None], axis=1)
         a = b
-    return np.packbits(out, axis=1).view(">u2").astype(np.uint16)
+    return out.view(">u2").astype(np.uint16)
+
 
+_SEEN = pa.schema([("part", pa.int32()), *((c, pa.int64()) for c in ("lid", "high", "low", "doc_id", "line_no", "n", "seq")), ("blob", pa.binary())])
+_SEEN_DDL = "part int, lid bigint, high bigint, low bigint, doc_id bigint, line_no bigint, n bigint, seq bigint, blob binary"
 
-_SEEN = pa.schema([("part", pa.int32()), ("lid", pa.int64()), ("sim", pa.binary()), ("doc_id", pa.int64()), ("line_no", pa.int64()), ("n", pa.int64())])
+
+def _seen(rows: int, **columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(rows, f.type) for f in _SEEN], schema=_SEEN)
 
 
 def _distinct(n_scan: int):
-    """The distinct lines of a part, by id and hash, with their first occurrence and count."""
+    """The distinct lines of a part, by id and hash (four blocks in high, the others in low), with their first occurrence and count; and its documents, with
+    the ids of all their lines, as rows of seq and blob."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, own in groupby(packs(batches, n_scan), key=lambda x: x[0]):
             kept: list[tuple] = []
-            for _, _, ids, texts in own:
+            for _, seq, ids, texts in own:
                 numbered, at = cut_lines(texts)
                 lid = line_ids(strings(numbered.dictionary, "\n"))
+                lids = lid[numbered.indices.to_numpy()]
+                d, null, raw, ends = flat_of(ids, texts)
+                blob = pack(d.astype("<i8").tobytes(), null.astype("u1").tobytes(), ends.astype("<i8").tobytes(), raw.tobytes(), lids.astype("<i8").tobytes(), level=1)
+                yield _seen(1, part=pa.array([part], pa.int32()), seq=pa.array([seq], pa.int64()), blob=pa.array([blob], pa.binary()))
                 of = np.repeat(np.arange(len(texts)), np.diff(at))
                 doc = ids.fill_null(_LAST).to_numpy()[of]
-                kept.append(_first(lid[numbered.indices.to_numpy()], doc, np.arange(len(of)) - at[of], np.ones(len(of), np.int64)) + (lid, simhashes(numbered.dictionary)))
+                kept.append(_first(lids, doc, np.arange(len(of)) - at[of], np.ones(len(of), np.int64)) + (lid, simhashes(numbered.dictionary)))
             lid, doc, line, n = _first(*(np.concatenate([k[i] for k in kept]) for i in range(4)))
             all_lids, sims = np.concatenate([k[4] for k in kept]), np.concatenate([k[5] for k in kept])
             by = np.argsort(all_lids, kind="stable")
-            sim = sims[by[np.searchsorted(all_lids, lid, sorter=by)]].astype("<u2").tobytes()
+            sim = sims[by[np.searchsorted(all_lids, lid, sorter=by)]]
+            high, low = np.ascontiguousarray(sim[:, :4]).view(np.int64).ravel(), np.ascontiguousarray(sim[:, 4:]).view(np.uint32).ravel().astype(np.int64)
+            columns = {"part": np.full(len(lid), part, np.int32), "lid": lid, "high": high, "low": low, "doc_id": doc, "line_no": line, "n": n}
             for a in range(0, len(lid), 1 << 16):
-                b = min(len(lid), a + (1 << 16))
-                sim_of = pa.array([sim[2 * BLOCKS * k : 2 * BLOCKS * (k + 1)] for k in range(a, b)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, part, np.int32)), pa.array(lid[a:b]), sim_of, *(pa.array(x[a:b]) for x in (doc, line, n))], schema=_SEEN)
+                few = {k: pa.array(v[a : a + (1 << 16)]) for k, v in columns.items()}
+                yield _seen(len(few["lid"]), **few)
 
     return run
 
@@ -140,26 +171,31 @@ def near(words: np.ndarray, first: np.ndarray, size: np.ndarray, differ: list[np
     rows, s, found = np.flatnonzero(at > 0), 1, []
     while len(rows):
         to = rows - s
-        apart = np.bitwise_count(left[rows] ^ left[to]) + np.bitwise_count(right[rows] ^ right[to])
-        hit = apart <= NEAR
-        for x in differ:
-            hit &= x[rows] != x[to]
-        found.append((rows[hit], to[hit], apart[hit].astype(np.int64)))
+        apart = np.bitwise_count(left[rows] ^ left[to])
+        some = np.flatnonzero(apart <= NEAR)
+        if len(some):  # few as a rule
+            a, b = rows[some], to[some]
+            apart = apart[some] + np.bitwise_count(right[a] ^ right[b])
+            hit = apart <= NEAR
+            for x in differ:
+                hit &= x[a] != x[b]
+            found.append((a[hit], b[hit], apart[hit].astype(np.int64)))
         s += 1
         rows = rows[at[rows] >= s]
     if found:
         yield tuple(np.concatenate(x) for x in zip(*found))
     for f, n in zip(first[~few].tolist(), size[~few].tolist()):
         for i in range(f, f + n, TILE):
-            rows, found = np.arange(i, min(f + n, i + TILE)), []
+            found = []
             for j in range(f, i + 1, TILE):
-                to = np.arange(j, min(f + n, j + TILE))
-                apart = np.bitwise_count(words[rows, None] ^ words[None, to]).sum(2, dtype=np.int64)
-                hit = (apart <= NEAR) & (to[None, :] < rows[:, None])
+                some = np.bitwise_count(left[i : min(f + n, i + TILE), None] ^ left[None, j : min(f + n, j + TILE)]) <= NEAR
+                a, b = np.nonzero(some)
+                a, b = a + i, b + j
+                apart = np.bitwise_count(left[a] ^ left[b]) + np.bitwise_count(right[a] ^ right[b])
+                hit = (apart <= NEAR) & (b < a)
                 for x in differ:
-                    hit &= x[rows, None] != x[None, to]
-                a, b = np.nonzero(hit)
-                found.append((rows[a], to[b], apart[a, b]))
+                    hit &= x[a] != x[b]
+                found.append((a[hit], b[hit], apart[hit].astype(np.int64)))
             yield tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -180,68 +216,77 @@ _FOUND = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("key", pa.int32())])
 
 
 def blocks_of(lines: DataFrame) -> DataFrame:
-    """key, lid, sim of lines(lid, sim): a row for each block of the SimHash."""
-    values = [F.conv(F.hex(F.substring("sim", 2 * k + 1, 2)), 16, 10).cast("int") + (k << 16) for k in range(BLOCKS)]
-    return lines.select("lid", "sim", F.explode(F.array(*values)).alias("key"))
+    """key, lid, high, low of lines(lid, high, low): a row for each block of the SimHash."""
+    values = [F.shiftrightunsigned("high" if k < 4 else "low", 16 * (k % 4)).bitwiseAND(F.lit(0xFFFF)).cast("int") + (k << 16) for k in range(BLOCKS)]
+    return lines.select("lid", "high", "low", F.explode(F.array(*values)).alias("key"))
+
+
+#: Bits of a piece's number in a tile's: key, a piece, the same or a later one.
+_PIECE_BITS = 22
 
 
-def candidates(blocks: DataFrame, labelled: bool) -> DataFrame:
-    """Distinct candidates (u, v) among blocks(key, lid, sim): of each line the nearest few and the first of those before it, and rows without u and v
-    for each key where some line has more. With blocks(key, lid, sim, label) all that have another label, and no such rows."""
+def candidates(blocks: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Distinct candidates (u, v) among blocks(key, lid, high, low): of each line the nearest few and the first of those before it, rows without u and v
+    for each key where some line has more, and (u, u) for lines that are left out there and in no candidate with that key. With labels(lid, label) all that
+    have another label (a line without one has its own), and no such rows."""
     # No more keys than BLOCKS << 16, whatever the input.
     sizes = blocks.groupBy("key").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces")).filter("pieces > 1")
     dealt = blocks.join(F.broadcast(sizes), "key", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
     dealt = dealt.withColumn("piece", F.pmod(F.xxhash64("lid"), "pieces").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    label = ["label"] if labelled else []
-    tiles = dealt.select("key", F.least("piece", "other").alias("x"), F.greatest("piece", "other").alias("y"), "piece", "lid", "sim", *label)
+    x, y = (f("piece", "other").cast("bigint") for f in (F.least, F.greatest))
+    tile = F.shiftleft(F.col("key").cast("bigint"), 2 * _PIECE_BITS).bitwiseOR(F.shiftleft(x, _PIECE_BITS)).bitwiseOR(y)
+    # Where two pieces meet, the lines of the second have a bit more.
+    later = F.when(F.col("piece") > F.col("other"), F.lit(1 << 32)).otherwise(F.lit(0))
+    tiles = dealt.select(tile.alias("tile"), "lid", "high", (F.col("low") + later).alias("low"))
+    if labels is not None:
+        tiles = tiles.join(labels, "lid", "left").select("tile", "lid", "high", "low", F.coalesce("label", "lid").alias("label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, first, (lid, words, piece, *labels) in grouped(batches, ("key", "x", "y"), ("lid", "sim", "piece", *label)):
+        for first, tile, lid, high, low, *label in grouped(batches):
             size = np.diff(np.append(first, len(lid)))
-            # Where two pieces meet, only lines of different ones count.
-            own = np.where(np.repeat(keys[1][first] == keys[2][first], size), np.arange(len(lid)), -1 - piece)
-            for a, b, apart in near(words, first, size, [own, *labels]):
-                more = a[:0]
-                if not labelled:
+            own = np.where(tile & ((1 << _PIECE_BITS) - 1) == tile >> _PIECE_BITS & ((1 << _PIECE_BITS) - 1), np.arange(len(lid)), -1 - (low >> 32))
+            words = np.stack([high, low & 0xFFFFFFFF], axis=1).view(np.uint64)
+            for a, b, apart in near(words, first, size, [own, *label]):
+                if not label:
+                    alone = np.zeros(len(lid), bool)
+                    alone[b] = True
                     a, b, more = nearest(a, b, apart)
-                u, v, short = lid[a], lid[b], np.unique(keys[0][more])
+                    alone[a] = alone[b] = False
+                    out, short = lid[alone], np.unique(tile[more] >> 2 * _PIECE_BITS)
+                    if len(out) or len(short):
+                        u = pa.array(np.append(out, short), mask=np.arange(len(out) + len(short)) >= len(out))
+                        key = pa.array(np.append(out * 0, short).astype(np.int32), mask=np.arange(len(out) + len(short)) < len(out))
+                        yield pa.RecordBatch.from_arrays([u, u, key], schema=_FOUND)
+                u, v = lid[a], lid[b]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.nulls(len(u), pa.int32())], schema=_FOUND)
-                if len(short):
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(short), pa.int64()), pa.nulls(len(short), pa.int64()), pa.array(short.astype(np.int32))], schema=_FOUND)
 
-    found = tiles.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "lid").mapInArrow(run, "u bigint, v bigint, key int")
-    return found.distinct()
+    # Sorted by one number, which Spark does fast; the lines of a tile are put in order where they are compared.
+    return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "u bigint, v bigint, key int").distinct()
 
 
-def grouped(batches: Iterator[pa.RecordBatch], keys: tuple, names: tuple) -> Iterator[tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]]:
-    """Key columns, starts and columns of whole runs of equal keys, many at a time; a run may go on in the next batch. sim comes as rows of two numbers of 64 bits."""
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Starts of whole runs of equal tiles, about ROWS rows of them at a time, and the columns tile, lid and so on, in order of (tile, lid); a run may go on in the next batch."""
 
-    def opened(name: str, c: pa.Array) -> np.ndarray:
-        if name != "sim":
-            return c.to_numpy()
-        ends = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
-        out = np.zeros((len(c), 16), np.uint8)
-        out[:, : 2 * BLOCKS] = np.frombuffer(c.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, 2 * BLOCKS)
-        return out.view(np.uint64)
+    def put(columns: list[np.ndarray]) -> list[np.ndarray]:
+        by = np.lexsort((columns[1], columns[0]))
+        columns = [c[by] for c in columns]
+        return [np.flatnonzero(np.concatenate([[True], columns[0][1:] != columns[0][:-1]])), *columns]
 
-    kept: list[np.ndarray] = []
+    kept: list[list[np.ndarray]] = []
+    n = 0
     for batch in batches:
         if not len(batch):
             continue
-        columns = [opened(n, batch.column(batch.schema.get_field_index(n))) for n in (*keys, *names)]
-        if kept:
-            columns = [np.concatenate(x) for x in zip(kept, columns)]
-        change = np.ones(len(columns[0]), bool)
-        change[1:] = False
-        for k in columns[: len(keys)]:
-            change[1:] |= k[1:] != k[:-1]
-        first = np.flatnonzero(change)
-        end = first[-1]
-        if end:
-            yield [c[:end] for c in columns[: len(keys)]], first[:-1], [c[:end] for c in columns[len(keys) :]]
-        kept = [c[end:] for c in columns]
+        kept.append([c.to_numpy() for c in batch.columns])
+        n += len(batch)
+        if n < ROWS or kept[-1][0][-1] == kept[0][0][0]:
+            continue
+        columns = [np.concatenate(x) for x in zip(*kept)]
+        end = int(np.searchsorted(columns[0], columns[0][-1]))
+        yield put([c[:end] for c in columns])
+        kept, n = [[c[end:] for c in columns]], n - end
     if kept:
-        yield kept[: len(keys)], np.zeros(1, np.int64), kept[len(keys) :]
+        yield put([np.concatenate(x) for x in zip(*kept)])
 
 
 #: Words that may be skipped on either side, and how many on each, few first.
@@ -379,20 +424,34 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray
         yield columns, documents()
 
 
+def _document(blob: bytes) -> tuple[np.ndarray, ...]:
+    """doc_ids (0 for null), which are null, all bytes, the ids of all lines, where each begins and ends, where each text's lines begin (and the last one's end)."""
+    ids, null, ends, raw, lids = unpack(blob)
+    raw, ends = np.frombuffer(raw, np.uint8), np.frombuffer(ends, "<i8")
+    end = np.concatenate([ends, np.flatnonzero(raw == 10)])
+    by = np.argsort(end, kind="stable")  # a text's end comes before a line's at the same place, which is the next text's
+    end, inner = end[by], by >= len(ends)
+    start = np.concatenate([[0], (end + inner)[:-1]])
+    return np.frombuffer(ids, "<i8"), np.frombuffer(null, bool), raw, np.frombuffer(lids, "<i8"), start, end, np.append(0, np.flatnonzero(~inner) + 1)
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The lines that the notes (lid) ask for, once each."""
 
     def rows():
         for columns, blobs in _opened(batches):
-            asked = set(columns[0].tolist()) if columns else set()
+            asked = np.unique(columns[0]) if columns else np.zeros(0, np.int64)
             for blob in blobs:
-                if not asked:
+                if not len(asked):
                     continue
-                lines = strings(cut_lines(opened_arrays(blob)[2])[0].dictionary, "\n")
-                for lid, norm in zip(line_ids(lines).tolist(), lines):
-                    if lid in asked:
-                        asked.remove(lid)
-                        yield lid, norm
+                _, _, raw, lids, start, end, _ = _document(blob)
+                hit, first = np.unique(lids, return_index=True)
+                is_asked = np.isin(hit, asked, assume_unique=True)
+                hit, first = hit[is_asked], first[is_asked]
+                asked = np.setdiff1d(asked, hit, assume_unique=True)
+                whole = raw.tobytes()
+                numbered, _ = cut_lines(pa.array([whole[a:b].decode() for a, b in zip(start[first].tolist(), end[first].tolist())], pa.string()))
+                yield from zip(hit.tolist(), numbered.cast(pa.string()).to_pylist())
 
     yield from to_batches(rows(), pa.schema([("lid", pa.int64()), ("norm", pa.string())]))
 
@@ -408,19 +467,19 @@ def _cut(keep_text: bool):
             for columns, blobs in _opened(batches):
                 known, doc, line = columns or [np.zeros(0, np.int64)] * 3
                 for blob in blobs:
-                    ids, null, texts = opened_arrays(blob)
-                    numbered, at = cut_lines(texts)
-                    lid = line_ids(strings(numbered.dictionary, "\n"))[numbered.indices.to_numpy()]
-                    of = np.repeat(np.arange(len(texts)), np.diff(at))
+                    ids, null, raw, lid, start, end, at = _document(blob)
+                    of = np.repeat(np.arange(len(ids)), np.diff(at))
                     k = np.minimum(np.searchsorted(known, lid), max(len(known) - 1, 0))
                     gone = (known[k] == lid) & ((doc[k] != np.where(null, _LAST, ids)[of]) | (line[k] != np.arange(len(of)) - at[of])) if len(known) else np.zeros(len(of), bool)
                     n = np.concatenate([[0], np.cumsum(lid != 0)])
                     dropped = np.concatenate([[0], np.cumsum(gone)])
-                    for j, text in enumerate(texts.to_pylist()):
-                        a, b = int(at[j]), int(at[j + 1])
-                        if dropped[b] > dropped[a]:
-                            text = "\n".join([x for x, g in zip(text.split("\n"), gone[a:b].tolist()) if not g])
-                        yield None if null[j] else int(ids[j]), int(n[b] - n[a]), int(dropped[b] - dropped[a]), hashlib.sha256(text.encode()).hexdigest(), text if keep_text else ""
+                    whole, starts, ends = raw.tobytes(), start.tolist(), end.tolist()
+                    for j, (a, b, n_lines, n_removed) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), (n[at[1:]] - n[at[:-1]]).tolist(), (dropped[at[1:]] - dropped[at[:-1]]).tolist())):
+                        if n_removed:
+                            text = b"\n".join([whole[starts[i] : ends[i]] for i in range(a, b) if not gone[i]])
+                        else:
+                            text = whole[starts[a] : ends[b - 1]]
+                        yield None if null[j] else int(ids[j]), n_lines, n_removed, hashlib.sha256(text).hexdigest(), text.decode() if keep_text else ""
 
         yield from to_batches(rows(), _OUT)
 
@@ -433,11 +492,8 @@ def _texts_of(pairs: DataFrame, lines: DataFrame, documents: DataFrame, n_parts:
     return _with_documents(asked.select("part", "lid"), documents, n_parts).mapInArrow(_texts, "lid bigint, norm string")
 
 
-def _joined(labels: DataFrame, rest: DataFrame, texts: DataFrame, lines: DataFrame, documents: DataFrame, n_parts: int) -> DataFrame:
-    """labels(node, component) with the groups joined that similar ones of the pairs rest(u, v) link. Only lines whose texts aren't at hand are fetched."""
-    missing = rest.select(F.col("u").alias("lid")).union(rest.select("v")).distinct().join(texts, "lid", "left_anti")
-    if not missing.isEmpty():
-        texts = texts.unionByName(materialised(_texts_of(missing.select(F.col("lid").alias("u"), F.col("lid").alias("v")), lines, documents, n_parts), "texts"))
+def _joined(labels: DataFrame, rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """labels(node, component) with the groups joined that similar ones of the pairs rest(u, v) link."""
     more = materialised(verified(rest, texts), "passed")
     if more.isEmpty():
         return labels
@@ -451,30 +507,33 @@ def _joined(labels: DataFrame, rest: DataFrame, texts: DataFrame, lines: DataFra
 def dedup_lines(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """doc_id, n_lines (with a word), n_removed, kept_sha256 and the kept text for each row of docs(doc_id, text).
 
-    docs must give the same rows in the same partitions each time it is read, as tables do."""
-    rows, n_scan, n_parts = parts_of(docs.select("doc_id", or_empty("text").alias("text")), total_bytes(docs))
-    seen = materialised(rows.mapInArrow(_distinct(n_scan), "part int, lid bigint, sim binary, doc_id bigint, line_no bigint, n bigint"), "seen")
+    The input is read once: its documents are kept in the shared folder, beside what is seen of their lines."""
+    rows, n_scan, _ = parts_of(docs.select("doc_id", or_empty("text").alias("text")), 0)
+    stored = materialised(rows.mapInArrow(_distinct(n_scan), _SEEN_DDL), "seen")
+    seen, documents = stored.filter("lid is not null").drop("seq", "blob"), stored.filter("seq is not null").select("part", "seq", "blob")
+    n_parts = n_scan * max(1, -(-documents.agg(F.countDistinct("part")).first()[0] // n_scan))
     # A part has sent each line once, so a line has no more rows here than there are parts.
-    lines = materialised(seen.groupBy("lid", "sim").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.sum("n").alias("n"), F.min("part").alias("part")), "lines")
-    documents = rows.mapInArrow(packed(n_scan), "part int, seq bigint, blob binary")
-    found = materialised(candidates(blocks_of(lines), False), "pairs")
-    pairs, short = found.filter("key is null").select("u", "v"), found.filter("key is not null").select("key").distinct()
-    texts = materialised(_texts_of(pairs, lines, documents, n_parts), "texts")
+    lines = materialised(seen.groupBy("lid").agg(F.min("high").alias("high"), F.min("low").alias("low"), F.sum("n").alias("n"), F.min("part").alias("part")), "lines")
+    found = materialised(candidates(blocks_of(lines)), "pairs")
+    asked, short = found.filter("key is null").select("u", "v"), found.filter("key is not null").select("key").distinct()
+    pairs = asked.filter("u <> v")
+    # All that a second round may find is asked for here, too.
+    texts = materialised(_texts_of(asked, lines, documents, n_parts), "texts")
     links = materialised(verified(pairs, texts), "passed")
     groups = labels = materialised(connected(links), "labels")
     if not short.isEmpty():
         # No more keys than BLOCKS << 16, whatever the input.
-        again = blocks_of(lines).join(F.broadcast(short), "key", "left_semi").join(labels.withColumnRenamed("node", "lid"), "lid", "left")
-        named = again.select("key", "lid", "sim", F.coalesce("component", "lid").alias("label"))
-        rest = materialised(candidates(named, True).select("u", "v").join(pairs, ["u", "v"], "left_anti"), "pairs")
-        groups = _joined(labels, rest, texts, lines, documents, n_parts)
+        again = blocks_of(lines).join(F.broadcast(short), "key", "left_semi")
+        named = labels.select(F.col("node").alias("lid"), F.col("component").alias("label"))
+        rest = materialised(candidates(again, named).select("u", "v").join(pairs, ["u", "v"], "left_anti"), "pairs")
+        groups = _joined(labels, rest, texts)
         discard(rest)
     groups = groups.withColumnRenamed("node", "lid")
     discard(found, texts, links)
-    of = lines.select("lid", "first", "n").join(groups, "lid", "left").filter("n > 1 or component is not null").withColumn("component", F.coalesce("component", "lid"))
-    keep = of.groupBy("component").agg(F.min("first").alias("keep"))
-    again = of.select("lid", "component").join(keep, "component").select("lid", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line_no").alias("keep_line"))
-    notes = seen.select("part", "lid").join(again, "lid").select("part", "lid", "keep_doc", "keep_line")
+    of = lines.select("lid", "n").join(groups, "lid", "left").filter("n > 1 or component is not null").select("lid", F.coalesce("component", "lid").alias("component"))
+    held = materialised(seen.select("lid", "part", "doc_id", "line_no").join(of, "lid"), "held")
+    keep = materialised(held.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("keep")), "keep")
+    notes = held.select("part", "lid", "component").join(keep, "component").select("part", "lid", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line_no").alias("keep_line"))
     done = _with_documents(notes, documents, n_parts).mapInArrow(_cut(keep_text), "doc_id bigint, n_lines bigint, n_removed bigint, kept_sha256 string, kept string")
     return done if keep_text else done.drop("kept")
 

@@ -43,6 +43,11 @@ def word_hashes(raw: bytes) -> np.ndarray:
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
         return np.zeros(0, np.uint64)
+    return span_hashes(b, starts, ends)
+
+
+def span_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes from each start to its end."""
     power, back = _powers(len(b) + 1)
     total = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(_BYTE[b] * power[: len(b)], out=total[1:])

@@ -531,6 +531,56 @@ def test_fuzzy_lines_joins_a_large_group_in_pieces(spark, monkeypatch):
     assert {tuple(r) for r in fuzzy_lines.dedup_lines(docs).collect()} == plain and sum(r[2] for r in plain) >= 0.9 * len(lines)
 
 
+def test_fuzzy_lines_reads_its_input_once(spark, rows):
+    """Each further reading of the documents cost CPU time: they were read up to five times."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdeghilmnorstu") for _ in range(rng.randint(4, 9))) for _ in range(40)]
+    near = [(10_000 + k, " ".join([*words[:k], "x", *words[k + 1 :]])) for k in range(40)]
+    docs = spark.createDataFrame([(d, t) for d, t, *_ in rows] + near, "doc_id long, text string").mapInArrow(counted, "doc_id long, text string")
+    got = fuzzy_lines.dedup_lines(docs, keep_text=False).collect()
+    assert len(got) == read.value == len(rows) + len(near) and sum(r["n_removed"] for r in got if (r["doc_id"] or 0) >= 10_000) > 30
+
+
+def test_simhash_is_the_majority_of_distinct_words():
+    import pyarrow as pa
+
+    from quireworks.llm.shingles import word_hashes
+
+    rng = random.Random(23)
+    lines = ["", "one", "one two two", "", " ".join(f"w{k % 300}" for k in range(700)), *(" ".join(f"y{k}" for k in range(n)) for n in (254, 255, 256, 257)), "é ü ß é"]
+    lines += [" ".join(str(rng.randint(0, 60)) for _ in range(rng.randint(1, 90))) for _ in range(300)]
+    got = fuzzy_lines.simhashes(pa.array(lines))
+    for line, value in zip(lines, got):
+        h = word_hashes(" ".join(sorted(set(line.split()))).encode())
+        bits = np.concatenate([np.unpackbits((h * m ^ (h >> np.uint64(29))).view(np.uint8).reshape(-1, 8), axis=1) for m in fuzzy_lines._MIX], axis=1)[:, : 16 * fuzzy_lines.BLOCKS]
+        assert np.packbits(2 * bits.sum(0, dtype=int) > len(h)).view(">u2").tolist() == value.tolist(), line
+
+
+def test_second_round_of_fuzzy_lines_needs_no_other_texts(spark, monkeypatch):
+    """What the first round leaves out is named by it, with several pieces of a block value, too."""
+    rng = np.random.default_rng(9)
+    low = rng.integers(0, 1 << 32, 120)
+    high = np.int64(77) | np.left_shift(np.bitwise_or.reduce(np.left_shift(1, rng.integers(0, 47, (120, 5))), axis=1), 16)
+    lines = spark.createDataFrame([(int(k), int(h), int(w & 0xFF)) for k, h, w in zip(rng.permutation(120), high, low)], "lid long, high long, low long")
+    for piece in (4096, 25):
+        monkeypatch.setattr(fuzzy_lines, "PIECE", piece)
+        blocks = fuzzy_lines.blocks_of(lines).filter("key = 77")
+        first = fuzzy_lines.candidates(blocks).collect()
+        assert {r["key"] for r in first} == {None, 77}
+        asked = {x for r in first for x in (r["u"], r["v"]) if r["key"] is None}
+        all_of = {(r["u"], r["v"]) for r in fuzzy_lines.candidates(blocks, spark.createDataFrame([], "lid long, label long")).collect()}
+        bits = {r["lid"]: r["high"] << 32 | r["low"] for r in lines.collect()}
+        assert all_of == {(u, v) for u in bits for v in bits if u < v and bin(bits[u] ^ bits[v]).count("1") <= fuzzy_lines.NEAR}
+        assert {x for p in all_of for x in p} == asked and {(r["u"], r["v"]) for r in first if r["key"] is None and r["u"] != r["v"]} < all_of
+
+
 def test_preference_format(spark):
     turns = [(1, 0, 10, 0, "user", "hi"), (1, 0, 10, 1, "assistant", "yes"), (1, 1, 11, 1, "assistant", "no"), (1, 1, 11, 0, "user", "hi"), (2, 0, 12, 0, None, None), (3, 0, 14, 0, "user", "a"), (3, 1, 15, 0, "user", "a")]
     df = spark.createDataFrame([(*t, "extra") for t in turns], "pair_id long, side int, conv_id long, turn long, role string, text string, prompt string")
