@@ -4,7 +4,8 @@ A byte goes if a 50-byte string covering it also starts in a document with a sma
 
 1. Anchors. Winnowing picks 20-byte strings so that every 50-byte string holds one, picked the same way wherever the string stands.
    Each part of the input sends its distinct anchors by a mixed hash; anchors of one document only go no further.
-2. Passages. Each anchor left gives the bytes around it, 30 before to 30 after, which hold every 50-byte string around that anchor.
+2. Passages. Each 50-byte string belongs to one of its anchors, the first with the least hash, so equal strings belong to equal anchors. Each anchor
+   left gives the bytes of its own strings, at most 30 before to 30 after it; a string is then looked at once, not with every anchor in it.
    Equal passages of a part are one row with their smallest doc_id. Passages meet by their anchor. An anchor that
    very many documents hold gives its 50-byte strings one by one instead, dealt out by their own hash, so a
    common line's many surroundings don't meet in one task.
@@ -13,6 +14,8 @@ A byte goes if a 50-byte string covering it also starts in a document with a sma
    row moves to the nearer run of that byte, and the samples tell how much of the match is left. Where the match is 50 bytes or longer
    and the rows of that string hold a smaller document, the string goes. Either half is then dealt with alone in the same way, so
    a passage has met all those of smaller documents after as many rounds as the number of passages around an anchor has bits.
+   Two passages with 50 bytes in common have the anchor with one of five stretches of bytes around it in common (44 or 45 bytes); passages
+   without a partner in that sense share no string and stay out of the round.
 4. The answers go back to the parts, which mark, cut and digest their documents.
 
 No step holds more than a part of the input (common.PART_BYTES, or one text if that is longer) or a bucket, whose number follows the input.
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 from quireworks.llm.common import PACKED_DDL, flat_of, opened_flat, or_empty, pack, packed, packs, parts_of, pieces_for, rows_of, table, to_batches, total_bytes, unpack
 from quireworks.llm.shingles import mix
 
-#: Length of a match, of an anchor, anchor starts in a window of that length, and bytes of a passage.
+#: Length of a match, of an anchor, anchor starts in a window of that length, and most bytes of a passage.
 MATCH, ANCHOR = 50, 20
 WINDOW, PASSAGE = MATCH - ANCHOR + 1, 2 * MATCH - ANCHOR
 #: Bytes of text for which there is one bucket of anchors, one of passages.
@@ -46,9 +49,15 @@ CHUNK = 1 << 18
 #: Documents from which on an anchor's 50-byte strings are dealt out one by one; the place that marks such a string.
 HOT_DOCS, ALONE = 20_000, 255
 
+#: Bytes before and after the anchor: MATCH bytes with the anchor cover one of these stretches.
+STRETCHES = ((0, 25), (6, 19), (12, 13), (18, 7), (24, 0))
+#: Passages that are indexed and streamed together, about (a group stays whole).
+TOGETHER = 1 << 15
+
 _rng = np.random.default_rng(50)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 _MUL = [np.uint64(int(x) * 2 + 1) for x in _rng.integers(1, 1 << 62, 16, dtype=np.uint64)]
+_POWER = np.multiply.accumulate(np.full(PASSAGE + 1, _MUL[14]))
 _TABLE = _rng.integers(0, 1 << 63, (2, PASSAGE, 256), dtype=np.uint64) * np.uint64(2) + _rng.integers(0, 2, (2, PASSAGE, 256), dtype=np.uint64)
 
 
@@ -73,12 +82,13 @@ def _hashes(b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _chunks(flat: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _chunks(flat: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For CHUNK after CHUNK of the texts that lie one after another in flat, each up to its end: (first byte, hashes from there on, the anchors'
-    places from there on, the first and the end byte of their texts). An anchor is the least of some WINDOW neighbours of its text."""
+    places from there on, where their texts begin, the first and the last start of the MATCH-byte strings that are theirs, all from the first byte
+    of flat on). An anchor is the least of some WINDOW neighbours of its text; of a string's anchors the first with the least hash has it."""
     starts = np.concatenate([[0], ends[:-1]])
     for a in range(0, len(flat), CHUNK):
-        lo, hi = max(0, a - MATCH), min(len(flat), a + CHUNK + MATCH + ANCHOR)
+        lo, hi = max(0, a - 2 * MATCH), min(len(flat), a + CHUNK + 2 * MATCH)
         if hi - lo < MATCH:
             continue
         h = _hashes(flat[lo:hi])
@@ -89,14 +99,23 @@ def _chunks(flat: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarra
         inside = np.arange(lo, lo + n) + MATCH <= ends[of[:n]]
         low[WINDOW - 1 : WINDOW - 1 + n][inside] = _sliding(h, WINDOW, np.minimum)[inside]
         at = np.flatnonzero(_sliding(low, WINDOW, np.maximum)[: len(h)] == h)
-        at = at[(at + lo >= a) & (at + lo < a + CHUNK)]
         at = at[at + lo + ANCHOR <= ends[of[at]]]
-        yield lo, h, at, starts[of[at]], ends[of[at]]
+        x, t = h[at], of[at]
+        start = starts[t]
+        # Of two neighbours the first has all strings that hold it, unless the second is less and has all that hold it.
+        first, last = start.copy(), ends[t] - MATCH
+        pair = np.flatnonzero(t[1:] == t[:-1])
+        first[pair + 1] = np.where(x[pair] <= x[pair + 1], at[pair] + 1, at[pair + 1] - WINDOW + 1) + lo
+        first = np.maximum(first, start)
+        # A lesser one may take those of several before it that have one hash.
+        last[:-1] = np.minimum(last[:-1], np.minimum.accumulate(first[::-1])[::-1][1:] - 1)
+        own = np.flatnonzero((at + lo >= a) & (at + lo < a + CHUNK))
+        yield lo, h, at[own], start[own], first[own], last[own]
 
 
 def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and starts of the anchors of one text."""
-    found = [(h[at], at + lo) for lo, h, at, _, _ in _chunks(np.frombuffer(raw, np.uint8), np.array([len(raw)]))]
+    found = [(h[at], at + lo) for lo, h, at, *_ in _chunks(np.frombuffer(raw, np.uint8), np.array([len(raw)]))]
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
@@ -189,14 +208,15 @@ class RunLengthIndex:
     def _common(self, at: np.ndarray, eight: np.ndarray, begin: np.ndarray, most: np.ndarray) -> np.ndarray:
         """How many bytes of the text from `at` on equal those of another from `begin` on, up to `most` and the separator: eight at a time."""
         most = np.minimum(most, self.left[at])
-        out = np.zeros(len(at), np.int64)
-        go = np.flatnonzero(most > 0)
+        differ = self.eight[at] ^ eight[begin]
+        out = (np.bitwise_count(~differ & (differ - np.uint64(1))) >> 3).astype(np.int64)
+        go = np.flatnonzero((out == 8) & (most > 8))
         while len(go):
             differ = self.eight[at[go] + out[go]] ^ eight[begin[go] + out[go]]
-            n = np.where(differ == 0, 8, np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) >> 3)
+            n = np.bitwise_count(~differ & (differ - np.uint64(1))) >> 3
             out[go] += n
             go = go[(n == 8) & (out[go] < most[go])]
-        return np.minimum(out, np.maximum(most, 0))
+        return np.minimum(out, most)
 
     def matches(self, matrix: np.ndarray, lengths: np.ndarray, docs: np.ndarray) -> np.ndarray:
         """For each of the passages, as bits by start: whether the MATCH bytes from there on stand in the index under a smaller document.
@@ -224,8 +244,8 @@ class RunLengthIndex:
                 j = np.searchsorted(self.by_key, c[lost] * n_runs + run[lost])
                 up, down = self.by[np.maximum(j - 1, 0)], self.by[np.minimum(j, n_runs - 1)]
                 has_up, has_down = (j > 0) & (self.run_symbol[up] == c[lost]), (j < n_runs) & (self.run_symbol[down] == c[lost])
-                u = self._common(self.end_sample[up], eight, here[lost] + 1, np.where(has_up, size[lost], 0))
-                d = self._common(self.start_sample[down], eight, here[lost] + 1, np.where(has_down, size[lost], 0))
+                most = np.concatenate([np.where(has_up, size[lost], 0), np.where(has_down, size[lost], 0)])
+                u, d = self._common(np.concatenate([self.end_sample[up], self.start_sample[down]]), eight, np.tile(here[lost] + 1, 2), most).reshape(2, -1)
                 go_up = has_up & (~has_down | (u >= d))
                 run[lost] = np.where(go_up, up, np.where(has_down, down, run[lost]))
                 row[lost] = np.where(go_up, self.run_last[up], np.where(has_down, self.run_start[down], 0))
@@ -241,29 +261,84 @@ class RunLengthIndex:
         return found
 
 
-def smaller_elsewhere(matrix: np.ndarray, lengths: np.ndarray, docs: np.ndarray, group: np.ndarray) -> np.ndarray:
+def _around(matrix: np.ndarray, lengths: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A hash of each passage's anchor, and hashes of the STRETCHES around it (0 where the passage ends before)."""
+    anchor, out = np.empty(len(lengths), np.uint64), [np.zeros(len(lengths), np.uint64) for _ in STRETCHES]
+    for a in range(0, len(lengths), 4096):
+        some = slice(a, a + 4096)
+        sums = np.zeros((len(lengths[some]), PASSAGE + 1), np.uint64)
+        np.cumsum(_BYTE[matrix[some]] * _POWER[:PASSAGE], axis=1, out=sums[:, 1:])
+        rows, at, n = np.arange(len(sums)), place[some], lengths[some]
+        hashed = lambda begin, end: (sums[rows, end] - sums[rows, begin]) * _POWER[PASSAGE - begin]  # noqa: E731, B023
+        anchor[some] = mix(hashed(at, at + ANCHOR))
+        for x, (before, after) in zip(out, STRETCHES):
+            inside = (at >= before) & (at + ANCHOR + after <= n)
+            x[some] = np.where(inside, mix(hashed(np.maximum(at - before, 0), np.minimum(at + ANCHOR + after, PASSAGE))) | np.uint64(1), 0)
+    return anchor, out
+
+
+def _meet(keys: list[np.ndarray], at: np.ndarray, g: np.ndarray, late: np.ndarray | None = None) -> np.ndarray:
+    """Which passages have one of their stretches in common with another of their group (of its other half, if late tells the halves)."""
+    out = np.zeros(len(at), bool)
+    for key in keys:
+        own = np.flatnonzero(key[at] != 0)
+        k = mix(key[at[own]] + g[own].astype(np.uint64) * _MUL[15])
+        by = np.argsort(k)
+        first = np.flatnonzero(np.concatenate([[True], k[by][1:] != k[by][:-1]])[: len(by)])
+        n = np.diff(np.concatenate([first, [len(by)]]))
+        if late is None:
+            both = n > 1
+        elif len(first):
+            n_late = np.add.reduceat(late[own[by]].astype(np.int64), first)
+            both = (n_late > 0) & (n_late < n)
+        else:
+            continue
+        out[own[by[np.repeat(both, n)]]] = True
+    return out
+
+
+def smaller_elsewhere(matrix: np.ndarray, lengths: np.ndarray, docs: np.ndarray, group: np.ndarray, keys: list[np.ndarray] | None = None) -> np.ndarray:
     """For each of distinct passages, as bits by start: whether the MATCH bytes from there on also stand in a passage of its group with a
-    smaller document. A group shares an anchor; its earlier half is indexed, its later half streamed, then each half is a group."""
+    smaller document. A group shares an anchor; its earlier half is indexed, its later half streamed, then each half is a group.
+    With keys, the hashes of STRETCHES, passages that have no stretch in common with another of their group can't hold such bytes and are left out."""
     found = np.zeros(len(lengths), np.int64)
-    full = (np.int64(1) << (lengths - MATCH + 1)) - 1
     at = np.lexsort((docs, group))
+    if keys is not None:
+        at = at[_meet(keys, at, group[at])]
     g = group[at]
+    edges = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]])) if len(g) else np.zeros(1, np.int64)
+    a = 0
+    while a < len(edges) - 1:
+        b = max(a + 1, int(np.searchsorted(edges, edges[a] + TOGETHER, "right")) - 1)
+        _by_halves(matrix, lengths, docs, keys, found, at[edges[a] : edges[b]], g[edges[a] : edges[b]])
+        a = b
+    return found
+
+
+def _by_halves(matrix: np.ndarray, lengths: np.ndarray, docs: np.ndarray, keys: list[np.ndarray] | None, found: np.ndarray, at: np.ndarray, g: np.ndarray) -> None:
+    """Adds to found for the passages at `at`, which lie by group g and document."""
+    full = (np.int64(1) << (lengths - MATCH + 1)) - 1
     while True:
         first = np.concatenate([[True], g[1:] != g[:-1]]) if len(g) else np.zeros(0, bool)
         begin = np.flatnonzero(first)
         n = np.diff(np.concatenate([begin, [len(g)]]))
         several = np.repeat(n > 1, n)
         if not several.any():
-            return found
+            return
         late = (np.arange(len(g)) - np.repeat(begin, n) >= np.repeat((n + 1) // 2, n))[several]
         at, g = at[several], np.cumsum(first[several])
-        old, new = at[~late], at[late]
-        found[new] |= RunLengthIndex(matrix[old], lengths[old], docs[old]).matches(matrix[new], lengths[new], docs[new])
+        met = np.ones(len(at), bool) if keys is None else _meet(keys, at, g, late)
+        old, new = at[met & ~late], at[met & late]
+        if len(new):
+            found[new] |= RunLengthIndex(matrix[old], lengths[old], docs[old]).matches(matrix[new], lengths[new], docs[new])
         # What a passage found whole could still tell others, the index has told them as well.
         stay = ~late | (found[at] != full[at])
         at, g = at[stay], (2 * g + late)[stay]
         order = np.argsort(g, kind="stable")
         at, g = at[order], g[order]
+        if keys is not None:
+            some = _meet(keys, at, g)
+            at, g = at[some], g[some]
 
 
 _ROW = pa.schema([("part", pa.int32()), ("bucket", pa.int64()), ("kind", pa.int8()), ("seq", pa.int64()), ("blob", pa.binary())])
@@ -296,7 +371,7 @@ def _anchor_rows(n_buckets: int, n_scan: int):
                 found = []
                 for _, _, ids, texts in own:
                     _, null, raw, ends = flat_of(ids, texts)
-                    for lo, h, at, start, _ in _chunks(raw, ends):
+                    for lo, h, at, start, *_ in _chunks(raw, ends):
                         x, of = h[at], np.searchsorted(ends, start, "right")
                         x, of = x[~null[of]], of[~null[of]]
                         by = np.lexsort((of, x))
@@ -355,22 +430,17 @@ class _Passages:
         """Arrays of start, size, the anchor's place in the passage, two hashes that name the passage, its bucket, its text."""
         if not len(self.known):
             return
-        for lo, h, at, start, end in _chunks(flat, ends):
-            some = self.maybe[h[at] >> self.shift]
-            at, start, end = at[some], start[some], end[some]
+        for lo, h, at, start, first, last in _chunks(flat, ends):
+            some = np.flatnonzero(self.maybe[h[at] >> self.shift] & (first <= last))
+            at, start, s, e = at[some], start[some], first[some] - lo, last[some] - lo + MATCH
             of = np.searchsorted(ends, start, "right")
             k = np.minimum(np.searchsorted(self.known, h[at]), len(self.known) - 1)
             hit = (self.known[k] == h[at]) & ~null[of]
-            at, start, end, of, hot = at[hit], start[hit] - lo, end[hit] - lo, of[hit], self.hot[k[hit]]
-            s, e = np.maximum(start, at + ANCHOR - MATCH), np.minimum(end, at + MATCH)
-            whole = e - s == PASSAGE
-            w = np.flatnonzero(whole & ~hot)
-            four = [h[s[w] + k] for k in range(0, PASSAGE, ANCHOR)]
-            yield s[w] + lo, e[w] - s[w], at[w] - s[w], *(mix(sum(x * m for x, m in zip(four, _MUL[i : i + 4]))) for i in (7, 11)), h[at[w]] % self.n, of[w]
-            w = np.flatnonzero(~whole & ~hot)  # at the edge of a text
+            at, s, e, of, hot = at[hit], s[hit], e[hit], of[hit], self.hot[k[hit]]
+            w = np.flatnonzero(~hot)
             if len(w):
-                names = np.frombuffer(b"".join(hashlib.blake2b(flat[a:b].tobytes(), digest_size=16).digest() for a, b in zip((s[w] + lo).tolist(), (e[w] + lo).tolist())), np.uint64).reshape(-1, 2)
-                yield s[w] + lo, e[w] - s[w], at[w] - s[w], names[:, 0], names[:, 1], h[at[w]] % self.n, of[w]
+                four = h[s[w]], h[s[w] + ANCHOR], h[e[w] - 2 * ANCHOR], h[e[w] - ANCHOR], (e[w] - s[w]).astype(np.uint64)
+                yield s[w] + lo, e[w] - s[w], at[w] - s[w], *(mix(sum(x * m for x, m in zip(four, _MUL[i : i + 5]))) for i in (7, 10)), h[at[w]] % self.n, of[w]
             w = np.flatnonzero(hot)
             if len(w):
                 n = e[w] - s[w] - MATCH + 1
@@ -461,8 +531,8 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = np.flatnonzero(place[at] != ALONE)
             if len(some):
                 x = at[some]
-                group = np.unique(_named(text[x], n[x] * 0, place[x], ANCHOR)[0], return_inverse=True)[1]
-                found[some] = smaller_elsewhere(text[x], n[x], least[some], group)
+                anchor, stretches = _around(text[x], n[x], place[x])
+                found[some] = smaller_elsewhere(text[x], n[x], least[some], np.unique(anchor, return_inverse=True)[1], stretches)
             a = 0
             for p, names, *_ in own:
                 mine = of[a : a + len(names) // 8]

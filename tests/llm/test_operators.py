@@ -302,6 +302,55 @@ def test_halves_of_a_group_miss_nothing():
             assert (got[k] >> i & 1 and others) or (not got[k] >> i & 1 and not own)
 
 
+def test_each_string_lies_in_one_passage(monkeypatch):
+    rng = np.random.default_rng(7)
+    texts = [bytes(rng.integers(97, 100, rng.integers(0, 400), dtype=np.uint8)) for _ in range(200)] + [b"x" * 300, b"ab" * 200, b"q" * 49, b""]
+    texts += [unit * 30 + bytes(rng.integers(97, 123, 90, dtype=np.uint8)) for unit in (b"-", b"ha ", b"x12; ") for _ in range(60)]  # repeats that end
+    flat, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+    known = np.unique(np.concatenate([run_length_index.anchors(t)[0] for t in texts]))
+    want = np.zeros(len(flat), int)
+    for t, e in zip(texts, ends.tolist()):
+        want[e - len(t) : max(e - len(t), e - 49)] = 1
+    for chunk in (run_length_index.CHUNK, 130):  # the same where a text is cut into chunks
+        monkeypatch.setattr(run_length_index, "CHUNK", chunk)
+        seen = run_length_index._Passages(3)
+        seen.learn(common.pack(run_length_index._planes(known), np.zeros(len(known), "u1").tobytes()))
+        seen.done()
+        times, named = np.zeros(len(flat), int), {}
+        for found in seen.of(flat, ends, np.zeros(len(ends), bool)):
+            for start, n, place, name, _, _, of in zip(*(x.tolist() for x in found)):
+                assert ends[of] - len(texts[of]) <= start and start + n <= ends[of] and 50 <= n <= 80 and 0 <= place <= n - 20
+                times[start : start + n - 49] += 1
+                assert named.setdefault(name, (flat[start : start + n].tobytes(), place)) == (flat[start : start + n].tobytes(), place)
+        assert (times == want).all()
+
+
+def test_passages_with_unlike_surroundings_are_not_indexed(monkeypatch):
+    assert all(any(a <= left and b <= 30 - left for a, b in run_length_index.STRETCHES) for left in range(31))  # 50 bytes around an anchor cover a stretch
+    rng = np.random.default_rng(8)
+    anchor, other = bytes(rng.integers(97, 123, 20, dtype=np.uint8)), bytes(rng.integers(97, 123, 80, dtype=np.uint8))
+    passages, place = [], []
+    for k in range(31):  # these share exactly 50 bytes with one passage, at each place
+        whole = bytes(rng.integers(65, 91, 30, dtype=np.uint8)) + anchor + bytes(rng.integers(65, 91, 30, dtype=np.uint8))
+        passages += [whole, b"0" * k + whole[k : k + 50] + b"1" * (30 - k)]
+        place += [30, 30]
+    for k in range(200):  # and these share the anchor only, or 49 bytes
+        whole = bytes(rng.integers(65, 91, 30, dtype=np.uint8)) + anchor + bytes(rng.integers(65, 91, 30, dtype=np.uint8))
+        passages.append(whole[30 - k % 31 :])
+        place.append(k % 31)
+    passages, place = [*passages, other], np.array([*place, 5])
+    used = []
+    index = run_length_index.RunLengthIndex
+    monkeypatch.setattr(run_length_index, "RunLengthIndex", lambda m, n, d: used.append(len(n)) or index(m, n, d))
+    text, lengths = as_matrix(passages)
+    docs = np.arange(len(passages))
+    hashed, keys = run_length_index._around(text, lengths, place)
+    assert len(set(hashed.tolist())) == 2
+    got = run_length_index.smaller_elsewhere(text, lengths, docs, np.unique(hashed, return_inverse=True)[1], keys).tolist()
+    assert got == [0 if k % 2 == 0 else 1 << k // 2 for k in range(62)] + [0] * 201
+    assert max(used) <= 62
+
+
 def test_anchors_cover_and_agree_wherever_a_string_stands(monkeypatch):
     rng = np.random.default_rng(5)
     shared = bytes(rng.integers(97, 105, 400, dtype=np.uint8))
